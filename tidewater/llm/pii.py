@@ -31,13 +31,23 @@ CONTEXT = {
 }
 
 
-def found(text: Column, kind: str) -> Column:
-    """array<struct<start, end, match>> of the leftmost non-overlapping matches, in code points, end exclusive.
+#: What a text must contain to be searched for a kind at all.
+NEEDS = {"email": "@", "phone": "+"}
 
-    The pieces between the matches and the matches have lengths that add up to the positions.
+
+def _split(text: Column, kind: str) -> dict[str, Column]:
+    """The leftmost non-overlapping matches of a kind and the gaps around them; none of either where nothing can match."""
+    able = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
+    matches = F.when(able, F.regexp_extract_all(text, F.lit(f"({PATTERNS[kind]})"), F.lit(1)))
+    return {f"__m_{kind}": matches, f"__g_{kind}": F.when(able, F.split(text, PATTERNS[kind], -1))}
+
+
+def found(kind: str) -> Column:
+    """array<struct<start, end, match>> in code points, end exclusive, from the columns of _split().
+
+    The lengths of gaps and matches add up to the positions.
     """
-    matches = F.regexp_extract_all(text, F.lit(f"({PATTERNS[kind]})"), F.lit(1))
-    gaps = F.split(text, PATTERNS[kind], -1)
+    matches, gaps = F.col(f"__m_{kind}"), F.col(f"__g_{kind}")
     empty = F.expr("cast(array() as array<struct<start:int, end:int, match:string>>)")
     grown = F.aggregate(
         F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")),
@@ -51,7 +61,7 @@ def found(text: Column, kind: str) -> Column:
         ),
         lambda acc: acc["out"],
     )
-    return F.when(F.size(gaps) > 1, grown).otherwise(empty)
+    return F.when(F.size(matches) > 0, grown).otherwise(empty)
 
 
 def luhn(digits: Column) -> Column:
@@ -94,10 +104,17 @@ def spans(text: Column, kind: str, order: int) -> Column:
         score = F.lit(SCORES[kind]) + F.when(around.rlike(near), BONUS).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(order).alias("kind_no"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
 
-    kept = F.transform(F.filter(found(text, kind), lambda x: confirmed(x["match"], kind)), scored)
+    kept = F.transform(F.filter(found(kind), lambda x: confirmed(x["match"], kind)), scored)
     return kept if kind in BASE else F.filter(kept, lambda x: x["score"] >= LEAST)
 
 
+def _searched(df: DataFrame, text: Column) -> DataFrame:
+    """df with its spans in `found`. Every expression runs once over the text, in a projection of its own."""
+    parts = {name: c for kind in PATTERNS for name, c in _split(text, kind).items()}
+    every = [spans(text, kind, i) for i, kind in enumerate(PATTERNS)]
+    return df.withColumns(parts).withColumn("found", F.sort_array(F.concat(*every))).drop(*parts)
+
+
 def _joined(array: Column) -> Column:
     return F.array_join(F.transform(array, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -109,9 +126,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spans; repeated rows are searched each, a null id stays null; other columns are not read.
     """
     rows = texts(docs, id_col, text_col)
-    text = F.col("text")
-    every = [spans(text, kind, i) for i, kind in enumerate(PATTERNS)]
-    return rows.select(real_id("id").alias("doc_id"), F.sort_array(F.concat(*every)).alias("found"))
+    return _searched(rows, F.col("text")).select(real_id("id").alias("doc_id"), "found")
 
 
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,13 +147,13 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; of overlapping spans the earlier, then the longer counts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    every = F.sort_array(F.concat(*[spans(text, kind, i) for i, kind in enumerate(PATTERNS)]))
     done = F.aggregate(
-        every,
+        "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(
             F.struct(x["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"))
         ),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), done))
+    names = docs.columns
+    return _searched(docs.withColumnRenamed("found", "__found"), text).withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).drop("found").toDF(*names)
