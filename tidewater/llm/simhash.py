@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
     roots = components(links(reps, radius))
-    of_fp = reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component"))
+    # written, so that both sides of the last join are shuffled for it and adaptive execution can split a hot fingerprint
+    of_fp = cut(reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component")), "components")
     return fps.join(of_fp, "fp").select(
         real_id("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
