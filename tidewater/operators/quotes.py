@@ -203,3 +203,81 @@ def asof_latest(left: DataFrame, right: DataFrame, by: list[str], left_time: str
     w = Window.partitionBy(*by).orderBy("_t", "_k", "_r").rowsBetween(Window.unboundedPreceding, 0)
     got = tag.unionByName(other).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_k = 1")
     return got.select("_l.*", F.col("_r._at").alias(right_time), *[F.col(f"_r.{v}").alias(v) for v in values])
+
+
+def quote_star(quotes: DataFrame, events: DataFrame, books: DataFrame) -> DataFrame:
+    """Quotes with their event's and book's columns; Spark broadcasts a dimension only where its size allows."""
+    return quotes.join(events, "event_id", "left").join(books, "book_id", "left")
+
+
+def exact_line_consensus(pairs: DataFrame, minimum: int = 2) -> DataFrame:
+    """Per market: its modal line, median probability and dispersion of the books at that line, and the best price of both sides (first book wins a tie)."""
+    line = modal_line(pairs).select(*MARKET, "line")
+    at = pairs.join(line, [*MARKET, "line"])
+    best = lambda s: F.max(F.struct(prices.american_to_decimal(F.col(f"odds{s}")).alias("price"), (-F.col("book_id")).alias("_k"), "book_id")).alias(f"best{s}")
+    got = median_consensus(at, [*MARKET, "line"], minimum)
+    return got.join(at.groupBy(*MARKET, "line").agg(best(1), best(2)), [*MARKET, "line"]).select(*MARKET, "line", "books", "consensus", "dispersion", F.col("best1.price").alias("price1"), F.col("best1.book_id").alias("book1"), F.col("best2.price").alias("price2"), F.col("best2.book_id").alias("book2"))
+
+
+def resolve_events(batch: DataFrame) -> DataFrame:
+    """State of provider ids: one identity is reused, several are all a conflict, a missing id needs review."""
+    n = batch.where("provider_id is not null").groupBy("provider_id").agg(F.count_distinct("identity").alias("identities"))
+    return batch.join(n, "provider_id", "left").withColumn("state", F.when(F.col("provider_id").isNull(), "needs_review").when(F.col("identities") > 1, "conflict").otherwise("matched"))
+
+
+def collapse_repeated_state(rows: DataFrame, key: list[str], immutable: list[str]) -> DataFrame:
+    """One row per key with its immutable columns, and whether they agreed."""
+    same = F.lit(True)
+    for c in immutable:
+        same = same & F.min(c).eqNullSafe(F.max(c)) & ((F.count(c) == 0) | (F.count(c) == F.count("*")))
+    return rows.groupBy(*key).agg(F.count("*").alias("rows"), *[F.min(c).alias(c) for c in immutable], same.alias("agrees"))
+
+
+def group_usability(pairs: DataFrame, by: list[str], minimum: int = 2) -> DataFrame:
+    """Complete and incomplete books of every group, whether it can be used, and why not."""
+    got = pairs.groupBy(*by).agg(F.count_if(F.col("reason").isNull()).alias("complete"), F.count_if(F.col("reason").isNotNull()).alias("incomplete"))
+    why = F.concat_ws(";", F.when(F.col("complete") == 0, "no_complete_book"), F.when(F.col("complete") < minimum, "too_few_books"), F.when(F.col("incomplete") > 0, "incomplete_books"))
+    return got.withColumn("usable", F.col("complete") >= minimum).withColumn("why", why)
+
+
+def coverage_by_dimensions(groups: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """The same measures over several key sets."""
+    names = list(dict.fromkeys(c for s in sets for c in s))
+    got = groups.groupingSets([[F.col(c) for c in s] for s in sets], *names).agg(F.count("*").alias("groups"), F.count_if("usable").alias("usable"), F.count_if(F.col("complete") >= 3).alias("three_books"), F.sum("complete").alias("books"))
+    return got.withColumn("usable_share", F.col("usable") / F.col("groups"))
+
+
+def approve(coverage: DataFrame, by: list[str], share: float) -> DataFrame:
+    """GO where every row of a group reaches the share, CONDITIONAL where some does, else NO-GO."""
+    ok = F.col("usable_share") >= share
+    return coverage.groupBy(*by).agg(F.when(F.bool_and(ok), "GO").when(F.bool_or(ok), "CONDITIONAL").otherwise("NO-GO").alias("verdict"), F.min("usable_share").alias("worst"))
+
+
+def freshness_state(snapshots: DataFrame, now, limit: int) -> DataFrame:
+    """Last success and attempt per source, age and state. snapshots: source, at, ok."""
+    got = snapshots.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max("at").alias("last_attempt"), F.max_by("ok", "at").alias("last_ok"))
+    age = labels.age_seconds(F.lit(now), F.col("last_success"))
+    state = F.when(F.col("last_success").isNull(), "UNAVAILABLE").when(~F.col("last_ok"), "ERROR").when(age <= limit, "FRESH").otherwise("STALE")
+    return got.withColumn("age", age).withColumn("state", state)
+
+
+def slate_summary(priced: DataFrame, day: str) -> DataFrame:
+    """Distinct market groups and books priced per slate and market."""
+    return priced.groupBy(day, "market").agg(F.count_distinct("event_id", "line").alias("groups"), F.sum("books").alias("books"))
+
+
+def threshold_sweep(returns: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Count, mean expected value and mean return of bets at or above each threshold; one pass, one array entry per threshold met."""
+    met = F.filter(F.lit(thresholds), lambda t: F.col("ev") >= t)
+    return returns.withColumn("threshold", F.explode(met)).groupBy("threshold").agg(F.count("*").alias("n"), F.avg("ev").alias("mean_ev"), F.avg("unit_return").alias("mean_return"))
+
+
+def distinct_members(quotes: DataFrame, by: list[str]) -> DataFrame:
+    return quotes.groupBy(*by).agg(F.array_sort(F.collect_set("book_id")).alias("books"), F.count_distinct("snapshot_id").alias("snapshots"))
+
+
+def merge_funnels(funnels: DataFrame, by: list[str]) -> DataFrame:
+    """Sums of counters, extremes of gauges and the row-weighted median of the median age."""
+    w = Window.partitionBy(*by).orderBy("age_p50", "id").rowsBetween(Window.unboundedPreceding, 0)
+    x = funnels.withColumn("_run", F.sum("rows").over(w)).withColumn("_all", F.sum("rows").over(Window.partitionBy(*by)))
+    return x.groupBy(*by).agg(F.sum("rows").alias("rows"), F.min("youngest").alias("youngest"), F.max("oldest").alias("oldest"), F.min(F.when(F.col("_run") * 2 >= F.col("_all"), F.col("age_p50"))).alias("age_p50"))
