@@ -137,3 +137,17 @@ def candidate_diagnostics(c: DataFrame) -> DataFrame:
         F.when(F.col("odds").between(-220, 220), F.struct(F.lit("core").alias("kind"), F.lit("-220..220").alias("value"))),
     ))
     return c.withColumn("_k", F.explode(keys)).groupBy("_k.kind", "_k.value").agg(F.count("*").alias("calculable"), F.count_if(F.col("edge") > 0).alias("positive_edge"), F.count_if(F.col("ev") > 0).alias("positive_ev"), F.count_if("qualified").alias("qualified"))
+
+
+def rank_combinations(offers: DataFrame, legs: DataFrame, minimum_ev: float = 0.02, fraction: float = 0.005) -> DataFrame:
+    """Offers of two or three recommended legs on distinct events and disjoint teams: joint probability, value, growth of a small stake, rank.
+
+    offers: offer_id, slate, odds, leg_ids (array); legs: candidate_id, event_id, home, away, fair.
+    """
+    x = offers.select("offer_id", "slate", "odds", F.size("leg_ids").alias("wanted"), F.explode("leg_ids").alias("candidate_id")).join(legs.select("candidate_id", "event_id", "home", "away", "fair"), "candidate_id")
+    got = x.groupBy("offer_id", "slate", "odds", "wanted").agg(F.count("*").alias("legs"), F.count_distinct("event_id").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("home", "away"))))).alias("teams"), F.exp(F.sum(F.ln("fair"))).alias("p"))
+    got = got.where("legs = wanted and legs between 2 and 3 and events = legs and teams = 2 * legs")
+    price = prices.american_to_decimal(F.col("odds"))
+    got = got.withColumn("ev", prices.ev_binary(F.col("p"), price)).where(F.col("ev") >= minimum_ev)
+    got = got.withColumn("growth", prices.expected_log_growth(F.col("p"), F.lit(0.0), price, F.lit(fraction)))
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("slate").orderBy(F.desc("growth"), "offer_id")))

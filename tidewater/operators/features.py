@@ -169,3 +169,12 @@ def latest_version(rows: DataFrame, key: list[str], order: list[str]) -> DataFra
     w = Window.partitionBy(*key).orderBy(*order)
     down = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("supersedes", F.lag("version").over(w)).withColumn("_rn", F.row_number().over(down)).where("_rn = 1").drop("_rn")
+
+
+def preseason_facts(roster: DataFrame, coaches: DataFrame, results: DataFrame) -> DataFrame:
+    """Per team and season: returning share of the roster, the coach's tenure, last season's mean margin, families missing. Nothing missing is filled."""
+    back = prior_year_overlap(roster.withColumn("_all", F.lit("all")), "_all").select("team", "season", "players", "returning_share")
+    run = tenure(coaches).select("team", "season", "tenure", "changed")
+    last = sides(results).withColumn("own", F.when(F.col("is_home"), F.col("margin")).otherwise(-F.col("margin"))).groupBy("team", (F.col("season") + 1).alias("season")).agg(F.avg("own").alias("last_margin"))
+    got = back.join(run, ["team", "season"], "full_outer").join(last, ["team", "season"], "full_outer")
+    return got.withColumn("missing_families", sum((F.col(c).isNull().cast("int") for c in ("players", "tenure", "last_margin")), F.lit(0)))

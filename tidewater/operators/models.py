@@ -97,3 +97,76 @@ def ridge_fold(rows: DataFrame, features: list[str], season: int, alpha: float =
         LinearRegression(featuresCol="_x", labelCol="actual", elasticNetParam=0.0, regParam=alpha * (sd or 1.0) / max(1, n), solver="normal", standardization=False),
     ]
     return Pipeline(stages=stages).fit(train).transform(test).select("game_id", "season", "actual", "prediction")
+
+
+def fold_model(rows: DataFrame, features: list[str], season: int, regressor) -> tuple:
+    """(fitted pipeline, predictions of the season): median imputation with indicators, then any Spark ML regressor on `_x`, fitted on earlier seasons."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import Imputer, StandardScaler, VarianceThresholdSelector, VectorAssembler
+
+    x = rows.select("game_id", "season", F.col("actual").cast("double").alias("actual"), *[F.col(c).cast("double").alias(c) for c in features], *[F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in features])
+    stages = [
+        Imputer(strategy="median", inputCols=features, outputCols=[f"{c}_full" for c in features]),
+        VectorAssembler(inputCols=[f"{c}_full" for c in features] + [f"{c}_missing" for c in features], outputCol="_raw"),
+        VarianceThresholdSelector(featuresCol="_raw", outputCol="_varied"),
+        StandardScaler(inputCol="_varied", outputCol="_x", withMean=True),
+        regressor,
+    ]
+    model = Pipeline(stages=stages).fit(x.where(F.col("season") < season))
+    return model, model.transform(x.where(F.col("season") == season)).select("game_id", "season", "actual", "prediction")
+
+
+def elastic_net_fold(rows: DataFrame, features: list[str], season: int, alpha: float = 0.1, mix: float = 0.5) -> DataFrame:
+    from pyspark.ml.regression import LinearRegression
+
+    return fold_model(rows, features, season, LinearRegression(featuresCol="_x", labelCol="actual", regParam=alpha, elasticNetParam=mix))[1]
+
+
+def tree_fold(rows: DataFrame, features: list[str], season: int, depth: int = 3, trees: int = 10) -> DataFrame:
+    from pyspark.ml.regression import GBTRegressor
+
+    return fold_model(rows, features, season, GBTRegressor(featuresCol="_x", labelCol="actual", maxDepth=depth, maxIter=trees, stepSize=0.1, subsamplingRate=0.8, seed=7))[1]
+
+
+def tune(rows: DataFrame, features: list[str], seasons: list[int], grid: list[float]) -> DataFrame:
+    """Mean absolute error of each penalty over the seasons, best first; the grid is a few values."""
+    parts = [ridge_fold(rows, features, s, a).select(F.lit(a).alias("alpha"), F.abs(F.col("prediction") - F.col("actual")).alias("e")) for a in grid for s in seasons]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.union(p)
+    return both.groupBy("alpha").agg(F.avg("e").alias("mae"), F.count("*").alias("n"))
+
+
+def apply_linear(rows: DataFrame, key: str, params: DataFrame) -> DataFrame:
+    """Scores of frozen parameters (feature, fill, mean, scale, weight): missing values are filled, the rest is one grouped sum.
+
+    The parameters are one row per feature.
+    """
+    names = [c for c in rows.columns if c != key]
+    cells = rows.unpivot([key], names, "feature", "value").join(params, "feature")
+    z = (F.coalesce("value", "fill") - F.col("mean")) / F.col("scale")
+    return cells.groupBy(key).agg(F.sum(z * F.col("weight")).alias("score"))
+
+
+def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
+    """rows with one column dealt anew, for permutation importance: values move along a hash order within hash parts, so no task sorts them all."""
+    part = F.pmod(F.xxhash64("game_id"), F.lit(64))
+    w = Window.partitionBy("_p")
+    x = rows.withColumn("_p", part)
+    a = x.withColumn("_i", F.row_number().over(w.orderBy(F.xxhash64("game_id", F.lit(seed)), "game_id")))
+    b = x.select("_p", F.col(column).alias("_v"), F.row_number().over(w.orderBy(F.xxhash64("game_id", F.lit(seed + 1)), "game_id")).alias("_i"))
+    return a.join(b, ["_p", "_i"]).withColumn(column, F.col("_v")).drop("_p", "_i", "_v")
+
+
+def permutation_importance(rows: DataFrame, features: list[str], season: int, regressor, seed: int = 7) -> DataFrame:
+    """Growth of the mean absolute error when a feature is shuffled; one transform per feature."""
+    model, base = fold_model(rows, features, season, regressor)
+    test = rows.where(F.col("season") == season).select("game_id", "season", F.col("actual").cast("double").alias("actual"), *[F.col(c).cast("double").alias(c) for c in features])
+    error = F.avg(F.abs(F.col("prediction") - F.col("actual")))
+    own = base.agg(error.alias("base"))
+    out = None
+    for c in features:
+        x = shuffled(test, c, seed).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features})
+        got = model.transform(x).agg(error.alias("mae")).select(F.lit(c).alias("feature"), "mae")
+        out = got if out is None else out.union(got)
+    return out.join(own).select("feature", (F.col("mae") - F.col("base")).alias("importance"))

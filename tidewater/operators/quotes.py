@@ -281,3 +281,14 @@ def merge_funnels(funnels: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("age_p50", "id").rowsBetween(Window.unboundedPreceding, 0)
     x = funnels.withColumn("_run", F.sum("rows").over(w)).withColumn("_all", F.sum("rows").over(Window.partitionBy(*by)))
     return x.groupBy(*by).agg(F.sum("rows").alias("rows"), F.min("youngest").alias("youngest"), F.max("oldest").alias("oldest"), F.min(F.when(F.col("_run") * 2 >= F.col("_all"), F.col("age_p50"))).alias("age_p50"))
+
+
+def pipeline_status(funnel: DataFrame, share: float = 0.5) -> DataFrame:
+    """ok, degraded (too few rows may be priced) or empty."""
+    return funnel.withColumn("status", F.when(F.col("rows") == 0, "empty").when(F.col("eligible") < share * F.col("rows"), "degraded").otherwise("ok"))
+
+
+def historical_coverage(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Share of usable groups, of those with two and three complete books, and nearest-rank percentiles of the books."""
+    at = lambda q: F.expr(f"percentile_disc({q}) within group (order by complete)").cast("long")
+    return groups.groupBy(*by).agg(F.count("*").alias("groups"), F.avg(F.col("usable").cast("int")).alias("usable_share"), F.avg((F.col("complete") >= 2).cast("int")).alias("two_books"), F.avg((F.col("complete") >= 3).cast("int")).alias("three_books"), at(0.5).alias("books_p50"), at(0.9).alias("books_p90"))

@@ -76,3 +76,41 @@ def build_request_plan(games: DataFrame) -> DataFrame:
     day = games.groupBy("day").agg((F.min("kickoff") - 10800).alias("at"), F.collect_list("game_id").alias("games")).select("at", F.explode("games").alias("game_id"))
     own = games.select(F.explode(F.array(F.col("kickoff") - 3600, F.col("kickoff") - 300)).alias("at"), "game_id")
     return day.unionByName(own).distinct().groupBy("at").agg(F.count("*").alias("games"), F.min("game_id").alias("first_game"))
+
+
+GAME = "struct<id:bigint,season:int,week:int,start:bigint,home:struct<id:bigint,points:int>,away:struct<id:bigint,points:int>,status:string>"
+PLAY = "struct<id:bigint,game:bigint,offense:bigint,down:int,distance:int,yards:int,clock:struct<minutes:int,seconds:int>>"
+STATS = "struct<game:bigint,teams:array<struct<team:bigint,stats:array<struct<category:string,value:string>>>>>"
+VENUE = "struct<id:bigint,name:string,zone:string,elevation:double,dome:boolean>"
+
+
+def flatten_games(raw: DataFrame, parties: DataFrame) -> DataFrame:
+    """One row per game: canonical ids of both parties (id -> party), margin and total where both scores are known, availability."""
+    g = raw.select(F.from_json("body", GAME).alias("g")).where("g.id is not null").select("g.*")
+    side = lambda n: parties.select(F.col("id").alias(f"_{n}"), F.col("party").alias(f"{n}_party"))
+    g = g.withColumn("_h", F.col("home.id")).withColumn("_a", F.col("away.id"))
+    g = g.join(side("home"), F.col("_h") == F.col("_home"), "left").join(side("away"), F.col("_a") == F.col("_away"), "left")
+    margin, total = F.col("home.points") - F.col("away.points"), F.col("home.points") + F.col("away.points")
+    return g.select(F.col("id").alias("game_id"), "season", "week", F.col("start").alias("kickoff"), "home_party", "away_party", margin.alias("margin"), total.alias("total"), (F.col("start") + 86400).alias("available_at"))
+
+
+def flatten_plays(raw: DataFrame, games: DataFrame) -> DataFrame:
+    """Plays with their clock in seconds; those of unknown games are dropped."""
+    p = raw.select(F.from_json("body", PLAY).alias("p")).where("p.id is not null").select("p.*")
+    known = games.select("game_id", "season")
+    return p.join(known, F.col("game") == F.col("game_id")).select("game_id", "season", F.col("id").alias("play_id"), "offense", "down", "distance", "yards", (F.col("clock.minutes") * 60 + F.col("clock.seconds")).alias("clock_s"))
+
+
+def flatten_drives(drives: DataFrame) -> DataFrame:
+    """Points of a drive are its end score minus its start score, null if either is."""
+    return drives.withColumn("points", F.col("end_score") - F.col("start_score"))
+
+
+def flatten_team_stats(raw: DataFrame) -> DataFrame:
+    """teams > stats to long form."""
+    t = raw.select(F.from_json("body", STATS).alias("s")).select("s.game", F.explode("s.teams").alias("t"))
+    return t.select(F.col("game").alias("game_id"), "t.team", F.explode("t.stats").alias("x")).select("game_id", "team", "x.category", "x.value")
+
+
+def flatten_venues(raw: DataFrame) -> DataFrame:
+    return raw.select(F.from_json("body", VENUE).alias("v")).select("v.*").where("id is not null")
