@@ -61,11 +61,20 @@ def test_lattice_sums_to_one(spark):
     assert got.where("game_id = 1 and k = 3").first().corrected > x.where("game_id = 1 and k = 3").first().mass
 
 
-def test_student_t_finds_heavy_tails(spark):
-    rows = spark.range(4000).select(F.lit(1).alias("g"), F.tan((F.col("id") + 0.5) / 4000 * 2.6 - 1.3).alias("r"))
-    assert dist.fit_student_t(rows, ["g"], "r").first().df <= 5
-    plain = spark.range(4000).select(F.lit(1).alias("g"), (F.col("id") / 1000 - 2).alias("r"))
-    assert dist.fit_student_t(plain, ["g"], "r").first().df == 30
+@pytest.mark.parametrize("heavy", [True, False])
+def test_student_t_agrees_with_a_loop(spark, heavy):
+    values = [math.tan((i + 0.5) / 2000 * 3.0 - 1.5) if heavy else i / 500 - 2 for i in range(2000)]
+    mean = sum(values) / len(values)
+    sd = math.sqrt(sum((x - mean) ** 2 for x in values) / len(values))
+
+    def nll(df):
+        scale = sd * math.sqrt((df - 2) / df)
+        c = math.lgamma((df + 1) / 2) - math.lgamma(df / 2) - 0.5 * math.log(df * math.pi) - math.log(scale)
+        return -sum(c - (df + 1) / 2 * math.log1p(((x - mean) / scale) ** 2 / df) for x in values) / len(values)
+
+    want = min((nll(df), df) for df in (3, 5, 8, 15, 30))
+    got = dist.fit_student_t(spark.createDataFrame([(1, x) for x in values], "g long, r double"), ["g"], "r").first()
+    assert got.df == want[1] and got.nll == pytest.approx(want[0])
 
 
 def test_push_only_on_whole_lines(spark):

@@ -11,8 +11,6 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import labels, prices
 
-SETTLED = F.col("state") != "open"
-
 
 def balances(ledger: DataFrame, bets: DataFrame) -> DataFrame:
     """Cash, reserved stakes, equity and realised profit per portfolio."""
