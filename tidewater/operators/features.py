@@ -57,9 +57,19 @@ def recent_mean(requests: DataFrame, facts: DataFrame, value: str, n: int) -> Da
 
 def season_blend(requests: DataFrame, facts: DataFrame, value: str, k: float = 3.0) -> DataFrame:
     """Season mean shrunk to the mean of the three seasons before, n / (n + k), or to the population's as-of mean without those."""
-    h = asof_history(requests, facts.select("team", "game_id", "available_at", F.col("season").alias("fact_season"), F.col(value).alias("_v")))
-    now, past = F.col("fact_season") == F.col("season"), F.col("fact_season").between(F.col("season") - 3, F.col("season") - 1)
-    m = h.groupBy("game_id", "team", "season", "as_of").agg(F.count(F.when(now, F.col("_v"))).alias("n"), F.avg(F.when(now, F.col("_v"))).alias("season_mean"), F.avg(F.when(past, F.col("_v"))).alias("prior_mean"))
+    # each request asks four (team, season) timelines for their running sums; no request meets the facts it sums
+    known = facts.where(F.col(value).isNotNull())
+    none = lambda kind: F.lit(None).cast(kind)
+    told = known.select("team", F.col("season").alias("_s"), F.col("available_at").alias("_t"), F.lit(0).alias("_k"), F.col(value).cast("double").alias("_v"), none("long").alias("game_id"), none("long").alias("season"), none("int").alias("_lag"))
+    asks = requests.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(3)))).select("team", (F.col("season") - F.col("_lag")).alias("_s"), F.col("as_of").alias("_t"), F.lit(1).alias("_k"), none("double").alias("_v"), "game_id", "season", "_lag")
+    w = Window.partitionBy("team", "_s").orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    run = told.unionByName(asks).withColumn("_n", F.count("_v").over(w)).withColumn("_sum", F.coalesce(F.sum("_v").over(w), F.lit(0.0))).where("_k = 1")
+    now, past = F.col("_lag") == 0, F.col("_lag") > 0
+    m = run.groupBy("game_id", "team", "season", F.col("_t").alias("as_of")).agg(*[F.sum(F.when(c, F.col(x))).alias(y) for c, x, y in ((now, "_n", "n"), (now, "_sum", "s"), (past, "_n", "pn"), (past, "_sum", "ps"))])
+    own = known.select("game_id", "team", F.col("available_at").alias("_own_at"), F.col(value).alias("_own"))  # a request never sees its own game
+    m = m.join(own, ["game_id", "team"], "left").withColumn("_seen", F.coalesce(F.col("_own_at") <= F.col("as_of"), F.lit(False)))
+    m = m.withColumn("n", F.col("n") - F.col("_seen").cast("int")).withColumn("s", F.col("s") - F.when(F.col("_seen"), F.col("_own")).otherwise(0.0))
+    m = m.select("game_id", "team", "season", "as_of", "n", F.try_divide("s", "n").alias("season_mean"), F.try_divide("ps", "pn").alias("prior_mean"))
     pop = population_asof_mean(requests.select("as_of").distinct(), facts, value)
     got = requests.join(m, ["game_id", "team", "season", "as_of"], "left").join(pop, "as_of", "left")
     prior, n = F.coalesce("prior_mean", "population_mean"), F.coalesce(F.col("n"), F.lit(0))
