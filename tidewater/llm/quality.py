@@ -127,13 +127,14 @@ def fit(stats: DataFrame, labelled: DataFrame, features: int = FEATURES, most: i
     n = labelled.count()
     if n > most:
         labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
-    data = cut(stats.join(labelled, "id").repartition(SUMS), "labelled")  # bounded by `most` rows
+    # bounded by `most` rows; in an order of their own, so that reruns sum alike
+    data = cut(stats.join(labelled, "id").repartition(SUMS, "id").sortWithinPartitions("id", "x"), "labelled")
     tune, hold = data.where("fold <> 4"), data.where("fold = 4")
     size = len(NAMES)
     sums = tune.agg(F.count("*"), *[F.avg(F.col("x")[i]) for i in range(size)], *[F.stddev_pop(F.col("x")[i]) for i in range(size)]).first()
     if not sums[0]:
         return Model(np.zeros(size), np.ones(size), features)
-    model = Model(np.array(sums[1 : size + 1], float), np.array(sums[size + 1 :], float), features)
+    model = Model(np.round(np.array(sums[1 : size + 1], float), 9), np.round(np.array(sums[size + 1 :], float), 9), features)
 
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((features + 1, features + 2))
@@ -192,7 +193,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], ["id", "score"])
 
     got = stats.mapInArrow(run, "id long, score double")
     held = F.when(F.col("id") == NULL_ID, False).otherwise(fold(F.col("id")) == 0)
