@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidewater.plans import fourth, more, third  # noqa: F401
+from tidewater.plans import fifth, fourth, more, third  # noqa: F401
 from tidewater.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()

@@ -53,9 +53,19 @@ VIEWS = {
     "coaches": """
         SELECT CAST(c_custkey AS BIGINT) AS team, CAST(season AS BIGINT) AS season, CAST((c_custkey + CAST(floor((season - 1995) / 3e0) AS BIGINT) * (c_custkey % 4)) % 9 AS BIGINT) AS coach
         FROM {customer} CROSS JOIN (SELECT 1995 AS season UNION ALL SELECT 1996 UNION ALL SELECT 1997 UNION ALL SELECT 1998 UNION ALL SELECT 1999 UNION ALL SELECT 2000) AS y WHERE (c_custkey + season) % 7 <> 0""",
+    "squad": "SELECT team, player, season, CASE (player + CASE WHEN player % 7 = 0 THEN season ELSE 0 END) % 6 WHEN 0 THEN 'QB' WHEN 1 THEN 'WR' WHEN 2 THEN 'OT' WHEN 3 THEN 'LB' WHEN 4 THEN 'K' END AS position FROM {roster} AS r",
+    "portal": """
+        SELECT c_custkey AS player, CAST(1995 + c_custkey % 5 AS BIGINT) AS season, CAST(788918400 + (c_custkey % 5) * 31557600 + (c_nationkey - 12) * 86400 AS BIGINT) AS moved_at, CAST(c_custkey % 130 AS BIGINT) AS origin,
+               CAST((c_custkey * 7 + 3) % 130 AS BIGINT) AS destination, CASE c_custkey % 6 WHEN 0 THEN 'QB' WHEN 1 THEN 'WR' WHEN 2 THEN 'OT' WHEN 3 THEN 'LB' WHEN 4 THEN 'K' END AS position, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) / 1000 END AS rating FROM {customer}""",
+    "passing": """
+        SELECT CAST(o_custkey % 130 AS BIGINT) AS team, CAST(extract(YEAR FROM o_orderdate) AS BIGINT) AS season, o_custkey AS player, stat_type, CAST(sum(CASE WHEN stat_type = 'ATT' THEN 1 ELSE floor(o_totalprice / 1000) END) AS DOUBLE) AS stat
+        FROM {orders} CROSS JOIN (SELECT 'ATT' AS stat_type UNION ALL SELECT 'YDS') AS k GROUP BY o_custkey, extract(YEAR FROM o_orderdate), stat_type""",
+    "team_context": """
+        SELECT CAST(c_custkey % 130 AS BIGINT) AS team, CAST(1995 + c_nationkey % 5 AS BIGINT) AS season, max(CAST(c_acctbal AS DOUBLE)) / 10000 AS percent_ppa, min(CAST(c_acctbal AS DOUBLE)) / 10000 AS usage, count(*) AS rank, max(CAST(c_acctbal AS DOUBLE)) AS points,
+               min(CAST(c_acctbal AS DOUBLE)) AS talent FROM {customer} GROUP BY c_custkey % 130, c_nationkey % 5""",
 }
 #: Views and tables that each view reads.
-NEEDS = {"quotes": ["lineitem"], "games": ["orders"], "plays": ["lineitem", "games"], "drives": ["plays"], "predictions": ["games"], "probabilities": ["games"], "bets": ["orders"], "ledger": ["bets"], "roster": ["customer"], "coaches": ["customer"]}
+NEEDS = {"quotes": ["lineitem"], "games": ["orders"], "plays": ["lineitem", "games"], "drives": ["plays"], "predictions": ["games"], "probabilities": ["games"], "bets": ["orders"], "ledger": ["bets"], "roster": ["customer"], "coaches": ["customer"], "squad": ["roster"], "portal": ["customer"], "passing": ["orders"], "team_context": ["customer"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
