@@ -253,9 +253,10 @@ def approve(coverage: DataFrame, by: list[str], share: float) -> DataFrame:
     return coverage.groupBy(*by).agg(F.when(F.bool_and(ok), "GO").when(F.bool_or(ok), "CONDITIONAL").otherwise("NO-GO").alias("verdict"), F.min("usable_share").alias("worst"))
 
 
-def freshness_state(snapshots: DataFrame, now, limit: int) -> DataFrame:
-    """Last success and attempt per source, age and state. snapshots: source, at, ok."""
-    got = snapshots.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max("at").alias("last_attempt"), F.max_by("ok", "at").alias("last_ok"))
+def freshness_state(snapshots: DataFrame, now, limit: int, tie: str | None = None) -> DataFrame:
+    """Last success and attempt per source, age and state. snapshots: source, at, ok; of attempts at one time the largest `tie` is the last."""
+    latest = F.struct("at", tie) if tie else F.col("at")
+    got = snapshots.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("at"))).alias("last_success"), F.max("at").alias("last_attempt"), F.max_by("ok", latest).alias("last_ok"))
     age = labels.age_seconds(F.lit(now), F.col("last_success"))
     state = F.when(F.col("last_success").isNull(), "UNAVAILABLE").when(~F.col("last_ok"), "ERROR").when(age <= limit, "FRESH").otherwise("STALE")
     return got.withColumn("age", age).withColumn("state", state)
@@ -292,3 +293,9 @@ def historical_coverage(groups: DataFrame, by: list[str]) -> DataFrame:
     """Share of usable groups, of those with two and three complete books, and nearest-rank percentiles of the books."""
     at = lambda q: F.expr(f"percentile_disc({q}) within group (order by complete)").cast("long")
     return groups.groupBy(*by).agg(F.count("*").alias("groups"), F.avg(F.col("usable").cast("int")).alias("usable_share"), F.avg((F.col("complete") >= 2).cast("int")).alias("two_books"), F.avg((F.col("complete") >= 3).cast("int")).alias("three_books"), at(0.5).alias("books_p50"), at(0.9).alias("books_p90"))
+
+
+def reason_frequency(groups: DataFrame, by: list[str], reasons: str = "why", sep: str = ";") -> DataFrame:
+    """How often each reason stands in a joined list of reasons; rows without one add nothing."""
+    each = groups.select(*by, F.explode(F.split(reasons, sep)).alias("reason")).where("reason <> ''")
+    return each.groupBy(*by, "reason").agg(F.count("*").alias("n"))

@@ -27,6 +27,11 @@ def _(v):
     return rounded(quotes.historical_coverage(usable(v), ["market", "league"]), "usable_share", "two_books", "three_books")
 
 
+@query("a10_reason_frequencies", f"{ASOF}, {PAIRS}, {USABLE} " + " UNION ALL ".join(f"SELECT market, '{r}' AS reason, count(*) AS n FROM us WHERE {c} GROUP BY market" for r, c in (("no_complete_book", "complete = 0"), ("too_few_books", "complete < 2"), ("incomplete_books", "incomplete > 0"))), ("quotes",))
+def _(v):
+    return quotes.reason_frequency(usable(v), ["market"])
+
+
 @query("a16_merge_funnels", ", f AS (SELECT book_id AS id, market, count(*) AS rows, min(requested - observed) AS youngest, max(requested - observed) AS oldest, quantile_disc(requested - observed, 0.5) AS age_p50 FROM quotes GROUP BY ALL), r AS (SELECT *, sum(rows) OVER (PARTITION BY market ORDER BY age_p50, id ROWS UNBOUNDED PRECEDING) AS run, sum(rows) OVER (PARTITION BY market) AS al FROM f) SELECT market, CAST(sum(rows) AS BIGINT) AS rows, min(youngest) AS youngest, max(oldest) AS oldest, min(age_p50) FILTER (run * 2 >= al) AS age_p50 FROM r GROUP BY market", ("quotes",))
 def _(v):
     age = F.col("requested") - F.col("observed")

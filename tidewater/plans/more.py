@@ -123,10 +123,8 @@ def _(v):
 
 @query("a15_freshness_state", """SELECT event_type AS source, CAST(max(epoch(ts)) FILTER (event_id % 3 <> 0) AS DOUBLE) - CAST(max(epoch(ts)) FILTER (event_id % 3 <> 0) AS DOUBLE) AS zero, CASE WHEN max((ts, event_id))[2] % 3 = 0 THEN 'ERROR' WHEN greatest(0, 1706572800 - floor(max(epoch(ts)) FILTER (event_id % 3 <> 0))) <= 3600 THEN 'FRESH' ELSE 'STALE' END AS state FROM events GROUP BY event_type""")
 def _(v):
-    e = v("events").select(F.col("event_type").alias("source"), F.struct("ts", "event_id").alias("at0"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 3 != 0).alias("ok"), "event_id")
-    got = e.groupBy("source").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_success"), F.max_by("ok", "at0").alias("last_ok"))
-    age = labels.age_seconds(F.lit(1706572800), F.col("last_success"))
-    return got.select("source", F.lit(0.0).alias("zero"), F.when(~F.col("last_ok"), "ERROR").when(age <= 3600, "FRESH").otherwise("STALE").alias("state"))
+    e = v("events").select(F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") % 3 != 0).alias("ok"), "event_id")
+    return quotes.freshness_state(e, 1706572800, 3600, "event_id").select("source", F.lit(0.0).alias("zero"), "state")
 
 
 @query("a18_slate_summary", f"{ASOF}, {PAIRS}, {CONS}, {BEST}, {PRICED} SELECT start, market, count(DISTINCT (event_id, coalesce(line, -999))) - CASE WHEN market = 0 THEN count(DISTINCT event_id) ELSE 0 END AS groups, CAST(sum(books) AS BIGINT) AS books FROM x GROUP BY start, market", ("quotes",))
