@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import labels, prices
 from tidewater.operators import exposure, features, models, quotes
+from tidewater.sources import snapshots
 
 SCHEMA = "event_id long, book_id long, market long, side long, snapshot_id long, requested long, observed long, ingested long, point double, odds long, start long, league long, status string, book_active boolean, matched boolean"
 
@@ -82,9 +83,74 @@ def test_ratings_predict_before_they_update(spark):
     assert got[3] == pytest.approx(2 * step * 0.65 + 2.5)
 
 
+CANDIDATE = "candidate_id string, slate long, event_id long, market long, side long, home long, away long, fair double, worst double, push double, price double, odds long, edge double, ev double, books long, dispersion double, integrity int, age long, start long"
+
+
+def candidate(name, event=1, market=0, side=1, home=10, away=20, fair=0.55, worst=0.53, price=2.0, odds=100, books=4, dispersion=0.01, integrity=0, age=10, start=9000, slate=1, push=0.0):
+    return (name, slate, event, market, side, home, away, fair, worst, push, price, odds, fair - 1 / price, fair * price - 1, books, dispersion, integrity, age, start)
+
+
+def board(spark, rows, exposed=(), held=(), equity=1000.0, cash=1000.0):
+    c = exposure.kelly_allocation(exposure.evaluate_candidates(spark.createDataFrame(rows, CANDIDATE)).where("qualified"))
+    c = exposure.mark_opposed(c, spark.createDataFrame(list(held), "event_id long, market long, side long"))
+    used = spark.createDataFrame(list(exposed), "kind string, value string, fraction double")
+    return exposure.rank_candidates(exposure.rank_with_caps(c, used, equity, cash), ["slate"])
+
+
+def test_qualification_rules(spark):
+    rows = [candidate("ok"), candidate("thin", books=1), candidate("wide", dispersion=0.07), candidate("unknown", dispersion=None), candidate("old", age=121), candidate("future", age=-1), candidate("edge", fair=0.507), candidate("long", fair=0.2, price=6.01, odds=501)]
+    got = {r.candidate_id: (r.reasons, r["class"], r.multiplier) for r in exposure.evaluate_candidates(spark.createDataFrame(rows, CANDIDATE)).collect()}
+    assert got["ok"] == ([], "CORE", 1.0)
+    assert {k: v[0] for k, v in got.items() if k != "ok"} == {
+        "thin": ["insufficient_book_depth"], "wide": ["excessive_or_unknown_dispersion"], "unknown": ["excessive_or_unknown_dispersion"], "old": ["stale_or_future_fair_value"], "future": ["stale_or_future_fair_value"],
+        "edge": ["below_minimum_edge", "below_minimum_ev"], "long": ["outside_main_board_odds_profile"],
+    }
+    assert got["unknown"][2] == 0.6 and got["wide"][2] == 0.4
+
+
+def test_caps_leave_the_least_room(spark):
+    exposed = [("slate", "1", 0.07), ("game", "2", 0.035), ("team", "30", 0.048), ("market", "5", 0.049)]
+    rows = [candidate("a", slate=2), candidate("b", slate=1), candidate("c", event=2, slate=2), candidate("d", away=30, slate=2), candidate("e", market=5, slate=2), candidate("f", fair=0.51, worst=0.5, slate=2)]
+    got = {r.candidate_id: r for r in board(spark, rows, exposed).collect()}
+    assert {k: round(r.fraction, 9) for k, r in got.items()} == {"a": 0.02, "b": 0.01, "c": 0.005, "d": 0.002, "e": 0.001, "f": 0.003}
+    assert got["a"].growth > got["a"].worst_growth > 0
+    assert all(r.fraction == 0 and r.growth == 0 for r in board(spark, rows, equity=0.0).collect())
+    assert {r.fraction for r in board(spark, rows[:1], cash=3.0).collect()} == {0.003}
+    broken = {r.candidate_id: r.violations for r in exposure.check_caps(board(spark, rows, exposed, [(1, 0, 2)])).collect()}
+    assert broken["c"] == ["bet_cap", "game_cap", "correlated_cap"] and broken["b"] == ["bet_cap", "daily_cap", "opposing_position"] and broken["e"] == ["bet_cap", "market_cap"]
+
+
+def test_rank_is_led_by_the_worst_book(spark):
+    rows = [candidate("x", worst=0.50), candidate("y", event=2, worst=0.54), candidate("z", event=3, worst=0.54, integrity=1), candidate("w", event=4, worst=0.54, books=9)]
+    got = {r.candidate_id: r["rank"] for r in board(spark, rows).collect()}
+    assert got == {"w": 1, "y": 2, "z": 3, "x": 4}
+
+
 def test_allocation_obeys_caps(spark):
-    rows = [(1, f"c{i}", i // 3, 0, 1 + i % 2, i, i + 100, 0.02, i + 1) for i in range(12)]
-    c = spark.createDataFrame(rows, "slate long, candidate_id string, event_id long, market long, side long, home long, away long, fraction double, rank int")
-    got = {r.candidate_id: (round(r.stake, 6), r.blocker) for r in exposure.allocate(c).collect()}
-    assert got["c0"] == (0.02, None) and got["c1"][1] == "opposing_position" and got["c2"] == (0.01, None) and got["c3"] == (0.02, None)
-    assert sum(s for s, _ in got.values()) <= 0.06 + 1e-9
+    rows = [candidate("a"), candidate("b", side=2), candidate("c", event=2, home=10, away=21, fair=0.549), candidate("d", event=3, home=10, away=22, fair=0.548), candidate("e", event=4, market=1, home=40, away=41, fair=0.547), candidate("g", event=5, market=3, home=50, away=51, fair=0.546)]
+    kept = {r.candidate_id: (round(r.stake, 2), r.blocker) for r in exposure.allocate(board(spark, rows, held=[(4, 1, 2)]), 1000.0, 1000.0).collect()}
+    assert kept["a"] == (20.0, None) and kept["b"] == (0.0, "opposing_position") and kept["e"] == (0.0, "opposing_position")
+    assert kept["c"] == (20.0, None) and kept["d"] == (10.0, None) and kept["g"] == (20.0, None)
+    few = exposure.allocate(board(spark, rows), 1000.0, 1000.0, exposure.POLICY | {"top_n": 1}).collect()
+    assert sorted(r.blocker or "" for r in few) == ["", *["top_n_reached"] * 5]
+    assert {r.blocker for r in exposure.allocate(board(spark, rows), 40.0, 40.0).collect()} == {"below_minimum_stake"}
+    assert {r.blocker for r in exposure.allocate(board(spark, rows), 1000.0, 1000.0, state="PAUSED").collect()} == {"portfolio_paused"}
+
+
+def test_watchlist_leaves_out_started_and_far_rows(spark):
+    rows = [candidate("near", age=150), candidate("far", age=190), candidate("started", age=150, start=50), candidate("good"), candidate("long", fair=0.2, price=6.01, odds=501)]
+    got = exposure.watchlist(exposure.evaluate_candidates(spark.createDataFrame(rows, CANDIDATE)), as_of=100).collect()
+    assert [(r.candidate_id, r.primary_blocker, r.distance) for r in got] == [("near", "stale_or_future_fair_value", 0.25)]
+
+
+def test_combinations(spark):
+    legs = spark.createDataFrame([("a", 1, 10, 20, 0.6), ("b", 2, 30, 40, 0.55), ("c", 3, 10, 50, 0.6), ("d", 1, 60, 70, 0.9)], "candidate_id string, event_id long, home long, away long, fair double")
+    offers = spark.createDataFrame([("o1", 1, 260, ["a", "b"]), ("o2", 1, 300, ["b", "c"]), ("same_team", 1, 300, ["a", "c"]), ("same_event", 1, 300, ["a", "d"]), ("poor", 1, 210, ["a", "b"]), ("unknown", 1, 300, ["a", "z"]), ("single", 1, 300, ["a"])], "offer_id string, slate long, odds long, leg_ids array<string>")
+    got = exposure.rank_combinations(offers, legs).orderBy("rank").collect()
+    assert [r.offer_id for r in got] == ["o2", "o1"] and all(r.fraction == 0.005 and r.score == pytest.approx(0.75 * r.growth) for r in got)
+
+
+def test_credential_keys_at_any_depth(spark):
+    bodies = ['{"id": 1, "books": []}', '{"id": 1, "x": {"Api-Key" : "s"}}', '{"id": 1, "x": [{"TOKEN": 1}]}', '{"id": 1, "x": "token"}', '{"id": 1, "tokens": 2}']
+    raw = spark.createDataFrame(list(enumerate(bodies)), "snapshot_id long, body string")
+    assert sorted(r.snapshot_id for r in snapshots.scan_credential_keys(raw).collect()) == [1, 2]

@@ -1,10 +1,14 @@
 """Qualification, sizing, ranking and allocation of priced candidates.
 
-candidates: candidate_id, event_id, market, side, home, away, fair, push, price, odds, edge, ev, books, dispersion, age, start, slate.
+candidates: candidate_id, event_id, market, side, home, away, fair, worst (the lowest probability that a contributing
+book gives), push, price, odds, edge, ev, books, dispersion, integrity (0 no outlying book, 1 one of them, 2 the best
+price's own), age, start, slate. Caps, exposures and stakes are shares of equity until `allocate` turns them into money.
 """
 
 from __future__ import annotations
 
+from math import floor
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,9 +16,11 @@ from pyspark.sql.window import Window
 
 from tidewater.functions import labels, prices
 
+#: Fixed values of the qualification and risk rules.
 POLICY = {
-    "minimum_books": 3, "maximum_dispersion": 0.06, "maximum_age": 900, "minimum_edge": 0.01, "minimum_ev": 0.02, "maximum_odds": 500, "core_ev": 0.04, "core_edge": 0.02, "kelly": 0.25, "opportunistic": 0.5, "reduced": 0.5,
-    "core_bet": 0.02, "other_bet": 0.01, "daily": 0.1, "game": 0.03, "team": 0.04, "market": 0.06, "minimum_stake": 0.001, "top_n": 5,
+    "minimum_books": 2, "maximum_dispersion": 0.06, "maximum_age": 120, "minimum_edge": 0.0075, "minimum_ev": 0.015, "maximum_odds": 500, "core_ev": 0.03, "core_edge": 0.015, "outlier": 0.03,
+    "kelly": 0.25, "opportunistic": 0.6, "reduced": 0.5, "core_bet": 0.02, "other_bet": 0.01, "daily": 0.08, "game": 0.04, "team": 0.05, "market": 0.05, "correlated": 0.04,
+    "minimum_stake": 1.0, "maximum_stake": 50.0, "top_n": 5,
 }
 
 
@@ -31,7 +37,7 @@ def evaluate_candidates(c: DataFrame, policy: dict = POLICY) -> DataFrame:
         "outside_main_board_odds_profile": col("odds") > policy["maximum_odds"],
     }
     got = c.withColumn("reasons", F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()])))
-    doubt = labels.uncertainty_label(col("dispersion"), policy["maximum_dispersion"])
+    doubt = labels.uncertainty_label(col("dispersion"), policy["outlier"])
     core = (col("ev") >= policy["core_ev"]) & (col("edge") >= policy["core_edge"]) & (doubt != "high")
     got = got.withColumn("qualified", F.size("reasons") == 0)
     multiplier = F.when(doubt == "low", 1.0).when(doubt == "moderate", 0.75).when(doubt == "high", 0.4).otherwise(0.6)
@@ -48,56 +54,91 @@ def kelly_allocation(c: DataFrame, policy: dict = POLICY, state: str = "NORMAL")
     return c.withColumn("raw_kelly", raw).withColumn("adjusted_kelly", raw * policy["kelly"] * factor)
 
 
-def rank_with_caps(c: DataFrame, exposed: DataFrame, policy: dict = POLICY) -> DataFrame:
-    """Stake fraction under what open exposures (kind, value, fraction) leave of each cap, and its expected log growth."""
+def rank_with_caps(c: DataFrame, exposed: DataFrame, equity: float, cash: float, policy: dict = POLICY) -> DataFrame:
+    """Stake fraction under the eight caps, and its expected log growth at the fair and at the worst book's probability.
+
+    exposed (kind, value, fraction) holds open exposure by slate, game, team and market. What each cap leaves comes
+    back too, as left_daily, left_game, left_team, left_market and left_correlated. Without equity nothing is staked.
+    """
     got = c
-    for kind, key in (("game", "event_id"), ("team", "home"), ("team", "away"), ("market", "market")):
+    for kind, key in (("slate", "slate"), ("game", "event_id"), ("team", "home"), ("team", "away"), ("market", "market")):
         own = exposed.where(F.col("kind") == kind).select(F.col("value").alias("_v"), F.col("fraction").alias(f"_{key}"))
         got = got.join(own, F.col(key).cast("string") == F.col("_v"), "left").drop("_v")
-    left = lambda cap, key: F.lit(policy[cap]) - F.coalesce(F.col(f"_{key}"), F.lit(0.0))
-    bet = F.when(F.col("class") == "CORE", policy["core_bet"]).otherwise(policy["other_bet"])
-    fraction = F.greatest(F.lit(0.0), F.least(F.col("adjusted_kelly"), bet, left("game", "event_id"), left("team", "home"), left("team", "away"), left("market", "market")))
-    got = got.withColumn("fraction", fraction).drop("_event_id", "_home", "_away", "_market")
-    return got.withColumn("growth", prices.expected_log_growth(F.col("fair"), F.col("push"), F.col("price"), F.col("fraction")))
+    used = lambda key: F.coalesce(F.col(f"_{key}"), F.lit(0.0))
+    got = got.withColumns({
+        "left_daily": policy["daily"] - used("slate"), "left_game": policy["game"] - used("event_id"), "left_team": policy["team"] - F.greatest(used("home"), used("away")),
+        "left_market": policy["market"] - used("market"), "left_correlated": policy["correlated"] - used("event_id"), "left_bet": per_bet(equity, policy),
+    })
+    room = F.least("adjusted_kelly", "left_bet", F.lit(cash / equity if equity > 0 else 0.0), *[f"left_{x}" for x in ("daily", "game", "team", "market", "correlated")])
+    got = got.withColumn("fraction", F.greatest(F.lit(0.0), room)).drop("_slate", "_event_id", "_home", "_away", "_market")
+    growth = lambda p: prices.expected_log_growth(p, F.col("push"), F.col("price"), F.col("fraction"))
+    return got.withColumns({"growth": growth(F.col("fair")), "worst_growth": growth(F.least(F.col("worst"), 1 - F.col("push")))})
 
 
-RANK = ["growth", "fraction", "books", "dispersion", "ev", "edge", "start", "candidate_id"]
+def per_bet(equity: float, policy: dict = POLICY) -> Column:
+    """The most that one bet may stake, by its class and by the fixed maximum."""
+    by_class = F.when(F.col("class") == "CORE", policy["core_bet"]).otherwise(policy["other_bet"])
+    return F.least(by_class, F.lit(policy["maximum_stake"] / equity if equity > 0 else 0.0))
 
 
 def rank_candidates(c: DataFrame, by: list[str]) -> DataFrame:
-    down = {"growth", "fraction", "books", "ev", "edge"}
-    return c.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(x) if x in down else F.asc(x) for x in RANK])))
+    """Rank by eleven keys, led by the growth at the worst book's probability; growths are compared at twelve places."""
+    keys = [
+        F.desc(F.round("worst_growth", 12)), F.desc(F.round("growth", 12)), F.desc(F.round("fraction", 12)), F.asc("integrity"), F.desc("books"), F.asc("dispersion"),
+        F.asc(F.round(F.abs(1 / F.col("price") - 0.5), 12)), F.desc("ev"), F.desc("edge"), F.asc("start"), F.asc("candidate_id"),
+    ]
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*keys)))
+
+
+def mark_opposed(c: DataFrame, held: DataFrame) -> DataFrame:
+    """Whether a position on the other side of the same event and market is held (event_id, market, side)."""
+    sides = held.groupBy("event_id", "market").agg(F.min("side").alias("_low"), F.max("side").alias("_high"))
+    got = c.join(sides, ["event_id", "market"], "left")
+    return got.withColumn("opposed", F.coalesce((F.col("_low") != F.col("side")) | (F.col("_high") != F.col("side")), F.lit(False))).drop("_low", "_high")
 
 
-def allocate(ranked: DataFrame, policy: dict = POLICY) -> DataFrame:
-    """Stakes in rank order per slate: opposing sides, what earlier picks leave of the caps, a least stake, at most top_n.
+def check_caps(c: DataFrame, asked: str = "adjusted_kelly") -> DataFrame:
+    """violations: every cap that the asked share would break, and opposing positions."""
+    rules = {f"{x}_cap": F.col(asked) > F.col(f"left_{x}") for x in ("bet", "daily", "game", "correlated", "market", "team")} | {"opposing_position": F.col("opposed")}
+    return c.withColumn("violations", F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in rules.items()])))
+
+
+def allocate(ranked: DataFrame, equity: float, cash: float, policy: dict = POLICY, state: str = "NORMAL") -> DataFrame:
+    """Stakes in money, rounded down to cents, in rank order per slate: opposing sides, caps after open exposure and earlier picks, a least stake, at most top_n.
 
     Later picks depend on earlier stakes, so a slate is one group; a slate is a day's board, and slates run in parallel.
+    A paused portfolio stakes nothing.
     """
 
     def slate(df: pd.DataFrame) -> pd.DataFrame:
         game, team, market, total, taken, out = {}, {}, {}, 0.0, {}, []
+        n = 0
         for r in df.sort_values("rank").itertuples(index=False):
             key = (r.event_id, r.market)
-            cap = min(r.fraction, policy["daily"] - total, policy["game"] - game.get(r.event_id, 0.0), *(policy["team"] - team.get(t, 0.0) for t in (r.home, r.away)), policy["market"] - market.get(r.market, 0.0))
-            if len(taken) >= policy["top_n"]:
+            of_game, of_team = game.get(r.event_id, 0.0), max(team.get(t, 0.0) for t in (r.home, r.away))
+            caps = (r.left_daily * equity - total, min(r.left_game, r.left_correlated) * equity - of_game, r.left_team * equity - of_team, r.left_market * equity - market.get(r.market, 0.0))
+            stake = floor(max(0.0, min(r.adjusted_kelly * equity, r.left_bet * equity, cash - total, *caps)) * 100 + 1e-9) / 100
+            if state == "PAUSED":
+                blocker = "portfolio_paused"
+            elif n >= policy["top_n"]:
                 blocker = "top_n_reached"
-            elif key in taken and taken[key] != r.side:
+            elif r.opposed or taken.get(key, {r.side}) != {r.side}:
                 blocker = "opposing_position"
-            elif cap < policy["minimum_stake"]:
+            elif stake < policy["minimum_stake"]:
                 blocker = "below_minimum_stake"
             else:
                 blocker = None
-                taken[key] = r.side
-                total += cap
-                game[r.event_id] = game.get(r.event_id, 0.0) + cap
-                market[r.market] = market.get(r.market, 0.0) + cap
-                for t in (r.home, r.away):
-                    team[t] = team.get(t, 0.0) + cap
-            out.append((r.slate, r.candidate_id, r.rank, cap if blocker is None else 0.0, blocker))
+                n += 1
+                taken.setdefault(key, set()).add(r.side)
+                total += stake
+                game[r.event_id] = of_game + stake
+                market[r.market] = market.get(r.market, 0.0) + stake
+                for t in {r.home, r.away}:
+                    team[t] = team.get(t, 0.0) + stake
+            out.append((r.slate, r.candidate_id, r.rank, stake if blocker is None else 0.0, blocker))
         return pd.DataFrame(out, columns=["slate", "candidate_id", "rank", "stake", "blocker"])
 
-    cols = ranked.select("slate", "candidate_id", "event_id", "market", "side", "home", "away", "fraction", "rank")
+    cols = ranked.select("slate", "candidate_id", "event_id", "market", "side", "home", "away", "adjusted_kelly", "left_bet", "left_daily", "left_game", "left_correlated", "left_team", "left_market", "opposed", "rank")
     return cols.groupBy("slate").applyInPandas(slate, "slate long, candidate_id string, rank int, stake double, blocker string")
 
 
@@ -107,15 +148,16 @@ def distances(policy: dict = POLICY) -> Column:
     far = {
         "below_minimum_ev": short("ev", policy["minimum_ev"]), "below_minimum_edge": short("edge", policy["minimum_edge"]),
         "insufficient_book_depth": (policy["minimum_books"] - F.col("books")) / policy["minimum_books"],
-        "excessive_or_unknown_dispersion": F.greatest(F.lit(0.0), (F.col("dispersion") - policy["maximum_dispersion"]) / policy["maximum_dispersion"]),
+        "excessive_or_unknown_dispersion": F.when(F.col("dispersion").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), (F.col("dispersion") - policy["maximum_dispersion"]) / policy["maximum_dispersion"])),
         "stale_or_future_fair_value": F.abs(F.col("age") - policy["maximum_age"]) / policy["maximum_age"],
     }
     value = lambda r: F.coalesce(*[F.when(r == k, v) for k, v in far.items()], F.lit(1.0))
     return F.transform("reasons", lambda r: F.struct(value(r).alias("distance"), r.alias("reason")))
 
 
-def watchlist(c: DataFrame, policy: dict = POLICY, gates: int = 2, total: float = 0.75, single: float = 0.5) -> DataFrame:
-    """Near misses with positive edge and value: at most `gates` failed rules, near their thresholds; ranked."""
+def watchlist(c: DataFrame, policy: dict = POLICY, gates: int = 2, total: float = 0.75, single: float = 0.5, as_of=None) -> DataFrame:
+    """Near misses with positive edge and value that have not started: at most `gates` failed rules, near their thresholds; ranked."""
+    c = c if as_of is None else c.where(F.col("start") > as_of)
     x = c.where((~F.col("qualified")) & (F.col("edge") > 0) & (F.col("ev") > 0)).withColumn("_d", distances(policy))
     x = x.withColumn("distance", F.aggregate("_d", F.lit(0.0), lambda a, d: a + d["distance"])).withColumn("_top", F.array_max("_d"))
     x = x.where((F.size("reasons") <= gates) & (F.col("distance") <= total) & (F.col("_top.distance") <= single)).withColumn("primary_blocker", F.col("_top.reason"))
@@ -139,15 +181,24 @@ def candidate_diagnostics(c: DataFrame) -> DataFrame:
     return c.withColumn("_k", F.explode(keys)).groupBy("_k.kind", "_k.value").agg(F.count("*").alias("calculable"), F.count_if(F.col("edge") > 0).alias("positive_edge"), F.count_if(F.col("ev") > 0).alias("positive_ev"), F.count_if("qualified").alias("qualified"))
 
 
-def rank_combinations(offers: DataFrame, legs: DataFrame, minimum_ev: float = 0.02, fraction: float = 0.005) -> DataFrame:
-    """Offers of two or three recommended legs on distinct events and disjoint teams: joint probability, value, growth of a small stake, rank.
+#: Fixed values of the combination rules.
+COMBINED = {"minimum_ev": 0.05, "kelly": 0.1, "maximum": 0.005, "duplicate": 0.25}
+
+
+def rank_combinations(offers: DataFrame, legs: DataFrame, policy: dict = COMBINED) -> DataFrame:
+    """Offers of two or three recommended legs on distinct events and disjoint teams: joint probability, value, stake fraction, growth, score, rank.
 
-    offers: offer_id, slate, odds, leg_ids (array); legs: candidate_id, event_id, home, away, fair.
+    offers: offer_id, slate, odds, leg_ids (array); legs: candidate_id, event_id, home, away, fair. Every leg is
+    recommended by itself too, so the score takes the whole penalty for exposure that is held twice.
     """
     x = offers.select("offer_id", "slate", "odds", F.size("leg_ids").alias("wanted"), F.explode("leg_ids").alias("candidate_id")).join(legs.select("candidate_id", "event_id", "home", "away", "fair"), "candidate_id")
-    got = x.groupBy("offer_id", "slate", "odds", "wanted").agg(F.count("*").alias("legs"), F.count_distinct("event_id").alias("events"), F.size(F.array_distinct(F.flatten(F.collect_list(F.array("home", "away"))))).alias("teams"), F.exp(F.sum(F.ln("fair"))).alias("p"))
+    teams = F.size(F.array_distinct(F.flatten(F.collect_list(F.array("home", "away"))))).alias("teams")
+    got = x.groupBy("offer_id", "slate", "odds", "wanted").agg(F.count("*").alias("legs"), F.count_distinct("event_id").alias("events"), teams, F.exp(F.sum(F.ln("fair"))).alias("p"), F.min("fair").alias("least"), F.sum("fair").alias("total"))
     got = got.where("legs = wanted and legs between 2 and 3 and events = legs and teams = 2 * legs")
     price = prices.american_to_decimal(F.col("odds"))
-    got = got.withColumn("ev", prices.ev_binary(F.col("p"), price)).where(F.col("ev") >= minimum_ev)
-    got = got.withColumn("growth", prices.expected_log_growth(F.col("p"), F.lit(0.0), price, F.lit(fraction)))
-    return got.withColumn("rank", F.row_number().over(Window.partitionBy("slate").orderBy(F.desc("growth"), "offer_id")))
+    got = got.withColumn("ev", prices.ev_binary(F.col("p"), price)).where(F.col("ev") >= policy["minimum_ev"])
+    got = got.withColumn("fraction", F.least(prices.kelly_with_push(F.col("p"), F.lit(0.0), price) * policy["kelly"], F.lit(policy["maximum"])))
+    got = got.withColumn("growth", prices.expected_log_growth(F.col("p"), F.lit(0.0), price, F.col("fraction")))
+    got = got.withColumn("score", F.col("growth") * (1 - policy["duplicate"]))
+    order = [F.desc(F.round(k, 12)) for k in ("score", "p", "least", "total", "ev")]
+    return got.withColumn("rank", F.row_number().over(Window.partitionBy("slate").orderBy(*order, "offer_id"))).drop("least", "total")

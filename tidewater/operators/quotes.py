@@ -97,10 +97,10 @@ def middle(values: Column) -> Column:
     return (F.get(s, half - 1) + F.get(s, F.floor(n / 2).cast("int"))) / 2
 
 
-def median_consensus(pairs: DataFrame, by: list[str], minimum: int = 2, outlier: float = 0.05) -> DataFrame:
-    """Unweighted median of the no-vig probability over books, its dispersion, and books beyond the outlier distance."""
+def median_consensus(pairs: DataFrame, by: list[str], minimum: int = 2, outlier: float = 0.03) -> DataFrame:
+    """Unweighted median of the no-vig probability over books, its dispersion, its ends, and books beyond the outlier distance."""
     books = F.collect_list(F.struct("fair1", "book_id"))
-    got = pairs.groupBy(*by).agg(F.count("*").alias("books"), books.alias("_b"), (F.max("fair1") - F.min("fair1")).alias("dispersion")).where(F.col("books") >= minimum)
+    got = pairs.groupBy(*by).agg(F.count("*").alias("books"), books.alias("_b"), (F.max("fair1") - F.min("fair1")).alias("dispersion"), F.min("fair1").alias("lowest"), F.max("fair1").alias("highest")).where(F.col("books") >= minimum)
     got = got.withColumn("consensus", middle(F.transform("_b", lambda x: x["fair1"])))
     out = F.array_sort(F.transform(F.filter("_b", lambda x: F.abs(x["fair1"] - F.col("consensus")) > outlier), lambda x: x["book_id"]))
     return got.withColumn("outliers", out).drop("_b")
@@ -149,7 +149,7 @@ def best_executable(quotes: DataFrame, by: list[str], largest_key: bool = True)
     return quotes.groupBy(*by).agg(F.max(F.struct(price.alias("price"), key.alias("key"), F.col("book_id"), F.col("odds"))).alias("b")).select(*by, "b.book_id", "b.odds", "b.price")
 
 
-def price_markets(quotes: DataFrame, as_of, minimum: int = 2, outlier: float = 0.05) -> DataFrame:
+def price_markets(quotes: DataFrame, as_of, minimum: int = 2, outlier: float = 0.03) -> DataFrame:
     """Consensus, best price, edge and expected value per event, market, line and side, as of a cutoff."""
     state = latest_state(quotes, as_of)
     pairs = pair_sides(state).where("reason is null")

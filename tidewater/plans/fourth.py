@@ -92,7 +92,7 @@ def _(v):
     near = legs.select("slate", F.col("candidate_id").alias("a"), F.col("event_id").alias("ea"), (F.col("event_id") + 30).alias("next"))
     other = legs.select(F.col("slate").alias("s2"), F.col("candidate_id").alias("b"), F.col("event_id").alias("eb"))
     offers = near.join(other, (F.col("slate") == F.col("s2")) & (F.col("next") == F.col("eb"))).select(F.concat_ws("+", "a", "b").alias("offer_id"), "slate", F.lit(290).cast("long").alias("odds"), F.array("a", "b").alias("leg_ids"))
-    return rounded(exposure.rank_combinations(offers, legs).select("slate", "offer_id", "p", "ev", "growth", "rank"), "p", "ev", "growth")
+    return rounded(exposure.rank_combinations(offers, legs).select("slate", "offer_id", "p", "ev", "fraction", "growth", "score", "rank"), "p", "ev", "fraction", "growth", "score")
 
 
 # ---- sources over JSON made from the tables

@@ -225,14 +225,15 @@ def candidates(v):
     x = quotes.price_markets(v("quotes"), AS_OF)
     return x.select(
         F.concat_ws("/", "event_id", "market", F.coalesce(F.col("line").cast("string"), F.lit("none")), "side").alias("candidate_id"), "event_id", "market", "side", (F.col("event_id") % 130).alias("home"), ((F.col("event_id") * 7 + 1) % 130).alias("away"),
-        "fair", F.lit(0.0).alias("push"), "price", "odds", r6("edge").alias("edge"), r6("ev").alias("ev"), "books", r6("dispersion").alias("dispersion"), (F.col("event_id") % 1000).alias("age"), "start", F.floor(F.col("start") / 86400).alias("slate"),
+        "fair", F.when(F.col("side") == 1, F.col("lowest")).otherwise(1 - F.col("highest")).alias("worst"), F.lit(0.0).alias("push"), "price", "odds", r6("edge").alias("edge"),
+        F.when(F.array_contains("outliers", F.col("book_id")), 2).when(F.size("outliers") > 0, 1).otherwise(0).alias("integrity"), r6("ev").alias("ev"), "books", r6("dispersion").alias("dispersion"), (F.col("event_id") % 1000).alias("age"), "start", F.floor(F.col("start") / 86400).alias("slate"),
     )
 
 
-CAND = f"""{ASOF}, {PAIRS}, {CONS}, {BEST}, {PRICED}, ca AS (SELECT event_id, market, line, side, fair, price, odds, books, start, event_id % 1000 AS age, {d6('fair - 1 / price')} AS edge, {d6('fair * price - 1')} AS ev, {d6('dispersion')} AS dispersion, event_id % 130 AS home, (event_id * 7 + 1) % 130 AS away FROM x),
-    ev AS (SELECT *, list_filter([CASE WHEN books < 3 THEN 'insufficient_book_depth' END, CASE WHEN dispersion > 0.06 THEN 'excessive_or_unknown_dispersion' END, CASE WHEN age > 900 THEN 'stale_or_future_fair_value' END, CASE WHEN edge < 0.01 THEN 'below_minimum_edge' END, CASE WHEN ev < 0.02 THEN 'below_minimum_ev' END, CASE WHEN odds > 500 THEN 'outside_main_board_odds_profile' END], lambda r: r IS NOT NULL) AS reasons,
-        CASE WHEN dispersion <= 0.03 THEN 1.0e0 WHEN dispersion <= 0.06 THEN 0.75e0 ELSE 0.4e0 END AS multiplier FROM ca),
-    cl AS (SELECT *, len(reasons) = 0 AS qualified, CASE WHEN len(reasons) = 0 THEN CASE WHEN ev >= 0.04 AND edge >= 0.02 AND dispersion <= 0.06 THEN 'CORE' ELSE 'OPPORTUNISTIC' END END AS class FROM ev)"""
+CAND = f"""{ASOF}, {PAIRS}, {CONS}, {BEST}, {PRICED}, ca AS (SELECT event_id, market, line, side, book_id, consensus, fair, price, odds, books, start, event_id % 1000 AS age, {d6('fair - 1 / price')} AS edge, {d6('fair * price - 1')} AS ev, {d6('dispersion')} AS dispersion, event_id % 130 AS home, (event_id * 7 + 1) % 130 AS away FROM x),
+    ev AS (SELECT *, list_filter([CASE WHEN books < 2 THEN 'insufficient_book_depth' END, CASE WHEN dispersion > 0.06 THEN 'excessive_or_unknown_dispersion' END, CASE WHEN age > 120 THEN 'stale_or_future_fair_value' END, CASE WHEN edge < 0.0075 THEN 'below_minimum_edge' END, CASE WHEN ev < 0.015 THEN 'below_minimum_ev' END, CASE WHEN odds > 500 THEN 'outside_main_board_odds_profile' END], lambda r: r IS NOT NULL) AS reasons,
+        CASE WHEN dispersion <= 0.015e0 THEN 1.0e0 WHEN dispersion <= 0.03e0 THEN 0.75e0 ELSE 0.4e0 END AS multiplier FROM ca),
+    cl AS (SELECT *, len(reasons) = 0 AS qualified, CASE WHEN len(reasons) = 0 THEN CASE WHEN ev >= 0.03 AND edge >= 0.015 AND dispersion <= 0.03 THEN 'CORE' ELSE 'OPPORTUNISTIC' END END AS class FROM ev)"""
 
 
 @query("b1_evaluate_candidates", f"{CAND} SELECT event_id, market, side, array_to_string(reasons, ',') AS reasons, qualified, class, multiplier, count(*) AS n FROM cl GROUP BY ALL", ("quotes",))
@@ -250,34 +251,80 @@ def _(v):
 KELLY = "greatest(0, ((price - 1) * fair - (1 - fair)) / (price - 1))"
 
 
-@query("b3_kelly_allocation", f"{CAND} SELECT event_id, market, coalesce(line, -999) AS line, side, {d6(KELLY)} AS raw_kelly, {d6(f'{KELLY} * 0.25e0 * multiplier * CASE WHEN class = $$OPPORTUNISTIC$$ THEN 0.5e0 ELSE 1e0 END')} AS adjusted_kelly FROM cl WHERE qualified", ("quotes",))
+@query("b3_kelly_allocation", f"{CAND} SELECT event_id, market, coalesce(line, -999) AS line, side, {d6(KELLY)} AS raw_kelly, {d6(f'{KELLY} * 0.25e0 * multiplier * CASE WHEN class = $$OPPORTUNISTIC$$ THEN 0.6e0 ELSE 1e0 END')} AS adjusted_kelly FROM cl WHERE qualified", ("quotes",))
 def _(v):
     got = exposure.kelly_allocation(exposure.evaluate_candidates(candidates(v)).where("qualified"))
     line = F.split("candidate_id", "/")[2]
     return rounded(got.select("event_id", "market", F.when(line == "none", -999.0).otherwise(line.try_cast("double")).alias("line"), "side", "raw_kelly", "adjusted_kelly"), "raw_kelly", "adjusted_kelly")
 
 
+EQUITY, CASH = 3000.0, 2000.0
+
+
+def held(v):
+    """Open bets with their game's teams, dealt to the slates of the board."""
+    return ledger.exposures(v("bets"), v("games")).withColumn("slate", 11688 + F.col("bet_id") % 30)
+
+
 def exposed(v):
-    return ledger.exposure_by(ledger.exposures(v("bets"), v("games"))).withColumn("fraction", F.least(F.lit(0.05), F.col("stake") / 1e9)).where("kind <> 'market'")
+    """Open stakes by slate, game, team and market as shares of an equity of eight times their sum."""
+    open_ = held(v)
+    by = ledger.exposure_by(open_).select("kind", "value", "stake")
+    by = by.unionByName(open_.groupBy("slate").agg(F.sum("stake").alias("stake")).select(F.lit("slate").alias("kind"), F.col("slate").cast("string").alias("value"), "stake"))
+    return by.join(open_.agg((F.sum("stake") * 8.0).alias("equity"))).withColumn("fraction", F.col("stake") / F.col("equity"))
 
 
 def ranked(v):
     c = exposure.kelly_allocation(exposure.evaluate_candidates(candidates(v)).where("qualified"))
-    return exposure.rank_candidates(exposure.rank_with_caps(c, exposed(v)), ["slate"])
+    c = exposure.mark_opposed(c, v("bets").where("state = 'open'"))
+    return exposure.rank_candidates(exposure.rank_with_caps(c, exposed(v), EQUITY, CASH), ["slate"])
+
+
+KEY = "concat_ws('/', event_id, market, coalesce(CAST(line AS VARCHAR), 'none'), side)"
+CAPS = f"""{CAND}, op AS (SELECT b.*, 11688 + bet_id % 30 AS slate, g.home, g.away FROM bets b JOIN games g ON g.game_id = b.event_id WHERE state = 'open'), te AS (SELECT sum(stake) * 8e0 AS equity FROM op),
+    ek AS (SELECT 'slate' AS kind, slate AS k, sum(stake) AS st FROM op GROUP BY slate UNION ALL SELECT 'game', event_id, sum(stake) FROM op GROUP BY event_id UNION ALL SELECT 'market', market, sum(stake) FROM op GROUP BY market
+        UNION ALL SELECT 'team', t, sum(stake) FROM (SELECT home AS t, stake FROM op UNION ALL SELECT away, stake FROM op) GROUP BY t), ex AS (SELECT kind, k, st / equity AS f FROM ek, te),
+    bk AS (SELECT c.event_id, c.market, c.line, min(fair1) AS lowest, max(fair1) AS highest, count(*) FILTER (abs(fair1 - consensus) > 0.03e0) AS n_out, list(p.book_id) FILTER (abs(fair1 - consensus) > 0.03e0) AS out_books
+        FROM p JOIN c ON c.event_id = p.event_id AND c.market = p.market AND c.line IS NOT DISTINCT FROM p.line WHERE p.reason IS NULL GROUP BY ALL),
+    q AS (SELECT cl.*, {KEY.replace('event_id', 'cl.event_id').replace('market', 'cl.market').replace('line', 'cl.line')} AS candidate_id, start // 86400 AS slate, {KELLY} * 0.25e0 * multiplier * CASE WHEN class = 'CORE' THEN 1e0 ELSE 0.6e0 END AS adjusted,
+        CASE WHEN side = 1 THEN lowest ELSE 1 - highest END AS worst, CASE WHEN list_contains(out_books, book_id) THEN 2 WHEN n_out > 0 THEN 1 ELSE 0 END AS integrity, least(CASE WHEN class = 'CORE' THEN 0.02e0 ELSE 0.01e0 END, 50e0 / 3000) AS left_bet
+        FROM cl JOIN bk ON bk.event_id = cl.event_id AND bk.market = cl.market AND bk.line IS NOT DISTINCT FROM cl.line WHERE qualified),
+    lf AS (SELECT q.*, 0.08e0 - coalesce(s.f, 0) AS left_daily, 0.04e0 - coalesce(g.f, 0) AS left_game, 0.04e0 - coalesce(g.f, 0) AS left_correlated, 0.05e0 - greatest(coalesce(h.f, 0), coalesce(w.f, 0)) AS left_team, 0.05e0 - coalesce(m.f, 0) AS left_market,
+        EXISTS (SELECT 1 FROM bets o WHERE o.state = 'open' AND o.event_id = q.event_id AND o.market = q.market AND o.side <> q.side) AS opposed
+        FROM q LEFT JOIN ex s ON s.kind = 'slate' AND s.k = q.slate LEFT JOIN ex g ON g.kind = 'game' AND g.k = q.event_id LEFT JOIN ex h ON h.kind = 'team' AND h.k = q.home LEFT JOIN ex w ON w.kind = 'team' AND w.k = q.away LEFT JOIN ex m ON m.kind = 'market' AND m.k = q.market),
+    fr AS (SELECT *, greatest(0, least(adjusted, left_bet, 2e0 / 3, left_daily, left_game, left_correlated, left_team, left_market)) AS fraction FROM lf),
+    gr AS (SELECT *, fair * ln(1 + fraction * (price - 1)) + (1 - fair) * ln(1 - fraction) AS growth, worst * ln(1 + fraction * (price - 1)) + (1 - worst) * ln(1 - fraction) AS worst_growth FROM fr)"""
+RANKED = "row_number() OVER (PARTITION BY slate ORDER BY round(worst_growth, 12) DESC, round(growth, 12) DESC, round(fraction, 12) DESC, integrity, books DESC, dispersion, round(abs(1 / price - 0.5e0), 12), ev DESC, edge DESC, start, candidate_id)"
+NEED = ("quotes", "bets", "games")
+
+
+@query("b4_rank_with_caps", f"{CAPS} SELECT slate, candidate_id, {d6('fraction')} AS fraction, {d6('growth')} AS growth, {d6('worst_growth')} AS worst_growth FROM gr", NEED)
+def _(v):
+    return rounded(ranked(v).select("slate", "candidate_id", "fraction", "growth", "worst_growth"), "fraction", "growth", "worst_growth")
+
+
+@query("t3_rank_candidates", f"{CAPS} SELECT slate, candidate_id, integrity, {RANKED} AS rank FROM gr", NEED)
+def _(v):
+    return ranked(v).select("slate", "candidate_id", "integrity", "rank")
+
+
+@query("a8_rejection_counts", f"{CAND} SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM cl) GROUP BY reason", ("quotes",))
+def _(v):
+    return quotes.rejection_counts(exposure.evaluate_candidates(candidates(v)))
 
 
-@query("b4_rank_with_caps")
+@query("s12_scan_credential_keys", "SELECT DISTINCT snapshot_id FROM quotes WHERE snapshot_id % 50 <> 0 AND snapshot_id % 70 = 1", ("quotes",))
 def _(v):
-    return rounded(ranked(v).select("slate", "candidate_id", "rank", "fraction", "growth"), "fraction", "growth")
+    return snapshots.scan_credential_keys(raw(v)).select("snapshot_id").distinct()
 
 
 @query("b5_allocate")
 def _(v):
-    return exposure.allocate(ranked(v))
+    return exposure.allocate(ranked(v), EQUITY, CASH)
 
 
-DIST = """list_transform(reasons, lambda r: CASE r WHEN 'below_minimum_ev' THEN greatest(0, (0.02e0 - ev) / 0.02e0) WHEN 'below_minimum_edge' THEN greatest(0, (0.01e0 - edge) / 0.01e0) WHEN 'insufficient_book_depth' THEN (3 - books) / 3e0
-    WHEN 'excessive_or_unknown_dispersion' THEN greatest(0, (dispersion - 0.06e0) / 0.06e0) WHEN 'stale_or_future_fair_value' THEN abs(age - 900) / 900e0 ELSE 1e0 END)"""
+DIST = """list_transform(reasons, lambda r: CASE r WHEN 'below_minimum_ev' THEN greatest(0, (0.015e0 - ev) / 0.015e0) WHEN 'below_minimum_edge' THEN greatest(0, (0.0075e0 - edge) / 0.0075e0) WHEN 'insufficient_book_depth' THEN (2 - books) / 2e0
+    WHEN 'excessive_or_unknown_dispersion' THEN greatest(0, (dispersion - 0.06e0) / 0.06e0) WHEN 'stale_or_future_fair_value' THEN abs(age - 120) / 120e0 ELSE 1e0 END)"""
 
 
 @query("b8_watchlist", f"{CAND}, w AS (SELECT *, {DIST} AS d FROM cl WHERE NOT qualified AND edge > 0 AND ev > 0) SELECT event_id, market, side, {d6('list_sum(d)')} AS distance, len(reasons) AS gates, count(*) AS n FROM w WHERE len(reasons) <= 2 AND list_sum(d) <= 0.75 AND list_max(d) <= 0.5 GROUP BY ALL", ("quotes",))

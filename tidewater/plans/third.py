@@ -8,7 +8,7 @@ from tidewater.functions import prices
 from tidewater.operators import distributions as dist
 from tidewater.operators import evaluate, exposure, features, ledger, models, quotes
 from tidewater.plans.fixtures import AS_OF
-from tidewater.plans.more import ASOF, candidates, exposed
+from tidewater.plans.more import ASOF, CAND, CAPS, DIST, NEED, candidates, ranked
 from tidewater.plans.queries import BEST, CONS, HIST, METRICS, MNAMES, PAIRS, PRICED, d6, doubles, metrics, pairs, preds, query, r6, requests, rounded
 
 HI = "hi AS (SELECT CAST(season % 2 + 1 AS BIGINT) AS market, floor((a - actual) * 4 + 0.5) / 4 AS value, count(*) AS n FROM predictions GROUP BY ALL)"
@@ -349,16 +349,16 @@ def _(v):
     return a.join(b, "game_id").agg(F.count("*").alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
 
 
-@query("b9_closest_positive_ev")
+@query("b9_closest_positive_ev", f"{CAND} SELECT event_id, market, side, array_to_string(reasons, ',') AS blockers, {d6('ev')} AS ev, {d6(f'list_sum({DIST})')} AS distance, count(*) AS n FROM cl WHERE ev > 0 AND NOT qualified GROUP BY ALL", ("quotes",))
 def _(v):
     c = exposure.evaluate_candidates(candidates(v)).where("ev > 0 and not qualified").withColumn("d", exposure.distances())
-    return c.select("candidate_id", "ev", F.array_join("reasons", ",").alias("blockers"), r6(F.aggregate("d", F.lit(0.0), lambda a, x: a + x["distance"])).alias("distance"))
+    x = c.select("event_id", "market", "side", F.array_join("reasons", ",").alias("blockers"), r6("ev").alias("ev"), r6(F.aggregate("d", F.lit(0.0), lambda a, x: a + x["distance"])).alias("distance"))
+    return x.groupBy(*x.columns).agg(F.count("*").alias("n"))
 
 
-@query("b7_check_caps")
+BROKEN = ", ".join(f"CASE WHEN adjusted > left_{x} THEN '{x}_cap' END" for x in ("bet", "daily", "game", "correlated", "market", "team"))
+
+
+@query("b7_check_caps", f"{CAPS} SELECT candidate_id, {d6('adjusted')} AS asked, array_to_string(list_filter([{BROKEN}, CASE WHEN opposed THEN 'opposing_position' END], lambda r: r IS NOT NULL), ',') AS violations FROM gr", NEED)
 def _(v):
-    c = exposure.kelly_allocation(exposure.evaluate_candidates(candidates(v)).where("qualified"))
-    x = exposure.rank_with_caps(c, exposed(v)).withColumn("asked", F.col("adjusted_kelly"))
-    bet = F.when(F.col("class") == "CORE", exposure.POLICY["core_bet"]).otherwise(exposure.POLICY["other_bet"])
-    rules = {"per_bet_cap": F.col("asked") > bet, "exposure_cap": F.col("fraction") < F.least("asked", bet)}
-    return quotes.reason_gate(x, rules, "violations").select("candidate_id", r6("asked").alias("asked"), F.array_join("violations", ",").alias("violations"))
+    return exposure.check_caps(ranked(v)).select("candidate_id", r6("adjusted_kelly").alias("asked"), F.array_join("violations", ",").alias("violations"))

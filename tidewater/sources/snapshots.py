@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 OUTCOME = "struct<side:bigint,odds:bigint,point:double>"
 SCHEMA = f"struct<id:bigint,start:bigint,books:array<struct<key:bigint,updated:bigint,markets:array<struct<key:bigint,updated:bigint,outcomes:array<{OUTCOME}>>>>>>"
 #: Key names that a stored document must not have, fixed values.
-SECRETS = ["apikey", "api_key", "authorization", "token", "secret", "password"]
+SECRETS = ["apikey", "api_key", "authorization", "password", "token"]
 
 
 def scan_partitioned(spark: SparkSession, path: str, columns: list[str], key: str, low, high) -> DataFrame:
@@ -25,11 +25,20 @@ def parsed(raw: DataFrame, body: str = "body") -> DataFrame:
     return raw.withColumn("doc", F.from_json(body, SCHEMA))
 
 
+def leaks(body: str = "body") -> Column:
+    """Whether a JSON text has one of the forbidden keys at any depth, in any case, with - or _."""
+    return F.translate(F.lower(body), "-", "_").rlike('"(' + "|".join(SECRETS) + ')"\\s*:')
+
+
+def scan_credential_keys(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Whole documents that must not be stored: those that parse and have a forbidden key."""
+    return raw.where(leaks(body) & F.from_json(body, SCHEMA)["id"].isNotNull())
+
+
 def quarantine_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that parse, warnings (snapshot_id, reason) of the others); a bad document fails no batch."""
     x = parsed(raw)
-    leaky = F.lower("body").rlike('"(' + "|".join(SECRETS) + ')"\\s*:')
-    reason = F.when(leaky, "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
+    reason = F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
     x = x.withColumn("reason", reason)
     return x.where("reason is null").drop("reason"), x.where("reason is not null").select("snapshot_id", "reason")
 
