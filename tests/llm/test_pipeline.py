@@ -1,4 +1,6 @@
 import corpus_pipeline
+from tests.llm.fixtures import frame, rows
+from tidewater.llm import simhash
 
 
 def test_stages(spark, small):
@@ -19,3 +21,39 @@ def test_run_equals_stages(spark, small):
     again = corpus_pipeline.run(spark, small)
     rows = lambda df: sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in df.collect())
     assert rows(got) == rows(again)
+
+
+def hostile(spark, some=None):
+    """Rows of the operators' fixtures, with a column more than documents has."""
+    return frame(spark, some).select("doc_id", "text", "lang", "source", "n_chars", "id")
+
+
+def test_stages_survive_hostile_rows(spark, small):
+    docs = hostile(spark)
+    columns, ids = docs.columns, {r[0] for r in rows()}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        got = stage(spark, docs, small)
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert got.columns == columns, name
+        found = [r.doc_id for r in got.collect()]
+        assert found and set(found) <= ids, name
+        if name in ("exact_dedup", "near_dedup"):  # quality keeps repeated rows, the mix makes some
+            assert len(found) == len(set(found)), name
+
+
+def test_stages_of_nothing_give_nothing(spark, small):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, hostile(spark, []), small).count() == 0, name
+
+
+def test_copies_leave_one_and_clean_texts_stay(spark, small):
+    prose = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) > 400").orderBy("doc_id").limit(12).collect()]
+    prose = list(dict.fromkeys(prose))
+    spaced = [x.replace(" ", "  ") for x in prose]
+    docs = frame(spark, [(i, t, "en", "a", None, *["x"] * 5) for i, t in enumerate(prose + spaced + prose)])
+    stages = dict(corpus_pipeline.STAGES)
+    exact = stages["exact_dedup"](spark, docs, small).collect()
+    assert {r.doc_id for r in exact} == set(range(len(prose), 2 * len(prose)))  # the longest of every text stays
+    near = stages["near_dedup"](spark, docs, small).collect()
+    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert {r.doc_id for r in near} == set(roots.values()) <= set(range(len(prose)))
