@@ -1,6 +1,11 @@
+import random
+from collections import Counter
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.fixtures import frame, rows
-from tidewater.llm import simhash
+from tidewater.llm import mixing, quality, simhash
 
 
 def test_stages(spark, small):
@@ -57,3 +62,49 @@ def test_copies_leave_one_and_clean_texts_stay(spark, small):
     near = stages["near_dedup"](spark, docs, small).collect()
     roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
     assert {r.doc_id for r in near} == set(roots.values()) <= set(range(len(prose)))
+
+
+def nameless(spark, small):
+    """Clean texts without near copies whose ids are null or all the same, and the small table's documents."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = random.Random(11)
+    prose = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randint(20, 90))) for _ in range(40)]
+    return docs, prose, frame(spark, [(None if i % 2 else 7, t, "en", "a", None, *["x"] * 5) for i, t in enumerate(prose)])
+
+
+def test_dedup_stages_keep_clean_rows_of_null_and_repeated_ids(spark, small):
+    _, prose, docs = nameless(spark, small)
+    again = docs.union(frame(spark, [(3, prose[0], "en", "a", None, *["x"] * 5)]))
+    for name in ("exact_dedup", "near_dedup"):
+        stage = dict(corpus_pipeline.STAGES)[name]
+        assert sorted(r.text for r in stage(spark, again, small).collect()) == sorted(prose), name
+
+
+def test_near_dedup_chains_do_not_meet_at_a_shared_id(spark):
+    rng = random.Random(11)
+    words, other = ([f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(2))
+    changed = (" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in range(400))
+    text, fp = " ".join(words), simhash.fingerprint(" ".join(words))
+    near = next(x for x in changed if 0 < (simhash.fingerprint(x) ^ fp).bit_count() <= 4)
+    docs = frame(spark, [(i, t, "en", "a", None, *["x"] * 5) for i, t in [(7, text), (7, " ".join(other)), (3, near)]])
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(3, 3), (7, 3), (7, 7)]
+    assert sorted(r.text for r in simhash.keep_apart(docs).collect()) == sorted([near, " ".join(other)])
+
+
+def test_quality_judges_each_row_without_id_by_its_own_text(spark, small):
+    docs, _, _ = nameless(spark, small)
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    both = docs.union(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    kept = quality.keep_good(both, labels).collect()
+    by_id = Counter(r.text for r in kept if r.doc_id is not None)
+    assert 0 < by_id.total() < docs.count()
+    assert Counter(r.text for r in kept if r.doc_id is None) == by_id
+
+
+def test_mix_takes_each_row_by_its_own_copies(spark, small):
+    _, prose, docs = nameless(spark, small)
+    docs = docs.union(frame(spark, [(1, prose[3], "en", "b", None, *["x"] * 5)] * 5))
+    want = mixing.mix(docs).groupBy("size").agg(F.sum("copies")).collect()
+    got = mixing.take_mixed(docs)
+    assert got.columns == docs.columns
+    assert {r[0]: r[1] for r in got.groupBy(F.size(F.split("text", " "))).count().collect()} == {r[0]: r[1] for r in want if r[1]}

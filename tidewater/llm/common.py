@@ -28,6 +28,20 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     )
 
 
+def row_key(*cols: Column | str) -> Column:
+    """A digest of the values of cols, which two rows share only where all of these are equal, nulls among them."""
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in cols]), 256)
+
+
+def keep_keys(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
+    """Rows of docs whose keys, which are never null, are together in kept; of rows that share all keys, one."""
+    names = {k: f"__kept_{k}" for k in keys}
+    wide = docs.withColumns({names[k]: c for k, c in keys.items()})
+    chosen = kept.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct()
+    return wide.join(chosen, list(names.values()), "left_semi").dropDuplicates(list(names.values())).drop(*names.values())
+
+
 def real_id(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(c != F.lit(NULL_ID), c)

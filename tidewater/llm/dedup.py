@@ -9,10 +9,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANK, cut, keep_rows, real_id, shared_dir, texts
+from tidewater.llm.common import BLANK, NULL_ID, cut, keep_keys, real_id, shared_dir, texts
 
 SCHEMA = "digest string, keep_id long, keep_length long, copies long"
 
@@ -50,10 +50,14 @@ class DigestIndex:
         return fresh
 
 
+def _digest(text: Column) -> Column:
+    return F.sha2(F.regexp_replace(text, f"{BLANK}+", ""), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, length, digest) of every row: code points of the text, SHA-256 of the text without its blanks."""
     return texts(docs, id_col, text_col).select(
-        "id", F.length("text").cast("long").alias("length"), F.sha2(F.regexp_replace("text", f"{BLANK}+", ""), 256).alias("digest")
+        "id", F.length("text").cast("long").alias("length"), _digest(F.col("text")).alias("digest")
     )
 
 
@@ -82,7 +86,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """docs with one row of every distinct text, all columns kept."""
+    """docs with one row of every distinct text, all columns kept.
+
+    A row is known by its id, length and digest, so rows that share an id or have none are told apart by their texts.
+    """
     index = index or DigestIndex(docs.sparkSession)
     fresh = index.add(cut(digests(docs, id_col, text_col), "digests"))
-    return keep_rows(docs, fresh.select(F.col("keep_id").alias("id")), id_col)
+    kept = fresh.select(F.col("keep_id").alias("id"), F.col("keep_length").alias("length"), "digest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return keep_keys(docs, kept, id=F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), length=F.length(text).cast("long"), digest=_digest(text))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import NULL_ID, blocks, cut, real_id, texts
+from tidewater.llm.common import NULL_ID, blocks, cut, real_id, row_key, texts
 
 #: Random features, ridge penalty per row, kernel width in standard deviations, bins of the calibration.
 FEATURES, PENALTY, WIDTH, BINS = 256, 1e-4, 2.5, 512
@@ -67,17 +67,22 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x): the statistics of every row's whole text."""
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(id, x): the statistics of every row's whole text; where keyed, also (key), the key of that text."""
+    schema = "id long, x array<double>" + ", key string" * keyed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = 0
             for ids, values in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 x = np.nan_to_num(np.array([statistics(t) for t in values], np.float64).reshape(-1, len(NAMES)))
                 offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * len(NAMES))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1)))], ["id", "x"])
+                carried = [c.slice(at, len(ids)) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))), *carried], ["id", "x", "key"][: 2 + len(carried)])
+                at += len(ids)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, x array<double>")
+    rows = texts(docs, id_col, text_col)
+    return (rows.withColumn("key", row_key("text")) if keyed else rows).mapInArrow(run, schema)
 
 
 class Model:
@@ -185,24 +190,32 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored each, a null id stays null (not held out); empty tables are fine; other columns are not read.
     """
     stats = cut(document_statistics(docs, id_col, text_col), "statistics")
+    held = F.when(F.col("id") == NULL_ID, False).otherwise(fold(F.col("id")) == 0)
+    got = _scores(stats, labels, label, "id")
+    return got.select(real_id("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def _scores(stats: DataFrame, labels: DataFrame, label: str, carry: str) -> DataFrame:
+    """(carry, score) for every row of the statistics; carry is a column of theirs."""
     key = F.col("doc_id").cast("long")
     taught = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(key.alias("id")).agg(F.max(label).cast("double").alias("y"))
     taught = taught.withColumn("fold", fold(F.col("id"))).where("fold <> 0")
-    model = fit(stats, taught)
+    model = fit(stats.select("id", "x"), taught)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], ["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], [carry, "score"])
 
-    got = stats.mapInArrow(run, "id long, score double")
-    held = F.when(F.col("id") == NULL_ID, False).otherwise(fold(F.col("id")) == 0)
-    return got.select(real_id("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return stats.select(carry, "x").mapInArrow(run, f"{carry} {stats.schema[carry].dataType.simpleString()}, score double")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the classifier rejects, all columns and repeated rows kept."""
-    got = classify(docs, labels, id_col, text_col, threshold=threshold).where("predicted = 0")
-    key = "__quality_id"
-    wide = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    return wide.join(got.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(key)).distinct(), key, "left_anti").drop(key)
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """docs without those that the classifier rejects, all columns and repeated rows kept.
+
+    A score comes from the text alone, so each row goes or stays by its own text, whatever other rows share its id.
+    """
+    stats = cut(document_statistics(docs, id_col, text_col, keyed=True), "statistics")
+    key = "__quality_key"
+    bad = _scores(stats, labels, label, "key").where(F.col("score") < threshold).select(F.col("key").alias(key)).distinct()
+    return docs.withColumn(key, row_key(F.coalesce(F.col(text_col), F.lit("")))).join(bad, key, "left_anti").drop(key)

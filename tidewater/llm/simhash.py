@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import NULL_ID, cut, keep_rows, real_id, texts
+from tidewater.llm.common import NULL_ID, cut, keep_keys, keep_rows, real_id, row_key, texts
 from tidewater.llm.components import components
 
 SHINGLE = 4
@@ -49,15 +49,17 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint of every row's whole text as a signed 64-bit integer; where keyed, also (key), the key of that text."""
+    schema = "id long, fp long" + ", key string" * keyed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(x.as_py(), shingle) for x in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["id", "fp", "key"][: batch.num_columns])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = texts(docs, id_col, text_col)
+    return (rows.withColumn("key", row_key("text")) if keyed else rows).mapInArrow(run, schema)
 
 
 def near(fps: np.ndarray, query: np.ndarray, word: np.ndarray, planes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -216,6 +218,12 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _chains(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct, one row for each fp, with the root of its chain: a fingerprint, not an id, which unrelated texts can share."""
+    roots = components(links(distinct.select("fp", F.col("fp").alias("rep")), radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row: documents whose fingerprints chain within radius bits.
 
@@ -224,10 +232,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     give repeated results; an empty table gives an empty one; only the two named columns are read.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    roots = components(links(reps, radius))
+    chains = cut(_chains(fps.groupBy("fp").agg(F.min("id").alias("low")), radius), "chains")
+    lowest = chains.groupBy("root").agg(F.min("low").alias("component"))
     # written, so that both sides of the last join are shuffled for it and adaptive execution can split a hot fingerprint
-    of_fp = cut(reps.join(roots, reps.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component")), "components")
+    of_fp = cut(chains.join(lowest, "root").select("fp", "component"), "components")
     return fps.join(of_fp, "fp").select(
         real_id("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -240,3 +248,16 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = near_duplicates(docs, id_col, text_col, shingle, radius)
     ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"))
     return keep_rows(docs, ids, id_col)
+
+
+def keep_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs without near duplicates, for tables whose ids can be null or repeat: one row of each chain stays, with all its columns.
+
+    It is that with the smallest id, null last, then the smallest key of its text. A row is known by id and text, so no
+    chain loses its row to another chain's of the same id.
+    """
+    fps = cut(fingerprints(docs, id_col, text_col, shingle, keyed=True), "fingerprints")
+    first = F.min(F.struct((F.col("id") == NULL_ID).alias("none"), "id", "key"))
+    chains = _chains(fps.groupBy("fp").agg(first.alias("low")), radius)
+    kept = cut(chains.groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.key"), "kept")
+    return keep_keys(docs, kept, id=F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), key=row_key(F.coalesce(F.col(text_col), F.lit(""))))
