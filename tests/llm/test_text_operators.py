@@ -120,6 +120,28 @@ def test_index_grows(spark):
     assert index.table().count() == len(plain_exact())
 
 
+def test_index_is_opened_again_at_its_path(spark, tmp_path):
+    path, docs = f"file://{tmp_path}/digests", frame(spark)
+    first = dedup.keep_distinct(docs.where("doc_id < 40"), index=dedup.DigestIndex(spark, path, buckets=3)).count()
+    index = dedup.DigestIndex(spark, path, buckets=5)
+    assert index.buckets == 3 and index.table().count() == first > 0
+    second = dedup.keep_distinct(docs, index=index).count()
+    again = dedup.DigestIndex(spark, path)
+    assert again.table().count() == first + second == len(plain_exact())
+    assert dedup.keep_distinct(docs, index=again).count() == 0
+    found = dedup.exact_duplicates(docs, index=dedup.DigestIndex(spark, path)).collect()
+    assert len(found) == len(rows()) and len({r.text_sha256 for r in found}) == len(plain_exact())
+    assert "SelectedBucketsCount: 3 out of 3" in again.table().groupBy("digest").count()._jdf.queryExecution().toString()
+
+
+def test_index_without_its_bucket_count_is_not_overwritten(spark, tmp_path):
+    path = f"file://{tmp_path}/digests"
+    spark.createDataFrame([("x", 1, 1, 1)], dedup.SCHEMA).write.parquet(path)
+    with pytest.raises(ValueError):
+        dedup.DigestIndex(spark, path)
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_sharding(spark):
     got = sharding.shard_documents(frame(spark)).collect()
     data = rows()

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import BLANK, NULL_ID, cut, keep_keys, real_id, shared_dir, texts
@@ -18,13 +19,34 @@ SCHEMA = "digest string, keep_id long, keep_length long, copies long"
 
 
 class DigestIndex:
-    """A table of digests, `buckets` files by hash, each append sorted within; opened or made at path."""
+    """A table of digests, `buckets` files by hash, each append sorted within; opened or made at path.
+
+    An index that is opened keeps its rows and the number of buckets it was made with, which stands beside its files.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"digests_{uuid.uuid4().hex}"
-        self.append(spark.createDataFrame([], SCHEMA))
+        stored = self._first("buckets int", f"{self.path}/_buckets") if path else None
+        if path and not stored and self._first(SCHEMA, self.path):
+            raise ValueError(f"{path} holds rows but not the number of buckets they were written in")
+        self.buckets = stored[0] if stored else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        if stored:
+            at = self.path.replace("\\", "\\\\").replace("'", "\\'")
+            spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'")
+        else:
+            self.append(spark.createDataFrame([], SCHEMA))
+            if path:  # an index without a path of its own cannot be opened again
+                spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{self.path}/_buckets")
+
+    def _first(self, schema: str, path: str) -> Row | None:
+        """The first row of the files at path, none where there are none."""
+        try:
+            return self.spark.read.schema(schema).parquet(path).first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
     def append(self, rows: DataFrame) -> None:
         (
