@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+
 from tests.llm.fixtures import frame, rows
 from tidewater.llm import pii, quality, urlfilter
 
@@ -121,9 +123,62 @@ def test_quality_edges(spark):
     assert kept.columns == frame(spark).columns
 
 
-def test_isotonic():
-    import numpy as np
+def test_cosines_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(1)
+    n = len(quality.NAMES)
+    model = quality.Model(np.zeros(n), np.ones(n), features=20_000)
+    x = rng.normal(0, 1, (40, n))
+    phi = model.phi(x)[:, :-1]
+    gap = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    kernel = np.exp(-gap / (2 * quality.WIDTH**2 * n / 8))
+    assert np.abs(phi @ phi.T - kernel).max() < 0.05
+
+
+def plain_isotonic(p, n):
+    """The monotone fit by its minimax formula: of every place, the largest over starts of the smallest mean over ends."""
+    mean = lambda i, j: p[i : j + 1].sum() / n[i : j + 1].sum()
+    return [max(min(mean(i, j) for j in range(k, len(p))) for i in range(k + 1)) for k in range(len(p))]
+
 
+def test_isotonic():
     x, y = quality.isotonic(np.arange(6.0), np.array([0.0, 2, 1, 3, 2, 4]), np.full(6, 4.0))
     assert (np.diff(y) > 0).all() and (np.diff(x) > 0).all()
     assert np.isclose(y, [0, 0.375, 0.625, 1]).all()
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        n = rng.integers(1, 30, 40).astype(float)
+        p = np.round(rng.uniform(0, 1, 40) * n)
+        x, y = quality.isotonic(np.arange(40.0), p, n)
+        assert np.allclose(sorted(set(np.round(plain_isotonic(p, n), 9))), np.round(y, 9))
+
+
+def test_scores_equal_a_dense_fit(spark):
+    """The model fitted again without Spark, from the same rows: weights by a dense solve, calibration bin by bin, a score per text."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality.classify(docs, labels).collect()}
+    x = {r.doc_id: np.array(quality.statistics(r.text or "")) for r in docs.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in y}
+    tune, hold = ([i for i in y if i in x and fold[i] in of] for of in ((1, 2, 3), (4,)))
+    a = np.array([x[i] for i in tune])
+    model = quality.Model(np.round(a.mean(axis=0), 9), np.round(a.std(axis=0), 9))
+    phi, target = model.phi(a), np.array([y[i] for i in tune], float)
+    penalty = np.diag([quality.PENALTY * len(tune)] * quality.FEATURES + [1e-9])
+    beta = np.linalg.lstsq(np.vstack([phi, np.sqrt(penalty)]), np.concatenate([target, np.zeros(len(penalty))]), rcond=None)[0]
+    raw = {i: float(model.phi(v[None])[0] @ beta) for i, v in x.items()}
+    bins = {}
+    for i in hold or tune:
+        b = min(max(int((raw[i] + 0.5) / 2 * quality.BINS), 0), quality.BINS - 1)
+        s = bins.setdefault(b, [0.0, 0, 0])
+        bins[b] = [s[0] + raw[i], s[1] + y[i], s[2] + 1]
+    order = [bins[b] for b in sorted(bins)]
+    share = plain_isotonic(np.array([s[1] for s in order], float), np.array([s[2] for s in order], float))
+    knots = {}
+    for s, v in zip(order, share):
+        k = knots.setdefault(round(v, 9), [0.0, 0])
+        knots[round(v, 9)] = [k[0] + s[0], k[1] + s[2]]
+    at, value = [k[0] / k[1] for k in knots.values()], list(knots)
+    at, value = [-1.0, *at, 2.0], [max(0.0, value[0] - 1e-3), *value, min(1.0, value[-1] + 1e-3)]
+    assert len(got) == len(x)
+    assert all(abs(got[i] - min(1.0, max(0.0, np.interp(raw[i], at, value)))) < 1e-4 for i in x)

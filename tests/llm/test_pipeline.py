@@ -1,11 +1,14 @@
 import random
+import re
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.fixtures import frame, rows
-from tidewater.llm import mixing, quality, simhash
+from tests.llm.test_text_operators import plain_groups, plain_targets
+from tidewater.llm import mixing, quality
+from tidewater.llm.common import ROW, numbered
 
 
 def test_stages(spark, small):
@@ -42,8 +45,11 @@ def test_stages_survive_hostile_rows(spark, small):
             assert got.columns == columns, name
         found = [r.doc_id for r in got.collect()]
         assert found and set(found) <= ids, name
-        if name in ("exact_dedup", "near_dedup"):  # quality keeps repeated rows, the mix makes some
-            assert len(found) == len(set(found)), name
+    data = rows()
+    kept = Counter(re.sub(r"[\x20\x09-\x0D]", "", r.text or "") for r in corpus_pipeline.distinct(spark, docs, small).collect())
+    assert kept == Counter({re.sub(r"[\x20\x09-\x0D]", "", r[1] or "") for r in data})
+    near = corpus_pipeline.apart(spark, docs, small).collect()
+    assert len(near) == len(set(plain_groups([r[1] for r in data])))
 
 
 def test_stages_of_nothing_give_nothing(spark, small):
@@ -60,8 +66,8 @@ def test_copies_leave_one_and_clean_texts_stay(spark, small):
     exact = stages["exact_dedup"](spark, docs, small).collect()
     assert {r.doc_id for r in exact} == set(range(len(prose), 2 * len(prose)))  # the longest of every text stays
     near = stages["near_dedup"](spark, docs, small).collect()
-    roots = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
-    assert {r.doc_id for r in near} == set(roots.values()) <= set(range(len(prose)))
+    groups = plain_groups(prose)
+    assert sorted(r.doc_id for r in near) == sorted(set(groups))
 
 
 def nameless(spark, small):
@@ -80,15 +86,21 @@ def test_dedup_stages_keep_clean_rows_of_null_and_repeated_ids(spark, small):
         assert sorted(r.text for r in stage(spark, again, small).collect()) == sorted(prose), name
 
 
-def test_near_dedup_chains_do_not_meet_at_a_shared_id(spark):
+def test_near_dedup_chains_do_not_meet_at_a_shared_id(spark, small):
     rng = random.Random(11)
     words, other = ([f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(2))
-    changed = (" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in range(400))
-    text, fp = " ".join(words), simhash.fingerprint(" ".join(words))
-    near = next(x for x in changed if 0 < (simhash.fingerprint(x) ^ fp).bit_count() <= 4)
-    docs = frame(spark, [(i, t, "en", "a", None, *["x"] * 5) for i, t in [(7, text), (7, " ".join(other)), (3, near)]])
-    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()) == [(3, 3), (7, 3), (7, 7)]
-    assert sorted(r.text for r in simhash.keep_apart(docs).collect()) == sorted([near, " ".join(other)])
+    near = " ".join([*words[:200], "changed", *words[201:]])
+    docs = frame(spark, [(i, t, "en", "a", None, *["x"] * 5) for i, t in [(7, " ".join(words)), (7, " ".join(other)), (3, near)]])
+    assert sorted(r.text for r in corpus_pipeline.apart(spark, docs, small).collect()) == sorted([near, " ".join(other)])
+
+
+def test_near_dedup_takes_similar_texts_and_leaves_others(spark, small):
+    """Copies with a word in fifty changed go (similarity about 0.82), those with one in fifteen (about 0.55) stay."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    change = lambda step: " ".join("changed" if i % step == step - 1 else w for i, w in enumerate(words))
+    docs = frame(spark, [(i, t, "en", "a", None, *["x"] * 5) for i, t in [(5, " ".join(words)), (6, change(50)), (7, change(15))]])
+    assert sorted(r.doc_id for r in corpus_pipeline.apart(spark, docs, small).collect()) == [5, 7]
 
 
 def test_quality_judges_each_row_without_id_by_its_own_text(spark, small):
@@ -101,10 +113,32 @@ def test_quality_judges_each_row_without_id_by_its_own_text(spark, small):
     assert Counter(r.text for r in kept if r.doc_id is None) == by_id
 
 
+def test_each_good_row_without_id_stays(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    score = {r.doc_id: r.predicted for r in quality.classify(docs, labels).collect()}
+    kept = Counter(r.text for r in quality.keep_good(docs.withColumn("lang", F.lit(None).cast("string")), labels).collect())
+    assert kept == Counter(r.text for r in docs.collect() if score[r.doc_id] == 1)
+
+
 def test_mix_takes_each_row_by_its_own_copies(spark, small):
+    """Rows without ids in three sources, and rows alike: as many come out as the mix decided on, source by source and size by size."""
     _, prose, docs = nameless(spark, small)
-    docs = docs.union(frame(spark, [(1, prose[3], "en", "b", None, *["x"] * 5)] * 5))
-    want = mixing.mix(docs).groupBy("size").agg(F.sum("copies")).collect()
+    more = [(None, prose[i % 40] + f" x{i % 9}", "en", f"s{i % 3}", None, *["x"] * 5) for i in range(90)]
+    docs = docs.union(frame(spark, [(1, prose[3], "en", "b", None, *["x"] * 5)] * 5 + more))
+    rows = numbered(docs)
+    decided = mixing._deal(rows, "doc_id", "text", "source", mixing.WEIGHTS, mixing.SHARE, mixing.MOST, "mix", ROW)
+    want = Counter()
+    for r in rows.join(decided.select(ROW, "copies"), ROW).collect():
+        want[r.doc_id, r.source, r.text] += r.copies
     got = mixing.take_mixed(docs)
     assert got.columns == docs.columns
-    assert {r[0]: r[1] for r in got.groupBy(F.size(F.split("text", " "))).count().collect()} == {r[0]: r[1] for r in want if r[1]}
+    assert Counter((r.doc_id, r.source, r.text) for r in got.collect()) == +want
+    size = Counter()
+    for r in docs.collect():
+        size[r.source] += len(r.text.split())
+    taken = Counter()
+    for (_, source, text), n in want.items():
+        taken[source] += n * len(text.split())
+    for source, target in plain_targets(size).items():
+        assert abs(taken[source] - target) <= 200

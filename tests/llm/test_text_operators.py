@@ -1,6 +1,7 @@
 """SimHash, exact dedup, sharding and mixing against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -8,9 +9,11 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import frame, rows
 from tidewater.llm import dedup, mixing, sharding, simhash
+from tidewater.llm.common import ROW, numbered
 from tidewater.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,12 +83,82 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_keep_first(spark):
-    got = simhash.keep_first(frame(spark))
-    assert got.columns == frame(spark).columns
+def shingle_set(text, n=5):
+    words = WORD.findall((text or "").translate(LOWER))
+    return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def plain_groups(texts, least=0.8):
+    """The first index of each text's group: chains of Jaccard similarity over sets of shingles."""
+    sets = [shingle_set(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or x and sets[j] and len(x & sets[j]) >= least * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+def near_texts():
+    """Texts with copies that differ in one to sixty words, chains of them, and many near copies of one text."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(4000)]
+    prose = lambda n: [rnd.choice(words) for _ in range(n)]
+    out = []
+    for n in (6, 12, 40, 150, 400, 1500):
+        for _ in range(6):
+            base = prose(n)
+            out.append(" ".join(base))
+            for share in (0.005, 0.01, 0.02, 0.03, 0.06):
+                at = set(rnd.sample(range(n), max(1, int(n * share))))
+                out.append(" ".join(rnd.choice(words) if i in at else w for i, w in enumerate(base)))
+    hot = prose(120)
+    for _ in range(700):
+        k = rnd.randrange(120)
+        out.append(" ".join([*hot[:k], rnd.choice(words), *hot[k + 1 :]]))
+    return out + [" ".join(prose(rnd.randint(1, 80))) for _ in range(300)] + ["", None, " \n", "a", "A", "a b", "A  b"]
+
+
+def test_alike_equals_brute_force(spark):
+    texts = near_texts()
+    docs = frame(spark, [(i, t, None, None, None, *["x"] * 5) for i, t in enumerate(texts)])
+    want = plain_groups(texts)
+    rows = numbered(docs)
+    ids = {r[0]: r[1] for r in rows.select(ROW, "doc_id").collect()}
+    got = {r.id: ids[r["first"]] for r in simhash.alike(rows).collect()}
+    assert len(got) == len(texts)
+    # every link found is right: no group joins two groups of the brute force
+    assert all(want[i] == want[got[i]] for i in got)
+    sets = [shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if want[i] == want[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(got[i] == got[j] for i, j in pairs) >= 0.98 * len(pairs) > 1000
+
+
+def test_keep_apart(spark):
     data = rows()
-    comp = plain_components([r[0] for r in data], [plain_fingerprint(r[1]) for r in data])
-    assert Counter(r.doc_id for r in got.collect()) == Counter(set(c for r, c in zip(data, comp) if r[0] == c))
+    groups = plain_groups([r[1] for r in data])
+    order = lambda r: -(2**63) if r[0] is None else r[0]
+    best = {}
+    for g, r in zip(groups, data):
+        best[g] = min(best.get(g, r), r, key=order)
+    kept = simhash.keep_apart(frame(spark))
+    assert kept.columns == frame(spark).columns
+    assert Counter((r.doc_id, shingle_set(r.text)) for r in kept.collect()) == Counter((r[0], shingle_set(r[1])) for r in best.values())
+    assert simhash.keep_apart(frame(spark, [])).count() == 0
+
+
+def test_blocks_of_a_hot_component(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TEXTS", 8)
+    texts = near_texts()[200:320]
+    docs = frame(spark, [(i, t, None, None, None, *["x"] * 5) for i, t in enumerate(texts)])
+    assert simhash.keep_apart(docs).count() == len(set(plain_groups(texts)))
 
 
 def plain_exact():
@@ -136,12 +209,46 @@ def test_index_is_opened_again_at_its_path(spark, tmp_path):
 
 def test_index_without_its_bucket_count_is_not_overwritten(spark, tmp_path):
     path = f"file://{tmp_path}/digests"
-    spark.createDataFrame([("x", 1, 1, 1)], dedup.SCHEMA).write.parquet(path)
+    spark.createDataFrame([("x", 1, 1)], dedup.SCHEMA).write.parquet(path)
     with pytest.raises(ValueError):
         dedup.DigestIndex(spark, path)
     assert spark.read.parquet(path).count() == 1
 
 
+def test_loads_of_an_index_equal_one(spark, tmp_path):
+    docs, parts = frame(spark), 3
+    found = []
+    for loads in (1, parts):
+        index = dedup.DigestIndex(spark, f"file://{tmp_path}/loads-{loads}")
+        got = dedup.digests(docs)
+        for i in range(loads):
+            index.add(got.where(F.pmod(F.xxhash64("length", "id"), F.lit(loads)) == i), better=True)
+        found.append(Counter((r.digest, r.keep_id) for r in index.entries().collect()))
+        assert index.table().count() >= len(found[-1])
+        index.close()
+    best = plain_exact()
+    assert found[0] == found[1] == Counter((hashlib.sha256(t.encode()).hexdigest(), -(2**63) if keep is None else keep) for t, (keep, _) in best.items())
+
+
+def test_index_outlives_the_session_and_is_not_shuffled(spark, tmp_path):
+    path, docs = f"file://{tmp_path}/digests", frame(spark)
+    tables = lambda s: {t.name for t in s.catalog.listTables() if t.name.startswith("digests_")}
+    before = tables(spark)
+    index = dedup.DigestIndex(spark, path, buckets=4)
+    n = dedup.keep_distinct(docs, index=index).count()
+    index.close()
+    assert tables(spark) == before
+    other = dedup.DigestIndex(spark.newSession(), path)
+    assert other.table().count() == n
+    assert dedup.keep_distinct(docs, index=other).count() == 0
+    new = spark.createDataFrame([("x", 1, 1)], dedup.SCHEMA)
+    plan = other.fresh(new)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1  # of the new rows alone
+    other.close()
+    dedup.exact_duplicates(docs).count()
+    assert tables(spark) == before
+
+
 def test_sharding(spark):
     got = sharding.shard_documents(frame(spark)).collect()
     data = rows()
@@ -166,6 +273,44 @@ def test_shards_are_even(spark):
     assert len(load) == 24 and max(load.values()) <= 1.01 * min(load.values())
 
 
+def plain_schedule(sizes, shards):
+    """Longest processing time, one group after the other: size -> shards of its groups, in ascending order."""
+    loads, out = [0] * shards, defaultdict(list)
+    for size in sorted(sizes, reverse=True):
+        s = loads.index(min(loads))
+        loads[s] += size
+        out[size].append(s)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_schedule_equals_a_plain_heap(seed):
+    rnd = random.Random(seed)
+    sizes = Counter(rnd.choice([9, 10, 11, 50, 1000, rnd.randint(9, 5000)]) for _ in range(3000)) + Counter({9: 2000, 10**6: 3})
+    got = sharding.schedule(list(sizes.items()), 7)
+    assert {k: [s for s, c in enumerate(v) for _ in range(c)] for k, v in got.items()} == plain_schedule(sizes.elements(), 7)
+
+
+def test_every_group_is_placed_by_the_heap(spark):
+    rnd = random.Random(3)
+    texts = ["t" * rnd.randint(0, 60) + str(rnd.randrange(400)) for _ in range(3000)] + ["copy"] * 900 + [None] * 7
+    got = sharding.shard_documents(frame(spark, [(i, t, None, None, None, *["x"] * 5) for i, t in enumerate(texts)])).collect()
+    size, shard = Counter(), {}
+    for r in got:
+        t = texts[r.doc_id] or ""
+        size[t] += r.size
+        assert shard.setdefault(t, r.shard) == r.shard
+    placed = defaultdict(list)
+    for t in sorted(size, key=lambda t: hashlib.sha256(t.encode()).hexdigest()):
+        placed[size[t]].append(shard[t])
+    assert dict(placed) == plain_schedule(size.values(), 24)
+
+
+def test_repeats_of_one_row_get_slots_of_their_own(spark):
+    got = sharding.shard_documents(frame(spark, [(None, "same", None, None, None, *["x"] * 5)] * 500), shards=3).collect()
+    assert sorted(r.slot for r in got) == list(range(500)) and {r.doc_id for r in got} == {None}
+
+
 def plain_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}

@@ -2,15 +2,16 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers
 
 from tests.llm.fixtures import frame, rows
-from tidewater.llm import bpe, ogg, tokencount
+from tidewater.llm import bpe, letters, ogg, tokencount
 from tidewater.llm.vocab import Vocab, tokenizer_file
 
 HARD = "aabcdeéèßüñİΣςſKÅ'’\"sStTrRvVlLeEmd  \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000\u0663Ⅷ½²9 0123!?.,-_#\U0001f600\u0301\u0327漢字ひナ\u0646\u0635"
@@ -28,6 +29,35 @@ def test_counts_equal_the_library():
     assert own.counts(texts()).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts()]
 
 
+def every_character():
+    """Texts that together have every code point after, before and between letters, doubled, and before a mark."""
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    random.Random(4).shuffle(points)
+    return ["".join(f"a{c}b {c}{c}!{c}" for c in points[i : i + 16]) + "\u0323" for i in range(0, len(points), 16)]
+
+
+def test_every_character_counts_as_in_the_library():
+    lib = Tokenizer.from_file(tokenizer_file(tokencount.FILE))
+    own = tokencount.Counter(Vocab(open(tokenizer_file(tokencount.FILE), "rb").read()))
+    values = every_character()
+    assert own.counts(values).tolist() == [len(x.ids) for x in lib.encode_batch(values, add_special_tokens=False)]
+
+
+def test_every_character_splits_as_in_the_library():
+    lib = Tokenizer.from_file(tokenizer_file(bpe.FILE)).pre_tokenizer
+    for text in every_character()[::5]:
+        assert [len(x.encode()) for x in letters.pieces(text)] == [len(x) for x, _ in lib.pre_tokenize_str(text)]
+
+
+def test_marks_are_ordered_as_in_the_library():
+    lib, rnd = normalizers.NFC(), random.Random(6)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    bases = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c))[0] == "L"] + list("aceou") * 2000
+    for _ in range(20_000):
+        text = "".join(rnd.choice(bases) + "".join(rnd.choice(marks) for _ in range(rnd.randint(0, 3))) for _ in range(2))
+        assert letters.composed(text) == lib.normalize_str(text)
+
+
 @pytest.mark.parametrize("chunk", [1, 3, 128, 10_000])
 def test_chunks_do_not_change_the_output(chunk):
     kinds = np.random.default_rng(chunk).integers(0, 10, 5000).astype(np.uint8)

@@ -13,25 +13,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import blocks, real_id, texts
-from tidewater.llm.vocab import SPACE, Vocab, byte_chars, compiled, ship, tokenizer_file
+from tidewater.llm.letters import pieces
+from tidewater.llm.vocab import Vocab, byte_chars, compiled, ship, tokenizer_file
 
 FILE = "byte_bpe_50k.json"
 #: Words that a worker remembers.
 REMEMBER = 400_000
 
-#: The splitting pattern of this family of vocabularies; fixed values.
-ANY = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-
-
-def pieces(text: str) -> list[str]:
-    return ASCII.findall(text) if text.isascii() else ANY.findall(text)
-
 
 class Encoder:
     def __init__(self, vocab: Vocab):

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Stands for a null id inside the operators; ids come back as null.
 NULL_ID = -(2**63)
 
+#: The column of a row's number inside the operators.
+ROW = "__row"
+
 #: What ``[\x20\x09-\x0D]`` names, in Java and DuckDB regular expressions.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,26 +23,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) alone, so that no other column can clash; a null text is empty."""
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, text, *more) alone, so that no other column can clash; a null text is empty."""
     return df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *more,
     )
 
 
-def row_key(*cols: Column | str) -> Column:
-    """A digest of the values of cols, which two rows share only where all of these are equal, nulls among them."""
-    cols = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
-    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(c), F.lit(":"), c), F.lit("-")) for c in cols]), 256)
-
+def numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
+    """docs with a number of its own for every row, written once: reading again, or a lost executor, changes no number.
 
-def keep_keys(docs: DataFrame, kept: DataFrame, **keys: Column) -> DataFrame:
-    """Rows of docs whose keys, which are never null, are together in kept; of rows that share all keys, one."""
-    names = {k: f"__kept_{k}" for k in keys}
-    wide = docs.withColumns({names[k]: c for k, c in keys.items()})
-    chosen = kept.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct()
-    return wide.join(chosen, list(names.values()), "left_semi").dropDuplicates(list(names.values())).drop(*names.values())
+    Decisions on rows are taken and joined back by this number, so null, repeated or clashing ids and equal texts
+    neither lose nor multiply a row, and no key of such a join is hot. Any column but `row` may be there.
+    """
+    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
 
 
 def real_id(c: Column | str) -> Column:
@@ -48,9 +47,21 @@ def real_id(c: Column | str) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; one of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return (found or "/tmp/checkpoints").rstrip("/")
+    """This application's part of the folder in spark.checkpoint.dir, which all executors share.
+
+    Only a local session may do without the setting: there is one machine then, and a folder of our own serves.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
+    return f"{(found or '/tmp/checkpoints').rstrip('/')}/{context.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what this application has written for its own use; frames that still read it can't be used any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
@@ -61,13 +72,6 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is in kept(id), one per id: rows that repeat an id are one document."""
-    key = "__kept_id"
-    wide = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    return wide.join(kept.select(F.col("id").alias(key)).distinct(), key, "left_semi").dropDuplicates([key]).drop(key)
-
-
 def blocks(ids: list, values: list, limit: int = 1 << 21) -> Iterator[tuple[list, list]]:
     """Splits one Arrow batch so that a block holds about limit characters; a longer text is a block of its own."""
     at, held = 0, 0

@@ -9,14 +9,14 @@ from tidewater.llm.common import cut
 
 
 def _state(edges: DataFrame) -> tuple:
-    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum((F.col("a") % 1000003) + (F.col("b") % 998244353))).first()
+    return edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(998244353)))).first()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(a, b) links -> (node, root) for every node that is not its component's smallest; others are their own root.
 
     Each round keeps at most as many edges as it got and moves every node nearer to the smallest it can
-    reach; rounds grow with the logarithm of the longest path. A hot node is a hot key of a sort-merge join
+    reach; nodes are of any one type that has an order; rounds grow with the logarithm of the longest path. A hot node is a hot key of a sort-merge join
     only, which adaptive execution splits; the minima are combined before they are shuffled.
     Empty input gives an empty table; loops and repeated links change nothing.
     """

@@ -1,8 +1,9 @@
 """Exact dedup against a persistent digest index, bucketed and sorted by hash. DataFrame functions only.
 
-The index holds one row per distinct text: digest, document kept, its length, copies seen. It is a bucketed, sorted
-table in the shared folder; new digests are counted before they are shuffled, find their match in a
-sort-merge join for which the index is neither shuffled nor sorted, and the rest is appended.
+The index holds the digest of every text seen, with the document that stays for it. It is a table in the shared
+folder, bucketed and sorted by digest, which outlives the session. New digests are counted before they are
+shuffled and meet the index in a sort-merge anti-join for which the index is not shuffled; what is left is
+appended. Each append adds one sorted file to a bucket, and a bucket of several files is sorted again as it is read.
 """
 
 from __future__ import annotations
@@ -13,15 +14,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import BLANK, NULL_ID, cut, keep_keys, real_id, shared_dir, texts
+from tidewater.llm.common import BLANK, ROW, cut, numbered, real_id, shared_dir, texts
 
-SCHEMA = "digest string, keep_id long, keep_length long, copies long"
+SCHEMA = "digest string, keep_id long, keep_length long"
+#: Loads in which a table is added to an index of its own.
+LOADS = 2
 
 
 class DigestIndex:
-    """A table of digests, `buckets` files by hash, each append sorted within; opened or made at path.
+    """A table of digests in `buckets` buckets by hash, opened or made at path.
 
     An index that is opened keeps its rows and the number of buckets it was made with, which stands beside its files.
+    close() takes the table's name out of the catalog and leaves the files.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
@@ -35,7 +39,7 @@ class DigestIndex:
             at = self.path.replace("\\", "\\\\").replace("'", "\\'")
             spark.sql(f"CREATE TABLE {self.name} ({SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{at}'")
         else:
-            self.append(spark.createDataFrame([], SCHEMA))
+            self.append(spark.range(0).select(*[F.lit(None).cast(kind).alias(name) for name, kind in (x.split() for x in SCHEMA.split(", "))]))
             if path:  # an index without a path of its own cannot be opened again
                 spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(f"{self.path}/_buckets")
 
@@ -50,53 +54,76 @@ class DigestIndex:
 
     def append(self, rows: DataFrame) -> None:
         (
-            rows.select("digest", "keep_id", "keep_length", "copies").repartition(self.buckets, "digest")
+            rows.select("digest", "keep_id", "keep_length").repartition(self.buckets, "digest")
             .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
             .option("path", self.path).saveAsTable(self.name)
         )
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def table(self) -> DataFrame:
+        """Every row appended; a digest has several where better documents replaced the first one."""
         return self.spark.table(self.name)
 
-    def add(self, digests: DataFrame) -> DataFrame:
-        """Takes (id, length, digest) rows, appends those texts that are new, and returns the rows of the new texts' index entries.
+    def entries(self) -> DataFrame:
+        """(digest, keep_id): the document that stays for each text, without a shuffle."""
+        return self.table().groupBy("digest").agg(F.max(_order("keep_length", "keep_id")).alias("best")).select("digest", F.col("best.id").alias("keep_id"))
+
+    def fresh(self, new: DataFrame, better: bool = False) -> DataFrame:
+        """Rows of new (digest, keep_id, keep_length) that the index does not know; better: nor knows a document that stays over theirs."""
+        held = self.table().select("digest", F.col("keep_id").alias("__held_id"), F.col("keep_length").alias("__held_length")).alias("held").hint("merge")
+        on = F.col("new.digest") == F.col("held.digest")
+        if better:
+            on &= (F.col("__held_length") > F.col("keep_length")) | ((F.col("__held_length") == F.col("keep_length")) & (F.col("__held_id") <= F.col("keep_id")))
+        return new.alias("new").hint("merge").join(held, on, "left_anti")
 
-        The text of the row with the most code points stays, then the smallest id; a text that the index
-        already has keeps the document it has.
+    def add(self, digests: DataFrame, better: bool = False) -> DataFrame:
+        """Takes (id, length, digest[, row number]) rows, appends those texts that are new, and returns the rows appended.
+
+        Of new rows with the same text that with the most code points stays, then the smallest id, then the first row. A
+        text that the index has keeps its document; with better, a document that stays over it by the same rule replaces it.
         """
-        best = F.max(F.struct(F.col("length").alias("length"), F.bitwise_not("id").alias("order"), "id"))
-        new = digests.groupBy("digest").agg(best.alias("best"), F.count("*").alias("copies"))
-        new = new.select("digest", F.col("best.id").alias("keep_id"), F.col("best.length").alias("keep_length"), "copies")
-        fresh = cut(new.hint("merge").join(self.table().select("digest").hint("merge"), "digest", "left_anti"), "fresh")
-        self.append(fresh)
-        return fresh
+        row = F.col(ROW) if ROW in digests.columns else F.lit(0).cast("long")
+        new = digests.groupBy("digest").agg(F.max(_order("length", "id", row)).alias("best"))
+        new = new.select("digest", F.col("best.id").alias("keep_id"), F.col("best.length").alias("keep_length"), F.bitwise_not("best.row").alias(ROW))
+        found = cut(self.fresh(new, better), "fresh")
+        self.append(found)
+        return found
 
 
-def _digest(text: Column) -> Column:
-    return F.sha2(F.regexp_replace(text, f"{BLANK}+", ""), 256)
+def _order(length: str, id_: str, row: Column | None = None) -> Column:
+    """What is largest for the row that stays."""
+    last = [F.bitwise_not(row).alias("row")] if row is not None else []
+    return F.struct(F.col(length).alias("length"), F.bitwise_not(F.col(id_)).alias("order"), F.col(id_).alias("id"), *last)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, length, digest) of every row: code points of the text, SHA-256 of the text without its blanks."""
-    return texts(docs, id_col, text_col).select(
-        "id", F.length("text").cast("long").alias("length"), _digest(F.col("text")).alias("digest")
-    )
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, length, digest, *more) of every row: code points of the text, SHA-256 of the text without its blanks."""
+    text = F.col("text")
+    return texts(docs, id_col, text_col, *more).select("id", F.length(text).cast("long").alias("length"), F.sha2(F.regexp_replace(text, f"{BLANK}+", ""), 256).alias("digest"), *more)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row.
 
-    Texts are equal without their blanks; a null text is empty. Of equal texts the row with the most code
-    points stays, then the smallest id; with a filled index, the document that it already keeps. group_size counts this
+    Texts are equal without their blanks; a null text is empty; texts of any length are read whole. Of equal texts the row with the most code
+    points stays, then the smallest id; with an index given, the document that it already keeps. Without one, the rows go into an index of
+    this call's own in LOADS loads by hash, so that the later loads meet what the earlier ones left. group_size counts this
     call's rows. Rows that repeat an id are one document and share its verdict; a null id comes before all others and stays
     null; an empty table gives an empty one; other columns are not read.
     """
-    spark = docs.sparkSession
-    index = index or DigestIndex(spark)
+    own = DigestIndex(docs.sparkSession) if index is None else index
     rows = cut(digests(docs, id_col, text_col), "digests")
-    index.add(rows)
+    if index is None:
+        for load in range(LOADS):
+            own.add(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(LOADS)) == load), better=True)
+    else:
+        own.add(rows)
     sizes = rows.groupBy("digest").agg(F.count("*").alias("n"))
-    held = cut(sizes.hint("merge").join(index.table().select("digest", "keep_id").hint("merge"), "digest"), "held")
+    held = cut(sizes.hint("merge").join(own.entries().hint("merge"), "digest"), "held")
+    if index is None:
+        own.close()
     # the verdict goes back to the rows by a plain shuffled join, which adaptive execution can split at a hot digest
     return rows.join(held, "digest").select(
         real_id("id").alias("doc_id"),
@@ -108,12 +135,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:
-    """docs with one row of every distinct text, all columns kept.
+    """docs with one row of every distinct text that the index did not know, all columns kept.
 
-    A row is known by its id, length and digest, so rows that share an id or have none are told apart by their texts.
+    Texts are equal without their blanks; a null text is empty, and one row of all empty texts stays. Of equal texts the row with the
+    most code points stays, then the smallest id, null first, then the first row, so null or repeated ids and repeated rows
+    cost no distinct text. An empty table gives an empty one; other columns may have any name but ``__row``.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    fresh = index.add(cut(digests(docs, id_col, text_col), "digests"))
-    kept = fresh.select(F.col("keep_id").alias("id"), F.col("keep_length").alias("length"), "digest")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return keep_keys(docs, kept, id=F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), length=F.length(text).cast("long"), digest=_digest(text))
+    own = DigestIndex(docs.sparkSession) if index is None else index
+    rows = numbered(docs)
+    fresh = own.add(cut(digests(rows, id_col, text_col, ROW), "digests"))
+    if index is None:
+        own.close()
+    return rows.join(fresh.select(ROW), ROW, "left_semi").drop(ROW)

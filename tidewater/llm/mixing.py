@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import NULL_ID, WORD, cut, real_id, row_key
+from tidewater.llm.common import NULL_ID, ROW, WORD, cut, numbered, real_id
 
 #: Weights of the sources in the order of their names, repeating; share of all words; most copies of a source.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
@@ -62,13 +62,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return got.select(real_id("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
 
 
-def _deal(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: int, seed: str, **keys: Column) -> DataFrame:
-    """(id, size, source_size, target, copies, *keys) for every row; keys are columns of docs and order rows alike in size and id."""
+def _deal(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: int, seed: str, *more: str) -> DataFrame:
+    """(id, size, source_size, target, copies, *more) for every row; more names columns of docs, which order rows alike in size, id and text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.col(source_col).cast("string").alias("source"),
-        *[c.alias(k) for k, c in keys.items()],
+        # of id and text, so that neither rows without ids nor those that repeat one stand in one place
+        _hash(F.lit(seed), F.col(id_col).cast("long").cast("string"), F.md5(text)).alias("h"),
+        *more,
     )
     rows = cut(rows, "sizes")
     n = rows.count()
@@ -77,36 +80,26 @@ def _deal(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     # order within a source: eighths of a doubling of the size, hash part, size, hash, id
     digits = F.length(F.bin("size"))
     band = digits * 16 + F.floor(F.col("size") * 16 / F.pow(F.lit(2.0), digits)).cast("int")
-    h = _hash(F.lit(seed), F.col("id").cast("string"))
-    rows = rows.select("id", "size", *keys, _key("source").alias("key"), band.alias("band"), h.alias("h"), F.pmod(h, F.lit(parts)).alias("part"))
+    rows = rows.select("id", "size", "h", *more, _key("source").alias("key"), band.alias("band"), F.pmod("h", F.lit(parts)).alias("part"))
     counts = rows.groupBy("key", "band", "part").agg(F.count("*").alias("c"))
     start = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("band", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     goal = targets_.select(_key("source").alias("key"), "source_size", "target")
     starts = counts.select("key", "band", "part", start.alias("start")).join(goal, "key")
-    numbered = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key", "band", "part").orderBy("size", "h", "id", *keys)))
+    placed = rows.withColumn("rn", F.row_number().over(Window.partitionBy("key", "band", "part").orderBy("size", "h", "id", *more)))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = _hash(F.lit(seed), F.lit("offset"), F.col("key")) / F.lit(float(1 << 28))
     rank = F.col("start") + F.col("rn")
     copies = F.least(F.lit(most), F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)).cast("int")
-    return numbered.join(starts, ["key", "band", "part"]).select("id", "size", "source_size", "target", copies.alias("copies"), *keys)
+    return placed.join(starts, ["key", "band", "part"]).select("id", "size", "source_size", "target", copies.alias("copies"), *more)
 
 
 def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: str = "mix") -> DataFrame:
-    """docs as the mix takes them: each row as many times as it has copies, with all its columns.
+    """docs as the mix takes them: each row as many times as mix() gives it copies, with all its columns.
 
-    A row is known by id, source and text, and rows that share all three by their number among themselves.
+    Each row is taken by its own copies, whatever ids or texts it shares; a null source is a source, a null text has no words
+    and is taken as its place in the order falls, texts of any length are counted whole, ties in size go by hash, id, then row. An
+    empty table gives an empty one; other columns may have any name but ``__row`` and ``__copies``.
     """
-    row, number, copies = "__mix_row", "__mix_number", "__mix_copies"
-    key = row_key(F.col(id_col).cast("long"), source_col, text_col)
-    among = lambda order: F.row_number().over(Window.partitionBy(row).orderBy(order))
-    got = cut(_deal(docs, id_col, text_col, source_col, weights, share, most, seed, **{row: key}).select(row, F.col("copies").alias(copies)), "copies")
-    alike = cut(got.groupBy(row).agg(F.min(copies).alias("least"), F.max(copies).alias("most")), "alike")
-    # rows alike stand side by side in the mix, yet one can be taken more often than the next
-    same = alike.where("least = most and least > 0").select(row, F.col("least").alias(copies))
-    unlike = alike.where("least < most").select(row)
-    wide = docs.withColumn(row, key)
-    out = wide.join(same, row).withColumn(number, F.lit(1))
-    if not unlike.isEmpty():
-        dealt = wide.join(unlike, row, "left_semi").withColumn(number, among(row)).join(got.join(unlike, row, "left_semi").withColumn(number, among(F.desc(copies))), [row, number])
-        out = out.unionByName(dealt)
-    return out.withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(row, number, copies)
+    rows, copies = numbered(docs), "__copies"
+    got = _deal(rows, id_col, text_col, source_col, weights, share, most, seed, ROW).where("copies > 0").select(ROW, F.col("copies").alias(copies))
+    return rows.join(got, ROW).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(ROW, copies)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import NULL_ID, blocks, cut, real_id, row_key, texts
+from tidewater.llm.common import NULL_ID, ROW, blocks, cut, numbered, real_id, texts
 
 #: Random features, ridge penalty per row, kernel width in standard deviations, bins of the calibration.
 FEATURES, PENALTY, WIDTH, BINS = 256, 1e-4, 2.5, 512
@@ -67,9 +67,9 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """(id, x): the statistics of every row's whole text; where keyed, also (key), the key of that text."""
-    schema = "id long, x array<double>" + ", key string" * keyed
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """(id, x[, row]): the statistics of every row's whole text, with the column `row` of docs where one is named."""
+    schema = "id long, x array<double>" + (f", `{row}` long" if row else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,11 +78,10 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 x = np.nan_to_num(np.array([statistics(t) for t in values], np.float64).reshape(-1, len(NAMES)))
                 offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * len(NAMES))
                 carried = [c.slice(at, len(ids)) for c in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))), *carried], ["id", "x", "key"][: 2 + len(carried)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))), *carried], ["id", "x", row][: 2 + len(carried)])
                 at += len(ids)
 
-    rows = texts(docs, id_col, text_col)
-    return (rows.withColumn("key", row_key("text")) if keyed else rows).mapInArrow(run, schema)
+    return texts(docs, id_col, text_col, *[row] * bool(row)).mapInArrow(run, schema)
 
 
 class Model:
@@ -207,15 +206,18 @@ def _scores(stats: DataFrame, labels: DataFrame, label: str, carry: str) -> Data
             x = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], [carry, "score"])
 
-    return stats.select(carry, "x").mapInArrow(run, f"{carry} {stats.schema[carry].dataType.simpleString()}, score double")
+    return stats.select(carry, "x").mapInArrow(run, f"`{carry}` long, score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that the classifier rejects, all columns and repeated rows kept.
+    """docs without those that the classifier rejects, all columns kept.
 
-    A score comes from the text alone, so each row goes or stays by its own text, whatever other rows share its id.
+    Every row goes or stays by its own text: a null text counts as empty, equal texts share their verdict, repeated
+    rows stay as often as they are there, and neither null nor repeated ids touch other rows. Texts of any length
+    are read whole. Without usable labels every score is one half, so all rows stay at the threshold used here. An empty table
+    gives an empty one; other columns may have any name but ``__row``.
     """
-    stats = cut(document_statistics(docs, id_col, text_col, keyed=True), "statistics")
-    key = "__quality_key"
-    bad = _scores(stats, labels, label, "key").where(F.col("score") < threshold).select(F.col("key").alias(key)).distinct()
-    return docs.withColumn(key, row_key(F.coalesce(F.col(text_col), F.lit("")))).join(bad, key, "left_anti").drop(key)
+    rows = numbered(docs)
+    stats = cut(document_statistics(rows, id_col, text_col, ROW), "statistics")
+    bad = _scores(stats, labels, label, ROW).where(F.col("score") < threshold).select(ROW)
+    return rows.join(bad, ROW, "left_anti").drop(ROW)

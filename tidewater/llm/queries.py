@@ -66,14 +66,15 @@ ORACLE_SQL: dict[str, str] = {
               FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
     "op8_source_mix": r"""
-        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+        WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+              CAST('0x' || substr(md5(concat_ws(':', 'mix', doc_id, md5(coalesce(text, '')))), 1, 7) AS BIGINT) AS h FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
         w AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS INTEGER) + 1] AS DOUBLE) AS weight, 2 * source_size AS lim FROM s),
         l AS (SELECT *, (CAST(sum(source_size) OVER () AS BIGINT) * 1.5::DOUBLE - CAST(coalesce(sum(lim) OVER b, 0) AS BIGINT)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
               FROM w WINDOW b AS (ORDER BY lim / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (SELECT coalesce('s' || source, '') AS key, source_size, least(CAST(lim AS DOUBLE), max(level) OVER () * weight) AS target FROM l),
         m AS (SELECT doc_id, size, coalesce('s' || source, '') AS key, length(bin(size)) * 16 + CAST(floor(size * 16 / pow(2.0::DOUBLE, length(bin(size)))) AS INTEGER) AS band,
-              CAST('0x' || substr(md5('mix:' || doc_id), 1, 7) AS BIGINT) AS h FROM d),
+              h FROM d),
         r AS (SELECT m.*, t.source_size, t.target, row_number() OVER (PARTITION BY m.key ORDER BY band, h % (1 + CAST(floor(sqrt((SELECT count(*) FROM d))) AS BIGINT) // 32), size, h, doc_id) AS rn,
               CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate, CAST('0x' || substr(md5('mix:offset:' || m.key), 1, 7) AS BIGINT) / 268435456.0::DOUBLE AS o
               FROM m JOIN t ON m.key = t.key)

@@ -1,71 +1,93 @@
 """Sharding by longest processing time: groups that must stay together, largest first, go to the least-loaded shard.
 
-The heap runs over a bounded list. A group that holds at least 1 / (shards x fine) of all bytes is an item
-of its own, of which there are at most shards x fine; all smaller groups are hashed into as many bundles, which are
-items too. So the list is as long for any input, the result is whole, and the bound on the imbalance is the
-last item placed, a small bundle. Rows learn their shard from their group's hash without a shuffle.
+Groups of one size are alike to the heap, so it runs over sizes, each with the number of its groups: few groups are
+placed one by one, many at once by the level that they fill. What reaches the driver is one row per distinct size, and sizes
+that differ add up, so there are at most sqrt(2 x all bytes) of them. A group then finds its shard by its rank
+among the groups of its size, so every group is placed by the heap, whatever its size.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewater.llm.common import cut, real_id, texts
 
 SHARDS = 24
-#: Items per shard; the list of the heap has at most 2 x shards x fine entries.
-FINE = 200
+#: Groups of one size up to which they pass the heap one by one.
+SINGLY = 256
+#: Digits of a group's hash by which groups of one size are ranked in parts.
+DIGITS = 3
 
 
-def schedule(items: list[tuple[str, int]], shards: int) -> dict[str, int]:
-    """Item -> shard. items: (name, size) with distinct names; ties go by name, then to the lowest shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        out[name] = shard
+def fill(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of n groups of one size each shard gets if each goes to the least-loaded shard, the lowest of equals."""
+    got = [0] * len(loads)
+    if n > SINGLY:  # all groups that start below a level, the highest that does not take more than n
+        low, high = min(loads), max(loads) + n * size
+        below = lambda level: [max(0, -(-(level - x) // size)) for x in loads]
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if sum(below(middle)) <= n else (low, middle - 1)
+        got = below(low)
+    heap = [(x + c * size, s) for s, (x, c) in enumerate(zip(loads, got))]
+    heapq.heapify(heap)
+    for _ in range(n - sum(got)):
+        load, s = heap[0]
+        got[s] += 1
+        heapq.heapreplace(heap, (load + size, s))
+    return got
+
+
+def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """Size -> number of its groups that each shard gets. sizes: (size, number of groups), sizes distinct and above zero."""
+    loads, out = [0] * shards, {}
+    for size, n in sorted(sizes, reverse=True):
+        out[size] = fill(loads, size, n)
+        loads = [x + c * size for x, c in zip(loads, out[size])]
     return out
 
 
-def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, fine: int = FINE) -> DataFrame:
+def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for every row; law is ``bytes``: sizes near equal.
 
-    size: UTF-8 bytes plus 8. Rows of equal text (a null text is empty) share a shard, however many they
-    are; slot numbers a shard's rows from 0 without gaps. Repeated rows each get a slot; a null id stays null;
+    size: UTF-8 bytes plus 8. Rows of equal text (a null text is empty) share a shard, however many or long they
+    are. Of groups of one size the first by hash go to the lowest shard that takes some of them. slot numbers a shard's rows from
+    0 without gaps, in no promised order. Repeated rows each get a slot; a null id stays null;
     an empty table gives an empty one; other columns are not read.
     """
     spark = docs.sparkSession
     text = F.col("text")
     rows = texts(docs, id_col, text_col).select(
-        "id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("g")
+        "id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("row")
     )
     rows = cut(rows, "sizes")
     groups = rows.groupBy("g").agg(F.sum("size").alias("size"))
-    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    bundles = shards * fine
-    least = max(1, total // bundles)
-    bundle = F.pmod(F.xxhash64("g"), F.lit(bundles))
-    name = F.when(F.col("size") >= least, F.col("g")).otherwise(bundle.cast("string")).alias("item")
-    items = groups.groupBy(name).agg(F.sum("size").alias("size")).collect()  # at most 2 x bundles rows
-    placed = schedule([(r["item"], r["size"]) for r in items], shards)
-    to_shard = F.lit([placed.get(str(b), 0) for b in range(bundles)])
-    big = [(k, s) for k, s in placed.items() if len(k) == 64]
-    alone = spark.createDataFrame(big, T.StructType([T.StructField("g", T.StringType()), T.StructField("own", T.IntegerType())]))
-    rows = rows.join(F.broadcast(alone), "g", "left")  # at most `bundles` rows of about 100 bytes
-    rows = rows.withColumn("shard", F.coalesce("own", F.element_at(to_shard, bundle.cast("int") + 1)))
+    groups = cut(groups.withColumn("part", F.substring("g", 1, DIGITS)), "groups")
+    counts = cut(groups.groupBy("size", "part").agg(F.count("*").alias("c")), "counts")
+    found = counts.groupBy("size").agg(F.sum("c").alias("n")).collect()  # one row per distinct size
+    placed = schedule([(r["size"], r["n"]) for r in found], shards)
+    ends = [(size, list(accumulate(got))) for size, got in placed.items()]
+    ends = spark.createDataFrame(ends, "size long, ends array<long>")  # for each size, the rank at which each shard's groups end
+    # a group's rank within its size in two steps, so that no size is one task's work
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("size", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    ranked = groups.withColumn("rn", F.row_number().over(Window.partitionBy("size", "part").orderBy("g"))).join(starts, ["size", "part"])
+    ranked = ranked.select("g", "size", (F.col("start") + F.col("rn") - 1).alias("rank"))
+    shard = F.size(F.filter("ends", lambda end: end <= F.col("rank")))
+    of_group = cut(ranked.join(ends, "size").select("g", shard.alias("shard")), "of-group")
     # gapless slots in two steps: parts of about the root of a shard's rows are counted, then numbered within
+    n = rows.count()
     parts = max(1, math.isqrt(n // shards))
-    rows = cut(rows.select("id", "size", "crc", "shard", F.pmod(F.xxhash64("id", "crc"), F.lit(parts)).alias("part")), "shards")
+    rows = cut(rows.join(of_group, "g").select("id", "size", "crc", "shard", "row", F.pmod(F.xxhash64("row"), F.lit(parts)).alias("part")), "shards")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("shard", "part").agg(F.count("*").alias("c")).select("shard", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("id", "crc", "size"))
+    within = F.row_number().over(Window.partitionBy("shard", "part").orderBy("row"))
     return (
         rows.withColumn("rn", within)
         .join(starts, ["shard", "part"])

@@ -11,7 +11,6 @@ deterministic as words need it, and a word's count is the sum along its path.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import blocks, real_id, texts
+from tidewater.llm.letters import SPACES, composed, letters_numbers, lowered
 from tidewater.llm.vocab import Vocab, compiled, ship, tokenizer_file
 
 FILE = "word_bpe_49k.json"
@@ -68,12 +68,10 @@ def word_machine() -> tuple[np.ndarray, np.ndarray]:
 def classes() -> np.ndarray:
     """The class of every code point."""
     kind = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x110000):
-        major = unicodedata.category(chr(c))[0]
-        if major in "LN":
-            kind[c] = LETTER if major == "L" else NUMBER
-    for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):  # White_Space
-        kind[c] = BLANK
+    letters, numbers = letters_numbers()
+    kind[letters], kind[numbers] = LETTER, NUMBER
+    for first, last in SPACES:
+        kind[first : last + 1] = BLANK
     for chars, k in (("stmd", STMD), ("r", R), ("v", V), ("l", L), ("e", E), ("'", QUOTE)):
         for c in chars:
             kind[ord(c)] = k
@@ -180,17 +178,10 @@ class Counter:
     def __init__(self, vocab: Vocab):
         self.machine, self.transducer, self.kinds = word_machine(), Transducer(vocab), classes()
         self.special = re.compile("|".join(map(re.escape, sorted(vocab.added, key=len, reverse=True)))) if vocab.added else None
-        self.lower: dict[int, str] = {}
 
     def normal(self, text: str) -> str:
         """NFC, then lower case character by character, as the vocabulary's normaliser does."""
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        for c in set(text):
-            if ord(c) not in self.lower:
-                self.lower[ord(c)] = c.lower()
-        return text.translate(self.lower)
+        return text.lower() if text.isascii() else lowered(composed(text))
 
     def counts(self, values: list[str]) -> np.ndarray:
         """Tokens of each text."""

@@ -38,7 +38,9 @@ def _mask(key: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame(list(rules), "rule_host string, rule_path string, rule_verdict string")
+    names = ["rule_host", "rule_path", "rule_verdict"]
+    columns = F.arrays_zip(*[F.lit([r[i] for r in rules]).alias(n) for i, n in enumerate(names)])
+    return spark.range(1).select(F.inline(columns).alias(*names))
 
 
 def bloom(rules: DataFrame) -> list[int]:

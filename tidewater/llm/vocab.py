@@ -11,8 +11,6 @@ from pyspark.sql import SparkSession
 
 #: Above every merge rank.
 NEVER = 1 << 30
-#: Unicode's White_Space property; fixed values.
-SPACE = "\t-\r \x85\xa0  -     　"
 
 
 def tokenizer_file(name: str) -> str:
