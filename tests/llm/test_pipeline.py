@@ -127,9 +127,9 @@ def test_mix_takes_each_row_by_its_own_copies(spark, small):
     more = [(None, prose[i % 40] + f" x{i % 9}", "en", f"s{i % 3}", None, *["x"] * 5) for i in range(90)]
     docs = docs.union(frame(spark, [(1, prose[3], "en", "b", None, *["x"] * 5)] * 5 + more))
     rows = numbered(docs)
-    decided = mixing._deal(rows, "doc_id", "text", "source", mixing.WEIGHTS, mixing.SHARE, mixing.MOST, "mix", ROW)
+    decided = mixing._deal(rows, "doc_id", "text", "source", mixing.WEIGHTS, mixing.SHARE, mixing.MOST, "mix", *ROW)
     want = Counter()
-    for r in rows.join(decided.select(ROW, "copies"), ROW).collect():
+    for r in rows.join(decided.select(*ROW, "copies"), ROW).collect():
         want[r.doc_id, r.source, r.text] += r.copies
     got = mixing.take_mixed(docs)
     assert got.columns == docs.columns

@@ -130,10 +130,11 @@ def test_alike_equals_brute_force(spark):
     texts = near_texts()
     docs = frame(spark, [(i, t, None, None, None, *["x"] * 5) for i, t in enumerate(texts)])
     want = plain_groups(texts)
-    rows = numbered(docs)
-    ids = {r[0]: r[1] for r in rows.select(ROW, "doc_id").collect()}
-    got = {r.id: ids[r["first"]] for r in simhash.alike(rows).collect()}
-    assert len(got) == len(texts)
+    found = simhash.alike(numbered(docs)).collect()
+    first = {r.group: r.id for r in found if r.stays}
+    got = {r.id: first[r.group] for r in found}
+    assert len(got) == len(texts) and len(first) == sum(r.stays for r in found) == len({r.group for r in found})
+    assert all(first[g] == min(i for i in got if got[i] == first[g]) for g in first)
     # every link found is right: no group joins two groups of the brute force
     assert all(want[i] == want[got[i]] for i in got)
     sets = [shingle_set(t) for t in texts]
@@ -154,6 +155,15 @@ def test_keep_apart(spark):
     assert simhash.keep_apart(frame(spark, [])).count() == 0
 
 
+def test_rows_of_files_and_of_frames_are_numbered(spark, small):
+    files, frames = spark.read.parquet(f"{small}/documents.parquet"), frame(spark)
+    for docs in (files, frames, files.union(files), files.where("doc_id < 50"), files.limit(7)):
+        got = numbered(docs)
+        assert got.columns == [*docs.columns, *ROW]
+        assert got.select(*ROW).distinct().count() == docs.count()
+    assert numbered(files).drop("text").subtract(numbered(files).drop("text")).isEmpty()
+
+
 def test_blocks_of_a_hot_component(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TEXTS", 8)
     texts = near_texts()[200:320]

@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null id inside the operators; ids come back as null.
 NULL_ID = -(2**63)
 
-#: The column of a row's number inside the operators.
-ROW = "__row"
+#: The columns that tell rows apart inside the operators.
+ROW = ["__file", "__row"]
 
 #: What ``[\x20\x09-\x0D]`` names, in Java and DuckDB regular expressions.
 BLANK = r"[\x20\x09-\x0D]"
@@ -32,13 +33,20 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more:
     )
 
 
-def numbered(docs: DataFrame, row: str = ROW) -> DataFrame:
-    """docs with a number of its own for every row, written once: reading again, or a lost executor, changes no number.
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with the columns ROW, which no two rows share and no second reading changes.
 
-    Decisions on rows are taken and joined back by this number, so null, repeated or clashing ids and equal texts
-    neither lose nor multiply a row, and no key of such a join is hot. Any column but `row` may be there.
+    Rows of Parquet files are known by a hash of their file's path and their place in it, at no cost; rows of any other
+    frame are numbered as they are written once. Decisions on rows are taken and joined back by ROW, so null, repeated or
+    clashing ids and equal texts neither lose nor multiply a row, and no key of such a join is hot.
     """
-    return cut(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
+        except AnalysisException as e:  # files of a kind that has no such places
+            if not e.getCondition().startswith(("FIELD_NOT_FOUND", "UNRESOLVED_COLUMN")):
+                raise
+    return cut(docs.select("*", F.lit(0).cast("long").alias(ROW[0]), F.monotonically_increasing_id().alias(ROW[1])), "rows")
 
 
 def real_id(c: Column | str) -> Column:

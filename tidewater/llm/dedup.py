@@ -79,23 +79,22 @@ class DigestIndex:
         return new.alias("new").hint("merge").join(held, on, "left_anti")
 
     def add(self, digests: DataFrame, better: bool = False) -> DataFrame:
-        """Takes (id, length, digest[, row number]) rows, appends those texts that are new, and returns the rows appended.
+        """Takes (id, length, digest[, *ROW]) rows, appends those texts that are new, and returns the rows appended.
 
-        Of new rows with the same text that with the most code points stays, then the smallest id, then the first row. A
+        Of new rows with the same text that with the most code points stays, then the smallest id, then any one row. A
         text that the index has keeps its document; with better, a document that stays over it by the same rule replaces it.
         """
-        row = F.col(ROW) if ROW in digests.columns else F.lit(0).cast("long")
-        new = digests.groupBy("digest").agg(F.max(_order("length", "id", row)).alias("best"))
-        new = new.select("digest", F.col("best.id").alias("keep_id"), F.col("best.length").alias("keep_length"), F.bitwise_not("best.row").alias(ROW))
+        row = [c for c in ROW if c in digests.columns]
+        new = digests.groupBy("digest").agg(F.max(_order("length", "id", *row)).alias("best"))
+        new = new.select("digest", F.col("best.id").alias("keep_id"), F.col("best.length").alias("keep_length"), *[F.col(f"best.{c}") for c in row])
         found = cut(self.fresh(new, better), "fresh")
         self.append(found)
         return found
 
 
-def _order(length: str, id_: str, row: Column | None = None) -> Column:
+def _order(length: str, id_: str, *row: str) -> Column:
     """What is largest for the row that stays."""
-    last = [F.bitwise_not(row).alias("row")] if row is not None else []
-    return F.struct(F.col(length).alias("length"), F.bitwise_not(F.col(id_)).alias("order"), F.col(id_).alias("id"), *last)
+    return F.struct(F.col(length).alias("length"), F.bitwise_not(F.col(id_)).alias("order"), F.col(id_).alias("id"), *row)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
@@ -138,12 +137,12 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with one row of every distinct text that the index did not know, all columns kept.
 
     Texts are equal without their blanks; a null text is empty, and one row of all empty texts stays. Of equal texts the row with the
-    most code points stays, then the smallest id, null first, then the first row, so null or repeated ids and repeated rows
-    cost no distinct text. An empty table gives an empty one; other columns may have any name but ``__row``.
+    most code points stays, then the smallest id, null first, then any one row, so null or repeated ids and repeated rows
+    cost no distinct text. An empty table gives an empty one; other columns may have any name but those of ROW.
     """
     own = DigestIndex(docs.sparkSession) if index is None else index
     rows = numbered(docs)
-    fresh = own.add(cut(digests(rows, id_col, text_col, ROW), "digests"))
+    fresh = own.add(cut(digests(rows, id_col, text_col, *ROW), "digests"))
     if index is None:
         own.close()
-    return rows.join(fresh.select(ROW), ROW, "left_semi").drop(ROW)
+    return rows.join(fresh.select(*ROW), ROW, "left_semi").drop(*ROW)

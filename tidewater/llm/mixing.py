@@ -98,8 +98,8 @@ def take_mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each row is taken by its own copies, whatever ids or texts it shares; a null source is a source, a null text has no words
     and is taken as its place in the order falls, texts of any length are counted whole, ties in size go by hash, id, then row. An
-    empty table gives an empty one; other columns may have any name but ``__row`` and ``__copies``.
+    empty table gives an empty one; other columns may have any name but those of ROW and ``__copies``.
     """
     rows, copies = numbered(docs), "__copies"
-    got = _deal(rows, id_col, text_col, source_col, weights, share, most, seed, ROW).where("copies > 0").select(ROW, F.col("copies").alias(copies))
-    return rows.join(got, ROW).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(ROW, copies)
+    got = _deal(rows, id_col, text_col, source_col, weights, share, most, seed, *ROW).where("copies > 0").select(*ROW, F.col("copies").alias(copies))
+    return rows.join(got, ROW).withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(*ROW, copies)

@@ -67,9 +67,10 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
-    """(id, x[, row]): the statistics of every row's whole text, with the column `row` of docs where one is named."""
-    schema = "id long, x array<double>" + (f", `{row}` long" if row else "")
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """(id, x, *more): the statistics of every row's whole text; more names columns of docs, integers, to go with it."""
+    names = ["id", "x", *more]
+    schema = "id long, x array<double>" + "".join(f", `{name}` long" for name in more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +79,10 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 x = np.nan_to_num(np.array([statistics(t) for t in values], np.float64).reshape(-1, len(NAMES)))
                 offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * len(NAMES))
                 carried = [c.slice(at, len(ids)) for c in batch.columns[2:]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))), *carried], ["id", "x", row][: 2 + len(carried)])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(x.reshape(-1))), *carried], names)
                 at += len(ids)
 
-    return texts(docs, id_col, text_col, *[row] * bool(row)).mapInArrow(run, schema)
+    return texts(docs, id_col, text_col, *more).mapInArrow(run, schema)
 
 
 class Model:
@@ -190,12 +191,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     stats = cut(document_statistics(docs, id_col, text_col), "statistics")
     held = F.when(F.col("id") == NULL_ID, False).otherwise(fold(F.col("id")) == 0)
-    got = _scores(stats, labels, label, "id")
+    got = _scores(stats, labels, label, ["id"])
     return got.select(real_id("id").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def _scores(stats: DataFrame, labels: DataFrame, label: str, carry: str) -> DataFrame:
-    """(carry, score) for every row of the statistics; carry is a column of theirs."""
+def _scores(stats: DataFrame, labels: DataFrame, label: str, carry: list[str]) -> DataFrame:
+    """(*carry, score) for every row of the statistics; carry names columns of theirs, integers."""
     key = F.col("doc_id").cast("long")
     taught = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(key.alias("id")).agg(F.max(label).cast("double").alias("y"))
     taught = taught.withColumn("fold", fold(F.col("id"))).where("fold <> 0")
@@ -203,10 +204,10 @@ def _scores(stats: DataFrame, labels: DataFrame, label: str, carry: str) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(model.score(x), 9))], [carry, "score"])
+            x = np.asarray(batch.column(0).flatten()).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.round(model.score(x), 9))], [*carry, "score"])
 
-    return stats.select(carry, "x").mapInArrow(run, f"`{carry}` long, score double")
+    return stats.select("x", *carry).mapInArrow(run, "".join(f"`{name}` long, " for name in carry) + "score double")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
@@ -215,9 +216,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Every row goes or stays by its own text: a null text counts as empty, equal texts share their verdict, repeated
     rows stay as often as they are there, and neither null nor repeated ids touch other rows. Texts of any length
     are read whole. Without usable labels every score is one half, so all rows stay at the threshold used here. An empty table
-    gives an empty one; other columns may have any name but ``__row``.
+    gives an empty one; other columns may have any name but those of ROW.
     """
     rows = numbered(docs)
-    stats = cut(document_statistics(rows, id_col, text_col, ROW), "statistics")
-    bad = _scores(stats, labels, label, ROW).where(F.col("score") < threshold).select(ROW)
-    return rows.join(bad, ROW, "left_anti").drop(ROW)
+    stats = cut(document_statistics(rows, id_col, text_col, *ROW), "statistics")
+    bad = _scores(stats, labels, label, ROW).where(F.col("score") < threshold).select(*ROW)
+    return rows.join(bad, ROW, "left_anti").drop(*ROW)

@@ -95,8 +95,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return texts(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, row: str, shingle: int = WIDE) -> DataFrame:
-    """(id, row, key, fp, bands) of every row: a digest of its set of shingles, and that set's fingerprint and band keys."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int = WIDE) -> DataFrame:
+    """(id, *ROW, key, fp, bands) of every row: a digest of its set of shingles, and that set's fingerprint and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +107,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, row: str, shingle: int
             fps = np.fromiter((x[1] for x in out), np.uint64, len(out)).view(np.int64)
             keys = np.concatenate([x[2] for x in out] or [np.empty(0, np.uint64)]).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * BANDS), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.string()), pa.array(fps), lists], ["id", "row", "key", "fp", "bands"])
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array([x[0] for x in out], pa.string()), pa.array(fps), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["id", *ROW, "key", "fp", "bands"])
 
-    return texts(docs, id_col, text_col, row).mapInArrow(run, "id long, row long, key string, fp long, bands array<long>")
+    return texts(docs, id_col, text_col, *ROW).mapInArrow(run, f"id long, {ROW[0]} long, {ROW[1]} long, key string, fp long, bands array<long>")
 
 
 def near(fps: np.ndarray, query: np.ndarray, word: np.ndarray, planes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -338,38 +339,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def alike(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str = ROW, shingle: int = WIDE, least: float = ALIKE, radius: int = LOOSE) -> DataFrame:
-    """(row, id, first, group) for every row: groups of texts that chain by a Jaccard similarity of shingles of `least` or more.
+def alike(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE, least: float = ALIKE, radius: int = LOOSE) -> DataFrame:
+    """(*ROW, id, group, stays) for every row: groups of texts that chain by a Jaccard similarity of shingles of `least` or more.
 
-    rows needs a column `row` with a number of its own for each (numbered()); first is the row that stands for its group, that with the smallest
-    id, null first, then the first row. Every link is exact; of the pairs at `least` itself 0.99 are found, of closer ones more
-    (see BANDS). Texts with the same set of shingles are one class, which is compared once.
+    rows is numbered(). The row that stays for its group is that with the smallest id, null first, then any one row. Every link
+    is exact; of the pairs at `least` itself 0.99 are found, of closer ones more (see BANDS). Texts with the same set of shingles
+    are one class, which is compared once.
     """
-    found = cut(sketches(rows, id_col, text_col, row, shingle), "sketches")
-    distinct = found.groupBy("key").agg(F.min(F.struct("id", "row")).alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    distinct = cut(distinct.select("key", F.col("low.row").alias("row"), "fp", "bands"), "classes")
+    found = cut(sketches(rows, id_col, text_col, shingle), "sketches")
+    classes = found.groupBy("key").agg(F.min(F.struct("id", *ROW)).alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # numbered as they are written
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("class"), "key", "low", "fp", "bands"), "classes")
     # classes that may be alike: components of fingerprints that share a band and lie within the radius
-    banded = distinct.select("fp", F.explode("bands").alias("k"), "row")
-    maybe = components(_linked(_deal(banded, BLOCK, "row"), "row", lambda cols: _compare(cols, radius)))
-    together = maybe.select(F.col("node").alias("row"), F.col("root").alias("k")).unionAll(maybe.select("root", "root").distinct().toDF("row", "k"))
-    together = cut(together.join(distinct.select("row", "fp"), "row").select("row", "k", "fp"), "together")
+    banded = classes.select("class", "fp", F.explode("bands").alias("k"))
+    maybe = components(_linked(_deal(banded, BLOCK, "class"), "class", lambda cols: _compare(cols, radius)))
+    together = maybe.select(F.col("node").alias("class"), F.col("root").alias("k")).unionAll(maybe.select("root", "root").distinct())
+    together = cut(together.join(classes, "class").select("class", "k", "fp", *[F.col(f"low.{c}") for c in ROW]), "together")
     # only these fetch their texts, once per block of their component
-    text = rows.select(F.col(row).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    roots = components(_linked(_deal(together, TEXTS, "row", text), "row", lambda cols: _check(cols, radius, least, shingle)))
-    classes = distinct.select("key", "row").join(roots, distinct.row == roots.node, "left").select("key", F.coalesce("root", "row").alias("group"))
+    text = rows.select(*ROW, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(together.select("class", *ROW), ROW).select("class", "text")
+    dealt = _deal(together.select("class", "k", "fp"), TEXTS, "class", text)
+    roots = components(_linked(dealt, "class", lambda cols: _check(cols, radius, least, shingle)))
+    grouped = classes.join(roots, F.col("class") == F.col("node"), "left").select("key", "low", F.coalesce("root", "class").alias("group"))
     # written, so that adaptive execution can split the join at a class of very many copies
-    got = cut(found.select("row", "id", "key").join(cut(classes, "of-class"), "key").select("row", "id", "group"), "groups")
-    first = got.groupBy("group").agg(F.min(F.struct("id", "row")).alias("low")).select("group", F.col("low.row").alias("first"))
-    return got.join(cut(first, "first"), "group").select("row", real_id("id").alias("id"), "first", "group")
+    grouped = cut(grouped, "grouped")
+    first = grouped.groupBy("group").agg(F.min("low").alias("first"))
+    of_key = cut(grouped.join(first, "group").select("key", "group", "first"), "of-key")
+    stays = F.col("first") == F.struct("id", *ROW)
+    return found.join(of_key, "key").select(*ROW, real_id("id").alias("id"), "group", stays.alias("stays"))
 
 
 def keep_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = WIDE, least: float = ALIKE, radius: int = LOOSE) -> DataFrame:
     """docs without near duplicates: one row of every group of alike() stays, with all its columns.
 
-    It is that with the smallest id, null first, then the first row. A null text is empty; texts without words are one group; texts of any
+    It is that with the smallest id, null first, then any one row. A null text is empty; texts without words are one group; texts of any
     length are read whole; copies and repeated rows leave one; rows that share an id or have none are told apart by their
-    texts. An empty table gives an empty one; other columns may have any name but ``__row``.
+    texts. An empty table gives an empty one; other columns may have any name but those of ROW.
     """
     rows = numbered(docs)
-    kept = alike(rows, id_col, text_col, ROW, shingle, least, radius).where("row = first").select(F.col("row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").drop(ROW)
+    kept = alike(rows, id_col, text_col, shingle, least, radius).where("stays").select(*ROW)
+    return rows.join(kept, ROW, "left_semi").drop(*ROW)
