@@ -50,15 +50,39 @@ def test_settlement_on_histogram(spark):
     assert got[2].push == pytest.approx(0) and got[1].push > 0
 
 
-def test_lattice_sums_to_one(spark):
-    rows = spark.createDataFrame([(1, 3.3, 12.0, 4), (2, -200.0, 5.0, -3)], "game_id long, loc double, scale double, actual long")
-    x = dist.integer_lattice(rows)
-    assert all(r.t == pytest.approx(1, abs=1e-6) for r in x.groupBy("game_id").agg(F.sum("mass").alias("t")).collect())
-    flat = x.select("k").distinct().withColumn("ratio", F.when(F.abs("k") == 3, 2.0).otherwise(1.0))
-    got = dist.corrected_lattice(x, flat, ["game_id"])
-    last = got.where("k = 80").collect()
-    assert all(r.cdf == pytest.approx(1) for r in last)
-    assert got.where("game_id = 1 and k = 3").first().corrected > x.where("game_id = 1 and k = 3").first().mass
+def plain_lattice(loc, scale, low=-80, high=80):
+    cdf = lambda x: 0.5 * math.erfc((loc - x) / scale / math.sqrt(2))
+    return [(1.0 if k == high else cdf(k + 0.5)) - (0.0 if k == low else cdf(k - 0.5)) for k in range(low, high + 1)]
+
+
+def test_lattice_correction_equals_loops(spark):
+    """Outcomes are rounded and those beyond the ends count there; ratios, corrected mass, score and key numbers against loops."""
+    rows = [(i, (i % 23) - 11.0 + 0.3, 9.0 + i % 5, [95.0, -200.0, 2.5, float(i % 31 - 15)][i % 4]) for i in range(450)]
+    frame = spark.createDataFrame(rows, "game_id long, loc double, scale double, actual double")
+    expected, observed = [0.0] * 161, [0] * 161
+    for _, loc, scale, actual in rows:
+        expected = [a + b for a, b in zip(expected, plain_lattice(loc, scale))]
+        observed[min(80, max(-80, round(actual))) + 80] += 1
+    ratio = [min(4.0, max(0.25, (o + 200 * e / 450) / max(e + 200 * e / 450, 1e-12))) for o, e in zip(observed, expected)]
+    got = {r.k: r for r in dist.lattice_correction(frame).collect()}
+    assert [got[k].observed for k in range(-80, 81)] == observed and observed[-1] > 100 and observed[0] > 100
+    assert [got[k].ratio for k in range(-80, 81)] == pytest.approx(ratio, abs=1e-5)
+    corrected = dist.corrected_lattice(frame, dist.lattice_correction(frame))
+    scores = {r.game_id: r.crps for r in dist.discrete_crps(corrected, ["game_id"]).collect()}
+    modelled = 0.0
+    for i, loc, scale, actual in rows:
+        mass = [m * r for m, r in zip(plain_lattice(loc, scale), ratio)]
+        mass = [m / sum(mass) for m in mass]
+        modelled += mass[83] + mass[77]
+        run, crps = 0.0, 0.0
+        for k, m in zip(range(-80, 81), mass):
+            run += m
+            crps += (run - (actual <= k)) ** 2
+        assert scores[i] == pytest.approx(crps, abs=1e-4)
+    three = dist.key_number_mass(corrected, [3]).first()
+    assert three.modelled == pytest.approx(modelled / 900, abs=1e-6) and three.observed == pytest.approx(sum(abs(r[3]) == 3 for r in rows) / 900)
+    few = dist.lattice_correction(frame.limit(399))
+    assert {r.ratio for r in few.collect()} == {1.0}
 
 
 @pytest.mark.parametrize("heavy", [True, False])

@@ -24,6 +24,10 @@ POSITIONS = {
     "QB": "qb", "RB": "offense_skill", "FB": "offense_skill", "WR": "offense_skill", "TE": "offense_skill", "OL": "offensive_line", "OT": "offensive_line", "OG": "offensive_line", "C": "offensive_line",
     "DL": "defense", "DE": "defense", "DT": "defense", "EDGE": "defense", "LB": "defense", "DB": "defense", "CB": "defense", "S": "defense",
 }
+#: Types of plays.
+PASSES = ["Pass Reception", "Pass Incompletion", "Passing Touchdown", "Sack", "Pass Interception Return", "Interception", "Interception Return Touchdown", "Two Point Pass"]
+RUSHES = ["Rush", "Rushing Touchdown", "Two Point Rush"]
+HAVOC = ["Sack", "Pass Interception Return", "Interception", "Interception Return Touchdown", "Fumble Recovery (Opponent)", "Fumble Return Touchdown"]
 #: Upper bounds (inclusive) of the odds bands.
 ODDS_BANDS = [(-221, "lte_-221"), (-151, "-220_to_-151"), (-121, "-150_to_-121"), (120, "-120_to_+120"), (150, "+121_to_+150"), (220, "+151_to_+220"), (300, "+221_to_+300"), (500, "+301_to_+500")]
 
@@ -160,6 +164,15 @@ def play_success(down: Column, distance: Column, yards: Column) -> Column:
     return F.when(d.isNull() | n.isNull(), False).when(n <= 0, yards >= 0).otherwise(yards >= need)
 
 
+def play_flags(kind: Column, yards: Column) -> dict[str, Column]:
+    """pass, rush, explosive and havoc of a play by its type; all false for other and missing types."""
+    is_pass, is_rush = (F.coalesce(kind.isin(names), F.lit(False)) for names in (PASSES, RUSHES))
+    gain = F.coalesce(yards, F.lit(0))
+    return {
+        "pass": is_pass, "rush": is_rush, "explosive": (is_pass & (gain >= 20)) | (is_rush & (gain >= 10)), "havoc": F.coalesce(kind.isin(HAVOC), F.lit(False)),
+    }
+
+
 def game_eligibility(g: dict[str, Column]) -> Column:
     """First reason why a game is left out, null if none. g: id, home_class, away_class, home_id, away_id, status, completed, home_points, away_points, review."""
     status = F.lower(F.coalesce(g["status"], F.lit("")))

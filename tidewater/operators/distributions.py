@@ -65,13 +65,23 @@ def infer_center(quotes: DataFrame, histogram: DataFrame) -> DataFrame:
     return x.withColumn("center", center).drop("half", "b", "_at", "_lo", "_hi")
 
 
+def shares(histogram: DataFrame) -> DataFrame:
+    """(market, _h): each market's histogram (market, value, n) as one array of values and their shares, by value."""
+    h = histogram.groupBy("market").agg(F.sum("n").alias("_all"), F.sort_array(F.collect_list(F.struct("value", "n"))).alias("_bins"))
+    return h.select("market", F.transform("_bins", lambda x: F.struct(x["value"].alias("value"), (x["n"] / F.col("_all")).alias("w"))).alias("_h"))
+
+
 def settle_at(offers: DataFrame, histogram: DataFrame) -> DataFrame:
-    """offers (id, market, line, center) with win, push, loss mass."""
-    total = histogram.groupBy("market").agg(F.sum("n").alias("_all"))
-    x = offers.join(histogram.join(total, "market"), "market")
-    win, loss = win_loss(F.col("center") + F.col("value") - F.col("line"), F.col("line") != F.floor("line"))
-    w = F.col("n") / F.col("_all")
-    return x.groupBy(*offers.columns).agg(F.sum(win * w).alias("win"), F.sum(loss * w).alias("loss")).withColumn("push", 1 - F.col("win") - F.col("loss"))
+    """offers (id, market, line, center) with win, push, loss mass: sums within the row over the market's histogram, an array."""
+    half = F.col("line") != F.floor("line")
+
+    def add(acc, x):
+        win, loss = win_loss(F.col("center") + x["value"] - F.col("line"), half)
+        return F.struct((acc["win"] + win * x["w"]).alias("win"), (acc["loss"] + loss * x["w"]).alias("loss"))
+
+    mass = F.aggregate("_h", F.struct(F.lit(0.0).alias("win"), F.lit(0.0).alias("loss")), add)
+    got = offers.join(shares(histogram), "market").withColumn("_m", mass)
+    return got.select(*offers.columns, "_m.win", "_m.loss").withColumn("push", 1 - F.col("win") - F.col("loss"))
 
 
 def fit_student_t(rows: DataFrame, by: list[str], value: str, degrees=(3, 5, 8, 15, 30)) -> DataFrame:
@@ -136,39 +146,62 @@ def proper_scores(actual: Column, loc: Column, scale: Column) -> dict[str, Colum
     return out | {f"in_{p}": F.abs(z) <= NormalDist().inv_cdf(0.5 + p / 200) for p in (50, 80, 90, 95)}
 
 
-def integer_lattice(rows: DataFrame, low: int = -80, high: int = 80) -> DataFrame:
-    """rows (.., loc, scale) times the integers low..high with their Normal mass; tails go to the ends."""
-    x = rows.withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high))))
-    at = lambda d: normal_cdf((F.col("k") + d - F.col("loc")) / F.col("scale"))
-    return x.withColumn("mass", F.when(F.col("k") == high, F.lit(1.0)).otherwise(at(0.5)) - F.when(F.col("k") == low, F.lit(0.0)).otherwise(at(-0.5)))
+#: Ends of the lattice of outcomes; tails go to the ends.
+LOW, HIGH = -80, 80
+
 
+def lattice_mass(loc: Column, scale: Column, low: int = LOW, high: int = HIGH) -> Column:
+    """Normal mass of the integers low..high as an array; tails go to the ends."""
+    at = lambda k, d: normal_cdf((k + d - loc) / scale)
+    mass = lambda k: F.when(k == high, F.lit(1.0)).otherwise(at(k, 0.5)) - F.when(k == low, F.lit(0.0)).otherwise(at(k, -0.5))
+    return F.transform(F.sequence(F.lit(low), F.lit(high)), mass)
 
-def lattice_correction(history: DataFrame, pseudo: float = 200.0) -> DataFrame:
-    """Observed over expected mass per integer with pseudo rows, kept in 0.25..4. history: lattice rows with actual."""
-    n = history.where("k = 0").agg(F.count("*").alias("rows"))
-    got = history.groupBy("k").agg(F.sum("mass").alias("expected"), F.count_if(F.col("actual") == F.col("k")).alias("observed")).join(n)
+
+def integer_lattice(rows: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """rows (.., loc, scale) times the integers low..high with their Normal mass."""
+    x = rows.select("*", F.posexplode(lattice_mass(F.col("loc"), F.col("scale"), low, high)).alias("_at", "mass"))
+    return x.withColumn("k", F.col("_at") + low).drop("_at")
+
+
+def lattice_correction(history: DataFrame, pseudo: float = 200.0, least: int = 400, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """Observed over expected mass per integer with pseudo rows, kept in 0.25..4; one for all below `least` rows.
+
+    history: rows with loc, scale and actual. Outcomes are rounded to integers, and those beyond the ends count there.
+    """
+    known = history.where((F.col("scale") > 0) & F.col("loc").isNotNull() & F.col("actual").isNotNull())
+    hit = F.greatest(F.lit(low), F.least(F.lit(high), F.rint("actual"))).cast("int")
+    got = integer_lattice(known.select("loc", "scale", hit.alias("hit")), low, high)
+    # combined before the shuffle: one row per integer leaves a task
+    got = got.groupBy("k").agg(F.sum("mass").alias("expected"), F.count_if(F.col("hit") == F.col("k")).alias("observed"), F.count("*").alias("rows"))
     share = F.col("expected") / F.col("rows")
-    ratio = (F.col("observed") + pseudo * share) / (F.col("expected") + pseudo * share)
-    return got.select("k", "observed", "expected", F.greatest(F.lit(0.25), F.least(F.lit(4.0), F.coalesce(ratio, F.lit(1.0)))).alias("ratio"))
+    ratio = F.greatest(F.lit(0.25), F.least(F.lit(4.0), (F.col("observed") + pseudo * share) / F.greatest(F.col("expected") + pseudo * share, F.lit(1e-12))))
+    return got.select("k", "observed", "expected", F.when(F.col("rows") >= least, ratio).otherwise(1.0).alias("ratio"))
+
 
+def corrected_lattice(rows: DataFrame, ratios: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
+    """rows (.., loc, scale) with `corrected` and `cdf`, arrays over low..high: mass times ratio, normalised in the row, and its running sum.
 
-def corrected_lattice(lattice: DataFrame, ratios: DataFrame, key: list[str]) -> DataFrame:
-    """Mass times ratio, normalised per row, with its distribution function. The ratios are one row per integer."""
-    x = lattice.join(ratios.select("k", "ratio"), "k").withColumn("_m", F.col("mass") * F.col("ratio"))
-    w = Window.partitionBy(*key)
-    x = x.withColumn("corrected", F.col("_m") / F.sum("_m").over(w)).drop("_m", "ratio")
-    return x.withColumn("cdf", F.sum("corrected").over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+    The ratios are one number per integer of the lattice and go into the expression.
+    """
+    found = {r["k"]: r["ratio"] for r in ratios.select("k", "ratio").collect()}  # high - low + 1 rows
+    by_place = F.lit([float(found.get(k, 1.0)) for k in range(low, high + 1)])
+    x = rows.withColumn("_m", F.zip_with(lattice_mass(F.col("loc"), F.col("scale"), low, high), by_place, lambda m, r: m * r))
+    x = x.withColumn("_s", F.aggregate("_m", F.lit(0.0), lambda a, m: a + m)).withColumn("corrected", F.transform("_m", lambda m: m / F.col("_s")))
+    run = F.aggregate("corrected", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("c")), lambda a, m: F.struct((a["s"] + m).alias("s"), F.array_append(a["c"], a["s"] + m).alias("c")), lambda a: a["c"])
+    return x.withColumn("cdf", run).drop("_m", "_s")
 
 
-def discrete_crps(corrected: DataFrame, key: list[str]) -> DataFrame:
-    step = F.pow(F.col("cdf") - F.when(F.col("actual") <= F.col("k"), 1.0).otherwise(0.0), F.lit(2))
-    return corrected.groupBy(*key).agg(F.sum(step).alias("crps"))
+def discrete_crps(corrected: DataFrame, key: list[str], low: int = LOW) -> DataFrame:
+    """Sum over the lattice of the squared distance of cdf and outcome, within the row."""
+    step = F.transform("cdf", lambda c, i: F.pow(c - F.when(F.col("actual") <= i + low, 1.0).otherwise(0.0), F.lit(2)))
+    return corrected.select(*key, F.aggregate(step, F.lit(0.0), lambda a, x: a + x).alias("crps"))
 
 
-def key_number_mass(corrected: DataFrame, numbers: list[int]) -> DataFrame:
-    """Modelled and observed share at chosen integers."""
-    x = corrected.where(F.abs("k").isin(numbers))
-    return x.groupBy(F.abs("k").alias("number")).agg(F.avg("corrected").alias("modelled"), F.avg((F.col("actual") == F.col("k")).cast("int")).alias("observed"))
+def key_number_mass(corrected: DataFrame, numbers: list[int], low: int = LOW) -> DataFrame:
+    """Modelled and observed share at chosen integers, either sign."""
+    at = [F.struct(F.lit(n).alias("number"), F.get("corrected", F.lit(s * n - low)).alias("m"), (F.col("actual") == s * n).cast("int").alias("o")) for n in numbers for s in (1, -1)]
+    x = corrected.select(F.explode(F.array(*at)).alias("x")).select("x.*")
+    return x.groupBy("number").agg(F.avg("m").alias("modelled"), F.avg("o").alias("observed"))
 
 
 def line_grid_scores(rows: DataFrame, lines: list[float]) -> DataFrame:

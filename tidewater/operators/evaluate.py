@@ -121,9 +121,9 @@ def segment_degradation(candidate: DataFrame, reference: DataFrame, least: int =
 
 def common_cohort(predictions: DataFrame, reference: str) -> DataFrame:
     """Keys that a model lacks or has beyond the reference model's; none if all cover the same games."""
-    own = predictions.where(F.col("model") == reference).select("game_id").distinct()
-    models = predictions.where(F.col("model") != reference).select("model").distinct()
-    want = own.join(models).withColumn("_w", F.lit(1))
-    have = predictions.where(F.col("model") != reference).select("game_id", "model").distinct().withColumn("_h", F.lit(1))
-    got = want.join(have, ["game_id", "model"], "full_outer").where("_w is null or _h is null")
-    return got.select("game_id", "model", F.when(F.col("_h").isNull(), "missing").otherwise("extra").alias("violation"))
+    others = sorted(r["model"] for r in predictions.select("model").distinct().collect() if r["model"] != reference)  # one name per model
+    names = F.array(*[F.lit(m) for m in others]).cast("array<string>")
+    games = predictions.groupBy("game_id").agg(F.collect_set("model").alias("_has"))  # at most one entry per model
+    known = F.array_contains("_has", reference)
+    off = F.when(known, F.array_except(names, "_has")).otherwise(F.array_intersect(names, F.col("_has")))
+    return games.select("game_id", F.explode(off).alias("model"), F.when(known, "missing").otherwise("extra").alias("violation"))

@@ -19,17 +19,30 @@ def sides(games: DataFrame) -> DataFrame:
     return games.withColumn("_s", pair).select("*", "_s.*").drop("_s")
 
 
-def team_game_metrics(games: DataFrame, plays: DataFrame, drives: DataFrame) -> DataFrame:
-    """Per game and team: offence from its plays, defence from the opponent's, drives; games without plays keep a row."""
-    ok = labels.play_success(F.col("down"), F.col("distance"), F.col("yards"))
-    explosive = ((F.col("kind") == "pass") & (F.col("yards") >= 20)) | ((F.col("kind") == "rush") & (F.col("yards") >= 10))
-    off = plays.groupBy("game_id", F.col("offense").alias("team")).agg(
-        F.count("*").alias("plays"), F.avg("ppa").alias("ppa"), F.avg(ok.cast("int")).alias("success"), F.avg(explosive.cast("int")).alias("explosive"), F.avg((F.col("kind") == "pass").cast("int")).alias("pass_rate")
+def team_game_metrics(games: DataFrame, plays: DataFrame, drives: DataFrame, stats: DataFrame | None = None) -> DataFrame:
+    """Per game and team: offence from its passes and rushes, defence from the opponent's, drives, coverage; games without plays keep a row.
+
+    plays: game_id, offense, type, ppa, yards, down, distance, wallclock (whether a time is known). Plays that are neither passes nor
+    rushes count nowhere. stats: (game_id, team) rows of team statistics, for their presence alone.
+    """
+    flag = labels.play_flags(F.col("type"), F.col("yards"))
+    share = lambda c: F.avg(c.cast("int"))
+    gain = F.coalesce("yards", F.lit(0))
+    off = plays.where(flag["pass"] | flag["rush"]).groupBy("game_id", F.col("offense").alias("team")).agg(
+        F.count("*").alias("plays"), F.avg("ppa").alias("ppa"), F.avg(F.when(flag["pass"], F.col("ppa"))).alias("pass_ppa"), F.avg(F.when(flag["rush"], F.col("ppa"))).alias("rush_ppa"),
+        share(labels.play_success(F.col("down"), F.col("distance"), gain)).alias("success"), share(flag["explosive"]).alias("explosive"), share(flag["pass"]).alias("pass_rate"),
+        F.avg(gain).alias("yards_per_play"), share(flag["havoc"]).alias("havoc"), share(F.col("wallclock")).alias("wallclock_coverage"),
+    )
+    dri = drives.groupBy("game_id", F.col("offense").alias("team")).agg(
+        F.count("*").alias("drives"), F.avg(F.coalesce("points", F.lit(0))).alias("points_per_drive"), F.avg(F.coalesce("yards", F.lit(0))).alias("yards_per_drive")
     )
-    dri = drives.groupBy("game_id", F.col("offense").alias("team")).agg(F.count("*").alias("drives"), F.avg("points").alias("points_per_drive"))
-    against = off.select("game_id", F.col("team").alias("opponent"), F.col("ppa").alias("ppa_allowed"), F.col("success").alias("success_allowed"))
+    against = off.select("game_id", F.col("team").alias("opponent"), F.col("ppa").alias("ppa_allowed"), F.col("success").alias("success_allowed"), F.col("havoc").alias("havoc_rate"))
     base = sides(games).select("game_id", "team", "opponent", "season", "available_at", "is_home")
-    return base.join(off, ["game_id", "team"], "left").join(against, ["game_id", "opponent"], "left").join(dri, ["game_id", "team"], "left")
+    got = base.join(off.drop("havoc"), ["game_id", "team"], "left").join(against, ["game_id", "opponent"], "left").join(dri, ["game_id", "team"], "left")
+    if stats is None:
+        return got
+    seen = stats.select("game_id", "team").distinct().withColumn("_seen", F.lit(True))
+    return got.join(seen, ["game_id", "team"], "left").withColumn("team_stats_present", F.col("_seen").isNotNull()).drop("_seen")
 
 
 def asof_history(requests: DataFrame, facts: DataFrame) -> DataFrame:
@@ -154,11 +167,14 @@ def reconcile_events(games: DataFrame, found: DataFrame, tolerance: int = 1800)
     """Games matched to another provider's events within `tolerance` seconds and compatible names of both sides: reliable, ambiguous or missing.
 
     A range join as an equi join: times are put in buckets of the tolerance and each event stands in its own and both neighbours'.
+    Compatible names share their first word, so both sides' first words are keys too, and games that start together do not meet.
     """
-    g = games.withColumn("_b", F.floor(F.col("kickoff") / tolerance))
+    first = lambda c: F.split(c, " ")[0]
+    g = games.withColumns({"_b": F.floor(F.col("kickoff") / tolerance), "_h": first("home_name"), "_a": first("away_name")})
     p = found.withColumn("_b", F.explode(F.array(*[F.floor(F.col("start") / tolerance) + i for i in (-1, 0, 1)])))
+    p = p.withColumns({"_h": first("found_home"), "_a": first("found_away")})
     near = (F.abs(F.col("kickoff") - F.col("start")) <= tolerance) & labels.names_compatible(F.col("home_name"), F.col("found_home")) & labels.names_compatible(F.col("away_name"), F.col("found_away"))
-    hits = g.join(p, "_b").where(near).groupBy("game_id").agg(F.count("*").alias("n"), F.min("provider_id").alias("provider_id"))
+    hits = g.join(p, ["_b", "_h", "_a"]).where(near).groupBy("game_id").agg(F.count("*").alias("n"), F.min("provider_id").alias("provider_id"))
     got = games.select("game_id").join(hits, "game_id", "left")
     return got.select("game_id", F.when(F.col("n") == 1, F.col("provider_id")).alias("provider_id"), F.when(F.col("n").isNull(), "missing").when(F.col("n") == 1, "reliable").otherwise("ambiguous").alias("state"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators.distributions import shares
+
 
 def expanding_folds(rows: DataFrame, first: int, last: int) -> DataFrame:
     """Rows with each evaluation season they train (all before it) or are evaluated in."""
@@ -46,15 +48,18 @@ def grouped_scale(rows: DataFrame, group: str, value: str, k: float = 200.0) ->
 def settle_on_lattice(points: DataFrame, histogram: DataFrame) -> DataFrame:
     """win, push and loss mass of offers (id, market, center, point): the histogram, moved to the centre, with each mass split between the two integers around it.
 
-    The histogram is a reference table of a few hundred bins per market, so the equi join on market stays small per offer.
+    A market's histogram is one array of a few hundred bins, and an offer sums over it within its row: nothing is exploded or shuffled again.
     """
-    total = histogram.groupBy("market").agg(F.sum("n").alias("_n"))
-    x = points.join(histogram.join(total, "market"), "market").withColumn("_x", F.col("center") + F.col("value"))
-    low, share = F.floor("_x"), F.col("_x") - F.floor("_x")
-    mass = F.explode(F.array(F.struct(low.alias("k"), (1 - share).alias("w")), F.struct((low + 1).alias("k"), share.alias("w"))))
-    y = x.withColumn("_m", mass).withColumn("_w", F.col("_m.w") * F.col("n") / F.col("_n")).withColumn("_d", F.col("_m.k") + F.col("point"))
-    got = y.groupBy("id", "market").agg(F.sum(F.when(F.col("_d") > 0, F.col("_w")).otherwise(0.0)).alias("win"), F.sum(F.when(F.col("_d") == 0, F.col("_w")).otherwise(0.0)).alias("push"))
-    return got.withColumn("loss", 1 - F.col("win") - F.col("push"))
+
+    def add(acc, b):
+        x = F.col("center") + b["value"]
+        low, share = F.floor(x), x - F.floor(x)
+        at = lambda c: (F.when(c(low + F.col("point")), 1 - share).otherwise(0.0) + F.when(c(low + 1 + F.col("point")), share).otherwise(0.0)) * b["w"]
+        return F.struct((acc["win"] + at(lambda d: d > 0)).alias("win"), (acc["push"] + at(lambda d: d == 0)).alias("push"))
+
+    mass = F.aggregate("_h", F.struct(F.lit(0.0).alias("win"), F.lit(0.0).alias("push")), add)
+    got = points.join(shares(histogram), "market").withColumn("_m", mass)
+    return got.select("id", "market", "_m.win", "_m.push").withColumn("loss", 1 - F.col("win") - F.col("push"))
 
 
 def power_ratings(games: DataFrame, carry: float = 0.65, home: float = 2.5, rate: float = 0.15, cap: float = 35.0) -> DataFrame:

@@ -29,10 +29,19 @@ def market_filter(quotes: DataFrame, leagues=None, markets=None, start_from=None
 
 
 def latest_state(quotes: DataFrame, as_of=None) -> DataFrame:
-    """All rows of the newest snapshot of every family, so a line that it lacks disappears. One shuffle."""
+    """All rows of the newest snapshot of every family, so a line that it lacks disappears.
+
+    The newest snapshots are an aggregate, combined before its shuffle, of clocks and keys alone: one row per family,
+    however long its history. No window holds or sorts the history, and only rows of those snapshots go on.
+    """
     quotes = quotes if as_of is None else known_by(quotes, as_of)
-    head = F.max(F.struct("requested", "observed", "ingested", "snapshot_id")).over(Window.partitionBy(*FAMILY))
-    return quotes.withColumn("_head", head).where(F.col("snapshot_id") == F.col("_head.snapshot_id")).drop("_head")
+    return restrict_to_latest(quotes, newest_snapshots(quotes))
+
+
+def newest_snapshots(quotes: DataFrame) -> DataFrame:
+    """(event_id, book_id, market, snapshot_id) of the newest snapshot of every family."""
+    newest = F.max(F.struct("requested", "observed", "ingested", "snapshot_id"))
+    return quotes.groupBy(*FAMILY).agg(newest.alias("_newest")).select(*FAMILY, F.col("_newest.snapshot_id").alias("snapshot_id"))
 
 
 def restrict_to_latest(quotes: DataFrame, heads: DataFrame) -> DataFrame:
@@ -68,12 +77,16 @@ def reason_gate(df: DataFrame, rules: dict[str, Column], name: str = "reasons")
 def pair_sides(quotes: DataFrame) -> DataFrame:
     """One row per family and line with both sides: odds, implied and no-vig probabilities, overround; a reason where the pair does not hold.
 
-    A conditional aggregate, not a self join. Lines of a family have one key for both sides.
+    A conditional aggregate, not a self join. A family of two rows, one for each side, is a pair whatever its points, which are
+    then checked; its line is that of side 1. Of any other family the rows of one line are a pair: lines have one key for both sides.
     """
     line = F.when(F.col("market") == 1, F.when(F.col("side") == 2, -F.col("point")).otherwise(F.col("point"))).otherwise(F.col("point"))
     pick = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c)))
+    family = Window.partitionBy(*FAMILY)
+    whole = (F.count("*").over(family) == 2) & (F.count_if(F.col("side") == 1).over(family) == 1) & (F.count_if(F.col("side") == 2).over(family) == 1)
     paired = (
-        quotes.withColumn("line", line)
+        quotes.withColumn("_line", line)
+        .withColumn("line", F.when(whole, F.max(F.when(F.col("side") == 1, F.col("_line"))).over(family)).otherwise(F.col("_line")))
         .groupBy(*FAMILY, "line")
         .agg(
             F.count("*").alias("rows"), pick("odds", 1).alias("odds1"), pick("odds", 2).alias("odds2"), pick("point", 1).alias("point1"), pick("point", 2).alias("point2"),

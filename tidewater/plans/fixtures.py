@@ -13,7 +13,7 @@ AS_OF = 946684800
 VIEWS = {
     "quotes": """
         SELECT event_id, book_id, market, snapshot_id, requested, observed, ingested, side, start, league, status, book_active, matched, line_no, quantity,
-               CASE WHEN market = 0 THEN NULL WHEN market = 1 THEN (CASE WHEN side = 1 THEN spread ELSE -spread END) ELSE total_line END AS point,
+               CASE WHEN market = 0 THEN NULL WHEN market = 1 THEN (CASE WHEN side = 1 THEN spread ELSE -spread END) ELSE total_line END + CASE WHEN side = 2 AND event_id % 23 = 5 THEN 0.5e0 ELSE 0e0 END AS point,
                CASE WHEN q >= 0.5e0 THEN -CAST(floor(100 * q / (1 - q) + 0.5e0) AS BIGINT) ELSE CAST(floor(100 * (1 - q) / q + 0.5e0) AS BIGINT) END AS odds
         FROM (SELECT *, (CASE WHEN side = 1 THEN p1 ELSE 1 - p1 END) * (1.02e0 + 0.3e0 * tax) AS q
         FROM (SELECT l_partkey AS event_id, CAST(l_suppkey % 6 AS BIGINT) AS book_id, CAST(l_linenumber % 3 AS BIGINT) AS market, l_orderkey AS snapshot_id,
@@ -31,7 +31,10 @@ VIEWS = {
         WHERE home <> away""",
     "plays": """
         SELECT g.game_id, g.season, CASE WHEN l_linestatus = 'O' THEN g.home ELSE g.away END AS offense, CASE WHEN l_returnflag = 'A' THEN 'pass' WHEN l_returnflag = 'N' THEN 'rush' ELSE 'other' END AS kind,
-               l_discount * 10 - 0.5e0 AS ppa, CAST(l_quantity AS BIGINT) - 10 AS yards, CAST(l_linenumber % 4 + 1 AS BIGINT) AS down, CAST(l_suppkey % 12 AS BIGINT) AS distance, l_tax AS tax
+               l_discount * 10 - 0.5e0 AS ppa, CAST(l_quantity AS BIGINT) - 10 AS yards, CAST(l_linenumber % 4 + 1 AS BIGINT) AS down, CAST(l_suppkey % 12 AS BIGINT) AS distance, l_tax AS tax,
+               CASE WHEN l_returnflag = 'A' THEN (CASE l_suppkey % 4 WHEN 0 THEN 'Sack' WHEN 1 THEN 'Pass Reception' WHEN 2 THEN 'Pass Incompletion' ELSE 'Interception' END)
+                    WHEN l_returnflag = 'N' THEN (CASE l_suppkey % 2 WHEN 0 THEN 'Rush' ELSE 'Rushing Touchdown' END)
+                    ELSE (CASE l_suppkey % 2 WHEN 0 THEN 'Punt' ELSE 'Fumble Recovery (Opponent)' END) END AS type, l_tax > 0.03e0 AS wallclock
         FROM {lineitem} JOIN {games} AS g ON l_orderkey = g.game_id""",
     "drives": "SELECT game_id, offense, CAST(7 * sum(CASE WHEN tax > 0.06e0 THEN 1 ELSE 0 END) AS BIGINT) AS points, CAST(sum(yards) AS BIGINT) AS yards FROM {plays} AS p GROUP BY game_id, offense",
     "predictions": """

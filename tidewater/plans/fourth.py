@@ -98,11 +98,13 @@ def _(v):
 # ---- sources over JSON made from the tables
 
 
-@query("s7_flatten_games", "SELECT game_id, CAST(season AS INTEGER) AS season, CAST(week AS INTEGER) AS week, kickoff, home * 10 AS home_party, away * 10 AS away_party, margin, total, available_at FROM games WHERE (total + margin) % 2 = 0", ("games",))
+@query("s7_flatten_games", "SELECT game_id, CAST(season AS INTEGER) AS season, CAST(week AS INTEGER) AS week, kickoff, home * 10 AS home_party, away * 10 AS away_party, margin, 2 * CAST(floor((total + margin) / 2e0) AS BIGINT) - margin AS total, available_at FROM games", ("games",))
 def _(v):
-    side = lambda n, sign: F.struct(F.col(n).alias("id"), F.floor((F.col("total") + sign * F.col("margin")) / 2).alias("points"))
-    g = v("games").where((F.col("total") + F.col("margin")) % 2 == 0)
-    raw = g.select(F.to_json(F.struct(F.col("game_id").alias("id"), "season", "week", F.col("kickoff").alias("start"), side("home", 1).alias("home"), side("away", -1).alias("away"), F.lit("final").alias("status"))).alias("body"))
+    # points of both sides from every game: those of the home side are rounded down where total and margin do not fit
+    home = F.floor((F.col("total") + F.col("margin")) / 2)
+    side = lambda n, points: F.struct(F.col(n).alias("id"), points.alias("points"))
+    g = v("games")
+    raw = g.select(F.to_json(F.struct(F.col("game_id").alias("id"), "season", "week", F.col("kickoff").alias("start"), side("home", home).alias("home"), side("away", home - F.col("margin")).alias("away"), F.lit("final").alias("status"))).alias("body"))
     parties = v("games").select(F.col("home").alias("id")).union(v("games").select("away")).distinct().withColumn("party", F.col("id") * 10)
     return snapshots.flatten_games(raw, parties)
 

@@ -138,8 +138,12 @@ KNOWN = f"k AS (SELECT * FROM quotes WHERE requested <= {AS_OF} AND observed <=
 HEADS = "h AS (SELECT event_id, book_id, market, max((requested, observed, ingested, snapshot_id)) AS m FROM k GROUP BY ALL)"
 STATE = "s AS (SELECT k.* FROM k JOIN h ON k.event_id = h.event_id AND k.book_id = h.book_id AND k.market = h.market AND k.snapshot_id = m[4])"
 LINE = "CASE WHEN market = 1 AND side = 2 THEN -point ELSE point END"
-PAIRS = f"""pr AS (SELECT event_id, book_id, market, line, count(*) AS rows, max(odds) FILTER (side = 1) AS o1, max(odds) FILTER (side = 2) AS o2, max(start) AS start, max(league) AS league FROM (SELECT *, {LINE} AS line FROM s) GROUP BY ALL),
-    pp AS (SELECT *, CASE WHEN o1 IS NULL OR o2 IS NULL THEN 'missing_side' WHEN rows <> 2 THEN 'ambiguous_pair' END AS reason, 1 / {DEC.replace('odds', 'o1')} AS x1, 1 / {DEC.replace('odds', 'o2')} AS x2 FROM pr),
+PAIRS = f"""pr AS (SELECT event_id, book_id, market, line, count(*) AS rows, max(odds) FILTER (side = 1) AS o1, max(odds) FILTER (side = 2) AS o2,
+        max(point) FILTER (side = 1) AS t1, max(point) FILTER (side = 2) AS t2, max(start) AS start, max(league) AS league
+        FROM (SELECT * REPLACE (CASE WHEN both_sides THEN max(line) FILTER (side = 1) OVER (PARTITION BY event_id, book_id, market) ELSE line END AS line)
+              FROM (SELECT *, {LINE} AS line, count(*) OVER f = 2 AND count(*) FILTER (side = 1) OVER f = 1 AND count(*) FILTER (side = 2) OVER f = 1 AS both_sides FROM s
+                    WINDOW f AS (PARTITION BY event_id, book_id, market))) GROUP BY event_id, book_id, market, line),
+    pp AS (SELECT *, CASE WHEN o1 IS NULL OR o2 IS NULL THEN 'missing_side' WHEN rows <> 2 THEN 'ambiguous_pair' WHEN market = 1 AND t1 <> -t2 THEN 'spread_points_differ' WHEN market = 2 AND t1 <> t2 THEN 'total_points_differ' END AS reason, 1 / {DEC.replace('odds', 'o1')} AS x1, 1 / {DEC.replace('odds', 'o2')} AS x2 FROM pr),
     p AS (SELECT *, x1 / (x1 + x2) AS fair1, x1 + x2 - 1 AS overround FROM pp)"""
 CONS = "c AS (SELECT event_id, market, line, start, league, count(*) AS books, median(fair1) AS consensus, max(fair1) - min(fair1) AS dispersion FROM p WHERE reason IS NULL GROUP BY ALL HAVING count(*) >= 2)"
 BEST = f"b AS (SELECT event_id, market, {LINE} AS line, side, max(({DEC}, book_id, odds)) AS m FROM s GROUP BY ALL)"
@@ -435,13 +439,25 @@ def _(v):
 # ---- features
 
 SUCC = "CASE WHEN distance <= 0 THEN yards >= 0 ELSE yards >= ceil(distance * CASE down WHEN 1 THEN 0.5e0 WHEN 2 THEN 0.7e0 ELSE 1.0e0 END) END"
-METRICS = f"""sd AS (SELECT game_id, home AS team, away AS opponent, season, available_at, true AS is_home FROM games UNION ALL SELECT game_id, away, home, season, available_at, false FROM games),
-    off AS (SELECT game_id, offense AS team, count(*) AS plays, avg(ppa) AS ppa, avg(CAST({SUCC} AS INTEGER)) AS success, avg(CAST((kind = 'pass' AND yards >= 20) OR (kind = 'rush' AND yards >= 10) AS INTEGER)) AS explosive, avg(CAST(kind = 'pass' AS INTEGER)) AS pass_rate FROM plays GROUP BY ALL),
-    dr AS (SELECT game_id, offense AS team, count(*) AS drives, avg(points) AS points_per_drive FROM drives GROUP BY ALL),
-    tm AS (SELECT sd.*, off.plays, off.ppa, off.success, off.explosive, off.pass_rate, ag.ppa AS ppa_allowed, ag.success AS success_allowed, dr.drives, dr.points_per_drive FROM sd LEFT JOIN off ON off.game_id = sd.game_id AND off.team = sd.team LEFT JOIN off ag ON ag.game_id = sd.game_id AND ag.team = sd.opponent LEFT JOIN dr ON dr.game_id = sd.game_id AND dr.team = sd.team)"""
+PASSES, RUSHES, HAVOC = (", ".join(f"'{x}'" for x in names) for names in (labels.PASSES, labels.RUSHES, labels.HAVOC))
+METRICS = f"""sd AS (SELECT game_id, home AS team, away AS opponent, season, available_at, true AS is_home FROM games
+               UNION ALL SELECT game_id, away, home, season, available_at, false FROM games),
+    fl AS (SELECT *, type IN ({PASSES}) AS is_pass, type IN ({RUSHES}) AS is_rush, type IN ({HAVOC}) AS is_havoc FROM plays),
+    off AS (SELECT game_id, offense AS team, count(*) AS plays, avg(ppa) AS ppa, avg(ppa) FILTER (is_pass) AS pass_ppa, avg(ppa) FILTER (is_rush) AS rush_ppa,
+                   avg(CAST({SUCC} AS INTEGER)) AS success, avg(CAST((is_pass AND yards >= 20) OR (is_rush AND yards >= 10) AS INTEGER)) AS explosive,
+                   avg(CAST(is_pass AS INTEGER)) AS pass_rate, avg(yards) AS yards_per_play, avg(CAST(is_havoc AS INTEGER)) AS havoc, avg(CAST(wallclock AS INTEGER)) AS wallclock_coverage
+            FROM fl WHERE is_pass OR is_rush GROUP BY game_id, offense),
+    dr AS (SELECT game_id, offense AS team, count(*) AS drives, avg(points) AS points_per_drive, avg(yards) AS yards_per_drive FROM drives GROUP BY ALL),
+    tm AS (SELECT sd.*, off.plays, off.ppa, off.pass_ppa, off.rush_ppa, off.success, off.explosive, off.pass_rate, off.yards_per_play, off.wallclock_coverage,
+                  ag.ppa AS ppa_allowed, ag.success AS success_allowed, ag.havoc AS havoc_rate, dr.drives, dr.points_per_drive, dr.yards_per_drive
+           FROM sd LEFT JOIN off ON off.game_id = sd.game_id AND off.team = sd.team LEFT JOIN off ag ON ag.game_id = sd.game_id AND ag.team = sd.opponent
+           LEFT JOIN dr ON dr.game_id = sd.game_id AND dr.team = sd.team)"""
 MNAMES = ["ppa", "success", "explosive", "pass_rate", "ppa_allowed", "success_allowed", "points_per_drive"]
 
 
+ALL = [*MNAMES, "pass_ppa", "rush_ppa", "yards_per_play", "yards_per_drive", "havoc_rate", "wallclock_coverage"]
+
+
 def metrics(v):
     return features.team_game_metrics(v("games"), v("plays"), v("drives"))
 
@@ -450,9 +466,18 @@ def requests(v):
     return features.sides(v("games")).select("game_id", "team", "season", (F.col("kickoff") - 86400).alias("as_of"))
 
 
-@query("g1_team_game_metrics", f", {METRICS} SELECT game_id, team, is_home, CAST(plays AS DOUBLE) AS plays, CAST(drives AS DOUBLE) AS drives, {', '.join(f'{d6(m)} AS {m}' for m in MNAMES)} FROM tm", ("plays", "drives"))
+@query("g1_team_game_metrics", f""", {METRICS} SELECT game_id, team, is_home, CAST(plays AS DOUBLE) AS plays, CAST(drives AS DOUBLE) AS drives,
+    is_home AND game_id % 3 = 0 AS team_stats_present, {', '.join(f'{d6(m)} AS {m}' for m in ALL)} FROM tm""", ("plays", "drives"))
+def _(v):
+    stats = v("games").where("game_id % 3 = 0").select("game_id", F.col("home").alias("team"))
+    got = features.team_game_metrics(v("games"), v("plays"), v("drives"), stats)
+    return doubles(rounded(got.select("game_id", "team", "is_home", "plays", "drives", "team_stats_present", *ALL), *ALL), "plays", "drives")
+
+
+@query("n20_play_flags", f"""SELECT type, yards, is_pass AS pass, is_rush AS rush, (is_pass AND yards >= 20) OR (is_rush AND yards >= 10) AS explosive, is_havoc AS havoc, count(*) AS n
+    FROM (SELECT type, yards, type IN ({PASSES}) AS is_pass, type IN ({RUSHES}) AS is_rush, type IN ({HAVOC}) AS is_havoc FROM plays) GROUP BY ALL""", ("plays",))
 def _(v):
-    return doubles(rounded(metrics(v).select("game_id", "team", "is_home", "plays", "drives", *MNAMES), *MNAMES), "plays", "drives")
+    return v("plays").groupBy("type", "yards").agg(F.count("*").alias("n")).select("type", "yards", "n", *[c.alias(k) for k, c in labels.play_flags(F.col("type"), F.col("yards")).items()])
 
 
 HIST = f", {METRICS}, rq AS (SELECT game_id, team, season, available_at - 172800 AS as_of FROM sd), hs AS (SELECT rq.game_id, rq.team, rq.season, rq.as_of, f.season AS fs, f.ppa, f.available_at, f.game_id AS fg, row_number() OVER (PARTITION BY rq.game_id, rq.team ORDER BY f.available_at DESC, f.game_id DESC) AS newest FROM rq JOIN tm f ON f.team = rq.team AND f.available_at <= rq.as_of AND f.game_id <> rq.game_id AND f.ppa IS NOT NULL)"

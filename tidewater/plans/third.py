@@ -108,20 +108,20 @@ def lattice(v):
 
 @query("d16_lattice_correction")
 def _(v):
-    return rounded(dist.lattice_correction(lattice(v).where("season < 1999")), "expected", "ratio")
+    return rounded(dist.lattice_correction(normal_rows(v).where("season < 1999")), "expected", "ratio")
 
 
 @query("d17_corrected_lattice")
 def _(v):
-    x = lattice(v)
-    got = dist.corrected_lattice(x.where("season >= 1999"), dist.lattice_correction(x.where("season < 1999")), ["game_id"])
+    x = normal_rows(v)
+    got = dist.corrected_lattice(x.where("season >= 1999"), dist.lattice_correction(x.where("season < 1999")))
     return rounded(dist.discrete_crps(got, ["game_id"]), "crps")
 
 
 @query("d19_key_number_mass")
 def _(v):
-    x = lattice(v)
-    got = dist.corrected_lattice(x.where("season >= 1999"), dist.lattice_correction(x.where("season < 1999")), ["game_id"])
+    x = normal_rows(v)
+    got = dist.corrected_lattice(x.where("season >= 1999"), dist.lattice_correction(x.where("season < 1999")))
     return rounded(dist.key_number_mass(got, [3, 7, 10, 14]), "modelled", "observed")
 
 
