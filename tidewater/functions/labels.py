@@ -91,14 +91,21 @@ def parse_utc(x: Column) -> Column:
     return F.when(x.rlike(r"(?:Z|[+-]\d{2}:?\d{2})$"), F.try_to_timestamp(x))
 
 
+def event_date_utc(ts: Column) -> Column:
+    """UTC date of epoch seconds, by arithmetic, so that no session's zone matters."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(ts / 86400).cast("int"))
+
+
 def slate_day(ts: Column, zone: str = "America/New_York") -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
 
 
-def prediction_as_of(kickoff: Column, horizon: Column, first_kickoff: Column) -> Column:
-    """Epoch seconds a horizon looks from: a day before, an hour before, or three hours before the slate's first kickoff."""
+def prediction_as_of(kickoff: Column, horizon: Column, first_kickoff: Column, zone: str = "America/New_York") -> Column:
+    """Epoch seconds a horizon looks from: a day before, an hour before, three hours before the slate's first kickoff, or nine in the local morning of the kickoff."""
     k, f = kickoff.cast("long"), first_kickoff.cast("long")
-    return F.when(horizon == "24h", k - 86400).when(horizon == "60m", k - 3600).when(horizon == "slate", f - 10800)
+    day = F.date_trunc("day", F.from_utc_timestamp(F.timestamp_seconds(k), zone))
+    morning = F.to_utc_timestamp(day + F.make_interval(hours=F.lit(9)), zone)
+    return F.when(horizon == "24h", k - 86400).when(horizon == "60m", k - 3600).when(horizon == "slate", f - 10800).when(horizon == "morning", F.unix_seconds(morning))
 
 
 def available_at(kickoff: Column) -> Column:
@@ -129,6 +136,11 @@ def kickoff_window(hour: Column) -> Column:
     return F.when(hour < 15, "early").when(hour < 19, "middle").otherwise("late")
 
 
+def stratum(season: Column, season_type: Column, week: Column, hour: Column) -> Column:
+    """season|phase|window; null if any is."""
+    return F.concat(season.cast("string"), F.lit("|"), season_phase(season_type, week), F.lit("|"), F.when(hour.isNotNull(), kickoff_window(hour)))
+
+
 def odds_band(odds: Column) -> Column:
     out = F.when(odds.isNull(), None)
     for top, name in ODDS_BANDS:

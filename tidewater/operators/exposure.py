@@ -202,3 +202,10 @@ def rank_combinations(offers: DataFrame, legs: DataFrame, policy: dict = COMBINE
     got = got.withColumn("score", F.col("growth") * (1 - policy["duplicate"]))
     order = [F.desc(F.round(k, 12)) for k in ("score", "p", "least", "total", "ev")]
     return got.withColumn("rank", F.row_number().over(Window.partitionBy("slate").orderBy(*order, "offer_id"))).drop("least", "total")
+
+
+def opposing_positions(candidates: DataFrame, opened: DataFrame) -> DataFrame:
+    """candidates without those that face an open position of their portfolio on another side of the same event and market."""
+    held = opened.select(F.col("portfolio").alias("_p"), F.col("event_id").alias("_e"), F.col("market").alias("_m"), F.col("side").alias("_s")).distinct()
+    same = (F.col("portfolio") == F.col("_p")) & (F.col("event_id") == F.col("_e")) & (F.col("market") == F.col("_m"))
+    return candidates.join(held, same & (F.col("side") != F.col("_s")), "left_anti")

@@ -184,10 +184,17 @@ def name_map(names: DataFrame) -> DataFrame:
     return names.groupBy(labels.normalize_name(F.col("name")).alias("name")).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1").select("name", "id")
 
 
-def stratified_sample(games: DataFrame, by: list[str], n: int) -> DataFrame:
-    """n games of every stratum, by the hash of their ids."""
-    w = Window.partitionBy(*by).orderBy(F.md5(F.col("game_id").cast("string")), "game_id")
-    return games.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n)
+def stratified_sample(games: DataFrame, by: list[str], n: int, window: str | None = None) -> DataFrame:
+    """n games of every stratum by the hash of their ids; with a window column, first one of each window, windows by hash, then the rest."""
+    h = F.md5(F.col("game_id").cast("string"))
+    if window is None:
+        order = [h, "game_id"]
+    else:
+        first = F.row_number().over(Window.partitionBy(*by, window).orderBy(h, "game_id")) == 1
+        games = games.withColumn("_first", first).withColumn("_h", F.when(F.col("_first"), F.md5(F.concat_ws("|", *by, window))).otherwise(h))
+        order = [F.desc("_first"), "_h", "game_id"]
+    w = Window.partitionBy(*by).orderBy(*order)
+    return games.withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= n).drop("_first", "_h")
 
 
 def latest_version(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -204,3 +211,33 @@ def preseason_facts(roster: DataFrame, coaches: DataFrame, results: DataFrame) -
     last = sides(results).withColumn("own", F.when(F.col("is_home"), F.col("margin")).otherwise(-F.col("margin"))).groupBy("team", (F.col("season") + 1).alias("season")).agg(F.avg("own").alias("last_margin"))
     got = back.join(run, ["team", "season"], "full_outer").join(last, ["team", "season"], "full_outer")
     return got.withColumn("missing_families", sum((F.col(c).isNull().cast("int") for c in ("players", "tenure", "last_margin")), F.lit(0)))
+
+
+def resolve_party(rows: DataFrame, games: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (game_id, name) with `party`: the canonical id of the side of its game whose name equals theirs, null where none or both do.
+
+    games: game_id, home, away (provider ids), home_name, away_name; ids: provider_id -> party, one row per id.
+    """
+    plain = lambda c: F.lower(F.trim(c))
+    x = rows.join(games.select("game_id", "home", "away", "home_name", "away_name"), "game_id", "left")
+    home, away = plain("name") == plain("home_name"), plain("name") == plain("away_name")
+    x = x.withColumn("provider_id", F.when(home & ~away, F.col("home")).when(away & ~home, F.col("away")))
+    return x.join(ids, "provider_id", "left").select(*rows.columns, "party")
+
+
+def active_membership(members: DataFrame) -> DataFrame:
+    """One membership per program and season, that recorded last, with all names the program has in that season.
+
+    members: program, season, membership, name, recorded_at.
+    """
+    newest = F.max_by("membership", F.struct("recorded_at", "membership"))
+    return members.groupBy("program", "season").agg(newest.alias("membership"), F.array_sort(F.collect_set(labels.normalize_name(F.col("name")))).alias("aliases"))
+
+
+def horizons_identical(tables: DataFrame, key: list[str], values: list[str], horizon: str = "horizon") -> DataFrame:
+    """Per value column: keys whose value differs between horizons, nulls equal to each other, and keys that lack a horizon. One aggregate."""
+    n = tables.select(horizon).distinct().count()
+    one = tables.groupBy(*key).agg(F.count_distinct(horizon).alias("_h"), *[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in values])
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) > 1).alias("differs")) for c in values])
+    got = one.select("_h", F.explode(cells).alias("x"))
+    return got.groupBy("x.feature").agg(F.count_if("x.differs").alias("different"), F.count_if(F.col("_h") < n).alias("incomplete"), F.count("*").alias("keys"))

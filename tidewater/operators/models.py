@@ -23,6 +23,35 @@ def naive_predictions(rows: DataFrame, first: int, last: int) -> DataFrame:
     return x.where("role = 'evaluate'").join(means, "fold").select("game_id", "season", "fold", "actual", "prediction", "trained_on")
 
 
+def baseline_predictions(games: DataFrame, target: str, first: int, last: int, newest: int = 20) -> DataFrame:
+    """(game_id, fold, variant, prediction) of three baselines that are fitted on the seasons before each fold's.
+
+    training_mean; site_mean, for margins the mean of neutral or of home games; prior_team, for margins the home side's mean minus the
+    away side's (0 without history), for totals the mean of the last `newest` games of both (the training mean without any).
+    games: game_id, season, kickoff, home, away, neutral, margin, total.
+    """
+    margin = target == "margin"
+    x = expanding_folds(games.withColumn("_y", F.col(target).cast("double")), first, last)
+    train, ask = x.where("role = 'train'"), x.where("role = 'evaluate'").select("game_id", "fold", "home", "away", "neutral")
+    mean = train.groupBy("fold").agg(F.avg("_y").alias("_mean"))
+    site = train.groupBy("fold", "neutral").agg(F.avg("_y").alias("_site"))
+    own = F.explode(F.array(F.struct(F.col("home").alias("team"), F.col("_y").alias("y")), F.struct(F.col("away").alias("team"), (-F.col("_y") if margin else F.col("_y")).alias("y"))))
+    past = train.select("fold", "kickoff", "game_id", own.alias("_o")).select("fold", "kickoff", "game_id", "_o.*")
+    if not margin:  # the last games of every team
+        w = Window.partitionBy("fold", "team").orderBy(F.desc("kickoff"), F.desc("game_id"))
+        past = past.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= newest)
+    team = past.groupBy("fold", "team").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    side = lambda n: team.select("fold", F.col("team").alias(n), F.col("s").alias(f"_s_{n}"), F.col("n").alias(f"_n_{n}"))
+    got = ask.join(mean, "fold").join(site, ["fold", "neutral"], "left").join(side("home"), ["fold", "home"], "left").join(side("away"), ["fold", "away"], "left")
+    part = lambda n: F.coalesce(F.col(f"_s_{n}") / F.col(f"_n_{n}"), F.lit(0.0))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    both = F.try_divide(zero("_s_home") + zero("_s_away"), zero("_n_home") + zero("_n_away"))
+    prior = part("home") - part("away") if margin else F.coalesce(both, F.col("_mean"))
+    cells = {"training_mean": F.col("_mean"), "site_mean": F.coalesce("_site", "_mean") if margin else F.col("_mean"), "prior_team": prior}
+    out = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), c.alias("prediction")) for k, c in cells.items()]))
+    return got.select("game_id", "fold", out.alias("_x")).select("game_id", "fold", "_x.*")
+
+
 def blend_weight(rows: DataFrame, first: int, last: int) -> DataFrame:
     """Least-squares weight of b against a, kept in 0..1, fitted on earlier seasons; one row per fold."""
     x = expanding_folds(rows, first, last).where("role = 'train'")

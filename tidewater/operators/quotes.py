@@ -232,10 +232,71 @@ def exact_line_consensus(pairs: DataFrame, minimum: int = 2) -> DataFrame:
     return got.join(at.groupBy(*MARKET, "line").agg(best(1), best(2)), [*MARKET, "line"]).select(*MARKET, "line", "books", "consensus", "dispersion", F.col("best1.price").alias("price1"), F.col("best1.book_id").alias("book1"), F.col("best2.price").alias("price2"), F.col("best2.book_id").alias("book2"))
 
 
-def resolve_events(batch: DataFrame) -> DataFrame:
-    """State of provider ids: one identity is reused, several are all a conflict, a missing id needs review."""
+def resolve_events(batch: DataFrame, mappings: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """batch (provider_id, identity, ..) with event_id and state.
+
+    A missing id needs_review; an id with several identities, in the batch or against its mapping's event, is a conflict in all its rows;
+    one with a mapping (provider_id -> event_id) to an event of the same identity is reused; one whose identity is
+    a known event's (events: event_id, identity) is matched to it; any other is new.
+    """
     n = batch.where("provider_id is not null").groupBy("provider_id").agg(F.count_distinct("identity").alias("identities"))
-    return batch.join(n, "provider_id", "left").withColumn("state", F.when(F.col("provider_id").isNull(), "needs_review").when(F.col("identities") > 1, "conflict").otherwise("matched"))
+    x = batch.join(n, "provider_id", "left")
+    if mappings is None or events is None:
+        return x.withColumn("state", F.when(F.col("provider_id").isNull(), "needs_review").when(F.col("identities") > 1, "conflict").otherwise("matched"))
+    held = mappings.join(events.select("event_id", F.col("identity").alias("_held")), "event_id").select("provider_id", F.col("event_id").alias("_mapped"), "_held")
+    same = events.groupBy("identity").agg(F.min("event_id").alias("_same"), F.count("*").alias("_known"))
+    x = x.join(held, "provider_id", "left").join(same, "identity", "left")
+    clash = F.max((F.col("identities") > 1) | (F.col("_held").isNotNull() & (F.col("_held") != F.col("identity")))).over(Window.partitionBy("provider_id"))
+    state = (
+        F.when(F.col("provider_id").isNull(), "needs_review").when(clash, "conflict").when(F.col("_mapped").isNotNull(), "reused").when(F.col("_known") == 1, "matched")
+        .when(F.col("_known") > 1, "needs_review").otherwise("new")
+    )
+    x = x.withColumn("state", state).withColumn("event_id", F.when(F.col("state") == "reused", F.col("_mapped")).when(F.col("state") == "matched", F.col("_same")))
+    return x.drop("identities", "_held", "_mapped", "_same", "_known")
+
+
+def latest_run_per_slate(runs: DataFrame, as_of: int) -> DataFrame:
+    """The newest run known at `as_of` (epoch seconds) of every slate from that day on. runs: slate_date (days since 1970), run_id, created."""
+    known = runs.where((F.col("created") <= as_of) & (F.col("slate_date") >= as_of // 86400))
+    newest = F.max(F.struct("created", "run_id"))
+    return known.groupBy("slate_date").agg(newest.alias("_m"), F.count("*").alias("runs")).select("slate_date", "_m.run_id", "_m.created", "runs")
+
+
+def full_funnel(quotes: DataFrame, as_of, reason: Column, supported: Column, minimum_edge: float, minimum_ev: float) -> DataFrame:
+    """(counter, value): every step from the observations received to the sides that qualify, and nearest-rank ages; one row per counter."""
+    state = latest_state(quotes, as_of)
+    age, wait = labels.age_seconds(F.col("requested"), F.col("observed")), labels.age_seconds(F.lit(as_of), F.col("requested"))
+    disc = lambda q: F.expr(f"percentile_disc({q}) within group (order by _age)")
+
+    def long(df: DataFrame, **counters: Column) -> DataFrame:
+        one = df.agg(*[c.cast("long").alias(k) for k, c in counters.items()])
+        return one.unpivot([], list(counters), "counter", "value").select("counter", F.coalesce("value", F.lit(0)).alias("value"))
+
+    seen = state.withColumn("_age", age).withColumn("_wait", wait).withColumn("_ok", supported).withColumn("_r", reason)
+    priced = price_markets(quotes, as_of)
+    better = (F.col("edge") >= minimum_edge) & (F.col("ev") >= minimum_ev)
+    parts = [
+        long(quotes, games_received=F.count_distinct("event_id"), observations_received=F.count("*")),
+        long(known_by(quotes, as_of), observations_considered=F.count("*")),
+        long(
+            seen, games_analyzed=F.count_distinct("event_id"), latest_observations=F.count("*"), supported_book_observations=F.count_if("_ok"), unsupported_book_observations=F.count_if(~F.col("_ok")),
+            supported_books_seen=F.count_distinct(F.when(F.col("_ok"), F.col("book_id"))), unsupported_books_seen=F.count_distinct(F.when(~F.col("_ok"), F.col("book_id"))), snapshot_age_seconds=F.max("_wait"),
+            quote_age_min=F.min("_age"), quote_age_median=disc(0.5), quote_age_p90=disc(0.9), quote_age_max=F.max("_age"), eligible_observations=F.count_if(F.col("_r").isNull()),
+        ),
+        long(pair_sides(state).where("reason is null"), exact_paired_book_markets=F.count("*")),
+        long(priced.select("event_id", "market", "line").distinct(), comparable_market_groups=F.count("*")),
+        long(priced, calculable_candidate_sides=F.count("*"), positive_edge_candidates=F.count_if(F.col("edge") > 0), positive_ev_candidates=F.count_if(F.col("ev") > 0), pricing_qualified_candidates=F.count_if(better)),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
+
+
+def bucket_returns(returns: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """Count, mean expected value and mean return of bets per bucket [low, high) of a value; the outer buckets are open."""
+    at = F.size(F.filter(F.lit([float(e) for e in edges]), lambda e: F.col(value) >= e))
+    return returns.where(F.col(value).isNotNull()).groupBy(at.alias("bucket")).agg(F.count("*").alias("n"), F.avg("ev").alias("mean_ev"), F.avg("unit_return").alias("mean_return"))
 
 
 def collapse_repeated_state(rows: DataFrame, key: list[str], immutable: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import distributions as dist
 from tidewater.operators import evaluate, exposure, features, quotes
-from tidewater.plans.fixtures import AS_OF
+from tidewater.plans.fixtures import AS_OF, ctes
 from tidewater.plans.more import ASOF, USABLE, candidates, usable
 from tidewater.plans.queries import ORACLES, PAIRS, QUERIES, REASON, d6, doubles, query, rounded, state
 from tidewater.plans.shared import folder
@@ -143,4 +143,4 @@ def _written(spark, sf_dir):
 
 
 QUERIES["s4_write_partitioned"] = _written
-ORACLES["s4_write_partitioned"] = ORACLES["s3_scan_partitioned"].replace("SELECT game_id, margin FROM games", "SELECT game_id, season, margin FROM games")
+ORACLES["s4_write_partitioned"] = f"{ctes('games')} SELECT game_id, season, margin FROM games WHERE season BETWEEN 1996 AND 1998"

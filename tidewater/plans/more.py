@@ -29,16 +29,6 @@ def _(v):
     return snapshots.flatten_quotes(good).groupBy("snapshot_id", "event_id", "book_id", "market", "side", "odds", "point").agg(F.count("*").alias("n"))
 
 
-@query("s2_quarantine_malformed", "SELECT CASE WHEN snapshot_id % 50 = 0 THEN 'malformed_event' ELSE 'credential_key' END AS reason, count(*) AS n FROM (SELECT DISTINCT snapshot_id, event_id FROM quotes WHERE snapshot_id % 50 = 0 OR snapshot_id % 70 = 1) GROUP BY ALL", ("quotes",))
-def _(v):
-    return snapshots.quarantine_malformed(raw(v))[1].groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query("s3_scan_partitioned", "SELECT game_id, margin FROM games WHERE season BETWEEN 1996 AND 1998", ("games",))
-def _(v):
-    return v("games").where(F.col("season").between(1996, 1998)).select("game_id", "margin")
-
-
 @query("s5_dataset_fingerprint")
 def _(v):
     return snapshots.dataset_fingerprint(v("lineitem"))
@@ -70,17 +60,6 @@ def _(v):
     return quotes.quote_star(v("quotes"), events, books).select("event_id", "book_id", "market", "side", "snapshot_id", "line_no", "quantity", "p_brand", "s_name")
 
 
-@query("j11_resolve_events", ", b AS (SELECT game_id, CASE WHEN game_id % 9 = 0 THEN NULL ELSE game_id % 4000 END AS pid, home % 3 AS identity FROM games), n AS (SELECT pid, count(DISTINCT identity) AS k FROM b GROUP BY pid) SELECT state, count(*) AS n FROM (SELECT CASE WHEN b.pid IS NULL THEN 'needs_review' WHEN k > 1 THEN 'conflict' ELSE 'matched' END AS state FROM b LEFT JOIN n ON b.pid = n.pid) GROUP BY state", ("games",))
-def _(v):
-    b = v("games").select(F.when(F.col("game_id") % 9 != 0, F.col("game_id") % 4000).alias("provider_id"), (F.col("home") % 3).alias("identity"))
-    return quotes.resolve_events(b).groupBy("state").agg(F.count("*").alias("n"))
-
-
-@query("j15_latest_run", "SELECT o_custkey AS slate, max((o_orderdate, o_orderkey))[2] AS run FROM orders GROUP BY o_custkey")
-def _(v):
-    return v("orders").groupBy(F.col("o_custkey").alias("slate")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("run"))
-
-
 @query("j18_collapse_repeated_state", "SELECT event_id, count(*) AS rows, min(start) AS start, min(league) AS league, min(status) AS status, min(status) = max(status) AS agrees FROM quotes GROUP BY event_id", ("quotes",))
 def _(v):
     return quotes.collapse_repeated_state(v("quotes"), ["event_id"], ["start", "league", "status"])
@@ -204,12 +183,6 @@ def _(v):
     return x.groupBy("w.team").agg(at("in", 1).alias("moved_in"), at("out", 1).alias("moved_out"), at("in", F.col("total")).alias("rating_in"), at("out", F.col("total")).alias("rating_out"))
 
 
-@query("w14_active_membership", "SELECT c_custkey % 130 AS program, c_nationkey AS season, min(c_custkey) AS membership FROM customer GROUP BY ALL")
-def _(v):
-    x = v("customer").select((F.col("c_custkey") % 130).alias("program"), F.col("c_nationkey").alias("season"), F.col("c_custkey").alias("membership"))
-    return x.groupBy("program", "season").agg(F.min("membership").alias("membership"))
-
-
 @query("e7_interval_coverage", f", s AS (SELECT season, stddev_pop(a - actual) AS sd FROM predictions GROUP BY season) SELECT season, {d6('avg(CAST(abs(a - actual) <= 0.674489750196082e0 * sd AS INTEGER))')} AS in_50, {d6('avg(CAST(abs(a - actual) <= 1.64485362695147e0 * sd AS INTEGER))')} AS in_90 FROM predictions JOIN s USING (season) GROUP BY season", ("predictions",))
 def _(v):
     p = v("predictions").withColumn("e", F.col("a") - F.col("actual"))
@@ -374,18 +347,18 @@ def _(s, folder):
 
 @stream_query("x3_stream_latest_state", f"WITH {EV} SELECT event_id, book_id, market, max((ts, seq, price))[3] AS price, max((ts, seq))[2] AS seq, count(*) AS seen FROM e GROUP BY ALL")
 def _(s, folder):
-    return streams.run_to_table(streams.latest_state(s), folder, "complete").drop("ts")
+    return streams.run_to_table(streams.latest_state(s), folder, streams.FAMILY).drop("ts")
 
 
 @stream_query("x4_stream_freshness", f"WITH {EV} SELECT CASE WHEN greatest(0, 1706572800 - floor(epoch(max(ts)))) <= 604800 THEN 'FRESH' ELSE 'STALE' END AS state, event_id, book_id, market FROM e GROUP BY event_id, book_id, market")
 def _(s, folder):
-    got = streams.run_to_table(streams.latest_state(s), folder, "complete")
+    got = streams.run_to_table(streams.latest_state(s), folder, streams.FAMILY)
     return streams.freshness(got, 1706572800, 604800).select("event_id", "book_id", "market", "state")
 
 
 @stream_query("x5_stream_window_counts", f"WITH {EV} SELECT CAST(epoch(time_bucket(INTERVAL 6 hours, ts)) AS BIGINT) AS start, market, count(*) AS n, {d6('sum(price)')} AS total FROM e GROUP BY ALL")
 def _(s, folder):
-    got = streams.run_to_table(streams.window_counts(s, "6 hours"), folder, "complete")
+    got = streams.run_to_table(streams.window_counts(s, "6 hours"), folder, ["start", "market"])
     return rounded(got.withColumn("start", F.unix_seconds("start")), "total")
 
 
@@ -400,4 +373,4 @@ def _(s, folder):
     def price(df):
         return df.groupBy("event_id", "market").agg(F.count("*").alias("books"), F.median("price").alias("fair"))
 
-    return streams.run_to_table(streams.latest_state(s), folder, "complete", price)
+    return streams.reprice(streams.latest_state(s), folder, price)

@@ -573,11 +573,6 @@ def _(v):
     return features.name_map(s.union(s.where("id % 10 = 0").select(F.upper("name"), F.col("id") + 1)))
 
 
-@query("w13_stratified_sample", "SELECT season, week, game_id, pick FROM (SELECT *, row_number() OVER (PARTITION BY season, week ORDER BY md5(CAST(game_id AS VARCHAR)), game_id) AS pick FROM games) WHERE pick <= 2", ("games",))
-def _(v):
-    return features.stratified_sample(v("games"), ["season", "week"], 2).select("season", "week", "game_id", "pick")
-
-
 @query("w10_latest_version", "SELECT custkey, version, CAST(supersedes AS DOUBLE) AS supersedes FROM (SELECT o_custkey AS custkey, o_orderkey AS version, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS supersedes, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1")
 def _(v):
     o = v("orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("version"), "o_orderdate")
@@ -587,11 +582,6 @@ def _(v):
 # ---- models and distributions
 
 
-@query("m2_naive_predictions", f", f AS (SELECT p.season AS fold, avg(q.actual) AS prediction, count(*) AS trained_on FROM (SELECT DISTINCT season FROM predictions WHERE season BETWEEN 1997 AND 2001) p JOIN predictions q ON q.season < p.season GROUP BY ALL) SELECT game_id, season, fold, actual, {d6('prediction')} AS prediction, trained_on FROM predictions JOIN f ON season = fold", ("predictions",))
-def _(v):
-    return rounded(models.naive_predictions(v("predictions"), 1997, 2001), "prediction")
-
-
 @query("m10_blend_weight", f", s AS (SELECT DISTINCT season AS fold FROM predictions WHERE season BETWEEN 1997 AND 2001) SELECT CAST(fold AS INTEGER) AS fold, {d6('greatest(0, least(1, sum((b - a) * (actual - a)) / sum((b - a) * (b - a))))')} AS weight, count(*) AS n FROM s JOIN predictions ON season < fold GROUP BY fold", ("predictions",))
 def _(v):
     return rounded(models.blend_weight(v("predictions"), 1997, 2001), "weight")

@@ -263,18 +263,6 @@ def _(v):
     return rounded(p.join(c, ["event_id", "market"], "left").select("game_id", "market", "lines", "consensus", F.col("lines").isNull().alias("excluded")), "consensus")
 
 
-@query("j10_resolve_party", "SELECT game_id, offense = home AS is_home, count(*) AS n FROM plays JOIN games USING (game_id) GROUP BY ALL", ("plays", "games"))
-def _(v):
-    x = v("plays").select("game_id", "offense").join(v("games").select("game_id", "home", "away"), "game_id")
-    return x.groupBy("game_id", (F.col("offense") == F.col("home")).alias("is_home")).agg(F.count("*").alias("n"))
-
-
-@query("j16_opposing_positions", "SELECT bet_id FROM bets a WHERE state <> 'open' AND NOT EXISTS (SELECT 1 FROM bets b WHERE b.state = 'open' AND b.portfolio = a.portfolio AND b.market = a.market AND b.side <> a.side)", ("bets",))
-def _(v):
-    a, o = v("bets").where("state <> 'open'"), v("bets").where("state = 'open'").select(F.col("portfolio").alias("p"), F.col("market").alias("m"), F.col("side").alias("s")).distinct()
-    return a.join(o, (F.col("portfolio") == F.col("p")) & (F.col("market") == F.col("m")) & (F.col("side") != F.col("s")), "left_anti").select("bet_id")
-
-
 @query("a12_market_features", f"{ASOF}, {PAIRS}, {CONS} SELECT event_id, {d6('max(consensus) FILTER (market = 0)')} AS money, {d6('avg(line) FILTER (market = 1)')} AS spread, {d6('avg(line) FILTER (market = 2)')} AS total FROM c GROUP BY event_id HAVING count(DISTINCT market) = 3", ("quotes",))
 def _(v):
     c = quotes.median_consensus(pairs(v), [*quotes.MARKET, "line"])

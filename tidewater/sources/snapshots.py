@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OUTCOME = "struct<side:bigint,odds:bigint,point:double>"
 SCHEMA = f"struct<id:bigint,start:bigint,books:array<struct<key:bigint,updated:bigint,markets:array<struct<key:bigint,updated:bigint,outcomes:array<{OUTCOME}>>>>>>"
@@ -36,11 +37,42 @@ def scan_credential_keys(raw: DataFrame, body: str = "body") -> DataFrame:
 
 
 def quarantine_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents that parse, warnings (snapshot_id, reason) of the others); a bad document fails no batch."""
+    """(documents that can be read, warnings (snapshot_id, reason, place)); damage costs only the part that has it, and fails no batch.
+
+    Whole documents: credential_key, malformed_event (no JSON or no id), malformed_bookmakers, event_not_normalized (no start). Within the
+    documents that are kept: malformed_bookmaker (no key or no markets), observation_not_normalized (a market without a key or
+    outcomes, or an outcome without side or odds), duplicate_observation_skipped (an outcome again in its snapshot, event, book
+    and market). place: book/market/outcome, counted from 0.
+    """
     x = parsed(raw)
-    reason = F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
+    reason = (
+        F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
+        .when(F.col("doc.start").isNull(), "event_not_normalized")
+    )
     x = x.withColumn("reason", reason)
-    return x.where("reason is null").drop("reason"), x.where("reason is not null").select("snapshot_id", "reason")
+    good = x.where("reason is null").drop("reason")
+    whole = x.where("reason is not null").select("snapshot_id", "reason", F.lit("").alias("place"))
+    b = good.select("snapshot_id", "doc.id", F.posexplode("doc.books").alias("bn", "b"))
+    bad_book = F.col("b.key").isNull() | F.col("b.markets").isNull()
+    books = b.where(bad_book).select("snapshot_id", F.lit("malformed_bookmaker").alias("reason"), F.col("bn").cast("string").alias("place"))
+    m = b.where(~bad_book).select("snapshot_id", "id", "bn", F.col("b.key").alias("book"), F.posexplode("b.markets").alias("mn", "m"))
+    bad_market = F.col("m.key").isNull() | F.col("m.outcomes").isNull()
+    lost = F.lit("observation_not_normalized").alias("reason")
+    markets = m.where(bad_market).select("snapshot_id", lost, F.concat_ws("/", "bn", "mn").alias("place"))
+    o = m.where(~bad_market).select("snapshot_id", "id", "bn", "mn", "book", F.col("m.key").alias("market"), F.posexplode("m.outcomes").alias("on", "o"))
+    place = F.concat_ws("/", "bn", "mn", "on").alias("place")
+    bad = F.col("o.side").isNull() | F.col("o.odds").isNull()
+    outcomes = o.where(bad).select("snapshot_id", lost, place)
+    again = F.row_number().over(Window.partitionBy("snapshot_id", "id", "book", "market", "o.side", "o.point", "o.odds").orderBy("bn", "mn", "on"))
+    repeats = o.where(~bad).withColumn("_n", again).where("_n > 1").select("snapshot_id", F.lit("duplicate_observation_skipped").alias("reason"), place)
+    return good, whole.unionAll(books).unionAll(markets).unionAll(outcomes).unionAll(repeats)
+
+
+def batch_status(raw: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(snapshot_id, warnings, status) of every batch: success, or partial where anything was left out."""
+    n = warnings.groupBy("snapshot_id").agg(F.count("*").alias("warnings"))
+    got = raw.select("snapshot_id").distinct().join(n, "snapshot_id", "left").withColumn("warnings", F.coalesce("warnings", F.lit(0)))
+    return got.withColumn("status", F.when(F.col("warnings") == 0, "success").otherwise("partial"))
 
 
 def flatten_quotes(good: DataFrame) -> DataFrame:

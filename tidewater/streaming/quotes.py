@@ -8,6 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.sources import snapshots
+
+FAMILY = ["event_id", "book_id", "market"]
+
 
 def stream_quotes(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
     """Quotes of the event files that arrive in a folder, as a stream: event, book, market, price, time."""
@@ -24,7 +28,7 @@ def stream_dedupe(quotes: DataFrame, keys: list[str], late: str = "1 day") -> Da
 
 
 def latest_state(quotes: DataFrame) -> DataFrame:
-    """Newest price per family; the same text for a stream in update or complete mode and for a batch."""
+    """Newest price per family; the same text for a stream in update mode, which keeps one row per family, and for a batch."""
     newest = F.max_by(F.struct("ts", "seq", "price"), F.struct("ts", "seq"))
     return quotes.groupBy("event_id", "book_id", "market").agg(newest.alias("n"), F.count("*").alias("seen")).select("event_id", "book_id", "market", "n.price", "n.seq", F.col("n.ts").alias("ts"), "seen")
 
@@ -47,23 +51,49 @@ def known_at(quotes: DataFrame, ingested: str, cutoff) -> DataFrame:
     return quotes.where(F.col(ingested) <= cutoff)
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over all that is there and returns its table. Append goes to a Parquet sink, other modes replace the table with each batch's result."""
+def newest_batch(out: DataFrame, key: list[str]) -> DataFrame:
+    """Of every key the row of the last batch that wrote it."""
+    rest = [c for c in out.columns if c not in (*key, "batch")]
+    return out.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*key, "_r.*")
+
+
+def run_to_table(stream: DataFrame, folder: str, key: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all that is there and returns its table.
+
+    Without a key rows are appended to a Parquet sink. With a key the stream runs in update mode: each batch writes the keys that it changed, and nothing
+    else, and the table has the last row of each. Writing a batch again replaces it, so a restart repeats nothing.
+    """
     spark = stream.sparkSession
     out, state = f"{folder}/out-{uuid.uuid4().hex}", f"{folder}/state-{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
-    if mode == "append" and each is None:
-        query = writer.format("parquet").option("path", out).start()
-        schema = stream.schema
-    else:
-        work = each or (lambda df: df)
-        schema = work(spark.createDataFrame([], stream.schema)).schema
-        query = writer.foreachBatch(lambda df, n: work(df).write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
-    query.awaitTermination()
-    if mode == "append" and each is None:
-        return spark.read.schema(schema).parquet(out)
-    got = spark.read.parquet(out)
-    if mode == "complete":  # the last batch holds the whole result
-        last = got.agg(F.max("batch")).first()[0]
-        return spark.read.schema(schema).parquet(f"{out}/batch={last}")
-    return got.drop("batch")
+    writer = stream.writeStream.outputMode("update" if key else "append").option("checkpointLocation", state).trigger(availableNow=True)
+    if not key:
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    return newest_batch(spark.read.parquet(out), key)
+
+
+def reprice(state: DataFrame, folder: str, price: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Prices events as their quotes change: each batch of a latest_state() stream prices the events that it touched, from their whole state, and no others.
+
+    price takes the state of some events and returns rows with event_id and market; the table has the last row of each.
+    """
+    spark = state.sparkSession
+    run = uuid.uuid4().hex
+    states, priced, checkpoint = (f"{folder}/{kind}-{run}" for kind in ("states", "prices", "state"))
+
+    def step(changed: DataFrame, n: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{states}/batch={n}")
+        touched = spark.read.parquet(f"{states}/batch={n}").select("event_id").distinct()
+        known = newest_batch(spark.read.parquet(states).join(touched, "event_id", "left_semi"), FAMILY)
+        price(known).write.mode("overwrite").parquet(f"{priced}/batch={n}")
+
+    state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
+    return newest_batch(spark.read.parquet(priced), ["event_id", "market"])
+
+
+def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the JSON snapshots (snapshot_id, body) that arrive in a folder: parsed, damaged documents left out, flattened."""
+    raw = spark.readStream.schema("snapshot_id long, body string").parquet(folder)
+    doc = snapshots.parsed(raw).where(~snapshots.leaks() & F.col("doc.id").isNotNull() & F.col("doc.books").isNotNull() & F.col("doc.start").isNotNull())
+    return snapshots.flatten_quotes(doc)
