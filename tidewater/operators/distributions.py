@@ -137,13 +137,29 @@ def settlement(loc: Column, scale: Column, line: Column) -> tuple[Column, Column
     return 1 - high, high - low, low
 
 
+#: Central intervals that are scored, in per cent.
+LEVELS = (50, 80, 90, 95)
+
+
 def proper_scores(actual: Column, loc: Column, scale: Column) -> dict[str, Column]:
     """Negative log likelihood, CRPS by pinball losses of 49 quantiles, PIT, and cover of four central intervals."""
     z = (actual - loc) / scale
     qs = [(i / 50, NormalDist().inv_cdf(i / 50)) for i in range(1, 50)]
     pinball = F.aggregate(F.lit([q for _, q in qs]), F.struct(F.lit(1).alias("i"), F.lit(0.0).alias("s")), lambda a, q: F.struct((a["i"] + 1).alias("i"), (a["s"] + (z - q) * (a["i"] / 50 - F.when(z < q, 1.0).otherwise(0.0))).alias("s")), lambda a: a["s"])
     out = {"nll": F.ln(scale) + z * z / 2 + 0.5 * math.log(2 * math.pi), "crps": scale * pinball * 2 / 49, "pit": normal_cdf(z)}
-    return out | {f"in_{p}": F.abs(z) <= NormalDist().inv_cdf(0.5 + p / 200) for p in (50, 80, 90, 95)}
+    return out | {f"in_{p}": F.abs(z) <= NormalDist().inv_cdf(0.5 + p / 200) for p in LEVELS}
+
+
+def distribution_summary(rows: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """Mean scores, histogram of the PIT in equal bins (the last one closed), coverage and mean width of the central intervals. rows: actual, loc, scale. One aggregate."""
+    s = proper_scores(F.col("actual"), F.col("loc"), F.col("scale"))
+    x = rows.withColumns({f"_{k}": c.cast("double") for k, c in s.items()})
+    at = F.least(F.floor(F.col("_pit") * bins), F.lit(bins - 1))
+    width = lambda p: F.avg(2 * NormalDist().inv_cdf(0.5 + p / 200) * F.col("scale"))
+    return x.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("_nll").alias("nll"), F.avg("_crps").alias("crps"), *[F.count_if(at == b).alias(f"pit_{b}") for b in range(bins)],
+        *[F.avg(f"_in_{p}").alias(f"in_{p}") for p in LEVELS], *[width(p).alias(f"width_{p}") for p in LEVELS],
+    )
 
 
 #: Ends of the lattice of outcomes; tails go to the ends.
@@ -205,11 +221,19 @@ def key_number_mass(corrected: DataFrame, numbers: list[int], low: int = LOW) ->
 
 
 def line_grid_scores(rows: DataFrame, lines: list[float]) -> DataFrame:
-    """Mean win, push, loss and three-way Brier score of Normal rows (loc, scale, actual) against a fixed grid of lines."""
+    """Mean win, push, loss, three-way Brier score and log loss of Normal rows (loc, scale, actual) against a fixed grid of lines, and how reliable the win probability is: its weighted gap over ten bins."""
     x = rows.withColumn("line", F.explode(F.lit([float(v) for v in lines])))
     win, push, loss = settlement(F.col("loc"), F.col("scale"), F.col("line"))
     x = x.withColumns({"win": win, "push": push, "loss": loss})
     hit = lambda c: c.cast("int")
     w, p, lo = hit(F.col("actual") > F.col("line")), hit(F.col("actual") == F.col("line")), hit(F.col("actual") < F.col("line"))
     brier = F.pow(F.col("win") - w, F.lit(2)) + F.pow(F.col("push") - p, F.lit(2)) + F.pow(F.col("loss") - lo, F.lit(2))
-    return x.groupBy("line").agg(F.count("*").alias("n"), F.avg("win").alias("win"), F.avg("push").alias("push"), F.avg(w).alias("won"), F.avg(p).alias("pushed"), F.avg(brier).alias("brier"))
+    safe = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
+    log_loss = -F.ln(safe(F.when(w == 1, F.col("win")).when(p == 1, F.col("push")).otherwise(F.col("loss"))))
+    x = x.withColumns({"_w": w, "_p": p, "_b": brier, "_l": log_loss, "_bin": F.least(F.floor(F.col("win") * 10), F.lit(9))})
+    names = ["win", "push", "_w", "_p", "_b", "_l"]
+    bins = x.groupBy("line", "_bin").agg(F.count("*").alias("c"), *[F.sum(c).alias(c) for c in names])
+    total = lambda c: F.sum(c) / F.sum("c")
+    return bins.groupBy("line").agg(
+        F.sum("c").alias("n"), *[total(c).alias(k) for c, k in zip(names, ["win", "push", "won", "pushed", "brier", "log_loss"])], (F.sum(F.abs(F.col("_w") - F.col("win"))) / F.sum("c")).alias("gap")
+    )

@@ -75,8 +75,9 @@ def ledger_reconcile(ledger: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def bucket_columns() -> dict:
-    """The label columns of attribution."""
+    """The label columns of attribution: league, market, book, classification, kind, model version, edge, odds and confidence, with side, price and portfolio beside."""
     return {
         "market": F.col("market"), "side": F.col("side"), "league": F.col("league"), "odds_band": labels.odds_band(F.col("odds")),
-        "price": labels.price_bucket(F.col("odds")), "edge": labels.edge_bucket(F.col("edge")), "portfolio": F.col("portfolio"),
+        "price": labels.price_bucket(F.col("odds")), "edge": labels.edge_bucket(F.col("edge")), "portfolio": F.col("portfolio"), "book": F.col("book_id"),
+        "classification": F.coalesce("classification", F.lit("unclassified")), "kind": F.col("kind"), "model_version": F.coalesce("model_version", F.lit("unversioned")), "confidence": F.coalesce("confidence", F.lit("unknown")),
     }

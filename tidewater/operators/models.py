@@ -183,24 +183,34 @@ def apply_linear(rows: DataFrame, key: str, params: DataFrame) -> DataFrame:
 
 
 def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
-    """rows with one column dealt anew, for permutation importance: values move along a hash order within hash parts, so no task sorts them all."""
-    part = F.pmod(F.xxhash64("game_id"), F.lit(64))
-    w = Window.partitionBy("_p")
-    x = rows.withColumn("_p", part)
-    a = x.withColumn("_i", F.row_number().over(w.orderBy(F.xxhash64("game_id", F.lit(seed)), "game_id")))
-    b = x.select("_p", F.col(column).alias("_v"), F.row_number().over(w.orderBy(F.xxhash64("game_id", F.lit(seed + 1)), "game_id")).alias("_i"))
-    return a.join(b, ["_p", "_i"]).withColumn(column, F.col("_v")).drop("_p", "_i", "_v")
+    """rows, which have a column `repeat`, with one column dealt anew over all rows of each repeat, for permutation importance.
+
+    Each row takes the value of the row of its rank in another hash order. Ranks take two steps, by hash part and within it, so no task sorts them all.
+    """
+
+    def ranked(x: DataFrame, salt: int) -> DataFrame:
+        h = F.xxhash64("game_id", "repeat", F.lit(salt))
+        x = x.withColumn("_h", h).withColumn("_p", F.shiftrightunsigned("_h", 58))
+        before = Window.partitionBy("repeat").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        starts = x.groupBy("repeat", "_p").agg(F.count("*").alias("_c")).select("repeat", "_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+        x = x.withColumn("_n", F.row_number().over(Window.partitionBy("repeat", "_p").orderBy("_h", "game_id")))
+        return x.join(starts, ["repeat", "_p"]).withColumn("_i", F.col("_s") + F.col("_n")).drop("_h", "_p", "_s", "_n")
+
+    values = ranked(rows.select("game_id", "repeat", F.col(column).alias("_v")), seed + 1).drop("game_id")
+    return ranked(rows, seed).join(values, ["repeat", "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v")
 
 
-def permutation_importance(rows: DataFrame, features: list[str], season: int, regressor, seed: int = 7) -> DataFrame:
-    """Growth of the mean absolute error when a feature is shuffled; one transform per feature."""
+def permutation_importance(rows: DataFrame, features: list[str], season: int, regressor, seed: int = 7, repeats: int = 3) -> DataFrame:
+    """Growth of the mean absolute error when a feature is shuffled, its mean and deviation over the repeats; one transform per feature."""
     model, base = fold_model(rows, features, season, regressor)
     test = rows.where(F.col("season") == season).select("game_id", "season", F.col("actual").cast("double").alias("actual"), *[F.col(c).cast("double").alias(c) for c in features])
     error = F.avg(F.abs(F.col("prediction") - F.col("actual")))
     own = base.agg(error.alias("base"))
     out = None
+    every = test.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
     for c in features:
-        x = shuffled(test, c, seed).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features})
-        got = model.transform(x).agg(error.alias("mae")).select(F.lit(c).alias("feature"), "mae")
+        x = shuffled(every, c, seed).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features})
+        got = model.transform(x).groupBy("repeat").agg(error.alias("mae")).select(F.lit(c).alias("feature"), "mae")
         out = got if out is None else out.union(got)
-    return out.join(own).select("feature", (F.col("mae") - F.col("base")).alias("importance"))
+    base = own.first()["base"]  # one number
+    return out.groupBy("feature").agg((F.avg("mae") - (base or 0.0)).alias("importance"), F.stddev_pop("mae").alias("deviation"))

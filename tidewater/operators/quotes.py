@@ -321,6 +321,31 @@ def coverage_by_dimensions(groups: DataFrame, sets: list[list[str]]) -> DataFram
     return got.withColumn("usable_share", F.col("usable") / F.col("groups"))
 
 
+def coverage_report(records: DataFrame, primary: Column) -> DataFrame:
+    """(scope, season, cohort, slate, horizon, market) with the same measures over six key sets, two of them on the primary cohort alone.
+
+    records, one per game, horizon and market: season, cohort, slate, horizon, market, usable, distance (seconds, null if unknown),
+    eligible, books, complete, supported (complete supported books), mapping (reliable, ambiguous, missing). One grouping-sets aggregate each.
+    """
+    keys = ["season", "cohort", "slate", "horizon", "market"]
+    pct = lambda c: F.round(100 * F.avg(c.cast("double")), 6)
+    disc = lambda q, c: F.expr(f"percentile_disc({q}) within group (order by {c})").cast("long")
+    measures = [
+        F.count("*").alias("requested"), F.count_if("usable").alias("usable"), pct(F.col("usable")).alias("coverage_pct"), disc(0.5, "distance").alias("distance_p50"), disc(0.9, "distance").alias("distance_p90"),
+        pct(F.col("eligible")).alias("fidelity_pct"), F.min("supported").alias("supported_min"), disc(0.5, "supported").alias("supported_p50"), F.max("supported").alias("supported_max"),
+        pct(F.col("supported") >= 2).alias("two_books_pct"), pct(F.col("supported") >= 3).alias("three_books_pct"), F.round(100 * F.try_divide(F.sum("complete"), F.sum("books")), 6).alias("completeness_pct"),
+        *[F.count_if(F.col("mapping") == m).alias(f"{m}_mappings") for m in ("reliable", "ambiguous", "missing")],
+    ]
+
+    def over(rows: DataFrame, scope: str, sets: list[list[str]]) -> DataFrame:
+        got = rows.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(*measures)
+        return got.select(F.lit(scope).alias("scope"), *got.columns)
+
+    narrow = [["season", "horizon", "market"], ["horizon", "market"]]
+    every = over(records, "all", [*narrow, ["cohort", "horizon", "market"], ["season", "slate", "horizon", "market"]])
+    return every.unionAll(over(records.where(primary), "primary", narrow))
+
+
 def approve(coverage: DataFrame, by: list[str], share: float) -> DataFrame:
     """GO where every row of a group reaches the share, CONDITIONAL where some does, else NO-GO."""
     ok = F.col("usable_share") >= share
@@ -337,8 +362,9 @@ def freshness_state(snapshots: DataFrame, now, limit: int, tie: str | None = Non
 
 
 def slate_summary(priced: DataFrame, day: str) -> DataFrame:
-    """Distinct market groups and books priced per slate and market."""
-    return priced.groupBy(day, "market").agg(F.count_distinct("event_id", "line").alias("groups"), F.sum("books").alias("books"))
+    """Market groups (event and line, or the event where there is none) per slate and market, and the books of all groups, each group's once."""
+    groups = priced.groupBy(day, "market", "event_id", "line").agg(F.max("books").alias("books"))
+    return groups.groupBy(day, "market").agg(F.count("*").alias("groups"), F.sum("books").alias("books"))
 
 
 def threshold_sweep(returns: DataFrame, thresholds: list[float]) -> DataFrame:

@@ -46,7 +46,10 @@ VIEWS = {
         SELECT CAST(o_custkey % 50 AS BIGINT) AS portfolio, o_orderkey AS bet_id, o_orderkey AS event_id, CAST(o_orderkey % 3 AS BIGINT) AS market, CAST(o_orderkey % 2 + 1 AS BIGINT) AS side, CAST(o_custkey % 3 AS BIGINT) AS league,
                CAST(floor(o_totalprice / 10) AS BIGINT) AS stake, CASE WHEN o_orderstatus = 'F' THEN 'won' WHEN o_orderstatus = 'O' THEN 'lost' WHEN o_orderkey % 2 = 0 THEN 'open' ELSE 'push' END AS state,
                CASE WHEN o_orderkey % 4 < 2 THEN 100 + o_orderkey % 300 ELSE -100 - o_orderkey % 250 END AS odds, {o_orderdate_s} AS settled_at, (o_custkey % 60) / 1000e0 AS edge,
-               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 0.35e0 + (o_custkey % 31) / 100e0 END AS closing_p FROM {orders}) AS b""",
+               CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE 0.35e0 + (o_custkey % 31) / 100e0 END AS closing_p,
+               CAST(o_custkey % 6 AS BIGINT) AS book_id, CASE o_orderkey % 7 WHEN 0 THEN 'strong' WHEN 1 THEN 'lean' WHEN 2 THEN 'pass' END AS classification,
+               CASE WHEN o_orderkey % 6 = 0 THEN 'parlay' ELSE 'straight' END AS kind, CASE o_custkey % 3 WHEN 0 THEN 'v1' WHEN 1 THEN 'v2' END AS model_version,
+               CASE o_custkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS confidence FROM {orders}) AS b""",
     "ledger": """
         SELECT portfolio, 'deposit' AS kind, CAST(1000000000 AS BIGINT) AS amount FROM {bets} AS b GROUP BY portfolio UNION ALL
         SELECT portfolio, 'stake' AS kind, -stake AS amount FROM {bets} AS b UNION ALL SELECT portfolio, 'settle' AS kind, stake + profit AS amount FROM {bets} AS b WHERE state <> 'open'""",

@@ -54,29 +54,6 @@ def _(v):
     return evaluate.block_bootstrap(pairs, "season", 300)
 
 
-@query("d15_integer_lattice")
-def _(v):
-    return lattice(v).groupBy("game_id").agg(F.sum("mass").alias("total"), F.count("*").alias("points"), F.max("mass").alias("peak"))
-
-
-@query("d10_normal_cdf")
-def _(v):
-    z = (F.col("l_extendedprice") % 1000) / 100 - 5
-    return v("lineitem").select("l_orderkey", "l_linenumber", z.alias("z"), dist.normal_cdf(z).alias("cdf"))
-
-
-@query("d20_market_line_probabilities")
-def _(v):
-    """Each season's own earlier residuals as a kernel grid, evaluated at the market's line of every game."""
-    p = v("predictions").withColumn("r", F.col("actual") - F.col("a"))
-    folds = p.where("season < 2001").withColumn("fold", F.explode(F.sequence(F.col("season").cast("int") + 1, F.lit(2001)))).select("fold", "r")
-    grid = dist.fit_kernel_grid(folds, ["fold"], "r")
-    at = p.select("game_id", F.col("season").cast("int").alias("fold"), (F.floor((F.col("game_id") % 15 - 7 - F.col("a")) * 4 + 0.5) / 4).alias("x"))
-    edge = grid.groupBy("fold").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    got = at.join(edge, "fold").withColumn("x", F.greatest("lo", F.least("hi", "x"))).join(grid, ["fold", "x"])
-    return rounded(got.select("game_id", "fold", (1 - F.col("cdf")).alias("p_over")), "p_over")
-
-
 @query("g2_preseason_facts", """, t AS (SELECT r.team, r.season, count(*) AS players, avg(CASE WHEN q.player IS NULL THEN 0 ELSE 1 END) AS rs FROM roster r LEFT JOIN roster q ON q.team = r.team AND q.player = r.player AND q.season + 1 = r.season GROUP BY ALL),
     i AS (SELECT *, season - row_number() OVER (PARTITION BY team, coach ORDER BY season) AS isl FROM coaches), k AS (SELECT team, season, row_number() OVER (PARTITION BY team, coach, isl ORDER BY season) AS tenure FROM i),
     l AS (SELECT team, season + 1 AS season, avg(m) AS lm FROM (SELECT home AS team, season, margin AS m FROM games UNION ALL SELECT away, season, -margin FROM games) GROUP BY ALL)

@@ -106,12 +106,6 @@ def _(v):
     return quotes.freshness_state(e, 1706572800, 3600, "event_id").select("source", F.lit(0.0).alias("zero"), "state")
 
 
-@query("a18_slate_summary", f"{ASOF}, {PAIRS}, {CONS}, {BEST}, {PRICED} SELECT start, market, count(DISTINCT (event_id, coalesce(line, -999))) - CASE WHEN market = 0 THEN count(DISTINCT event_id) ELSE 0 END AS groups, CAST(sum(books) AS BIGINT) AS books FROM x GROUP BY start, market", ("quotes",))
-def _(v):
-    got = quotes.slate_summary(quotes.price_markets(v("quotes"), AS_OF), "start")
-    return got  # a moneyline has no line, so it forms no group of (event, line)
-
-
 @query("a21_threshold_sweep", f"""{ASOF}, {PAIRS}, {CONS}, {BEST}, {PRICED}, r AS (SELECT fair * price - 1 AS ev, CASE WHEN event_id % 2 = side - 1 THEN price - 1 ELSE -1 END AS u FROM x), t AS (SELECT unnest([-0.05, 0.0, 0.02, 0.05, 0.1])::DOUBLE AS threshold)
     SELECT threshold, count(*) AS n, {d6('avg(ev)')} AS mean_ev, {d6('avg(u)')} AS mean_return FROM t JOIN r ON ev >= threshold GROUP BY threshold""", ("quotes",))
 def _(v):
@@ -183,14 +177,6 @@ def _(v):
     return x.groupBy("w.team").agg(at("in", 1).alias("moved_in"), at("out", 1).alias("moved_out"), at("in", F.col("total")).alias("rating_in"), at("out", F.col("total")).alias("rating_out"))
 
 
-@query("e7_interval_coverage", f", s AS (SELECT season, stddev_pop(a - actual) AS sd FROM predictions GROUP BY season) SELECT season, {d6('avg(CAST(abs(a - actual) <= 0.674489750196082e0 * sd AS INTEGER))')} AS in_50, {d6('avg(CAST(abs(a - actual) <= 1.64485362695147e0 * sd AS INTEGER))')} AS in_90 FROM predictions JOIN s USING (season) GROUP BY season", ("predictions",))
-def _(v):
-    p = v("predictions").withColumn("e", F.col("a") - F.col("actual"))
-    x = p.join(p.groupBy("season").agg(F.stddev_pop("e").alias("sd")), "season")
-    inside = lambda z: F.avg((F.abs("e") <= z * F.col("sd")).cast("int"))
-    return rounded(x.groupBy("season").agg(inside(0.674489750196082).alias("in_50"), inside(1.64485362695147).alias("in_90")), "in_50", "in_90")
-
-
 # ---- exposure
 
 

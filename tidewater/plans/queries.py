@@ -308,7 +308,8 @@ def _(v):
     return doubles(rounded(ledger.performance(v("bets")), "roi", "hit_rate"), "league", "market")
 
 
-DIMS = {"market": "market", "side": "side", "league": "league", "odds_band": BAND, "price": PRICE, "edge": EDGE, "portfolio": "portfolio"}
+DIMS = {"market": "market", "side": "side", "league": "league", "odds_band": BAND, "price": PRICE, "edge": EDGE, "portfolio": "portfolio",
+        "book": "book_id", "classification": "coalesce(classification, 'unclassified')", "kind": "kind", "model_version": "coalesce(model_version, 'unversioned')", "confidence": "coalesce(confidence, 'unknown')"}
 
 
 @query("l3_attribution", ", z AS (" + " UNION ALL ".join(f"SELECT '{k}' AS dimension, CAST({x} AS VARCHAR) AS value, state, stake, profit FROM bets WHERE state <> 'open'" for k, x in DIMS.items()) + f""")

@@ -44,21 +44,6 @@ def cross(v):
     return dist.settle_at(offers, histogram(v))
 
 
-@query("d4_cross_line_price")
-def _(v):
-    return rounded(cross(v), "center", "win", "push", "loss")
-
-
-@query("d5_project_books")
-def _(v):
-    """Every book's own centre settled at its market's modal line; dispersion over books."""
-    own = dist.infer_center(lines(v), histogram(v)).select("event_id", "market", "book_id", "center")
-    best = quotes.modal_line(pairs(v).where("market > 0")).select("event_id", "market", "line")
-    at = dist.settle_at(own.join(best, quotes.MARKET), histogram(v)).withColumn("q", F.try_divide("win", F.col("win") + F.col("loss")))
-    got = at.groupBy("event_id", "market", "line").agg(F.count("*").alias("books"), (F.max("q") - F.min("q")).alias("dispersion"), F.avg("q").alias("mean_q"))
-    return rounded(got, "dispersion", "mean_q")
-
-
 def resid(v):
     return v("predictions").withColumn("r", F.col("a") - F.col("actual"))
 
@@ -90,46 +75,10 @@ def normal_rows(v):
     return v("predictions").join(fit, F.col("season") == F.col("fold")).select("game_id", "season", "actual", (F.col("a") - F.col("mean")).alias("loc"), F.col("sd").alias("scale"))
 
 
-@query("d13_settlement")
-def _(v):
-    win, push, loss = dist.settlement(F.col("loc"), F.col("scale"), F.lit(3.0))
-    return normal_rows(v).select("game_id", r6(win).alias("win"), r6(push).alias("push"), r6(loss).alias("loss"))
-
-
-@query("d14_proper_scores")
-def _(v):
-    s = dist.proper_scores(F.col("actual"), F.col("loc"), F.col("scale"))
-    return normal_rows(v).groupBy("season").agg(F.count("*").alias("n"), *[F.avg(c.cast("double")).alias(k) for k, c in s.items()])
-
-
 def lattice(v):
     return dist.integer_lattice(normal_rows(v))
 
 
-@query("d16_lattice_correction")
-def _(v):
-    return rounded(dist.lattice_correction(normal_rows(v).where("season < 1999")), "expected", "ratio")
-
-
-@query("d17_corrected_lattice")
-def _(v):
-    x = normal_rows(v)
-    got = dist.corrected_lattice(x.where("season >= 1999"), dist.lattice_correction(x.where("season < 1999")))
-    return rounded(dist.discrete_crps(got, ["game_id"]), "crps")
-
-
-@query("d19_key_number_mass")
-def _(v):
-    x = normal_rows(v)
-    got = dist.corrected_lattice(x.where("season >= 1999"), dist.lattice_correction(x.where("season < 1999")))
-    return rounded(dist.key_number_mass(got, [3, 7, 10, 14]), "modelled", "observed")
-
-
-@query("d18_line_grid_scores")
-def _(v):
-    return rounded(dist.line_grid_scores(normal_rows(v), [-14, -7.5, -7, -3.5, -3, 0.5, 3, 3.5, 7, 10]), "win", "push", "won", "pushed", "brier")
-
-
 # ---- evaluation and models
 
 
@@ -211,7 +160,7 @@ def _(v):
 def _(v):
     from pyspark.ml.regression import LinearRegression
 
-    return models.permutation_importance(model_rows(v), ["ppa", "success"], 1999, LinearRegression(featuresCol="_x", labelCol="actual", regParam=0.1))
+    return models.permutation_importance(model_rows(v), MNAMES, 1999, LinearRegression(featuresCol="_x", labelCol="actual", regParam=0.1))
 
 
 @query("m13_oof_predictions", f", f AS (SELECT p.season AS fold, avg(q.actual) AS m FROM (SELECT DISTINCT season FROM predictions WHERE season BETWEEN 1997 AND 2001) p JOIN predictions q ON q.season < p.season GROUP BY ALL) SELECT 'naive' AS family, game_id, season, {d6('m')} AS prediction, {d6('actual - m')} AS residual FROM predictions JOIN f ON season = fold UNION ALL SELECT 'fixed', game_id, season, {d6('a')}, {d6('actual - a')} FROM predictions WHERE season BETWEEN 1997 AND 2001", ("predictions",))
@@ -331,12 +280,6 @@ def _(v):
     return x.groupBy("season").agg(F.count("*").alias("teams"), F.count("r").alias("roster"), F.count("c").alias("coach"))
 
 
-@query("g11_horizons_identical", "SELECT count(*) AS rows, count(*) FILTER (0.3e0 * margin IS DISTINCT FROM 0.35e0 * margin + ((game_id % 7) - 3)) AS different FROM games", ("games",))
-def _(v):
-    a, b = v("predictions").select("game_id", "a"), v("predictions").select("game_id", "b")
-    return a.join(b, "game_id").agg(F.count("*").alias("rows"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
-
-
 @query("b9_closest_positive_ev", f"{CAND} SELECT event_id, market, side, array_to_string(reasons, ',') AS blockers, {d6('ev')} AS ev, {d6(f'list_sum({DIST})')} AS distance, count(*) AS n FROM cl WHERE ev > 0 AND NOT qualified GROUP BY ALL", ("quotes",))
 def _(v):
     c = exposure.evaluate_candidates(candidates(v)).where("ev > 0 and not qualified").withColumn("d", exposure.distances())
