@@ -18,14 +18,18 @@ ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807
 REACH, STEP = 40, 0.25
 
 
-def normal_cdf(x: Column) -> Column:
-    """Standard normal distribution function, absolute error below 1e-7."""
-    z = F.abs(x) / math.sqrt(2)
-    t = 1 / (1 + z / 2)
+def _tail(z: Column, t: Column) -> Column:
+    """Mass beyond sqrt(2) z of a standard normal, where t = 1 / (1 + z / 2)."""
     power = F.lit(ERFC[-1])
     for c in reversed(ERFC[:-1]):
         power = power * t + c
-    tail = t * F.exp(power - z * z) / 2
+    return t * F.exp(power - z * z) / 2
+
+
+def normal_cdf(x: Column) -> Column:
+    """Standard normal distribution function, absolute error below 1e-7."""
+    z = F.abs(x) / math.sqrt(2)
+    tail = _tail(z, 1 / (1 + z / 2))
     return F.when(x > 0, 1 - tail).otherwise(tail)
 
 
@@ -166,17 +170,36 @@ def distribution_summary(rows: DataFrame, by: list[str], bins: int = 10) -> Data
 LOW, HIGH = -80, 80
 
 
+def _let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also within a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def lattice_mass(loc: Column, scale: Column, low: int = LOW, high: int = HIGH) -> Column:
-    """Normal mass of the integers low..high as an array; tails go to the ends."""
-    at = lambda k, d: normal_cdf((k + d - loc) / scale)
-    mass = lambda k: F.when(k == high, F.lit(1.0)).otherwise(at(k, 0.5)) - F.when(k == low, F.lit(0.0)).otherwise(at(k, -0.5))
-    return F.transform(F.sequence(F.lit(low), F.lit(high)), mass)
+    """Normal mass of the integers low..high as an array; tails go to the ends. One distribution function per border between integers."""
+
+    def cdf(x: Column) -> Column:
+        small = _let(F.abs(x) / math.sqrt(2), lambda z: _let(1 / (1 + z / 2), lambda t: _tail(z, t)))
+        return _let(small, lambda y: F.when(x > 0, 1 - y).otherwise(y))
+
+    borders = F.transform(F.sequence(F.lit(low + 1), F.lit(high)), lambda k: _let((k - 0.5 - loc) / scale, cdf))
+    return _let(borders, lambda c: F.zip_with(F.concat(c, F.array(F.lit(1.0))), F.concat(F.array(F.lit(0.0)), c), lambda above, below: above - below))
 
 
 def integer_lattice(rows: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
-    """rows (.., loc, scale) times the integers low..high with their Normal mass."""
-    x = rows.select("*", F.posexplode(lattice_mass(F.col("loc"), F.col("scale"), low, high)).alias("_at", "mass"))
-    return x.withColumn("k", F.col("_at") + low).drop("_at")
+    """rows (.., loc, scale) times the integers low..high with their Normal mass; tails go to the ends.
+
+    The steps of the distribution function are columns of their own, so that generated code computes each once.
+    """
+    x = rows.withColumn("k", F.explode(F.sequence(F.lit(low), F.lit(high))))
+    ends = {"_a": -0.5, "_b": 0.5}
+    x = x.withColumns({n: (F.col("k") + d - F.col("loc")) / F.col("scale") for n, d in ends.items()})
+    x = x.withColumns({f"{n}z": F.abs(n) / math.sqrt(2) for n in ends})
+    x = x.withColumns({f"{n}t": 1 / (1 + F.col(f"{n}z") / 2) for n in ends})
+    x = x.withColumns({f"{n}y": _tail(F.col(f"{n}z"), F.col(f"{n}t")) for n in ends})
+    cdf = lambda n: F.when(F.col(n) > 0, 1 - F.col(f"{n}y")).otherwise(F.col(f"{n}y"))
+    mass = F.when(F.col("k") == high, F.lit(1.0)).otherwise(cdf("_b")) - F.when(F.col("k") == low, F.lit(0.0)).otherwise(cdf("_a"))
+    return x.withColumn("mass", mass).select(*rows.columns, "k", "mass")
 
 
 def lattice_correction(history: DataFrame, pseudo: float = 200.0, least: int = 400, low: int = LOW, high: int = HIGH) -> DataFrame:

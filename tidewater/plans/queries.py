@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewater.functions import labels, prices
 from tidewater.operators import evaluate, features, ledger, models, quotes
@@ -79,8 +80,8 @@ def _(v):
 def _(v):
     key = ["event_id", "book_id", "market", "snapshot_id", "point", "line_no", "quantity"]
     q = v("quotes").where("market <> 1").groupBy(*key, "side").agg(F.max(prices.implied_probability(F.col("odds"))).alias("p"))
-    q = q.withColumn("fair1", prices.no_vig(F.col("p"), key, F.col("side") == 2)).withColumn("overround", prices.overround(F.col("p"), key))
-    return rounded(q.where("side = 1").select("event_id", "book_id", "market", F.col("point").alias("line"), "fair1", "overround"), "fair1", "overround")
+    q = q.withColumn("fair1", prices.no_vig(F.col("p"), key, F.col("side") == 2)).withColumn("overround", prices.overround(F.col("p"), key)).withColumn("sides", F.count("*").over(Window.partitionBy(*key)))
+    return rounded(q.where("side = 1 and sides = 2").select("event_id", "book_id", "market", F.col("point").alias("line"), "fair1", "overround"), "fair1", "overround")
 
 
 # ---- columns of names, times and labels
