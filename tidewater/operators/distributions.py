@@ -76,16 +76,18 @@ def shares(histogram: DataFrame) -> DataFrame:
 
 
 def settle_at(offers: DataFrame, histogram: DataFrame) -> DataFrame:
-    """offers (id, market, line, center) with win, push, loss mass: sums within the row over the market's histogram, an array."""
-    half = F.col("line") != F.floor("line")
-
-    def add(acc, x):
-        win, loss = win_loss(F.col("center") + x["value"] - F.col("line"), half)
-        return F.struct((acc["win"] + win * x["w"]).alias("win"), (acc["loss"] + loss * x["w"]).alias("loss"))
+    """offers (id, market, line, center) with win, push, loss mass: sums within the row over the market's histogram, an array.
 
-    mass = F.aggregate("_h", F.struct(F.lit(0.0).alias("win"), F.lit(0.0).alias("loss")), add)
-    got = offers.join(shares(histogram), "market").withColumn("_m", mass)
-    return got.select(*offers.columns, "_m.win", "_m.loss").withColumn("push", 1 - F.col("win") - F.col("loss"))
+    Each mass is split between the two integers around it, see win_loss(); on a line between integers nothing is a push.
+    """
+    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    total = lambda part: F.aggregate("_h", F.lit(0.0), lambda acc, x: acc + clip(part(x["value"])) * x["w"])
+    got = offers.join(shares(histogram), "market")
+    got = got.withColumn("_whole", F.col("line") == F.floor("line"))
+    got = got.withColumn("_off", F.col("center") - F.col("line") + F.when(F.col("_whole"), 0.0).otherwise(0.5))
+    got = got.withColumn("win", total(lambda v: F.col("_off") + v))
+    got = got.withColumn("loss", F.when(F.col("_whole"), total(lambda v: -F.col("_off") - v)).otherwise(1 - F.col("win")))
+    return got.select(*offers.columns, "win", "loss").withColumn("push", 1 - F.col("win") - F.col("loss"))
 
 
 def fit_student_t(rows: DataFrame, by: list[str], value: str, degrees=(3, 5, 8, 15, 30)) -> DataFrame:

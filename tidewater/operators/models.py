@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.operators.distributions import shares
+from tidewater.operators.distributions import settle_at
 
 
 def expanding_folds(rows: DataFrame, first: int, last: int) -> DataFrame:
@@ -79,16 +79,7 @@ def settle_on_lattice(points: DataFrame, histogram: DataFrame) -> DataFrame:
 
     A market's histogram is one array of a few hundred bins, and an offer sums over it within its row: nothing is exploded or shuffled again.
     """
-
-    def add(acc, b):
-        x = F.col("center") + b["value"]
-        low, share = F.floor(x), x - F.floor(x)
-        at = lambda c: (F.when(c(low + F.col("point")), 1 - share).otherwise(0.0) + F.when(c(low + 1 + F.col("point")), share).otherwise(0.0)) * b["w"]
-        return F.struct((acc["win"] + at(lambda d: d > 0)).alias("win"), (acc["push"] + at(lambda d: d == 0)).alias("push"))
-
-    mass = F.aggregate("_h", F.struct(F.lit(0.0).alias("win"), F.lit(0.0).alias("push")), add)
-    got = points.join(shares(histogram), "market").withColumn("_m", mass)
-    return got.select("id", "market", "_m.win", "_m.push").withColumn("loss", 1 - F.col("win") - F.col("push"))
+    return settle_at(points.withColumn("line", -F.col("point")), histogram).select("id", "market", "win", "push", "loss")
 
 
 def power_ratings(games: DataFrame, carry: float = 0.65, home: float = 2.5, rate: float = 0.15, cap: float = 35.0) -> DataFrame:
