@@ -139,7 +139,10 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", fil
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of encode() and of decoding its ids, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of encode() and of decoding its ids, in one pass.
+
+    Null, empty and very long texts, repeated rows, null ids, empty tables and other columns as in encode().
+    """
 
     def row(enc, values):
         packed = enc.encode(values)
@@ -151,7 +154,10 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def encode_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trips) of every row: encode(), with whether decoding the ids gives the text back."""
+    """(doc_id, n_tokens, ids, round_trips) of every row: encode(), with whether decoding the ids gives the text back.
+
+    Null, empty and very long texts, repeated rows, null ids, empty tables and other columns as in encode().
+    """
 
     def row(enc, values):
         packed = enc.encode(values)

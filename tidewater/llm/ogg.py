@@ -155,7 +155,8 @@ def media_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature[, media]) of every row.
 
     The text in UTF-8 (null: empty), filled with spaces to a positive multiple of 192, is stored as Ogg and read back.
-    Equal texts give equal values; rows keep their number, a null id stays null; other columns are not read.
+    Equal texts give equal values; texts of any length are stored whole; rows keep their number, repeated ones too; a null id stays
+    null; an empty table gives an empty one; other columns are not read.
     """
     kinds = {"id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
     if keep_media:

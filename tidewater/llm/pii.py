@@ -123,7 +123,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, found) with found array<struct<start, kind_no, end, kind, score>>, by start, then kind.
 
     Base kinds (email, ip, card, phone) stay whatever their score; others need LEAST. Null and empty texts have no
-    spans; repeated rows are searched each, a null id stays null; other columns are not read.
+    spans; texts of any length are searched whole; spans of several kinds that start together go by kind; repeated rows are searched
+    each, a null id stays null; an empty table gives an empty one; other columns are not read.
     """
     rows = texts(docs, id_col, text_col)
     return _searched(rows, F.col("text")).select(real_id("id").alias("doc_id"), "found")
@@ -145,7 +146,11 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with every span of the text replaced by its kind in brackets; of overlapping spans the earlier, then the longer counts."""
+    """docs with every span of the text replaced by its kind in brackets; of overlapping spans the earlier, then the earlier kind counts.
+
+    Null texts stay null, empty and clean ones as they are; rows keep their number and all their columns, whatever these are called; an empty
+    table gives an empty one.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     done = F.aggregate(
         "found",
