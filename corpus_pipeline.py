@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All but the last return the columns of documents.
+
+In every stage a null text counts as empty, texts of any length are read whole, null and repeated ids and repeated rows
+touch no other row, ties are broken as the operator's docstring says, an empty table gives an empty one, and other columns are carried
+along, whatever they are called (but for the names in tidewater.llm.common.ROW).
 """
 
 from __future__ import annotations
@@ -15,17 +19,17 @@ from tidewater.llm.common import shared_dir, table
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; each row by its own text."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every text."""
+    """One document of every text without its blanks: the longest, then that with the smallest id."""
     return dedup.keep_distinct(docs)
 
 
 def apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near duplicates."""
+    """One document of every group of near duplicates (five-word shingles, similarity 0.8 or more): that with the smallest id."""
     return simhash.keep_apart(docs)
 
 
