@@ -46,7 +46,7 @@ def test_first_failing_reason(spark):
 def test_pairs(spark):
     q = frame(spark, [row(market=1, side=1, point=-3.0), row(market=1, side=2, point=3.0), row(market=1, book=2, side=1, point=-3.0), row(market=2, book=3, side=1, point=40.0), row(market=2, book=3, side=2, point=41.0)])
     got = {(r.book_id, r.line): r.reason for r in quotes.pair_sides(q).collect()}
-    assert got == {(1, -3.0): None, (2, -3.0): "missing_side", (3, 40.0): "missing_side", (3, 41.0): "missing_side"}
+    assert got == {(1, -3.0): None, (2, -3.0): "missing_side", (3, 40.0): "total_points_differ"}
 
 
 def test_prices(spark):
@@ -154,3 +154,12 @@ def test_credential_keys_at_any_depth(spark):
     bodies = ['{"id": 1, "books": []}', '{"id": 1, "x": {"Api-Key" : "s"}}', '{"id": 1, "x": [{"TOKEN": 1}]}', '{"id": 1, "x": "token"}', '{"id": 1, "tokens": 2}']
     raw = spark.createDataFrame(list(enumerate(bodies)), "snapshot_id long, body string")
     assert sorted(r.snapshot_id for r in snapshots.scan_credential_keys(raw).collect()) == [1, 2]
+
+
+def test_a_family_of_two_rows_is_paired_whole(spark):
+    """Sides whose points differ are one incoherent pair; with more rows in the family each line stands alone."""
+    row = lambda event, market, side, point: (event, 1, market, side, 7, point, -110, 0, 0)
+    rows = [row(1, 1, 1, -3.0), row(1, 1, 2, 3.5), row(2, 2, 1, 47.0), row(2, 2, 2, 47.5), row(3, 1, 1, -3.0), row(3, 1, 2, 3.0), row(4, 1, 1, -3.0), row(4, 1, 2, 3.5), row(4, 1, 1, -3.5), row(5, 0, 1, None), row(5, 0, 2, None)]
+    frame = spark.createDataFrame(rows, "event_id long, book_id long, market long, side long, snapshot_id long, point double, odds long, start long, league long")
+    got = sorted((r.event_id, r.line or 0.0, r.reason) for r in quotes.pair_sides(frame).collect())
+    assert got == [(1, -3.0, "spread_points_differ"), (2, 47.0, "total_points_differ"), (3, -3.0, None), (4, -3.5, None), (4, -3.0, "missing_side"), (5, 0.0, None)]
