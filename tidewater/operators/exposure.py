@@ -7,6 +7,7 @@ price's own), age, start, slate. Caps, exposures and stakes are shares of equity
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import floor
 
 import pandas as pd
@@ -106,40 +107,45 @@ def check_caps(c: DataFrame, asked: str = "adjusted_kelly") -> DataFrame:
 def allocate(ranked: DataFrame, equity: float, cash: float, policy: dict = POLICY, state: str = "NORMAL") -> DataFrame:
     """Stakes in money, rounded down to cents, in rank order per slate: opposing sides, caps after open exposure and earlier picks, a least stake, at most top_n.
 
-    Later picks depend on earlier stakes, so a slate is one group; a slate is a day's board, and slates run in parallel.
-    A paused portfolio stakes nothing.
+    Later picks depend on earlier stakes. Spark sorts the candidates of a slate, and a task reads them batch by batch: it holds what is
+    taken so far, which top_n bounds, however many candidates there are. Null slates are one slate. A paused portfolio stakes nothing.
     """
 
-    def slate(df: pd.DataFrame) -> pd.DataFrame:
-        game, team, market, total, taken, out = {}, {}, {}, 0.0, {}, []
-        n = 0
-        for r in df.sort_values("rank").itertuples(index=False):
-            key = (r.event_id, r.market)
-            of_game, of_team = game.get(r.event_id, 0.0), max(team.get(t, 0.0) for t in (r.home, r.away))
-            caps = (r.left_daily * equity - total, min(r.left_game, r.left_correlated) * equity - of_game, r.left_team * equity - of_team, r.left_market * equity - market.get(r.market, 0.0))
-            stake = floor(max(0.0, min(r.adjusted_kelly * equity, r.left_bet * equity, cash - total, *caps)) * 100 + 1e-9) / 100
-            if state == "PAUSED":
-                blocker = "portfolio_paused"
-            elif n >= policy["top_n"]:
-                blocker = "top_n_reached"
-            elif r.opposed or taken.get(key, {r.side}) != {r.side}:
-                blocker = "opposing_position"
-            elif stake < policy["minimum_stake"]:
-                blocker = "below_minimum_stake"
-            else:
-                blocker = None
-                n += 1
-                taken.setdefault(key, set()).add(r.side)
-                total += stake
-                game[r.event_id] = of_game + stake
-                market[r.market] = market.get(r.market, 0.0) + stake
-                for t in {r.home, r.away}:
-                    team[t] = team.get(t, 0.0) + stake
-            out.append((r.slate, r.candidate_id, r.rank, stake if blocker is None else 0.0, blocker))
-        return pd.DataFrame(out, columns=["slate", "candidate_id", "rank", "stake", "blocker"])
-
-    cols = ranked.select("slate", "candidate_id", "event_id", "market", "side", "home", "away", "adjusted_kelly", "left_bet", "left_daily", "left_game", "left_correlated", "left_team", "left_market", "opposed", "rank")
-    return cols.groupBy("slate").applyInPandas(slate, "slate long, candidate_id string, rank int, stake double, blocker string")
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None
+        for df in batches:
+            stakes, blockers = [], []
+            for r in df.itertuples(index=False):
+                if r.slate_key != now:
+                    now, game, team, market, total, taken, n = r.slate_key, {}, {}, {}, 0.0, {}, 0
+                key = (r.event_id, r.market)
+                of_game, of_team = game.get(r.event_id, 0.0), max(team.get(t, 0.0) for t in (r.home, r.away))
+                caps = (r.left_daily * equity - total, min(r.left_game, r.left_correlated) * equity - of_game, r.left_team * equity - of_team, r.left_market * equity - market.get(r.market, 0.0))
+                stake = floor(max(0.0, min(r.adjusted_kelly * equity, r.left_bet * equity, cash - total, *caps)) * 100 + 1e-9) / 100
+                if state == "PAUSED":
+                    blocker = "portfolio_paused"
+                elif n >= policy["top_n"]:
+                    blocker = "top_n_reached"
+                elif r.opposed or taken.get(key, {r.side}) != {r.side}:
+                    blocker = "opposing_position"
+                elif stake < policy["minimum_stake"]:
+                    blocker = "below_minimum_stake"
+                else:
+                    blocker = None
+                    n += 1
+                    taken.setdefault(key, set()).add(r.side)
+                    total += stake
+                    game[r.event_id] = of_game + stake
+                    market[r.market] = market.get(r.market, 0.0) + stake
+                    for t in {r.home, r.away}:
+                        team[t] = team.get(t, 0.0) + stake
+                stakes.append(stake if blocker is None else 0.0)
+                blockers.append(blocker)
+            yield pd.DataFrame({"slate": df["slate"], "candidate_id": df["candidate_id"], "rank": df["rank"], "stake": stakes, "blocker": pd.Series(blockers, dtype="object", index=df.index)})
+
+    cols = ranked.select("slate", F.coalesce(F.col("slate").cast("string"), F.lit("")).alias("slate_key"), "candidate_id", "event_id", "market", "side", "home", "away", "adjusted_kelly", "left_bet", "left_daily", "left_game", "left_correlated", "left_team", "left_market", "opposed", "rank")
+    cols = cols.repartition("slate_key").sortWithinPartitions("slate_key", "rank", "candidate_id")
+    return cols.mapInPandas(pick, "slate long, candidate_id string, rank int, stake double, blocker string")
 
 
 def distances(policy: dict = POLICY) -> Column:

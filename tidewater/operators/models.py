@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -85,24 +87,28 @@ def settle_on_lattice(points: DataFrame, histogram: DataFrame) -> DataFrame:
 def power_ratings(games: DataFrame, carry: float = 0.65, home: float = 2.5, rate: float = 0.15, cap: float = 35.0) -> DataFrame:
     """Prediction of every game before its result moves both ratings; pool, game_id, prediction.
 
-    Each game depends on all before it in its pool (a league), so a pool is one group, in order; pools run in parallel.
+    Each game depends on all before it in its pool (a league). Spark sorts the games of a pool, and a task reads them batch by batch: it holds one rating per team, however many games there are.
     """
 
-    def pool(df: pd.DataFrame) -> pd.DataFrame:
+    def play(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ratings: dict[int, float] = {}
-        season, out = None, []
-        for g in df.sort_values(["kickoff", "game_id"]).itertuples(index=False):
-            if season is not None and g.season != season:
-                ratings = {t: r * carry for t, r in ratings.items()}
-            season = g.season
-            guess = ratings.get(g.home, 0.0) - ratings.get(g.away, 0.0) + (0.0 if g.neutral else home)
-            step = rate * min(cap, max(-cap, g.margin - guess)) / 2
-            ratings[g.home] = ratings.get(g.home, 0.0) + step
-            ratings[g.away] = ratings.get(g.away, 0.0) - step
-            out.append((g.pool, g.game_id, guess))
-        return pd.DataFrame(out, columns=["pool", "game_id", "prediction"])
-
-    return games.select("pool", "game_id", "season", "kickoff", "home", "away", "margin", "neutral").groupBy("pool").applyInPandas(pool, "pool long, game_id long, prediction double")
+        pool = season = None
+        for df in batches:
+            guesses = []
+            for g in df.itertuples(index=False):
+                if g.pool != pool:
+                    ratings, pool, season = {}, g.pool, g.season
+                if g.season != season:
+                    ratings, season = {t: r * carry for t, r in ratings.items()}, g.season
+                guess = ratings.get(g.home, 0.0) - ratings.get(g.away, 0.0) + (0.0 if g.neutral else home)
+                step = rate * min(cap, max(-cap, g.margin - guess)) / 2
+                ratings[g.home] = ratings.get(g.home, 0.0) + step
+                ratings[g.away] = ratings.get(g.away, 0.0) - step
+                guesses.append(guess)
+            yield pd.DataFrame({"pool": df["pool"], "game_id": df["game_id"], "prediction": guesses}, columns=["pool", "game_id", "prediction"])
+
+    x = games.select("pool", "game_id", "season", "kickoff", "home", "away", "margin", "neutral").where("pool is not null and margin is not null")
+    return x.repartition("pool").sortWithinPartitions("pool", "kickoff", "game_id").mapInPandas(play, "pool long, game_id long, prediction double")
 
 
 def ridge_fold(rows: DataFrame, features: list[str], season: int, alpha: float = 10.0) -> DataFrame:
