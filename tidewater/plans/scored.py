@@ -8,11 +8,11 @@ from statistics import NormalDist
 from pyspark.sql import functions as F
 
 from tidewater.operators import distributions as dist
-from tidewater.operators import features, quotes
+from tidewater.operators import crossline, features, quotes
 from tidewater.plans.fixtures import AS_OF
 from tidewater.plans.more import ASOF, usable
-from tidewater.plans.queries import BEST, CONS, PAIRS, PRICED, d6, pairs, query, r6, rounded
-from tidewater.plans.third import BRACKET, cross, histogram, lattice, lines, normal_rows
+from tidewater.plans.queries import BEST, CONS, DEC, PAIRS, PRICED, d6, pairs, query, r6, rounded
+from tidewater.plans.third import BRACKET, HI, cross, histogram, lattice, lines, normal_rows
 from tidewater.plans.third import LOSS as LATTICE_LOSS
 from tidewater.plans.third import WIN as LATTICE_WIN
 
@@ -158,7 +158,7 @@ def _(v):
     return rounded(cross(v), "center", "win", "push", "loss")
 
 
-MODAL = """(SELECT event_id, market, line FROM (SELECT event_id, market, line, count(*) AS n FROM p WHERE reason IS NULL AND market > 0 GROUP BY ALL)
+MODAL = """(SELECT event_id, market, CASE WHEN market = 1 THEN 0 - line ELSE line END AS line FROM (SELECT event_id, market, line, count(*) AS n FROM p WHERE reason IS NULL AND market > 0 GROUP BY ALL)
     JOIN (SELECT event_id, market, median(line) AS med FROM p WHERE reason IS NULL AND market > 0 GROUP BY ALL) USING (event_id, market)
     QUALIFY row_number() OVER (PARTITION BY event_id, market ORDER BY n DESC, abs(line - med), line) = 1)"""
 OWN = f"(SELECT ce.event_id, ce.market, ce.book_id, ce.line AS own, mo.line, ce.center, row_number() OVER () AS r FROM ce JOIN {MODAL} mo ON mo.event_id = ce.event_id AND mo.market = ce.market)"
@@ -169,7 +169,7 @@ OWN = f"(SELECT ce.event_id, ce.market, ce.book_id, ce.line AS own, mo.line, ce.
 def _(v):
     """Every book's own centre settled at its market's modal line; dispersion over books."""
     own = dist.infer_center(lines(v), histogram(v)).select("event_id", "market", "book_id", "center")
-    best = quotes.modal_line(pairs(v).where("market > 0")).select("event_id", "market", "line")
+    best = quotes.modal_line(pairs(v).where("market > 0")).select("event_id", "market", crossline.threshold(F.col("market"), F.col("line")).alias("line"))
     at = dist.settle_at(own.join(best, quotes.MARKET), histogram(v)).withColumn("q", F.try_divide("win", F.col("win") + F.col("loss")))
     got = at.groupBy("event_id", "market", "line").agg(F.count("*").alias("books"), (F.max("q") - F.min("q")).alias("dispersion"), F.avg("q").alias("mean_q"))
     return rounded(got, "dispersion", "mean_q")
@@ -194,6 +194,42 @@ def _(v):
     return rounded(got.select("game_id", "fold", (1 - F.col("cdf")).alias("p_over")), "p_over")
 
 
+OFFERED = f"""st AS {settled(OFFERS, 'event_id, market, line, center, books')},
+    sd AS (SELECT ce.event_id, ce.market, book_id, ce.line, books, side, CASE side WHEN 1 THEN o1 ELSE o2 END AS odds, CASE side WHEN 1 THEN win ELSE loss END AS win, CASE side WHEN 1 THEN loss ELSE win END AS loss
+        FROM ce JOIN st ON st.event_id = ce.event_id AND st.market = ce.market AND st.line = ce.line, (VALUES (1), (2)) x(side)),
+    ev AS (SELECT *, win * (price - 1) - loss AS ev, coalesce(win / nullif(win + loss, 0), 0) - 1 / price AS edge FROM (SELECT *, {DEC} AS price FROM sd)),
+    rb AS (SELECT *, count(*) OVER (PARTITION BY event_id, market, side) AS offers FROM ev
+        QUALIFY row_number() OVER (PARTITION BY event_id, market, side ORDER BY round(ev, 9) DESC, round(edge, 9) DESC, price DESC, book_id DESC, line DESC) = 1)"""
+SPREAD = f"""ow AS (SELECT rb.event_id, rb.market, rb.side, rb.line, ce.center, row_number() OVER () AS r FROM rb JOIN ce ON ce.event_id = rb.event_id AND ce.market = rb.market),
+    so AS {settled('ow', 'r, event_id, market, side')},
+    ds AS (SELECT event_id, market, side, max(win / nullif(win + loss, 0)) - min(win / nullif(win + loss, 0)) AS dispersion FROM so GROUP BY ALL)"""
+
+
+@query("d4_best_offer", f"""{CENTRE}, {OFFERED}, {SPREAD} SELECT event_id, market, CAST(side AS BIGINT) AS side, book_id, line, odds, offers, books, {six(win='win', loss='loss', ev='ev', edge='edge', dispersion='dispersion')}
+    FROM rb JOIN ds USING (event_id, market, side)""", ("quotes", "predictions"))
+def _(v):
+    got = crossline.best_offers(crossline.centered(lines(v), histogram(v)), histogram(v))
+    return rounded(got.select("event_id", "market", "side", "book_id", "line", "odds", "offers", "books", "win", "loss", "ev", "edge", "dispersion"), "win", "loss", "ev", "edge", "dispersion")
+
+
+#: Histograms of earlier seasons: the key of a market is season * 10 + market.
+EARLIER = """pk AS (SELECT p.* REPLACE (season * 10 + market AS market) , market AS kind FROM p JOIN games ON game_id = event_id),
+    hv AS (SELECT season, m AS market, floor((a - actual) * 4 + 0.5) / 4 + m - 1 AS value FROM predictions, (VALUES (1), (2)) t(m)),
+    ha AS (SELECT s.season * 10 + market AS market, value, count(*) AS n FROM (SELECT DISTINCT season FROM games) s JOIN hv ON hv.season < s.season GROUP BY ALL),
+    hi AS (SELECT * FROM ha QUALIFY sum(n) OVER (PARTITION BY market) >= 300)"""
+BACK = CENTRE.replace(HI, EARLIER).replace("CASE WHEN market = 1 THEN 0 - line ELSE line END AS line, overround", "CASE WHEN kind = 1 THEN 0 - line ELSE line END AS line, overround").replace("FROM p WHERE reason IS NULL AND market > 0", "FROM pk WHERE reason IS NULL AND kind > 0")
+
+
+@query("a20_cross_line_backtest", f"""{BACK}, {OFFERED}, go AS (SELECT rb.*, season, CASE WHEN rb.market % 10 = 1 THEN margin ELSE total END - line AS y FROM rb JOIN games ON game_id = event_id)
+    SELECT event_id, season, market % 10 AS market, CAST(side AS BIGINT) AS side, book_id, line, odds, {six(ev='ev', edge='edge', realized='CASE WHEN y = 0 THEN 0 WHEN (y > 0) = (side = 1) THEN price - 1 ELSE -1 END')} FROM go""", ("quotes", "predictions", "games"))
+def _(v):
+    p = v("predictions").withColumn("market", F.explode(F.lit([1, 2])))
+    residuals = p.select("season", "market", (F.floor((F.col("a") - F.col("actual")) * 4 + 0.5) / 4 + F.col("market") - 1).alias("value"))
+    results = v("games").select(F.col("game_id").alias("event_id"), "season", "margin", "total")
+    got = crossline.backtest(lines(v), residuals, results)
+    return rounded(got.select("event_id", "season", "market", "side", "book_id", "line", "odds", "ev", "edge", "realized"), "ev", "edge", "realized")
+
+
 # ---- reports
 
 

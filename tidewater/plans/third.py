@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import prices
 from tidewater.operators import distributions as dist
-from tidewater.operators import evaluate, exposure, features, ledger, models, quotes
+from tidewater.operators import crossline, evaluate, exposure, features, ledger, models, quotes
 from tidewater.plans.fixtures import AS_OF
 from tidewater.plans.more import ASOF, CAND, CAPS, DIST, NEED, candidates, ranked
 from tidewater.plans.queries import BEST, CONS, HIST, METRICS, MNAMES, PAIRS, PRICED, d6, doubles, metrics, pairs, preds, query, r6, requests, rounded
@@ -19,14 +19,15 @@ def histogram(v):
 
 
 def lines(v):
-    return pairs(v).where("market > 0 and fair1 between 0.01 and 0.99").select("event_id", "book_id", "market", "line", "overround", F.col("fair1").alias("p"))
+    x = pairs(v).where("market > 0 and fair1 between 0.01 and 0.99")
+    return x.select("event_id", "book_id", "market", crossline.threshold(F.col("market"), F.col("line")).alias("line"), "overround", F.col("fair1").alias("p"), "odds1", "odds2")
 
 
 WIN = "CASE WHEN half THEN greatest(0e0, least(1e0, y + 0.5e0)) ELSE greatest(0e0, least(1e0, y)) END"
 LOSS = "CASE WHEN half THEN 1 - greatest(0e0, least(1e0, y + 0.5e0)) ELSE greatest(0e0, least(1e0, -y)) END"
 BRACKET = f"""{HI}, br AS (SELECT market, half, i, sum(({WIN}) * w) AS win, sum((({WIN}) + ({LOSS})) * w) AS s FROM (SELECT market, half, i, i * 0.25e0 + value AS y, n / sum(n) OVER (PARTITION BY market, half, i) AS w FROM hi, range(-160, 161) t(i), (VALUES (true), (false)) h(half)) GROUP BY ALL),
     bq AS (SELECT *, coalesce(win / nullif(s, 0), 0) AS q, lag(win, 1, win) OVER w AS win0, lag(s, 1, s) OVER w AS s0, lag(i, 1, i) OVER w AS i0 FROM br WINDOW w AS (PARTITION BY market, half ORDER BY i)),
-    ln AS (SELECT event_id, book_id, market, line, overround, fair1 AS p, line <> floor(line) AS half FROM p WHERE reason IS NULL AND market > 0 AND fair1 BETWEEN 0.01 AND 0.99),
+    ln AS (SELECT event_id, book_id, market, CASE WHEN market = 1 THEN 0 - line ELSE line END AS line, overround, fair1 AS p, line <> floor(line) AS half, o1, o2 FROM p WHERE reason IS NULL AND market > 0 AND fair1 BETWEEN 0.01 AND 0.99),
     fi AS (SELECT l.*, (SELECT coalesce(min(i), 160) FROM bq b WHERE b.market = l.market AND b.half = l.half AND b.q >= l.p) AS at FROM (SELECT DISTINCT market, half, p FROM ln) l),
     ce AS (SELECT l.*, line + 0.25e0 * (i0 + greatest(0, least(1, coalesce((l.p * s0 - win0) / nullif((win - win0) - l.p * (s - s0), 0), 0)))) AS center FROM ln l JOIN fi f ON f.market = l.market AND f.half = l.half AND f.p = l.p JOIN bq b ON b.market = l.market AND b.half = l.half AND b.i = f.at)""".replace(" AS at FROM", " AS pos FROM").replace("f.at)", "f.pos)")
 
