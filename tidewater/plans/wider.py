@@ -204,6 +204,18 @@ def _(v):
 
 # ---- sources
 
+
+@query("s13_value_counts", """, x AS (SELECT unnest([{'c': 'state', 'v': state}, {'c': 'classification', 'v': classification}, {'c': 'market', 'v': CAST(market AS VARCHAR)}]) AS u FROM bets)
+    SELECT u.c AS "column", coalesce(u.v, '(null)') AS value, count(*) AS n FROM x GROUP BY ALL""", ("bets",))
+def _(v):
+    return snapshots.value_counts(v("bets"), ["state", "classification", "market"]).withColumn("value", F.coalesce("value", F.lit("(null)")))
+
+
+@query("s13_nulls_by_group", "SELECT portfolio, market, count(*) AS rows, count(*) - count(closing_p) AS nulls FROM bets GROUP BY ALL", ("bets",))
+def _(v):
+    return snapshots.nulls_by_group(v("bets"), ["portfolio", "market"], "closing_p")
+
+
 #: Remainders of snapshot ids, what is renamed in their documents, and what that does. The first that fits counts.
 DAMAGE = [(90, 7, "books"), (110, 9, "start"), (60, 11, "markets"), (80, 13, "outcomes"), (130, 17, "odds")]
 

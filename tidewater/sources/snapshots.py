@@ -155,3 +155,14 @@ def flatten_team_stats(raw: DataFrame) -> DataFrame:
 
 def flatten_venues(raw: DataFrame) -> DataFrame:
     return raw.select(F.from_json("body", VENUE).alias("v")).select("v.*").where("id is not null")
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value, n): how often each value of each column occurs, nulls among them, in one pass."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(cells.alias("_c")).groupBy("_c.column", "_c.value").agg(F.count("*").alias("n"))
+
+
+def nulls_by_group(df: DataFrame, by: list[str], column: str) -> DataFrame:
+    """Rows and nulls of one column per group."""
+    return df.groupBy(*by).agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("nulls"))
