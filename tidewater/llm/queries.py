@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from tidewater.llm import bpe, dedup, mixing, ogg, pii, quality, sharding, simhash, tokencount, urlfilter
-from tidewater.llm.common import table
+import uuid
+
+from tidewater.llm import bpe, dedup, frames, mixing, ogg, pii, quality, sharding, simhash, tokencount, urlfilter
+from tidewater.llm.common import shared_dir, table
 
 
 def op1_simhash_near_dedup(spark, sf_dir):
@@ -46,9 +48,14 @@ def op10_quality(spark, sf_dir):
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark, sf_dir):
+    return frames.token_files(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_token_counts, op3_sharding, op4_url_filter, op5_exact_dedup,
     op6_media_ogg, op7_bpe_round_trip, op8_source_mix, op9_personal_data, op10_quality,
+    op11_token_files,
 )}
 
 ORACLE_SQL: dict[str, str] = {
