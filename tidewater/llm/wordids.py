@@ -22,9 +22,9 @@ from tidewater.llm.tokencount import BEFORE, BLANK, HERE, classes, outputs, word
 from tidewater.llm.vocab import byte_chars
 
 #: Pieces in the newer table of a worker before it becomes the older one.
-REMEMBER = 500_000
+REMEMBER = 200_000
 #: Bytes of text that are encoded at once; a longer text is taken by itself.
-AT_ONCE = 1 << 25
+AT_ONCE = 1 << 22
 
 #: The split between words that word_machine() follows; fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
