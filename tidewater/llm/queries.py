@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from tidewater.llm import bpe, dedup, frames, mixing, ogg, pii, quality, sharding, simhash, tokencount, urlfilter
+from tidewater.llm import bpe, dedup, frames, merkle, mixing, negatives, ogg, pii, quality, sharding, simhash, tokencount, urlfilter
 from tidewater.llm.common import shared_dir, table
 
 
@@ -52,10 +52,18 @@ def op11_token_files(spark, sf_dir):
     return frames.token_files(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}")
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_token_counts, op3_sharding, op4_url_filter, op5_exact_dedup,
     op6_media_ogg, op7_bpe_round_trip, op8_source_mix, op9_personal_data, op10_quality,
-    op11_token_files,
+    op11_token_files, op12_hard_negatives, op13_merkle_manifest,
 )}
 
 ORACLE_SQL: dict[str, str] = {
