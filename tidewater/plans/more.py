@@ -348,15 +348,7 @@ def _(s, folder):
     return rounded(got.withColumn("start", F.unix_seconds("start")), "total")
 
 
-@stream_query("x6_late_data", f"WITH {EV} SELECT event_id, count(*) AS n, max(price) AS price FROM e WHERE ts + INTERVAL 1 hour * (seq % 48) <= TIMESTAMP '2024-01-15' GROUP BY event_id")
+@stream_query("x6_known_at", f"WITH {EV} SELECT event_id, count(*) AS n, max(price) AS price FROM e WHERE ts + INTERVAL 1 hour * (seq % 48) <= TIMESTAMP '2024-01-15' GROUP BY event_id")
 def _(s, folder):
     got = streams.run_to_table(s, folder).withColumn("ingested", F.unix_micros("ts") + F.col("seq") % 48 * 3_600_000_000)
     return streams.known_at(got, "ingested", 1705276800 * 1_000_000).groupBy("event_id").agg(F.count("*").alias("n"), F.max("price").alias("price"))
-
-
-@stream_query("x7_stream_reprice", f"WITH {EV}, l AS (SELECT event_id, book_id, market, max((ts, seq, price))[3] AS price FROM e GROUP BY ALL) SELECT event_id, market, count(*) AS books, median(price) AS fair FROM l GROUP BY ALL")
-def _(s, folder):
-    def price(df):
-        return df.groupBy("event_id", "market").agg(F.count("*").alias("books"), F.median("price").alias("fair"))
-
-    return streams.reprice(streams.latest_state(s), folder, price)

@@ -75,6 +75,46 @@ def batch_status(raw: DataFrame, warnings: DataFrame) -> DataFrame:
     return got.withColumn("status", F.when(F.col("warnings") == 0, "success").otherwise("partial"))
 
 
+#: Columns of read_documents().
+DOCUMENTS = (
+    "snapshot_id long, reason string, place string, event_id long, start long, book_no int, book_id long, market_no int, market long, "
+    "observed long, outcome_no int, side long, odds long, point double"
+)
+
+
+def read_documents(raw: DataFrame) -> DataFrame:
+    """Outcomes and warnings of JSON snapshots (snapshot_id, body) in one pass: rows with a reason are warnings, the others outcomes.
+
+    The body is parsed once and each level unnested once; what is damaged goes on as one row with its reason and place. Rows without a
+    reason are those of flatten_quotes(), repeats and damaged ones left out; reasons and places are those of quarantine_malformed().
+    """
+    lost = "observation_not_normalized"
+    whole = (
+        F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
+        .when(F.col("doc.start").isNull(), "event_not_normalized")
+    )
+    x = parsed(raw).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), whole.alias("reason"), "doc")
+    # an array that is not to be unnested is null, which gives one row without a place; an empty one is left out
+    inner = lambda array: F.when(F.col("reason").isNull(), F.col(array))
+    kept = lambda df, n, array: df.where(F.col("reason").isNotNull() | F.col(n).isNotNull()).drop(array)
+    b = x.select("snapshot_id", "reason", F.col("doc.id").alias("event_id"), F.col("doc.start").alias("start"), F.posexplode_outer(inner("doc.books")).alias("book_no", "b"))
+    b = kept(b, "book_no", "doc")
+    bad = F.when(F.col("reason").isNull() & (F.col("b.key").isNull() | F.col("b.markets").isNull()), "malformed_bookmaker")
+    b = b.withColumn("reason", F.coalesce("reason", bad))
+    names = ["snapshot_id", "reason", "event_id", "start", "book_no", F.col("b.key").alias("book_id"), F.col("b.updated").alias("_u")]
+    m = kept(b.select(*names, F.col("book_no").isNull().alias("_w"), F.posexplode_outer(inner("b.markets")).alias("market_no", "m")), "market_no", "b")
+    m = m.withColumn("reason", F.coalesce("reason", F.when(F.col("m.key").isNull() | F.col("m.outcomes").isNull(), lost)))
+    names = ["snapshot_id", "reason", "event_id", "start", "book_no", "book_id", "market_no", F.col("m.key").alias("market"), F.coalesce("m.updated", "_u").alias("observed")]
+    o = kept(m.select(*names, F.posexplode_outer(inner("m.outcomes")).alias("outcome_no", "o")), "outcome_no", "m")
+    o = o.withColumn("reason", F.coalesce("reason", F.when(F.col("o.side").isNull() | F.col("o.odds").isNull(), lost)))
+    o = o.select("*", "o.side", "o.odds", "o.point").drop("o")
+    same = Window.partitionBy("snapshot_id", "event_id", "book_id", "market", "side", "point", "odds").orderBy("book_no", "market_no", "outcome_no")
+    again = F.when(F.col("reason").isNull() & (F.row_number().over(same) > 1), "duplicate_observation_skipped")
+    place = F.when(F.col("reason").isNotNull(), F.concat_ws("/", "book_no", "market_no", "outcome_no"))
+    o = o.withColumn("reason", F.coalesce("reason", again)).withColumn("place", place)
+    return o.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in DOCUMENTS.split(", ")])
+
+
 def flatten_quotes(good: DataFrame) -> DataFrame:
     """One row per outcome with its places in the nested arrays; a market without a time takes its book's."""
     b = good.select("snapshot_id", F.col("doc.id").alias("event_id"), F.col("doc.start").alias("start"), F.posexplode("doc.books").alias("book_no", "b"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,25 +72,6 @@ def run_to_table(stream: DataFrame, folder: str, key: list[str] | None = None) -
     return newest_batch(spark.read.parquet(out), key)
 
 
-def reprice(state: DataFrame, folder: str, price: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Prices events as their quotes change: each batch of a latest_state() stream prices the events that it touched, from their whole state, and no others.
-
-    price takes the state of some events and returns rows with event_id and market; the table has the last row of each.
-    """
-    spark = state.sparkSession
-    run = uuid.uuid4().hex
-    states, priced, checkpoint = (f"{folder}/{kind}-{run}" for kind in ("states", "prices", "state"))
-
-    def step(changed: DataFrame, n: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{states}/batch={n}")
-        touched = spark.read.parquet(f"{states}/batch={n}").select("event_id").distinct()
-        known = newest_batch(spark.read.parquet(states).join(touched, "event_id", "left_semi"), FAMILY)
-        price(known).write.mode("overwrite").parquet(f"{priced}/batch={n}")
-
-    state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(step).start().awaitTermination()
-    return newest_batch(spark.read.parquet(priced), ["event_id", "market"])
-
-
 def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the JSON snapshots (snapshot_id, body) that arrive in a folder: parsed, damaged documents left out, flattened."""
     raw = spark.readStream.schema("snapshot_id long, body string").parquet(folder)
