@@ -5,7 +5,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from tidewater.plans import boosted, fifth, fourth, lines, live, more, portfolios, scored, third, wider  # noqa: F401
+from tidewater.plans import audits, boosted, fifth, fourth, lines, live, more, portfolios, scored, third, wider  # noqa: F401
 from tidewater.plans.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
