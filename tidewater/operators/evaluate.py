@@ -103,6 +103,42 @@ def block_bootstrap(pairs: DataFrame, block: str, draws: int = 2000, seed: int =
     return point.join(bounds)
 
 
+def shared_draws(n: int, draws: int, seed: int, spark) -> DataFrame:
+    """(draw, pick): for each draw, n blocks by number, with replacement; hashes, so reruns and all candidates share them."""
+    slots = spark.range(1, draws + 1).select(F.col("id").cast("int").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
+    return slots.select("draw", F.pmod(F.xxhash64("draw", "slot", F.lit(seed)), F.lit(n)).cast("int").alias("pick"))
+
+
+def distribution_challenge(scored: DataFrame, benchmark: str, by: list[str], block: str, draws: int = 2000, seed: int = 7, width: float = 0.9, slack: float = 0.01) -> DataFrame:
+    """One row per `by` and candidate distribution: summaries, paired intervals against the benchmark, gates, and whether it advances.
+
+    scored, one row per game and candidate: candidate, game_id, nll, crps, covered (whether the central interval of `width` holds the outcome), interval_width, the columns of
+    `by` and `block`. Games are paired; blocks are drawn again with replacement, all candidates and scores by the same draws, and all intervals come from one aggregate. A
+    candidate advances if the intervals of both score differences lie below zero and its coverage error exceeds the benchmark's by no more than slack.
+    Rows shrink to sums per block first; the blocks (seasons, weeks) are few.
+    """
+    own = scored.where(F.col("candidate") == benchmark).select(*by, "game_id", F.col("nll").alias("_n"), F.col("crps").alias("_c"))
+    means = {"rows": F.count("*"), "nll": F.avg("nll"), "crps": F.avg("crps"), "coverage": F.avg(F.col("covered").cast("double")), "interval_width": F.avg("interval_width")}
+    summary = scored.groupBy(*by, "candidate").agg(*[c.alias(n) for n, c in means.items()])
+    d = scored.where(F.col("candidate") != benchmark).join(own, [*by, "game_id"])
+    blocks = d.groupBy(*by, "candidate", block).agg(F.sum(F.col("nll") - F.col("_n")).alias("n"), F.sum(F.col("crps") - F.col("_c")).alias("c"), F.count("*").alias("k"))
+    names = d.select(block).distinct().withColumn("pick", F.row_number().over(Window.orderBy(block)) - 1)
+    count = names.count()  # blocks
+    picked = shared_draws(max(1, count), draws, seed, scored.sparkSession).groupBy("draw", "pick").agg(F.count("*").alias("times"))
+    again = picked.join(names, "pick").join(blocks, block).groupBy(*by, "candidate", "draw").agg(*[F.try_divide(F.sum(F.col(x) * F.col("times")), F.sum(F.col("k") * F.col("times"))).alias(x) for x in ("n", "c")])
+    ends = lambda x, name: [F.percentile(x, q).alias(f"{name}_{end}") for q, end in ((0.025, "low"), (0.975, "high"))]
+    intervals = again.groupBy(*by, "candidate").agg(*ends("n", "nll"), *ends("c", "crps"), F.count("*").alias("draws"))
+    points = blocks.groupBy(*by, "candidate").agg((F.sum("n") / F.sum("k")).alias("nll_difference"), (F.sum("c") / F.sum("k")).alias("crps_difference"))
+    off = lambda c: F.abs(F.col(c) - width)
+    bench = summary.where(F.col("candidate") == benchmark).select(*by, F.col("coverage").alias("_cover"))
+    got = summary.join(points, [*by, "candidate"], "left").join(intervals, [*by, "candidate"], "left")
+    got = got.join(bench, by, "left") if by else got.crossJoin(bench)
+    rules = {"nll_below_zero": F.col("nll_high") < 0, "crps_below_zero": F.col("crps_high") < 0, "coverage_not_worse": off("coverage") <= off("_cover") + slack}
+    got = got.withColumns({k: F.when(F.col("candidate") != benchmark, F.coalesce(c, F.lit(False))) for k, c in rules.items()})
+    advances = F.col("nll_below_zero") & F.col("crps_below_zero") & F.col("coverage_not_worse")
+    return got.withColumn("advances", advances).drop("_cover")
+
+
 def gates(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """Named rules (metric, at_least, at_most) against (metric, value): pass, fail or unevaluable, and whether all pass."""
     got = rules.join(metrics, "metric", "left")

@@ -25,10 +25,10 @@ POLICY = {
 }
 
 
-def evaluate_candidates(c: DataFrame, policy: dict = POLICY) -> DataFrame:
-    """All failing rules of each candidate, whether it qualifies, its class and its quality multiplier."""
+def evaluate_candidates(c: DataFrame, policy: dict = POLICY, before: dict[str, Column] | None = None) -> DataFrame:
+    """All failing rules of each candidate, those of `before` first, whether it qualifies, its class and its quality multiplier."""
     col = F.col
-    rules = {
+    rules = (before or {}) | {
         "insufficient_book_depth": col("books") < policy["minimum_books"],
         "excessive_or_unknown_dispersion": col("dispersion").isNull() | (col("dispersion") > policy["maximum_dispersion"]),
         "stale_or_future_fair_value": (col("age") < 0) | (col("age") > policy["maximum_age"]),
@@ -45,6 +45,48 @@ def evaluate_candidates(c: DataFrame, policy: dict = POLICY) -> DataFrame:
     return got.withColumn("multiplier", multiplier).withColumn("class", F.when(col("qualified"), F.when(core, "CORE").otherwise("OPPORTUNISTIC")))
 
 
+#: Model statuses that may be acted on, and warnings that only inform; fixed values.
+ALLOWED_STATUSES = ["retained_benchmark"]
+INFORMING = ["material_book_outlier", "best_executable_book_outlier"]
+
+
+def apart(registry: DataFrame, key: str) -> DataFrame:
+    """Rows of a registry (key, valid_from, valid_to or null, ..) with intervals [valid_from, valid_to) that do not overlap: a newer row ends an older one."""
+    w = Window.partitionBy(key).orderBy("valid_from")
+    newest = registry.groupBy(key, "valid_from").agg(*[F.max_by(c, F.struct(F.coalesce("valid_to", F.lit(2**62)), F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(c) for c in registry.columns if c not in (key, "valid_from")])
+    return newest.withColumn("valid_to", F.least("valid_to", F.lead("valid_from").over(w)))
+
+
+def valid_at(rows: DataFrame, registry: DataFrame, key: str, at: str, values: dict[str, str]) -> DataFrame:
+    """rows with what a registry says of their key at their own time; values: column of the registry -> name. Without an interval that holds: null.
+
+    Intervals are made disjoint first, so a row meets at most one and none is multiplied; keys meet by an equi-join.
+    """
+    r = apart(registry, key).select(F.col(key).alias("_key"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), *[F.col(c).alias(n) for c, n in values.items()])
+    holds = (F.col(key) == F.col("_key")) & (F.col("_from") <= F.col(at)) & (F.col("_to").isNull() | (F.col(at) < F.col("_to")))
+    return rows.join(r, holds, "left").drop("_key", "_from", "_to")
+
+
+def evaluate_registered(c: DataFrame, models: DataFrame, mappings: DataFrame, policy: dict = POLICY) -> DataFrame:
+    """evaluate_candidates() behind the rules on identity, model status and pricing warnings, by what the registries said at each candidate's as_of.
+
+    c has besides: as_of, model_id, provider_id (of the event its fair value was made for), fair_market, fair_side, fair_point, point, warnings (array). models: model_id,
+    status, valid_from, valid_to; mappings: provider_id, event_id, valid_from, valid_to (epoch seconds, valid_to null while open). A fair value is no candidate's whose event
+    is not the one its provider id was mapped to at the time; a model is eligible from valid_from on and no more at valid_to.
+    """
+    x = valid_at(c, models, "model_id", "as_of", {"status": "model_status"})
+    x = valid_at(x, mappings, "provider_id", "as_of", {"event_id": "fair_event"})
+    before = {
+        "event_identity_mismatch": ~F.col("fair_event").eqNullSafe(F.col("event_id")),
+        "market_identity_mismatch": ~(F.col("fair_market").eqNullSafe(F.col("market")) & F.col("fair_side").eqNullSafe(F.col("side"))),
+        "exact_point_mismatch": ~F.col("fair_point").eqNullSafe(F.col("point")),
+        "model_status_not_eligible": ~F.coalesce(F.col("model_status").isin(ALLOWED_STATUSES), F.lit(False)),
+        "fair_probability_unavailable": F.col("fair").isNull(),
+        "pricing_quality_warning": F.size(F.array_except(F.coalesce("warnings", F.array().cast("array<string>")), F.lit(INFORMING))) > 0,
+    }
+    return evaluate_candidates(x, policy, before)
+
+
 def portfolio_state(equity: Column, start: Column, drawdown: Column, floor: float = 0.5, paused: float = 0.2, reduced: float = 0.1) -> Column:
     return F.when((equity <= start * floor) | (drawdown >= paused), "PAUSED").when(drawdown >= reduced, "REDUCED_RISK").otherwise("NORMAL")
 

@@ -53,6 +53,27 @@ def asof_history(requests: DataFrame, facts: DataFrame) -> DataFrame:
     return got.withColumn("newest", F.row_number().over(w))
 
 
+def asof_newest(requests: DataFrame, facts: DataFrame, n: int, values: list[str]) -> DataFrame:
+    """requests (game_id, team, as_of, ..) with `history`: array<struct<fact_at, fact_game, *values>> of the n newest facts of their team by the cutoff, newest first.
+
+    One pass in time order per team: facts and requests are merged, and each request takes the last n + 1 facts of its frame, of which its own
+    game's is left out. The work grows with facts + requests, whatever the history; asof_history() is the form without a bound. A request
+    without facts has an empty history. facts: one row per game and team, with available_at.
+    """
+    empty = lambda df, c: F.lit(None).cast(dict(df.dtypes)[c])
+    fact = F.struct(F.col("available_at").alias("fact_at"), F.col("game_id").alias("fact_game"), *values)
+    a = facts.select("team", F.col("available_at").alias("_t"), F.lit(0).alias("_k"), F.col("game_id").alias("_g"), fact.alias("_f"), *[empty(requests, c).alias(f"_r_{c}") for c in requests.columns if c != "team"])
+    kind = a.schema["_f"].dataType
+    b = requests.select("team", F.col("as_of").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast("long").alias("_g"), F.lit(None).cast(kind).alias("_f"), *[F.col(c).alias(f"_r_{c}") for c in requests.columns if c != "team"])
+    order = Window.partitionBy("team").orderBy("_t", "_k", "_g")
+    both = a.unionByName(b).withColumn("_seen", F.count("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = Window.partitionBy("team").orderBy("_seen").rangeBetween(-n, 0)
+    got = both.withColumn("_h", F.collect_list("_f").over(last)).where("_k = 1")
+    newest = F.reverse(F.array_sort("_h"))
+    history = F.slice(F.filter(newest, lambda f: f["fact_game"] != F.col("_r_game_id")), 1, n)
+    return got.select("team", *[F.col(f"_r_{c}").alias(c) for c in requests.columns if c != "team"], history.alias("history")).select(*requests.columns, "history")
+
+
 def recent_mean(requests: DataFrame, facts: DataFrame, value: str, n: int) -> DataFrame:
     """Mean of the last n facts before each request, without joining the whole history.
 
@@ -140,6 +161,28 @@ def audit_input(df: DataFrame, keys: list[str], features: list[str]) -> DataFram
     return one.join(dup).unpivot(["rows", "duplicate_keys"], features, "feature", "missing")
 
 
+def audit_model_input(df: DataFrame, keys: list[str], features: list[str], targets: list[str], order: list[str], position: str, last_season: int) -> DataFrame:
+    """(rule, name, n): what would keep a table from being modelled, and what is missing in it, zeros included.
+
+    rows; missing and non_finite by feature; null_target by target; duplicate_rows (rows beyond the first of their keys); season_fence (rows of later seasons);
+    order_violation (rows that stand, by `position`, after a row that `order` puts behind them). Neighbours are compared in two steps, within blocks of positions and
+    from block to block, so no task holds the whole order.
+    """
+    value = lambda c: F.col(c).cast("double")
+    bad = lambda c: F.isnan(value(c)) | (F.abs(value(c)) == float("inf"))
+    cells = [("rows", "all", F.count("*")), ("season_fence", "all", F.count_if(F.col("season") > last_season))]
+    cells += [("missing", c, F.count_if(F.col(c).isNull())) for c in features] + [("non_finite", c, F.count_if(bad(c))) for c in features] + [("null_target", c, F.count_if(F.col(c).isNull())) for c in targets]
+    one = df.agg(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(n).alias("name"), c.alias("n")) for r, n, c in cells]).alias("x")).select(F.inline("x"))
+    repeated = df.groupBy(*keys).agg((F.count("*") - 1).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    x = df.select(F.struct(*order).alias("_o"), F.col(position).alias("_p"), F.floor(F.col(position) / 4096).alias("_b"))
+    within = Window.partitionBy("_b").orderBy("_p")
+    inner = x.withColumn("_q", F.lag("_o").over(within)).agg(F.count_if(F.col("_q") > F.col("_o")).alias("n"))
+    ends = x.groupBy("_b").agg(F.min_by("_o", "_p").alias("first"), F.max_by("_o", "_p").alias("last"))
+    outer = ends.withColumn("_q", F.lag("last").over(Window.orderBy("_b"))).agg(F.count_if(F.col("_q") > F.col("first")).alias("m"))
+    wrong = inner.join(outer).select(F.lit("order_violation").alias("rule"), F.lit("all").alias("name"), (F.col("n") + F.col("m")).alias("n"))
+    return one.unionAll(repeated.select(F.lit("duplicate_rows").alias("rule"), F.lit("all").alias("name"), "n")).unionAll(wrong)
+
+
 def family_coverage(df: DataFrame, families: dict[str, list[str]]) -> DataFrame:
     """Present, total and missing cells per feature family."""
     cells = [F.struct(F.lit(f).alias("family"), sum((F.col(c).isNotNull().cast("int") for c in cs), F.lit(0)).alias("present"), F.lit(len(cs)).alias("total")) for f, cs in families.items()]

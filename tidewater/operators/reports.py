@@ -168,3 +168,33 @@ def corpus_report(games: DataFrame, manifests: DataFrame, artifacts: DataFrame,
         long(held.where("state <> 'cyclic'"), "chains", [], {"chains": F.count("*"), "longest": F.coalesce(F.max("depth") + 1, F.lit(0)), "of_several_versions": F.count_if(F.col("depth") > 0), "dangling": F.count_if(F.col("state") == "dangling")}),
         long(chains, "versions", ["state"], {"n": F.count("*")}),
     ])
+
+
+# ---- features
+
+
+def feature_report(rows: DataFrame, games: DataFrame, families: dict[str, list[str]], quality: list[str], early: int = 3, full: int = 4) -> DataFrame:
+    """Every figure of a feature dataset.
+
+    rows, one per game and horizon: season, week, horizon, home_games and away_games (of the season so far), adjusted (opponent adjustment on both sides), regime, features and
+    the quality ratios. games: exclusion. Sections: rows by season and by horizon; how many games the sides had behind them in the first
+    `early` weeks (`full` and more together); exclusions; cells present by feature family; means of the quality ratios, null as 0; adjustment and regime.
+    """
+    n = {"n": F.count("*")}
+    depth = rows.where(F.col("week") <= early).select(F.explode(F.array("home_games", "away_games")).alias("d")).select(F.when(F.col("d") < full, F.col("d").cast("string")).otherwise(f"{full}_plus").alias("depth"))
+    held = lambda cs: F.sum(sum((F.col(c).isNotNull().cast("long") for c in cs), F.lit(0)))
+    total = lambda cs: F.count("*") * len(cs)
+    cover = [long(rows, "family_coverage", [], {"present_cells": held(cs), "total_cells": total(cs), "missing_cells": total(cs) - held(cs), "coverage": F.round(F.try_divide(held(cs), total(cs)), 6)}).withColumn("key", F.lit(f)) for f, cs in families.items()]
+    means = {c: F.round(F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))), 6) for c in quality}
+    return united([
+        long(rows, "rows_by_season", ["season"], n), long(rows, "rows_by_horizon", ["horizon"], n), long(depth, "early_depth", ["depth"], n),
+        long(games.withColumn("exclusion", F.coalesce("exclusion", F.lit("eligible"))), "exclusions", ["exclusion"], n), *cover, long(rows, "quality", [], means),
+        long(rows, "adjustment", [], {"rows": F.count_if("adjusted"), "share": F.round(F.avg(F.coalesce(F.col("adjusted"), F.lit(False)).cast("double")), 6), "regime_rows": F.count_if("regime")}),
+    ])
+
+
+def preseason_coverage(facts: DataFrame, families: dict[str, str], sources: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Team seasons by season, those with each family (name -> column that is null without it), and the rows of every source."""
+    parts = [long(facts, "by_season", ["season"], {"team_seasons": F.count("*")} | {f: F.count(c) for f, c in families.items()})]
+    parts += [long(df, "source_rows", [], {"n": F.count("*")}).withColumn("key", F.lit(name)) for name, df in (sources or {}).items()]
+    return united(parts)

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.operators import reports
+from tidewater.operators import distributions as dist
+from tidewater.operators import evaluate, exposure, features, preseason, reports
+from tidewater.plans.fifth import starts
 from tidewater.plans.fixtures import ctes, view
-from tidewater.plans.more import ASOF, USABLE, usable
-from tidewater.plans.queries import ORACLES, PAIRS, QUERIES, query, state
+from tidewater.plans.more import ASOF, CAND, USABLE, candidates, usable
+from tidewater.plans.queries import HIST, METRICS, MNAMES, ORACLES, PAIRS, QUERIES, d6, metrics, query, requests, rounded, state
 from tidewater.plans.shared import folder
+from tidewater.plans.third import normal_rows
 
 
 def cells(section: str, key: str, source: str, **measures: str) -> str:
@@ -77,7 +80,7 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifacts = [view(spark, sf_dir, k).groupBy(F.lit(k).alias("kind"), part.alias("p")).agg(F.count("*").alias("row_count"), F.collect_set("game_id").alias("game_ids")).drop("p") for k in ("plays", "drives")]
     o = view(spark, sf_dir, "orders")
     before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    old = F.coalesce(before, F.when(F.col("o_custkey") % 10 == 0, -F.col("o_custkey")))
+    old = F.coalesce(before, F.when(F.col("o_custkey") % 10 == 0, -1 - F.col("o_custkey")))
     manifests = o.select(F.col("o_orderkey").alias("manifest_id"), F.col("o_custkey").alias("request_hash"), F.floor("o_totalprice").alias("response_bytes"), F.floor(F.col("o_totalprice") / 10).alias("stored_bytes"), old.alias("supersedes"))
     return reports.corpus_report(games, manifests, artifacts[0].unionByName(artifacts[1]), folder(spark))
 
@@ -96,3 +99,90 @@ ORACLES["g7_corpus_chains"] = f"""{ctes('plays', 'drives')}, ex AS (SELECT *, CA
     UNION ALL {cells('calls', "'all'", 'orders', recorded='count(*)', unique_requests='count(DISTINCT o_custkey)', reuses='count(*) - count(DISTINCT o_custkey)', response_bytes='sum(floor(o_totalprice))', stored_bytes='sum(floor(o_totalprice / 10))', supersessions='count(*) - count(DISTINCT o_custkey) + count(DISTINCT o_custkey) FILTER (o_custkey % 10 = 0)')}
     UNION ALL {cells('chains', "'all'", 'ch', chains='count(*)', longest='max(depth) + 1', of_several_versions='count(*) FILTER (depth > 0)', dangling='count(*) FILTER (dangling)')}
     UNION ALL {cells('versions', "CASE WHEN dangling THEN 'dangling' ELSE 'ok' END", 'ch', n='sum(n)')}"""
+
+
+# ---- features, model input, preseason
+
+FAMILY = {"plays": ["ppa", "success", "explosive", "pass_rate"], "drives": ["points_per_drive"], "allowed": ["ppa_allowed", "success_allowed"]}
+
+
+@query("g6_full_report", f""", {METRICS}, fr AS (SELECT *, season % 3 AS horizon, game_id % 6 AS home_games, (game_id // 6) % 6 AS away_games, game_id % 50 AS wk, game_id % 4 = 0 AS adjusted, season = 1996 AS regime, CASE WHEN game_id % 9 <> 0 THEN game_id % 5 / 4e0 END AS ratio FROM tm),
+    de AS (SELECT CASE WHEN d < 4 THEN CAST(d AS VARCHAR) ELSE '4_plus' END AS depth FROM (SELECT home_games AS d FROM fr WHERE wk <= 3 UNION ALL SELECT away_games FROM fr WHERE wk <= 3)),
+    ga AS (SELECT CASE WHEN neutral THEN 'neutral_site' ELSE 'eligible' END AS exclusion FROM games)
+    {cells('rows_by_season', 'season', 'fr', n='count(*)')} UNION ALL {cells('rows_by_horizon', 'horizon', 'fr', n='count(*)')} UNION ALL {cells('early_depth', 'depth', 'de', n='count(*)')} UNION ALL {cells('exclusions', 'exclusion', 'ga', n='count(*)')}
+    UNION ALL {' UNION ALL '.join(cells('family_coverage', f"'{f}'", 'fr', present_cells=' + '.join(f'count({c})' for c in cs), total_cells=f'{len(cs)} * count(*)', missing_cells=f'{len(cs)} * count(*) - ' + ' - '.join(f'count({c})' for c in cs), coverage=f"floor(1e6 * ({' + '.join(f'count({c})' for c in cs)}) / ({len(cs)} * count(*)) + 0.5) / 1e6") for f, cs in FAMILY.items())}
+    UNION ALL {cells('quality', "'all'", 'fr', ratio='floor(1e6 * avg(coalesce(ratio, 0)) + 0.5) / 1e6')}
+    UNION ALL {cells('adjustment', "'all'", 'fr', rows='count(*) FILTER (adjusted)', share='floor(1e6 * avg(CAST(adjusted AS INTEGER)) + 0.5) / 1e6', regime_rows='count(*) FILTER (regime)')}""", ("plays", "drives"))
+def _(v):
+    g = F.col("game_id")
+    rows = metrics(v).withColumns({
+        "horizon": F.col("season") % 3, "home_games": g % 6, "away_games": F.floor(g / 6) % 6, "week": g % 50, "adjusted": g % 4 == 0, "regime": F.col("season") == 1996, "ratio": F.when(g % 9 != 0, g % 5 / 4.0),
+    })
+    games = v("games").select(F.when(F.col("neutral"), "neutral_site").alias("exclusion"))
+    return reports.feature_report(rows, games, FAMILY, ["ratio"])
+
+
+@query("g8_audit_model_input", f""", {METRICS}, x AS (SELECT *, game_id * 2 + CAST(is_home AS INTEGER) AS place, CASE WHEN game_id % 13 <> 0 THEN ppa END AS target FROM tm), n AS (SELECT *, lag((available_at, game_id)) OVER (ORDER BY place) AS before FROM x)
+    SELECT 'rows' AS rule, 'all' AS name, count(*) AS n FROM x UNION ALL SELECT 'season_fence', 'all', count(*) FILTER (season > 2000) FROM x UNION ALL SELECT 'null_target', 'target', count(*) - count(target) FROM x
+    UNION ALL {' UNION ALL '.join(f"SELECT 'missing', '{m}', count(*) - count({m}) FROM x UNION ALL SELECT 'non_finite', '{m}', 0" for m in MNAMES)}
+    UNION ALL SELECT 'duplicate_rows', 'all', count(*) - count(DISTINCT (game_id, season)) FROM x UNION ALL SELECT 'order_violation', 'all', count(*) FILTER (before > (available_at, game_id)) FROM n""", ("plays", "drives"))
+def _(v):
+    x = metrics(v).withColumn("place", F.col("game_id") * 2 + F.col("is_home").cast("int")).withColumn("target", F.when(F.col("game_id") % 13 != 0, F.col("ppa")))
+    return features.audit_model_input(x, ["game_id", "season"], MNAMES, ["target"], ["available_at", "game_id"], "place", 2000)
+
+
+@query("j5_asof_newest", f"{HIST} SELECT rq.game_id, rq.team, rq.as_of, count(fg) AS facts, coalesce(max(available_at), 0) AS newest_at, coalesce(min(available_at), 0) AS oldest_at, {d6('coalesce(sum(ppa), 0)')} AS total FROM rq LEFT JOIN (SELECT * FROM hs WHERE newest <= 5) h ON h.game_id = rq.game_id AND h.team = rq.team GROUP BY ALL", ("plays", "drives"))
+def _(v):
+    got = features.asof_newest(requests(v), metrics(v).where("ppa is not null").select("team", "game_id", "available_at", "ppa"), 5, ["ppa"])
+    at = F.transform("history", lambda h: h["fact_at"])
+    total = F.aggregate("history", F.lit(0.0), lambda s, h: s + h["ppa"])
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return rounded(got.select("game_id", "team", "as_of", F.size("history").cast("long").alias("facts"), zero(F.array_max(at)).alias("newest_at"), zero(F.array_min(at)).alias("oldest_at"), total.alias("total")), "total")
+
+
+PRESEASON = {"returning": "percent_ppa", "recruiting": "rank", "talent": "talent", "roster": "roster_count", "portal": "transfer_in_count", "coach": "coach_tenure", "passer": "leader_attempts"}
+
+
+@query("g10_seven_families", f"""{ORACLES['g2_seven_families'].removeprefix(ctes('squad', 'passing', 'games', 'portal', 'coaches', 'team_context')).rsplit('SELECT team, season', 1)[0]}
+    {cells('by_season', 'season', 'al', team_seasons='count(*)', **{f: f'count({c})' for f, c in PRESEASON.items()})} UNION ALL {' UNION ALL '.join(cells('source_rows', f"'{n}'", n, n='count(*)') for n in ('squad', 'portal', 'coaches'))}""",
+    ("squad", "passing", "games", "portal", "coaches", "team_context"))
+def _(v):
+    c = v("team_context")
+    facts = preseason.preseason_families(
+        c.where("team % 5 <> 0").select("team", "season", "percent_ppa", "usage"), c.where("team % 7 <> 0").select("team", "season", "rank", "points"), c.where("season > 1996").select("team", "season", "talent"),
+        v("squad"), v("passing"), v("portal"), v("coaches"), starts(v),
+    )
+    return reports.preseason_coverage(facts, PRESEASON, {n: v(n) for n in ("squad", "portal", "coaches")})
+
+
+# ---- registries and distributions
+
+
+@query("b1_evaluate_registered", f"""{CAND}, r AS (SELECT *, event_id % 4 AS m, 900000000 + (event_id % 50) * 1000000 AS seen_at, event_id % 6 = 0 AS turned, event_id % 8 = 3 AS warned FROM cl),
+    z AS (SELECT event_id, market, side, list_filter([CASE WHEN event_id % 5 = 0 AND seen_at >= 930000000 OR event_id % 9 = 4 THEN 'event_identity_mismatch' END, CASE WHEN turned THEN 'market_identity_mismatch' END,
+        CASE WHEN event_id % 7 = 2 THEN 'exact_point_mismatch' END, CASE WHEN m = 0 AND seen_at >= 920000000 OR m = 1 THEN 'model_status_not_eligible' END, CASE WHEN warned THEN 'pricing_quality_warning' END], lambda x: x IS NOT NULL) || reasons AS all_reasons FROM r)
+    SELECT event_id, market, side, array_to_string(all_reasons, ',') AS reasons, len(all_reasons) = 0 AS qualified, count(*) AS n FROM z GROUP BY ALL""", ("quotes",))
+def _(v):
+    e = F.col("event_id")
+    c = candidates(v).withColumns({
+        "as_of": 900000000 + e % 50 * 1000000, "model_id": F.concat(F.lit("m"), (e % 4).cast("string")), "provider_id": F.when(e % 9 != 4, F.concat(F.lit("p"), e.cast("string"))), "fair_market": F.col("market"),
+        "fair_side": F.when(e % 6 == 0, 3 - F.col("side")).otherwise(F.col("side")), "point": F.lit(1.5), "fair_point": F.when(e % 7 == 2, 2.5).otherwise(1.5), "warnings": F.when(e % 8 == 3, F.array(F.lit("stale_book"), F.lit("material_book_outlier"))).otherwise(F.array(F.lit("material_book_outlier"))),
+    })
+    models = c.select("model_id").distinct().select("model_id", F.when(F.col("model_id") == "m1", "shadow").otherwise("retained_benchmark").alias("status"), F.lit(0).cast("long").alias("valid_from"), F.when(F.col("model_id") == "m0", 920000000).cast("long").alias("valid_to"))
+    mappings = c.select("event_id").distinct().select(F.concat(F.lit("p"), e.cast("string")).alias("provider_id"), "event_id", F.lit(0).cast("long").alias("valid_from"), F.when(e % 5 == 0, 930000000).cast("long").alias("valid_to"))
+    got = exposure.evaluate_registered(c, models, mappings)
+    return got.groupBy("event_id", "market", "side", F.array_join("reasons", ",").alias("reasons"), "qualified").agg(F.count("*").alias("n"))
+
+
+@query("e15_distribution_candidates")
+def _(v):
+    """Three Normals against the plain one on shared draws: one better placed, one too wide, one shifted."""
+    rows = normal_rows(v)
+    out = None
+    for name, loc, scale in (("plain", F.col("loc"), F.col("scale")), ("nearer", F.col("loc") * 0.6 + F.col("actual") * 0.4, F.col("scale")), ("wide", F.col("loc"), F.col("scale") * 2), ("shifted", F.col("loc") + 3, F.col("scale"))):
+        s = dist.proper_scores(F.col("actual"), loc, scale)
+        half = scale * 1.6448536269514722
+        nll = F.log(scale * 2.5066282746310002) + (F.col("actual") - loc) * (F.col("actual") - loc) / (2 * scale * scale)
+        x = rows.select(F.lit(name).alias("candidate"), "game_id", "season", nll.alias("nll"), s["crps"].alias("crps"), (F.abs(F.col("actual") - loc) <= half).alias("covered"), (2 * half).alias("interval_width"))
+        out = x if out is None else out.unionAll(x)
+    return evaluate.distribution_challenge(out, "plain", [], "season")
