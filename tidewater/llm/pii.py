@@ -42,26 +42,49 @@ def _split(text: Column, kind: str) -> dict[str, Column]:
     return {f"__m_{kind}": matches, f"__g_{kind}": F.when(able, F.split(text, PATTERNS[kind], -1))}
 
 
-def found(kind: str) -> Column:
-    """array<struct<start, end, match>> in code points, end exclusive, from the columns of _split().
+#: Matches whose positions are summed up together, and characters of a piece of text from which context is taken.
+TOGETHER, PIECE = 512, 128
+
 
-    The lengths of gaps and matches add up to the positions.
+def _runs(kind: str) -> Column:
+    """Runs of TOGETHER matches of a kind: array<struct<at, out>>, out with positions from the start of the run, at the run's length.
+
+    The lengths of gaps and matches add up to the positions. An array grows within a run only, so the work is linear in the number of matches.
     """
-    matches, gaps = F.col(f"__m_{kind}"), F.col(f"__g_{kind}")
+    zipped = F.col(f"__z_{kind}")
     empty = F.expr("cast(array() as array<struct<start:int, end:int, match:string>>)")
-    grown = F.aggregate(
-        F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct((acc["at"] + F.length(x["g"])).alias("start"), (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"), x["m"].alias("match"))),
-            ).alias("out"),
-        ),
+
+    def grown(run: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + F.length(x["g"])
+            end = start + F.length(x["m"])
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))).alias("out"))
+
+        return F.aggregate(run, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)
+
+    n = F.ceil(F.size(zipped) / TOGETHER).cast("int")
+    return F.when(F.size(zipped) > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda k: grown(F.slice(zipped, k * TOGETHER + 1, TOGETHER))))
+
+
+def found(kind: str) -> Column:
+    """array<struct<start, end, match>> in code points, end exclusive, from the runs of _runs()."""
+    runs = F.col(f"__r_{kind}")
+    empty = F.expr("cast(array() as array<struct<start:int, end:int, match:string>>)")
+    begin = F.aggregate(
+        runs,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
+        lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"],
     )
-    return F.when(F.size(matches) > 0, grown).otherwise(empty)
+    moved = lambda r, at: F.transform(r["out"], lambda x: F.struct((x["start"] + at).alias("start"), (x["end"] + at).alias("end"), x["match"].alias("match")))
+    return F.coalesce(F.flatten(F.zip_with(runs, begin, moved)), empty)
+
+
+def _cut_out(low: Column, high: Column) -> Column:
+    """The text's characters from low up to high, at most PIECE of them, from the pieces that they lie in."""
+    k = F.floor(low / PIECE).cast("int")
+    part = lambda i: F.coalesce(F.get("__pieces", i), F.lit(""))
+    return F.concat(part(k), part(k + 1)).substr(low - k * PIECE + 1, high - low)
 
 
 def luhn(digits: Column) -> Column:
@@ -94,13 +117,12 @@ def confirmed(match: Column, kind: str) -> Column:
     return F.lit(True)
 
 
-def spans(text: Column, kind: str, order: int) -> Column:
+def spans(kind: str, order: int) -> Column:
     """array<struct<start, kind_no, end, kind, score>> of the confirmed spans of one kind."""
     near = "|".join(CONTEXT[kind])
 
     def scored(x: Column) -> Column:
-        low = F.greatest(F.lit(1), x["start"] + 1 - WINDOW)
-        around = F.lower(F.concat(text.substr(low, x["start"] + 1 - low), F.lit(" "), text.substr(x["end"] + 1, F.lit(WINDOW))))
+        around = F.lower(F.concat(_cut_out(F.greatest(F.lit(0), x["start"] - WINDOW), x["start"]), F.lit(" "), _cut_out(x["end"], x["end"] + WINDOW)))
         score = F.lit(SCORES[kind]) + F.when(around.rlike(near), BONUS).otherwise(0.0)
         return F.struct(x["start"].alias("start"), F.lit(order).alias("kind_no"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score).alias("score"))
 
@@ -111,8 +133,12 @@ def spans(text: Column, kind: str, order: int) -> Column:
 def _searched(df: DataFrame, text: Column) -> DataFrame:
     """df with its spans in `found`. Every expression runs once over the text, in a projection of its own."""
     parts = {name: c for kind in PATTERNS for name, c in _split(text, kind).items()}
-    every = [spans(text, kind, i) for i, kind in enumerate(PATTERNS)]
-    return df.withColumns(parts).withColumn("found", F.sort_array(F.concat(*every))).drop(*parts)
+    some = [F.size(f"__r_{kind}") > 0 for kind in PATTERNS]
+    pieces = F.when(F.coalesce(F.greatest(*some), F.lit(False)), F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1)))
+    every = [spans(kind, i) for i, kind in enumerate(PATTERNS)]
+    zipped = {f"__z_{k}": F.arrays_zip(F.col(f"__m_{k}").alias("m"), F.slice(f"__g_{k}", 1, F.greatest(F.lit(0), F.size(f"__m_{k}"))).alias("g")) for k in PATTERNS}
+    runs = {f"__r_{kind}": _runs(kind) for kind in PATTERNS}
+    return df.withColumns(parts).withColumns(zipped).drop(*parts).withColumns(runs).drop(*zipped).withColumn("__pieces", pieces).withColumn("found", F.sort_array(F.concat(*every))).drop(*runs, "__pieces")
 
 
 def _joined(array: Column) -> Column:
@@ -151,8 +177,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null texts stay null, empty and clean ones as they are; rows keep their number and all their columns, whatever these are called; an empty
     table gives an empty one.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    done = F.aggregate(
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column of docs can clash with those made here
+    column = F.col(f"c{names.index(text_col)}")
+    text = F.coalesce(column, F.lit(""))
+    taken = F.aggregate(
         "found",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(
@@ -160,5 +189,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
     )
-    names = docs.columns
-    return _searched(docs.withColumnRenamed("found", "__found"), text).withColumn(text_col, F.when(F.col(text_col).isNotNull(), done)).drop("found").toDF(*names)
+    return _searched(own, text).withColumn(f"c{names.index(text_col)}", F.when(column.isNotNull(), taken)).drop("found").toDF(*names)
