@@ -59,19 +59,20 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, id_col: str = "
     """(page_id, host, path, rule, verdict) for every row.
 
     A rule (host, path, verdict) fits its host and all subdomains where the url's path starts with the rule's;
-    the longest wins. Candidates are every suffix of the host at a dot with every prefix of the path that
-    has a listed length. Those the Bloom filter passes meet the rules in an exact hash join; rows without one are never
+    the longest wins. Candidates are the suffixes of the host at a dot that have no more labels than the longest listed host, with every prefix of the path that
+    has a listed length; so the work is linear in the length of a url. Those the Bloom filter passes meet the rules in an exact hash join; rows without one are never
     shuffled. Unlisted, null and malformed urls get the default verdict and a null rule; repeated
     rows are judged each, a null id stays null, an empty table or list is fine; other columns are not read.
     """
     spark = pages.sparkSession
     rules = (rules_table(spark) if rules is None else rules).groupBy("rule_host", "rule_path").agg(F.min("rule_verdict").alias("rule_verdict"))
     lengths = [r[0] for r in rules.select(F.length("rule_path")).distinct().collect()]  # distinct lengths of paths: as many as the longest path has characters
+    most = rules.agg(F.max(F.size(F.split("rule_host", r"\.", -1)))).first()[0] or 0  # labels of the longest listed host
     words = bloom(rules)
     url = F.col(url_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    suffixes = F.filter(F.array(*[F.when(F.size(labels) >= i, F.array_join(F.slice(labels, -i, i), ".")) for i in range(1, most + 1)]).cast("array<string>"), lambda h: h.isNotNull())
     fits = F.filter(F.lit(lengths) if lengths else F.expr("cast(array() as array<int>)"), lambda n: n <= F.length("path"))
     pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(fits, lambda n: F.struct(h.alias("h"), F.col("path").substr(F.lit(1), n).alias("p")))))
 
