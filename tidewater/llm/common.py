@@ -37,10 +37,15 @@ def numbered(docs: DataFrame) -> DataFrame:
     """docs with the columns ROW, which no two rows share and no second reading changes.
 
     Rows of Parquet files are known by a hash of their file's path and their place in it, at no cost; rows of any other
-    frame are numbered as they are written once. Decisions on rows are taken and joined back by ROW, so null, repeated or
+    frame, and of files listed by several paths, as one of them may stand there twice, are numbered as they are written once. Columns of docs
+    called as ROW are an error. Decisions on rows are taken and joined back by ROW, so null, repeated or
     clashing ids and equal texts neither lose nor multiply a row, and no key of such a join is hot.
     """
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+    clash = [c for c in docs.columns if c.lower() in ROW]
+    if clash:
+        raise ValueError(f"columns called {', '.join(clash)} would clash with those that tell rows apart")
+    plan = docs._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() == "LogicalRelation" and plan.relation().location().rootPaths().size() == 1:
         try:
             return docs.select("*", F.xxhash64("_metadata.file_path").alias(ROW[0]), F.col("_metadata.row_index").alias(ROW[1]))
         except AnalysisException as e:  # files of a kind that has no such places
