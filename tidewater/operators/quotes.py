@@ -155,20 +155,23 @@ def robust_center(points: DataFrame, by: list[str], distance: float) -> DataFram
     return got.withColumn("outliers", far).drop("_b")
 
 
-def best_executable(quotes: DataFrame, by: list[str], largest_key: bool = True) -> DataFrame:
-    """Highest decimal price per side; ties take the largest (or the first) book key."""
+def best_executable(quotes: DataFrame, by: list[str], largest_key: bool = True, along: list[str] = []) -> DataFrame:  # noqa: B006
+    """Highest decimal price per side; ties take the largest (or the first) book key. along: columns read besides, see price_markets()."""
     price = prices.american_to_decimal(F.col("odds"))
     key = F.col("book_id") if largest_key else -F.col("book_id")
-    return quotes.groupBy(*by).agg(F.max(F.struct(price.alias("price"), key.alias("key"), F.col("book_id"), F.col("odds"))).alias("b")).select(*by, "b.book_id", "b.odds", "b.price")
+    return quotes.groupBy(*by).agg(F.max(F.struct(price.alias("price"), key.alias("key"), F.col("book_id"), F.col("odds"), *along)).alias("b")).select(*by, "b.book_id", "b.odds", "b.price")
 
 
 def price_markets(quotes: DataFrame, as_of, minimum: int = 2, outlier: float = 0.03) -> DataFrame:
-    """Consensus, best price, edge and expected value per event, market, line and side, as of a cutoff."""
-    state = latest_state(quotes, as_of)
+    """Consensus, best price, edge and expected value per event, market, line and side, as of a cutoff.
+
+    Pairs and best prices both come from the latest state. Both read the same columns of it, dealt by family, so that Spark makes the state once and reuses its exchange.
+    """
+    state = latest_state(quotes, as_of).repartition(*FAMILY)
     pairs = pair_sides(state).where("reason is null")
     fair = median_consensus(pairs, [*MARKET, "line", "start", "league"], minimum, outlier)
     line = F.when((F.col("market") == 1) & (F.col("side") == 2), -F.col("point")).otherwise(F.col("point"))
-    best = best_executable(state.withColumn("line", line), [*MARKET, "line", "side"])
+    best = best_executable(state.withColumn("line", line), [*MARKET, "line", "side"], along=["start", "league"])
     best = best.withColumnsRenamed({"line": "_line", "event_id": "_event", "market": "_market"})
     got = fair.join(best, (F.col("event_id") == F.col("_event")) & (F.col("market") == F.col("_market")) & F.col("line").eqNullSafe(F.col("_line"))).drop("_event", "_market", "_line")
     p = F.when(F.col("side") == 1, F.col("consensus")).otherwise(1 - F.col("consensus"))

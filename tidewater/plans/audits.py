@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +16,7 @@ from tidewater.plans.more import ASOF, CAND, USABLE, candidates, usable
 from tidewater.plans.queries import HIST, METRICS, MNAMES, ORACLES, PAIRS, QUERIES, d6, metrics, query, requests, rounded, state
 from tidewater.plans.shared import folder
 from tidewater.plans.third import normal_rows
+from tidewater.sources import snapshots
 
 
 def cells(section: str, key: str, source: str, **measures: str) -> str:
@@ -186,3 +189,32 @@ def _(v):
         x = rows.select(F.lit(name).alias("candidate"), "game_id", "season", nll.alias("nll"), s["crps"].alias("crps"), (F.abs(F.col("actual") - loc) <= half).alias("covered"), (2 * half).alias("interval_width"))
         out = x if out is None else out.unionAll(x)
     return evaluate.distribution_challenge(out, "plain", [], "season")
+
+
+# ---- drives from nested documents
+
+
+def _drives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document per game with its drives as an array; every 19th is damaged, every 23rd names no known game, every 17th has an odd drive."""
+    g = F.col("game_id")
+    games = view(spark, sf_dir, "games").select("game_id", "home", "away", F.concat(F.lit("T"), "home").alias("home_name"), F.concat(F.lit("T"), "away").alias("away_name"))
+    d = view(spark, sf_dir, "drives").select("game_id", "offense", F.struct(
+        F.concat_ws("-", "game_id", "offense").alias("id"), F.concat(F.lit("T"), "offense").alias("offense"), "yards", F.lit(7).alias("startOffenseScore"), (F.col("points") + 7).alias("endOffenseScore"),
+    ).alias("d"))
+    body = F.to_json(F.struct(F.when(g % 23 == 0, -g).otherwise(g).alias("gameId"), F.array_sort(F.collect_list("d")).alias("drives")))  # a game has two rows
+    raw = d.groupBy("game_id").agg(body.alias("body")).select("game_id", F.when(g % 19 == 0, F.substring("body", 1, 15)).when(g % 17 == 0, F.regexp_replace("body", r"\]\}$", ',{"plays":3},7]}')).otherwise(F.col("body")).alias("body"))
+    path = f"{folder(spark)}/drives-{uuid.uuid4().hex}"
+    snapshots.land_variants(raw, path, "game_id")
+    good, warned = snapshots.flatten_drive_documents(spark.read.parquet(path), games)
+    n = F.count("*").alias("n")
+    sums = good.groupBy(F.lit("drives").alias("reason"), F.col("offense").alias("team")).agg(n, F.sum("points").alias("points"), F.sum("yards").alias("yards"))
+    none = F.lit(None).cast("long")
+    return sums.unionAll(warned.groupBy("reason").agg(n).select("reason", none.alias("team"), "n", none.alias("points"), none.alias("yards")))
+
+
+QUERIES["s9_flatten_drive_documents"] = _drives
+ORACLES["s9_flatten_drive_documents"] = f"""{ctes('drives')}, k AS (SELECT *, CASE WHEN game_id % 19 = 0 THEN 'malformed_document' WHEN game_id % 23 = 0 THEN 'unknown_game' ELSE 'drives' END AS state FROM drives),
+    w AS (SELECT DISTINCT game_id, state FROM k)
+    SELECT 'drives' AS reason, offense AS team, count(*) AS n, CAST(sum(points) AS BIGINT) AS points, CAST(sum(yards) AS BIGINT) AS yards FROM k WHERE state = 'drives' GROUP BY offense
+    UNION ALL SELECT state, NULL, count(*), NULL, NULL FROM w WHERE state <> 'drives' GROUP BY state
+    UNION ALL SELECT unnest(['malformed_drive', 'drive_without_id']), NULL, count(*), NULL, NULL FROM w WHERE state = 'drives' AND game_id % 17 = 0"""

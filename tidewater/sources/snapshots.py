@@ -187,6 +187,47 @@ def flatten_drives(drives: DataFrame) -> DataFrame:
     return drives.withColumn("points", F.col("end_score") - F.col("start_score"))
 
 
+#: Fields of a drive in its document, with their types; fixed values.
+DRIVE = {
+    "id": "string", "driveNumber": "int", "offense": "string", "defense": "string", "startPeriod": "int", "endPeriod": "int", "plays": "int", "yards": "int", "startOffenseScore": "int", "endOffenseScore": "int", "driveResult": "string",
+    "scoring": "boolean",
+}
+
+
+def land_variants(raw: DataFrame, path: str, id_col: str = "document_id") -> None:
+    """Writes documents (id, body) as (id, doc VARIANT): bodies are parsed once, and later scans read the fields that they ask for. What is no JSON has a null doc."""
+    raw.select(F.col(id_col).alias("document_id"), F.try_parse_json("body").alias("doc")).write.mode("error").parquet(path)
+
+
+def flatten_drive_documents(documents: DataFrame, games: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(drives, warnings (document_id, reason, place)) of documents (document_id, doc VARIANT), {"gameId": .., "drives": [..]}.
+
+    games: game_id, home, away, home_name, away_name. A drive's sides are known where they are its game's by name. Points are end score minus
+    start score, null if either is. Whole documents: malformed_document (no JSON or no game id), unknown_game, malformed_drives (no array). Within the others: malformed_drive (no
+    object), and drive_without_id; a field of another type is null and harms no other. place: the drive's number in its document, from 0.
+    """
+    get = lambda path, kind: F.try_variant_get("doc", path, kind)
+    x = documents.select("document_id", get("$.gameId", "bigint").alias("game_id"), get("$.drives", "array<variant>").alias("drives"))
+    known = games.select("game_id", "home", "away", "home_name", "away_name", F.lit(True).alias("_known"))
+    x = x.join(known, "game_id", "left")
+    reason = F.when(F.col("game_id").isNull(), "malformed_document").when(F.col("_known").isNull(), "unknown_game").when(F.col("drives").isNull(), "malformed_drives")
+    x = x.withColumn("reason", reason)
+    whole = x.where("reason is not null").select("document_id", "reason", F.lit("").alias("place"))
+    d = x.where("reason is null").select("document_id", "game_id", "home", "away", "home_name", "away_name", F.posexplode("drives").alias("place", "d"))
+    fields = {n: F.try_variant_get("d", f"$.{n}", kind) for n, kind in DRIVE.items()}
+    d = d.withColumn("_object", F.coalesce(F.schema_of_variant("d").startswith("OBJECT"), F.lit(False))).select("*", *[c.alias(n) for n, c in fields.items()]).drop("d")
+    bad = F.when(~F.col("_object"), "malformed_drive").when(F.col("id").isNull(), "drive_without_id")
+    d = d.withColumn("reason", bad)
+    lost = d.where("reason is not null").select("document_id", "reason", F.col("place").cast("string").alias("place"))
+    side = lambda c: F.when(F.col(c) == F.col("home_name"), F.col("home")).when(F.col(c) == F.col("away_name"), F.col("away"))
+    good = d.where("reason is null").select(
+        "game_id", F.col("id").alias("drive_id"), F.col("driveNumber").alias("drive_number"), side("offense").alias("offense"), side("defense").alias("defense"), F.col("startPeriod").alias("start_period"),
+        F.col("endPeriod").alias("end_period"), "plays", "yards", (F.col("endOffenseScore") - F.col("startOffenseScore")).alias("points"), F.col("driveResult").alias("drive_result"), "scoring",
+        (side("offense").isNotNull() & side("defense").isNotNull()).alias("identity_resolved"),
+    )
+    return good, whole.unionAll(lost)
+
+
 def flatten_team_stats(raw: DataFrame) -> DataFrame:
     """teams > stats to long form."""
     t = raw.select(F.from_json("body", STATS).alias("s")).select("s.game", F.explode("s.teams").alias("t"))
