@@ -364,3 +364,11 @@ def test_mix_comes_near(spark, seed):
         target[r.source_size] = r.target
     assert all(abs(taken[s] - target[s]) < 0.01 * target[s] for s in target)
     assert mixing.take_mixed(frame(spark, some), seed=seed).count() == sum(r.copies for r in got)
+
+
+def test_sizes_pass_the_driver_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "HELD", 7)
+    rnd = random.Random(3)
+    sizes = [(8 + 3 * i, rnd.randint(1, 400)) for i in range(60)]
+    got = {r["size"]: list(r["ends"]) for r in sharding._ends(spark.createDataFrame(sizes, "size long, n long").repartition(3), 5).collect()}
+    assert got == {size: [sum(c[: k + 1]) for k in range(5)] for size, c in sharding.schedule(sizes, 5).items()}

@@ -1,8 +1,8 @@
 """Sharding by longest processing time: groups that must stay together, largest first, go to the least-loaded shard.
 
 Groups of one size are alike to the heap, so it runs over sizes, each with the number of its groups: few groups are
-placed one by one, many at once by the level that they fill. What reaches the driver is one row per distinct size, and sizes
-that differ add up, so there are at most sqrt(2 x all bytes) of them. A group then finds its shard by its rank
+placed one by one, many at once by the level that they fill. The sizes pass the driver sorted and as a stream: it holds the loads of the shards and
+one piece of results, which it writes to the shared folder, however many sizes there are. A group then finds its shard by its rank
 among the groups of its size, so every group is placed by the heap, whatever its size.
 """
 
@@ -10,17 +10,21 @@ from __future__ import annotations
 
 import heapq
 import math
-from itertools import accumulate
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewater.llm.common import cut, real_id, texts
+from tidewater.llm.common import cut, real_id, shared_dir, texts
 
 SHARDS = 24
 #: Groups of one size up to which they pass the heap one by one.
 SINGLY = 256
+#: Sizes whose results the driver holds at once.
+HELD = 20_000
 #: Digits of a group's hash by which groups of one size are ranked in parts.
 DIGITS = 3
 
@@ -44,13 +48,31 @@ def fill(loads: list[int], size: int, n: int) -> list[int]:
     return got
 
 
+def placed(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int]]]:
+    """(size, number of its groups that each shard gets) of sizes (size, number of groups) in descending order, distinct and above zero; holds the loads alone."""
+    loads = [0] * shards
+    for size, n in sizes:
+        got = fill(loads, size, n)
+        loads = [x + c * size for x, c in zip(loads, got)]
+        yield size, got
+
+
 def schedule(sizes: list[tuple[int, int]], shards: int) -> dict[int, list[int]]:
-    """Size -> number of its groups that each shard gets. sizes: (size, number of groups), sizes distinct and above zero."""
-    loads, out = [0] * shards, {}
-    for size, n in sorted(sizes, reverse=True):
-        out[size] = fill(loads, size, n)
-        loads = [x + c * size for x, c in zip(loads, out[size])]
-    return out
+    """Size -> number of its groups that each shard gets. sizes: (size, number of groups), in any order."""
+    return dict(placed(sorted(sizes, reverse=True), shards))
+
+
+def _ends(sizes: DataFrame, shards: int) -> DataFrame:
+    """(size, ends): for each size (size, n) the rank at which each shard's groups end; sizes pass the driver in order, results go to the shared folder in pieces."""
+    spark = sizes.sparkSession
+    path, schema = f"{shared_dir(spark)}/ends-{uuid.uuid4().hex}", "size long, ends array<long>"
+    rows = ((size, list(accumulate(got))) for size, got in placed(((r["size"], r["n"]) for r in sizes.orderBy(F.desc("size")).toLocalIterator()), shards))
+    piece = list(islice(rows, HELD))
+    while True:
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+        piece = list(islice(rows, HELD))
+        if not piece:
+            return spark.read.schema(schema).parquet(path)
 
 
 def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
@@ -61,7 +83,6 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     0 without gaps, in no promised order. Repeated rows each get a slot; a null id stays null;
     an empty table gives an empty one; other columns are not read.
     """
-    spark = docs.sparkSession
     text = F.col("text")
     rows = texts(docs, id_col, text_col).select(
         "id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("row")
@@ -70,10 +91,7 @@ def shard_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = rows.groupBy("g").agg(F.sum("size").alias("size"))
     groups = cut(groups.withColumn("part", F.substring("g", 1, DIGITS)), "groups")
     counts = cut(groups.groupBy("size", "part").agg(F.count("*").alias("c")), "counts")
-    found = counts.groupBy("size").agg(F.sum("c").alias("n")).collect()  # one row per distinct size
-    placed = schedule([(r["size"], r["n"]) for r in found], shards)
-    ends = [(size, list(accumulate(got))) for size, got in placed.items()]
-    ends = spark.createDataFrame(ends, "size long, ends array<long>")  # for each size, the rank at which each shard's groups end
+    ends = _ends(cut(counts.groupBy("size").agg(F.sum("c").alias("n")), "all-sizes"), shards)
     # a group's rank within its size in two steps, so that no size is one task's work
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("size", "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
