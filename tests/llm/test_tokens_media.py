@@ -164,3 +164,17 @@ def test_media(spark):
     files = spark.createDataFrame([(1, got[0].media), (2, None), (3, bytearray(b"junk"))], "doc_id long, media binary")
     packets = ogg.read_packets(files, "doc_id", "media").collect()
     assert {p.id for p in packets} == {1} and {p.serial for p in packets} == {1, 2}
+
+
+def test_every_packet_of_samples_has_its_time(spark):
+    """Hundreds of packets, many to a page, of which the page states the last one's time alone."""
+    payload = bytes(i % 251 for i in range(ogg.FRAME * 40 + 77))
+    media = ogg.store(payload)
+    files = spark.createDataFrame([(1, bytearray(media)), (1, bytearray(media)), (2, bytearray(ogg.store(b"")))], "doc_id long, media binary")
+    got = [p for p in ogg.read_packets(files, "doc_id", "media").collect() if p.serial == ogg.SAMPLES]
+    ends = [0] + [min(len(payload), (k + 1) * ogg.FRAME) for k in range(41)]
+    assert sorted((p.packet_no, p.granule, p.seconds) for p in got if p.id == 1) == sorted((k, e, e / ogg.RATE) for k, e in enumerate(ends) for _ in range(2))
+    assert [(p.packet_no, p.granule) for p in got if p.id == 2] == [(0, 0)]
+    small = ogg.Stream(1, packets=[(ogg.HEADER + b"x", 0), (b"ab", -1), (b"c", 3), (b"defg", -1)])
+    assert ogg.timed(small) == [0, 2, 3, -1]
+    assert ogg.read_packets(files.limit(0), "doc_id", "media").count() == 0

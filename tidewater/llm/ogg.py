@@ -25,6 +25,7 @@ CONTINUED, FIRST, LAST = 1, 2, 4
 #: Samples are single bytes at this rate; a packet holds FRAME of them.
 RATE, FRAME, UNIT = 8000, 4800, 192
 SAMPLES, INDEX = 1, 2  # serial numbers of the two logical streams of a document
+HEADER = b"samples\0"
 
 _FLIP = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 
@@ -130,7 +131,7 @@ def read(data: bytes) -> tuple[dict[int, Stream], int]:
 def store(payload: bytes) -> bytes:
     """A payload as 8-bit samples in the stream SAMPLES, with its length and checksum in the stream INDEX."""
     frames = [(payload[i : i + FRAME], min(len(payload), i + FRAME)) for i in range(0, len(payload), FRAME)]
-    head = (b"samples\0" + struct.pack("<IHH", RATE, 8, 1), 0)
+    head = (HEADER + struct.pack("<IHH", RATE, 8, 1), 0)
     index = [(b"index\0\0\0", 0), (struct.pack("<QI", len(payload), zlib.crc32(payload)), len(payload))]
     return interleave(write_stream(SAMPLES, [head, *frames]), write_stream(INDEX, index))
 
@@ -179,14 +180,31 @@ def media_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return got.select(real_id("id").alias("doc_id"), *list(kinds)[1:])
 
 
+def timed(s: Stream) -> list[int]:
+    """The granule position at the end of every packet, -1 where it cannot be known.
+
+    A page states that of the last packet that ends on it. In a stream of samples a packet lasts as many as it has bytes, so the others on the page are counted
+    back from it, as far as packets follow one another without a loss.
+    """
+    out = [g for _, g in s.packets]
+    if s.packets and s.packets[0][0].startswith(HEADER) and not s.lost:
+        for k in range(len(out) - 2, -1, -1):
+            if out[k] < 0 and out[k + 1] >= 0:
+                out[k] = out[k + 1] - len(s.packets[k + 1][0])
+    return out
+
+
 def read_packets(files: DataFrame, id_col: str, media_col: str, rate: int = RATE) -> DataFrame:
-    """(id, serial, packet_no, granule, seconds, data, bad_pages): one row per packet of every Ogg file; null and foreign bytes give none."""
+    """(id, serial, packet_no, granule, seconds, data, bad_pages): one row per packet of every Ogg file.
+
+    Null and foreign bytes give none, nor does an empty table; files of any length are read whole, and repeated files are read each. Times are those of timed().
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, media in zip(batch.column(0).to_pylist(), batch.column(1)):
                 streams, bad = read(media.as_py() or b"")
-                rows = [(i, s.serial, k, g if g >= 0 else None, g / rate if g >= 0 else None, p, bad) for s in streams.values() for k, (p, g) in enumerate(s.packets)]
+                rows = [(i, s.serial, k, g if g >= 0 else None, g / rate if g >= 0 else None, p, bad) for s in streams.values() for k, ((p, _), g) in enumerate(zip(s.packets, timed(s)))]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["id", "serial", "packet_no", "granule", "seconds", "data", "bad_pages"])
