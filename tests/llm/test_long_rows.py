@@ -37,6 +37,20 @@ def test_hosts_of_many_labels(spark):
     assert got == {0: ("example.net/en/", "allow"), 1: (None, "allow"), 2: ("net/", "block"), 3: (None, "allow"), 4: ("org/fr/", "allow"), 5: ("example.com/de/", "block"), 6: (None, "allow")}
 
 
+def test_redact_of_dense_and_sparse_texts(spark):
+    """Spans of several kinds that overlap, more than are taken together, long gaps, gaps of nothing, characters beyond the basic plane."""
+    texts = [dense(3000), "x" * 1000 + "\U0001f600 u@a.de" + "é" * 5000, "u@a.de", "a@b.c,10.0.0.1,", "é" * 128 + " u@a.de", "nothing", "", "+1 (2) 3456789012 4111 1111 1111 1111", ("4111 1111 1111 1111 " * 5 + "é") * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.found for r in pii.find_personal_data(df).collect()}
+    got = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    for i, text in enumerate(texts):
+        out, at = "", 0
+        for x in spans[i]:
+            if x.start >= at:
+                out, at = out + text[at : x.start] + f"[{x.kind}]", x.end
+        assert got[i] == out + text[at:]
+
+
 def test_redact_keeps_columns_of_any_name(spark):
     names = ["__m_email", "__g_ip", "__r_card", "__z_phone", "__pieces", "found", "c0", "text"]
     df = spark.createDataFrame([(*["k"] * 7, "to u@a.de, 10.0.0.1"), (*["k"] * 7, None)], ", ".join(f"`{n}` string" for n in names))

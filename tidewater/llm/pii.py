@@ -171,22 +171,42 @@ def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+def _taken(found: Column) -> Column:
+    """The spans that count, in order: those that start at or after the end of the last one that does. Arrays grow within runs of TOGETHER spans only."""
+    empty = F.expr("cast(array() as array<struct<start:int, end:int, kind:string>>)")
+    n = F.ceil(F.size(found) / TOGETHER).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.transform(F.slice(found, k * TOGETHER + 1, TOGETHER), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    step = lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(x)).alias("out")))
+    within = lambda run, at: F.aggregate(run, F.struct(at.alias("at"), empty.alias("out")), step)
+    out = F.aggregate(
+        runs,
+        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<array<struct<start:int, end:int, kind:string>>>)").alias("out")),
+        lambda acc, run: F.struct(within(run, acc["at"])["at"].alias("at"), F.concat(acc["out"], F.array(within(run, acc["at"])["out"])).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
+    )
+    return F.when(F.size(found) > 0, out).otherwise(empty)
+
+
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; of overlapping spans the earlier, then the earlier kind counts.
 
-    Null texts stay null, empty and clean ones as they are; rows keep their number and all their columns, whatever these are called; an empty
-    table gives an empty one.
+    Null texts stay null, empty and clean ones as they are; texts of any length are redacted whole, in time linear in the text; rows keep their number and
+    all their columns, whatever these are called; an empty table gives an empty one.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no column of docs can clash with those made here
-    column = F.col(f"c{names.index(text_col)}")
-    text = F.coalesce(column, F.lit(""))
-    taken = F.aggregate(
-        "found",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, x: F.when(x["start"] < acc["at"], acc).otherwise(
-            F.struct(x["end"].alias("at"), F.concat(acc["out"], text.substr(acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"))
-        ),
-        lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))),
-    )
-    return _searched(own, text).withColumn(f"c{names.index(text_col)}", F.when(column.isNotNull(), taken)).drop("found").toDF(*names)
+    column = f"c{names.index(text_col)}"
+    x = _searched(own, F.coalesce(column, F.lit(""))).withColumn("taken", _taken(F.col("found"))).drop("found")
+    # gaps are disjoint, so cutting all of them out of the pieces takes each piece once, or twice at the borders
+    pieces = F.when(F.size("taken") > 0, F.regexp_extract_all(column, F.lit(f"(?s)(.{{1,{PIECE}}})"), F.lit(1)))
+    x = x.withColumn("pieces", pieces)
+
+    def gap(low: Column, high: Column) -> Column:
+        k = F.floor(low / PIECE).cast("int")
+        some = F.array_join(F.slice("pieces", k + 1, F.floor((high - 1) / PIECE).cast("int") - k + 1), "")
+        return F.when(high > low, some.substr(low - k * PIECE + 1, high - low)).otherwise("")
+
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("taken", i - 1)["end"])
+    parts = F.transform("taken", lambda t, i: F.concat(gap(before(i), t["start"]), F.lit("["), t["kind"], F.lit("]")))
+    done = F.concat(F.array_join(parts, ""), gap(F.element_at("taken", -1)["end"], F.length(column)))
+    return x.withColumn(column, F.when(F.size("taken") > 0, done).otherwise(F.col(column))).drop("taken", "pieces").toDF(*names)
