@@ -2,9 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import features
+from tidewater.plans import more, wider  # noqa: F401
+from tidewater.plans.queries import QUERIES
+from tidewater.sources import snapshots
 
 
 def test_counts_of_history_are_those_of_the_pairs(spark):
@@ -22,3 +26,21 @@ def test_a_long_history_is_counted_without_its_pairs(spark):
     facts = spark.range(n).select(F.lit(1).cast("long").alias("team"), F.col("id").alias("game_id"), F.col("id").alias("available_at"))
     got = features.asof_counts(facts.withColumnRenamed("available_at", "as_of"), facts).agg(F.count("*"), F.sum("facts"), F.count_if(F.col("newest_game") == F.col("game_id") - 1)).first()
     assert tuple(got) == (n - 1, n * (n - 1) // 2, n - 1)
+
+
+@pytest.mark.parametrize("name", ["s1_flatten_quotes", "s2_quarantine_malformed"])
+def test_documents_are_parsed_once(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_damage_of_every_kind(spark):
+    book = '{"key": 7, "markets": [{"key": 0, "outcomes": [{"side": 1, "odds": 100}, {"side": 1, "odds": 100}, {"side": 2}]}, {"key": 1}, {"outcomes": []}]}'
+    bodies = [f'{{"id": 5, "start": 9, "books": [{book}, {{"key": 8}}, {{"key": 9, "markets": []}}]}}', '{"id": 5, "start": 9, "books": []}', '{"id": 5, "start": 9}', '{"id": 5, "books": []}', "{", None, '{"id": 5, "ToKen": 1}']
+    raw = spark.createDataFrame(list(enumerate(bodies)), "snapshot_id long, body string")
+    good, warned = snapshots.quarantine_malformed(raw)
+    assert sorted(r.snapshot_id for r in good.collect()) == [0, 1] and good.columns == ["snapshot_id", "body", "doc"]
+    want = [(0, "malformed_bookmaker", "1"), (0, "observation_not_normalized", "0/1"), (0, "observation_not_normalized", "0/2"), (0, "observation_not_normalized", "0/0/2"), (0, "duplicate_observation_skipped", "0/0/1")]
+    want += [(2, "malformed_bookmakers", ""), (3, "event_not_normalized", ""), (4, "malformed_event", ""), (5, "malformed_event", ""), (6, "credential_key", "")]
+    assert sorted(map(tuple, warned.collect())) == sorted(want)
+    assert sorted((r.book_no, r.market_no, r.outcome_no) for r in snapshots.flatten_quotes(good).collect()) == [(0, 0, 0), (0, 0, 1), (0, 0, 2)]

@@ -36,6 +36,14 @@ def scan_credential_keys(raw: DataFrame, body: str = "body") -> DataFrame:
     return raw.where(leaks(body) & F.from_json(body, SCHEMA)["id"].isNotNull())
 
 
+def broken() -> Column:
+    """Why a whole document (body, doc) can't be read; null where it can."""
+    return (
+        F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
+        .when(F.col("doc.start").isNull(), "event_not_normalized")
+    )
+
+
 def quarantine_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that can be read, warnings (snapshot_id, reason, place)); damage costs only the part that has it, and fails no batch.
 
@@ -44,28 +52,10 @@ def quarantine_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     outcomes, or an outcome without side or odds), duplicate_observation_skipped (an outcome again in its snapshot, event, book
     and market). place: book/market/outcome, counted from 0.
     """
-    x = parsed(raw)
-    reason = (
-        F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
-        .when(F.col("doc.start").isNull(), "event_not_normalized")
-    )
-    x = x.withColumn("reason", reason)
-    good = x.where("reason is null").drop("reason")
-    whole = x.where("reason is not null").select("snapshot_id", "reason", F.lit("").alias("place"))
-    b = good.select("snapshot_id", "doc.id", F.posexplode("doc.books").alias("bn", "b"))
-    bad_book = F.col("b.key").isNull() | F.col("b.markets").isNull()
-    books = b.where(bad_book).select("snapshot_id", F.lit("malformed_bookmaker").alias("reason"), F.col("bn").cast("string").alias("place"))
-    m = b.where(~bad_book).select("snapshot_id", "id", "bn", F.col("b.key").alias("book"), F.posexplode("b.markets").alias("mn", "m"))
-    bad_market = F.col("m.key").isNull() | F.col("m.outcomes").isNull()
-    lost = F.lit("observation_not_normalized").alias("reason")
-    markets = m.where(bad_market).select("snapshot_id", lost, F.concat_ws("/", "bn", "mn").alias("place"))
-    o = m.where(~bad_market).select("snapshot_id", "id", "bn", "mn", "book", F.col("m.key").alias("market"), F.posexplode("m.outcomes").alias("on", "o"))
-    place = F.concat_ws("/", "bn", "mn", "on").alias("place")
-    bad = F.col("o.side").isNull() | F.col("o.odds").isNull()
-    outcomes = o.where(bad).select("snapshot_id", lost, place)
-    again = F.row_number().over(Window.partitionBy("snapshot_id", "id", "book", "market", "o.side", "o.point", "o.odds").orderBy("bn", "mn", "on"))
-    repeats = o.where(~bad).withColumn("_n", again).where("_n > 1").select("snapshot_id", F.lit("duplicate_observation_skipped").alias("reason"), place)
-    return good, whole.unionAll(books).unionAll(markets).unionAll(outcomes).unionAll(repeats)
+    x = parsed(raw).withColumn("_r", broken())
+    # an unnested array instead of a filter: a filter would move below the parsed column and parse the body once per condition
+    good = x.select("*", F.explode_outer(F.when(F.col("_r").isNull(), F.array(F.lit(1)))).alias("_k")).where("_k is not null").drop("_r", "_k")
+    return good, read_documents(raw).where("reason is not null").select("snapshot_id", "reason", "place")
 
 
 def batch_status(raw: DataFrame, warnings: DataFrame) -> DataFrame:
@@ -89,11 +79,7 @@ def read_documents(raw: DataFrame) -> DataFrame:
     reason are those of flatten_quotes(), repeats and damaged ones left out; reasons and places are those of quarantine_malformed().
     """
     lost = "observation_not_normalized"
-    whole = (
-        F.when(leaks(), "credential_key").when(F.col("doc.id").isNull(), "malformed_event").when(F.col("doc.books").isNull(), "malformed_bookmakers")
-        .when(F.col("doc.start").isNull(), "event_not_normalized")
-    )
-    x = parsed(raw).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), whole.alias("reason"), "doc")
+    x = parsed(raw).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), broken().alias("reason"), "doc")
     # an array that is not to be unnested is null, which gives one row without a place; an empty one is left out
     inner = lambda array: F.when(F.col("reason").isNull(), F.col(array))
     kept = lambda df, n, array: df.where(F.col("reason").isNotNull() | F.col(n).isNotNull()).drop(array)
@@ -117,15 +103,17 @@ def read_documents(raw: DataFrame) -> DataFrame:
 
 def flatten_quotes(good: DataFrame) -> DataFrame:
     """One row per outcome with its places in the nested arrays; a market without a time takes its book's."""
-    b = good.select("snapshot_id", F.col("doc.id").alias("event_id"), F.col("doc.start").alias("start"), F.posexplode("doc.books").alias("book_no", "b"))
-    m = b.select("snapshot_id", "event_id", "start", "book_no", F.col("b.key").alias("book_id"), F.col("b.updated").alias("_u"), F.posexplode("b.markets").alias("market_no", "m"))
-    o = m.select("snapshot_id", "event_id", "start", "book_no", "book_id", "market_no", F.col("m.key").alias("market"), F.coalesce("m.updated", "_u").alias("observed"), F.posexplode("m.outcomes").alias("outcome_no", "o"))
+    # outer, as an inner one has its array tested below the parsed column, which parses the body again
+    b = good.select("snapshot_id", F.col("doc.id").alias("event_id"), F.col("doc.start").alias("start"), F.posexplode_outer("doc.books").alias("book_no", "b")).where("book_no is not null")
+    m = b.select("snapshot_id", "event_id", "start", "book_no", F.col("b.key").alias("book_id"), F.col("b.updated").alias("_u"), F.posexplode_outer("b.markets").alias("market_no", "m")).where("market_no is not null")
+    o = m.select("snapshot_id", "event_id", "start", "book_no", "book_id", "market_no", F.col("m.key").alias("market"), F.coalesce("m.updated", "_u").alias("observed"), F.posexplode_outer("m.outcomes").alias("outcome_no", "o")).where("outcome_no is not null")
     return o.select("snapshot_id", "event_id", "start", "book_no", "book_id", "market_no", "market", "observed", "outcome_no", "o.side", "o.odds", "o.point")
 
 
 def nest_quotes(quotes: DataFrame) -> DataFrame:
     """The inverse: one JSON document per snapshot and event. Arrays hold one snapshot of one event, which is small."""
-    o = quotes.groupBy("snapshot_id", "event_id", "start", "book_id", "market").agg(F.min("observed").alias("updated"), F.sort_array(F.collect_list(F.struct("side", "odds", "point"))).alias("outcomes"))
+    # dealt once by what a document is of: all three levels group within that, without a shuffle of their own
+    o = quotes.repartition("snapshot_id", "event_id").groupBy("snapshot_id", "event_id", "start", "book_id", "market").agg(F.min("observed").alias("updated"), F.sort_array(F.collect_list(F.struct("side", "odds", "point"))).alias("outcomes"))
     m = o.groupBy("snapshot_id", "event_id", "start", "book_id").agg(F.sort_array(F.collect_list(F.struct(F.col("market").alias("key"), "updated", "outcomes"))).alias("markets"))
     b = m.groupBy("snapshot_id", "event_id", "start").agg(F.sort_array(F.collect_list(F.struct(F.col("book_id").alias("key"), "markets"))).alias("books"))
     return b.select("snapshot_id", F.to_json(F.struct(F.col("event_id").alias("id"), "start", "books")).alias("body"))
