@@ -169,20 +169,23 @@ def tune(rows: DataFrame, features: list[str], seasons: list[int], grid: list[fl
 
 
 def apply_linear(rows: DataFrame, key: str, params: DataFrame) -> DataFrame:
-    """Scores of frozen parameters (feature, fill, mean, scale, weight): missing values are filled, the rest is one grouped sum.
+    """Scores of frozen parameters (feature, fill, mean, scale, weight): missing values are filled, the rest is a sum within the row.
 
-    The parameters are one row per feature.
+    The parameters are one row per feature, and meet the rows as one map; keys are unique.
     """
     names = [c for c in rows.columns if c != key]
-    cells = rows.unpivot([key], names, "feature", "value").join(params, "feature")
-    z = (F.coalesce("value", "fill") - F.col("mean")) / F.col("scale")
-    return cells.groupBy(key).agg(F.sum(z * F.col("weight")).alias("score"))
+    one = params.where(F.col("feature").isin(names)).agg(F.collect_list(F.struct("feature", F.struct("fill", "mean", "scale", "weight").alias("p"))).alias("_p")).select(F.map_from_entries("_p").alias("_p"))
+    at = lambda c, f: F.element_at("_p", F.lit(c))[f]
+    terms = [(F.coalesce(F.col(c).cast("double"), at(c, "fill")) - at(c, "mean")) / at(c, "scale") * at(c, "weight") for c in names]
+    known = F.filter(F.array(*terms), lambda x: x.isNotNull())
+    score = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x))
+    return rows.crossJoin(one.where(F.size("_p") > 0)).select(key, score.alias("score"))
 
 
-def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
-    """rows, which have a column `repeat`, with one column dealt anew over all rows of each repeat, for permutation importance.
+def dealt(rows: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """rows, which have a column `repeat`, with `_v`: the chosen columns of another row of their repeat, dealt anew over all of them.
 
-    Each row takes the value of the row of its rank in another hash order. Ranks take two steps, by hash part and within it, so no task sorts them all.
+    Each row takes the values of the row of its rank in another hash order. Ranks take two steps, by hash part and within it, so no task sorts them all.
     """
 
     def ranked(x: DataFrame, salt: int) -> DataFrame:
@@ -193,21 +196,26 @@ def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
         x = x.withColumn("_n", F.row_number().over(Window.partitionBy("repeat", "_p").orderBy("_h", "game_id")))
         return x.join(starts, ["repeat", "_p"]).withColumn("_i", F.col("_s") + F.col("_n")).drop("_h", "_p", "_s", "_n")
 
-    values = ranked(rows.select("game_id", "repeat", F.col(column).alias("_v")), seed + 1).drop("game_id")
-    return ranked(rows, seed).join(values, ["repeat", "_i"]).withColumn(column, F.col("_v")).drop("_i", "_v")
+    values = ranked(rows.select("game_id", "repeat", F.struct(*columns).alias("_v")), seed + 1).drop("game_id")
+    return ranked(rows, seed).join(values, ["repeat", "_i"]).drop("_i")
+
+
+def shuffled(rows: DataFrame, column: str, seed: int) -> DataFrame:
+    """rows, which have a column `repeat`, with one column dealt anew over all rows of each repeat, for permutation importance; see dealt()."""
+    return dealt(rows, [column], seed).withColumn(column, F.col("_v")[column]).drop("_v")
 
 
 def permutation_importance(rows: DataFrame, features: list[str], season: int, regressor, seed: int = 7, repeats: int = 3) -> DataFrame:
-    """Growth of the mean absolute error when a feature is shuffled, its mean and deviation over the repeats; one transform per feature."""
+    """Growth of the mean absolute error when a feature is shuffled, its mean and deviation over the repeats; one deal and one transform for all features."""
     model, base = fold_model(rows, features, season, regressor)
     test = rows.where(F.col("season") == season).select("game_id", "season", F.col("actual").cast("double").alias("actual"), *[F.col(c).cast("double").alias(c) for c in features])
     error = F.avg(F.abs(F.col("prediction") - F.col("actual")))
     own = base.agg(error.alias("base"))
-    out = None
-    every = test.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
-    for c in features:
-        x = shuffled(every, c, seed).withColumns({f"{f}_missing": F.col(f).isNull().cast("double") for f in features})
-        got = model.transform(x).groupBy("repeat").agg(error.alias("mae")).select(F.lit(c).alias("feature"), "mae")
-        out = got if out is None else out.union(got)
+    # the order that a feature is dealt in is that of all: one deal serves them, and a row stands once per feature within its task
+    every = dealt(test.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))), features, seed)
+    x = every.withColumn("feature", F.explode(F.lit(features)))
+    x = x.withColumns({c: F.when(F.col("feature") == c, F.col("_v")[c]).otherwise(F.col(c)) for c in features}).drop("_v")
+    x = x.withColumns({f"{c}_missing": F.col(c).isNull().cast("double") for c in features})
+    out = model.transform(x).groupBy("feature", "repeat").agg(error.alias("mae"))
     base = own.first()["base"]  # one number
     return out.groupBy("feature").agg((F.avg("mae") - (base or 0.0)).alias("importance"), F.stddev_pop("mae").alias("deviation"))
