@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import features
+from tidewater.operators import features, models
 from tidewater.plans import more, wider  # noqa: F401
 from tidewater.plans.queries import QUERIES
 from tidewater.sources import snapshots
@@ -44,3 +44,30 @@ def test_damage_of_every_kind(spark):
     want += [(2, "malformed_bookmakers", ""), (3, "event_not_normalized", ""), (4, "malformed_event", ""), (5, "malformed_event", ""), (6, "credential_key", "")]
     assert sorted(map(tuple, warned.collect())) == sorted(want)
     assert sorted((r.book_no, r.market_no, r.outcome_no) for r in snapshots.flatten_quotes(good).collect()) == [(0, 0, 0), (0, 0, 1), (0, 0, 2)]
+
+
+@pytest.mark.parametrize("name", ["m3_ridge_fold", "m4_elastic_net_fold", "m6_tree_fold", "m8_rating_prior", "m9_market_models"])
+def test_models_read_their_rows_from_a_table(spark, small, name):
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan  # neither plays nor games are joined again
+
+
+def test_scores_of_frozen_parameters_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else float(i), i % 5) for i in range(50)], "id long, a double, b int")
+    params = spark.createDataFrame([("a", 2.0, 1.0, 4.0, 3.0), ("b", 0.0, 0.5, 2.0, -1.0), ("other", 0.0, 0.0, 1.0, 1.0)], "feature string, fill double, mean double, scale double, weight double")
+    got = models.apply_linear(rows, "id", params)
+    want = {i: ((2.0 if i % 3 == 0 else i) - 1.0) / 4.0 * 3.0 - (i % 5 - 0.5) / 2.0 for i in range(50)}
+    assert {r.id: r.score for r in got.collect()} == pytest.approx(want)
+    assert models.apply_linear(rows, "id", params.where("feature = 'other'")).count() == 0
+    assert "Aggregate [id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_deal_serves_every_column(spark):
+    rows = spark.range(500).select(F.col("id").alias("game_id"), (F.col("id") * 2).alias("a"), (F.col("id") * 3).alias("b")).withColumn("repeat", F.explode(F.lit([1, 2])))
+    got = models.dealt(rows, ["a", "b"], 7).collect()
+    assert len(got) == 1000 and all(r._v.b * 2 == r._v.a * 3 for r in got)
+    for c in ("a", "b"):
+        one = {(r.game_id, r.repeat): r[c] for r in models.shuffled(rows, c, 7).collect()}
+        assert one == {(r.game_id, r.repeat): r._v[c] for r in got}
+        for k in (1, 2):
+            assert sorted(v for (_, n), v in one.items() if n == k) == [i * (2 if c == "a" else 3) for i in range(500)]

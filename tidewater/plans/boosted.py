@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.operators import trees
 from tidewater.plans.fixtures import view
 from tidewater.plans.lines import SEASONS
-from tidewater.plans.queries import MNAMES, QUERIES
+from tidewater.plans.queries import MNAMES, QUERIES, model_rows
 from tidewater.plans.shared import folder
-from tidewater.plans.third import model_rows
 
 #: The three budgets with fewer trees: each level of all trees is one pass over the rows.
 FEWER = [replace(b, rounds=n) for b, n in zip(trees.BUDGETS, (8, 5, 4), strict=True)]

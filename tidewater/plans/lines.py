@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import folds, models
-from tidewater.plans.queries import MNAMES, d6, query, rounded
-from tidewater.plans.third import model_rows
+from tidewater.plans.queries import MNAMES, d6, model_rows, query, rated_rows, rounded
 
 SEASONS = [1997, 1998, 1999, 2000, 2001]
 #: Fixed values of the tuning grids: penalties of the ridge; penalty and share of the absolute one of the elastic net.
@@ -77,8 +76,7 @@ def _(v):
 
 @query("m8_rating_prior_folds")
 def _(v):
-    ratings = models.power_ratings(v("games")).select("game_id", F.col("prediction").alias("rating"))
-    return folds.adjusted_ratings(model_rows(v).join(ratings, "game_id"), MNAMES, SEASONS)
+    return folds.adjusted_ratings(rated_rows(v), MNAMES, SEASONS)
 
 
 MARKETS = f""", fo AS (SELECT unnest(range(1998, 2002)) AS fold), ob AS (SELECT game_id, season, actual, b, CAST(week AS DOUBLE) AS x FROM predictions WHERE season >= 1996),
