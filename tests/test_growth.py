@@ -1,10 +1,12 @@
 """Work and memory that grow no faster than the input: results of the bounded forms, and how they get them."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewater.operators import distributions as dist
 from tidewater.operators import features, models
 from tidewater.plans import more, wider  # noqa: F401
 from tidewater.plans.queries import QUERIES
@@ -71,3 +73,17 @@ def test_one_deal_serves_every_column(spark):
         assert one == {(r.game_id, r.repeat): r._v[c] for r in got}
         for k in (1, 2):
             assert sorted(v for (_, n), v in one.items() if n == k) == [i * (2 if c == "a" else 3) for i in range(500)]
+
+
+def test_the_lattice_is_summed_once_per_row(spark):
+    rows = spark.createDataFrame([(1, 0.5, 9.0, 3.0), (2, -4.0, 12.0, -90.0)], "game_id long, loc double, scale double, actual double")
+    ratios = spark.createDataFrame([(3, 2.0), (7, 0.5)], "k int, ratio double")
+    got = dist.corrected_lattice(rows, ratios)
+    plan = got.select("game_id", "corrected")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(_m") == 1 and not re.search(r"/ aggregate\(", plan)  # the sum is not within the lambda that divides by it
+    scored = dist.discrete_crps(got, ["game_id"])
+    assert "array_insert" not in scored._jdf.queryExecution().optimizedPlan().toString()  # nor is the cdf built by copies
+    crps = {r.game_id: r.crps for r in scored.collect()}
+    for r in got.collect():
+        want = sum((c - (r.actual <= k)) ** 2 for k, c in enumerate(r.cdf, -80))
+        assert sum(r.corrected) == pytest.approx(1.0) and crps[r.game_id] == pytest.approx(want, abs=1e-12)

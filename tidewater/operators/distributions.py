@@ -227,15 +227,22 @@ def corrected_lattice(rows: DataFrame, ratios: DataFrame, low: int = LOW, high:
     found = {r["k"]: r["ratio"] for r in ratios.select("k", "ratio").collect()}  # high - low + 1 rows
     by_place = F.lit([float(found.get(k, 1.0)) for k in range(low, high + 1)])
     x = rows.withColumn("_m", F.zip_with(lattice_mass(F.col("loc"), F.col("scale"), low, high), by_place, lambda m, r: m * r))
-    x = x.withColumn("_s", F.aggregate("_m", F.lit(0.0), lambda a, m: a + m)).withColumn("corrected", F.transform("_m", lambda m: m / F.col("_s")))
+    # a sum in a column of its own would be put back into the lambda, and be made once per integer
+    total = F.aggregate("_m", F.lit(0.0), lambda a, m: a + m)
+    x = x.withColumn("corrected", _let(total, lambda s: F.transform("_m", lambda m: m / s)))
     run = F.aggregate("corrected", F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("c")), lambda a, m: F.struct((a["s"] + m).alias("s"), F.array_append(a["c"], a["s"] + m).alias("c")), lambda a: a["c"])
-    return x.withColumn("cdf", run).drop("_m", "_s")
+    return x.withColumn("cdf", run).drop("_m")
 
 
 def discrete_crps(corrected: DataFrame, key: list[str], low: int = LOW) -> DataFrame:
-    """Sum over the lattice of the squared distance of cdf and outcome, within the row."""
-    step = F.transform("cdf", lambda c, i: F.pow(c - F.when(F.col("actual") <= i + low, 1.0).otherwise(0.0), F.lit(2)))
-    return corrected.select(*key, F.aggregate(step, F.lit(0.0), lambda a, x: a + x).alias("crps"))
+    """Sum over the lattice of the squared distance of cdf and outcome, within the row; the cdf is run along, not built, which would copy it at every integer."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(low).alias("k"), F.lit(0.0).alias("crps"))
+
+    def step(a: Column, m: Column) -> Column:
+        run = a["s"] + m
+        return F.struct(run.alias("s"), (a["k"] + 1).alias("k"), (a["crps"] + F.pow(run - F.when(F.col("actual") <= a["k"], 1.0).otherwise(0.0), F.lit(2))).alias("crps"))
+
+    return corrected.select(*key, F.aggregate("corrected", start, step, lambda a: a["crps"]).alias("crps"))
 
 
 def key_number_mass(corrected: DataFrame, numbers: list[int], low: int = LOW) -> DataFrame:
