@@ -2,7 +2,9 @@
 
 import random
 import re
+from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tidewater.operators import features, models
 from tidewater.plans import more, wider  # noqa: F401
 from tidewater.plans.queries import QUERIES
 from tidewater.sources import snapshots
+from tidewater.streaming import pricing
 
 
 def test_counts_of_history_are_those_of_the_pairs(spark):
@@ -105,3 +108,49 @@ def test_events_meet_games_by_whole_names(spark):
     # names are keys of the join, not a test of the pairs that start together
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Join Inner, .*\(found_home#\d+ = found_home#\d+\)", plan)
+
+
+def test_the_last_range_at_every_place():
+    rnd = np.random.default_rng(3)
+    for m in (1, 2, 7, 100):
+        lo, hi = rnd.integers(0, m + 1, 60), rnd.integers(0, m + 1, 60)
+        want = [max((i for i in range(60) if lo[i] <= x < hi[i]), default=-1) for x in range(m)]
+        assert pricing.last_active(lo, hi, m).tolist() == want
+    assert pricing.last_active(lo[:0], hi[:0], 3).tolist() == [-1] * 3
+
+
+def test_answers_of_odd_rows_and_many_that_meet(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        rnd, t0, big = random.Random(2), datetime(2024, 1, 1), 2**60 + 1
+        at = lambda m: None if m is None else t0 + timedelta(minutes=m)
+        asked = [(big + i, rnd.choice([1, 2, None]), at(rnd.choice([None, *range(0, 3000, 7)]))) for i in range(300)] + [(big, 1, at(700)), (big, 1, at(700)), (None, 2, at(900))]
+        told = [(rnd.choice([1, 2, 3, None]), rnd.choice(["a", "b", None]), rnd.choice([None, float("nan"), 1.0, 2.0]), rnd.choice([None, big, big + 1, big + 2]), at(rnd.choice([None, *range(0, 3000, 50)])), at(rnd.choice([None, *range(0, 3000, 11)]))) for _ in range(1500)]
+        end = [(99, 99, at(20_000))], [(99, "z", 0.0, 0, at(20_000), at(20_000))]
+        # enough rows of one event that pairs of them could not be made: 4 * 10^9
+        request, line = "request_id long, event_id long, as_of timestamp", "event_id long, market string, price double, seq long, observed timestamp, ingested timestamp"
+        n = 20_000
+        many = F.timestamp_micros(F.lit(int(t0.replace(tzinfo=timezone.utc).timestamp()) * 1_000_000) + F.col("id") * 1_000_000)
+        spark.createDataFrame(asked + end[0], request).write.parquet(f"{tmp_path}/asked")
+        spark.range(10 * n).select(F.col("id").alias("request_id"), F.lit(7).cast("long").alias("event_id"), F.timestamp_micros(F.unix_micros(many) - F.col("id") * 900_000).alias("as_of")).write.mode("append").parquet(f"{tmp_path}/asked")
+        spark.createDataFrame(told + end[1], line).write.parquet(f"{tmp_path}/told")
+        spark.range(n).select(F.lit(7).cast("long").alias("event_id"), F.lit("m").alias("market"), F.col("id").cast("double").alias("price"), F.col("id").alias("seq"), many.alias("observed"), many.alias("ingested")).write.mode("append").parquet(f"{tmp_path}/told")
+        pricing.answer(spark.readStream.schema(request).parquet(f"{tmp_path}/asked"), spark.readStream.schema(line).parquet(f"{tmp_path}/told"), f"{tmp_path}/run", late="1 hour", horizon="5 hours")
+        got = spark.read.parquet(f"{tmp_path}/run/answers")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for i, e, a in asked:
+        for x in told:
+            if e is not None and a is not None and x[0] == e and x[4] is not None and x[5] is not None and a - timedelta(hours=5) <= x[5] <= a and x[4] <= a:
+                want.setdefault((str(i), a, e, str(x[1])), []).append((x[4], -1 if x[3] is None else x[3], -1 if x[2] is None else 9 if x[2] != x[2] else x[2]))
+    small = got.where("event_id in (1, 2, 3)").collect()
+    assert len(small) == len(want) > 200
+    for r in small:
+        rows = want[str(r.request_id), r.as_of, r.event_id, str(r.market)]
+        assert (r.quotes, r.observed, -1 if r.seq is None else r.seq, -1 if r.price is None else 9 if r.price != r.price else r.price) == (len(rows), *max(rows))
+    # the tenth of a second asks; all quotes up to it within five hours are known
+    big_one = got.where("event_id = 7").select(F.count("*"), F.count_if(F.col("seq") == F.least(F.floor(F.col("request_id") / 10), F.lit(n - 1))), F.sum("quotes")).first()
+    per = [min(i // 10, n - 1) - max(0, -(-(i - 180_000) // 10)) + 1 for i in range(10 * n)]
+    assert tuple(big_one) == (10 * n, 10 * n, sum(per))

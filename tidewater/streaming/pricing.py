@@ -9,6 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -183,21 +187,144 @@ def landed_status(spark: SparkSession, path: str) -> DataFrame:
 # ---- as-of answers
 
 
+def last_active(first: np.ndarray, end: np.ndarray, m: int) -> np.ndarray:
+    """For each of m places the last of the ranges [first, end) that holds it, -1 where none does. The time is that of ranges + m log m, not that of their meetings."""
+    width = end - first
+    on = np.flatnonzero(width > 0)
+    level = np.frexp(width[on])[1] - 1  # each range is two that overlap, of a length that is a power of two
+    top = np.full((int(level.max(initial=0)) + 1, m), -1)
+    for at in (first[on], end[on] - (1 << level)):
+        np.maximum.at(top, (level, at), on)
+    for k in range(len(top) - 1, 0, -1):
+        half = 1 << (k - 1)
+        np.maximum(top[k - 1], top[k], out=top[k - 1])
+        np.maximum(top[k - 1][half:], top[k][:-half], out=top[k - 1][half:])
+    return top[0]
+
+
+class AnswerState(StatefulProcessor):
+    """Keyed by event: the quotes that a request may still need, in chunks, and the requests that wait, answered in one sweep when the watermark is beyond them.
+
+    One timer per event stands at the first request that waits. Quotes older than the horizon of every request that may still come are dropped then.
+    Columns that may be null have none here, but a flag beside them, as pandas would make doubles of long ids with nulls.
+    """
+
+    ASKED = ["clock", "since", "request_id", "request_id_null"]
+    TOLD = ["clock", "observed", "market", "market_null", "price", "price_null", "seq", "seq_null"]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.told, self.asked = handle.getListState("told", "chunk binary"), handle.getListState("asked", "chunk binary")
+        self.next = handle.getValueState("next", "at long")
+
+    def _add(self, state, rows: pa.Table) -> None:
+        if rows.num_rows:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_table(rows)
+            state.appendValue((sink.getvalue().to_pybytes(),))
+
+    def _held(self, state) -> pa.Table | None:
+        chunks = [pa.ipc.open_stream(bytes(c[0])).read_all() for c in state.get()] if state.exists() else []
+        return pa.concat_tables(chunks) if chunks else None
+
+    def _wake(self, at: int) -> None:
+        """The timer is put at a time in milliseconds, if it stands at none before."""
+        before = self.next.get()
+        if before is not None and before[0] <= at:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(at)
+        self.next.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for df in rows:
+            ask = df["kind"] == 1
+            for state, names, part in ((self.asked, self.ASKED, df[ask]), (self.told, self.TOLD, df[~ask])):
+                self._add(state, pa.table({c: part[c].to_numpy() for c in names}))
+            if ask.any():
+                self._wake(int((2 * df["clock"][ask] - df["since"][ask]).min()) // 1000 + 1)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        asked, told = self._held(self.asked), self._held(self.told)
+        self.next.clear()
+        due = np.zeros(0, bool)
+        if asked is not None:
+            clock, since = (asked[c].to_numpy() for c in ("clock", "since"))
+            due = 2 * clock - since < now * 1000
+            if told is not None:
+                yield from self._swept(key[0], asked.filter(pa.array(due)), told)
+            wait = asked.filter(pa.array(~due))
+            self.asked.clear()
+            self._add(self.asked, wait)
+            if wait.num_rows:
+                self._wake(int((2 * clock - since)[~due].min()) // 1000 + 1)
+        if told is not None and due.any():
+            # a later request has a time after the watermark, and a horizon as far before it as those that were asked, at most
+            reach = int((clock - since).max())
+            oldest = min(now * 1000 - reach, int(since[~due].min()) if not due.all() else now * 1000)
+            self.told.clear()
+            self._add(self.told, told.filter(pa.compute.greater_equal(told["clock"], oldest)))
+
+    def _swept(self, event: int, asked: pa.Table, told: pa.Table) -> Iterator[pd.DataFrame]:
+        clock, since = asked["clock"].to_numpy(), asked["since"].to_numpy()
+        times, first = np.unique(clock, return_index=True)  # requests of one time share their answers
+        opens = since[first]
+        ids = asked.to_pandas().groupby(["clock", "request_id", "request_id_null"]).size().reset_index(name="again")
+        ids["place"] = np.searchsorted(times, ids["clock"].to_numpy())
+        t = {c: told[c].to_numpy() for c in self.TOLD}
+        kind = np.where(t["price_null"], 0, np.where(np.isnan(t["price"]), 2, 1))  # no price, numbers, NaN
+        order = np.lexsort((np.nan_to_num(t["price"]), kind, t["seq"], ~t["seq_null"], t["observed"]))
+        t = {c: x[order] for c, x in t.items()}
+        known = np.maximum(t["clock"], t["observed"])
+        code, names = pd.factorize(pd.MultiIndex.from_arrays([t["market"], t["market_null"]]))
+        for k, (market, nameless) in enumerate(names):
+            on = np.flatnonzero(code == k)
+            lo, hi = np.searchsorted(times, known[on]), np.searchsorted(opens, t["clock"][on], "right")
+            on, lo, hi = on[lo < hi], lo[lo < hi], hi[lo < hi]
+            m = len(times)
+            n = np.cumsum(np.bincount(lo, minlength=m + 1) - np.bincount(hi, minlength=m + 1))[:m]
+            if not n.any():
+                continue
+            last = last_active(lo, hi, m)
+            got = ids[n[ids["place"]] > 0]
+            at = got["place"].to_numpy()
+            best = on[last[at]]
+            own = {c: got[c].to_numpy() for c in ("request_id", "request_id_null")}
+            yield pd.DataFrame({"event_id": event, "as_of": times[at], "market": market, "market_null": nameless, "quotes": n[at] * got["again"].to_numpy(), **own, **{c: t[c][best] for c in ("price", "price_null", "seq", "seq_null", "observed")}})
+
+    def close(self) -> None:
+        pass
+
+
 def answers(requests: DataFrame, quotes: DataFrame, late: str = "1 hour", horizon: str = "3 days") -> DataFrame:
     """(request_id, as_of, event_id, market, quotes, price, seq, observed): what was known at each request's time, as a stream.
 
-    requests: request_id, event_id, as_of. quotes: event_id, market, price, seq, observed, ingested. Both sides carry a watermark, and the join
-    is an interval on the second clock: of the quotes ingested up to as_of and within the horizon before it, and observed by then, the
+    requests: request_id, event_id, as_of. quotes: event_id, market, price, seq, observed, ingested. Both sides carry a watermark, and are kept by event:
+    of the quotes ingested up to as_of and within the horizon before it, and observed by then, the
     one observed last answers (the larger seq of equals). A request is answered once the watermark has passed its time by the horizon, and what
     has been answered stays: a quote observed earlier but ingested after as_of never meets it, and one that comes in after the watermark
-    only joins the history.
+    only joins the history. Requests and quotes are swept in time order, so the work grows with their numbers, not with those that meet.
     """
-    q = quotes.withWatermark("ingested", late).withColumnRenamed("event_id", "_event")
-    r = requests.withWatermark("as_of", late)
-    on = (F.col("event_id") == F.col("_event")) & (F.col("ingested") <= F.col("as_of")) & (F.col("ingested") >= F.col("as_of") - F.expr(f"INTERVAL {horizon}")) & (F.col("observed") <= F.col("as_of"))
-    newest = F.max(F.struct("observed", "seq", "price")).alias("n")
-    found = r.join(q, on).groupBy("as_of", "request_id", "event_id", "market").agg(F.count("*").alias("quotes"), newest)
-    return found.select("request_id", "as_of", "event_id", "market", "quotes", "n.price", "n.seq", "n.observed")
+    kinds = {n: k for df in (requests, quotes) for n, k in df.dtypes}
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    none = lambda c: F.lit(0).cast(kinds[c])
+    held = lambda *names: [x for c in names for x in (F.coalesce(c, none(c)).alias(c), F.col(c).isNull().alias(f"{c}_null"))]
+    blank = lambda *names: [x for c in names for x in (none(c).alias(c), F.lit(True).alias(f"{c}_null"))]
+    r = requests.withWatermark("as_of", late).where("event_id is not null and as_of is not null")
+    since = F.unix_micros(F.col("as_of").cast("timestamp") - F.expr(f"INTERVAL {horizon}"))
+    r = r.select("event_id", F.col("as_of").alias("at"), F.lit(1).alias("kind"), micros("as_of").alias("clock"), since.alias("since"), F.lit(0).cast("long").alias("observed"), *held("request_id"), *blank("market", "price", "seq"))
+    q = quotes.withWatermark("ingested", late).where("event_id is not null and ingested is not null and observed is not null")
+    q = q.select("event_id", F.col("ingested").alias("at"), F.lit(0).alias("kind"), micros("ingested").alias("clock"), F.lit(0).cast("long").alias("since"), micros("observed").alias("observed"), *blank("request_id"), *held("market", "price", "seq"))
+    nullable = ("request_id", "market", "price", "seq")
+    out = f"event_id {kinds['event_id']}, as_of long, quotes long, observed long, " + ", ".join(f"{c} {kinds[c]}, {c}_null boolean" for c in nullable)
+    got = r.unionByName(q).groupBy("event_id").transformWithStateInPandas(AnswerState(), out, "Append", "EventTime")
+    value = lambda c: F.coalesce(c, F.lit(float("nan"))) if kinds[c] in ("double", "float") else F.col(c)
+    clean = [F.when(~F.col(f"{c}_null"), value(c)).alias(c) for c in nullable]
+    return got.withColumns({c: F.timestamp_micros(c) for c in ("as_of", "observed")}).select("as_of", "event_id", "quotes", "observed", *clean).select("request_id", "as_of", "event_id", "market", "quotes", "price", "seq", "observed")
 
 
 def answer(requests: DataFrame, quotes: DataFrame, path: str, late: str = "1 hour", horizon: str = "3 days"):
@@ -207,4 +334,5 @@ def answer(requests: DataFrame, quotes: DataFrame, path: str, late: str = "1 hou
         return lambda df, n: df.write.mode("overwrite").parquet(f"{path}/{table}/batch={n}")
 
     _run(quotes, f"{path}/of-history", append("history"), "append")
-    return _run(answers(requests, quotes, late, horizon), f"{path}/of-answers", append("answers"), "append")
+    with rocks(quotes.sparkSession):
+        return _run(answers(requests, quotes, late, horizon), f"{path}/of-answers", append("answers"), "append")
