@@ -3,6 +3,8 @@
 import random
 import re
 from datetime import datetime, timedelta, timezone
+from statistics import NormalDist
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import distributions as dist
 from tidewater.operators import features, models
-from tidewater.plans import more, wider  # noqa: F401
+from tidewater.plans import audits, more, portfolios, wider  # noqa: F401
+from tidewater.plans.fixtures import view
 from tidewater.plans.queries import QUERIES
 from tidewater.sources import snapshots
 from tidewater.streaming import pricing
+from tidewater.streaming import quotes as streams
 
 
 def test_counts_of_history_are_those_of_the_pairs(spark):
@@ -154,3 +158,9 @@ def test_answers_of_odd_rows_and_many_that_meet(spark, tmp_path):
     big_one = got.where("event_id = 7").select(F.count("*"), F.count_if(F.col("seq") == F.least(F.floor(F.col("request_id") / 10), F.lit(n - 1))), F.sum("quotes")).first()
     per = [min(i // 10, n - 1) - max(0, -(-(i - 180_000) // 10)) + 1 for i in range(10 * n)]
     assert tuple(big_one) == (10 * n, 10 * n, sum(per))
+
+
+def test_snapshots_of_a_stream_are_parsed_once(spark, tmp_path):
+    spark.createDataFrame([(1, '{"id": 5, "start": 9, "books": []}')], "snapshot_id long, body string").write.parquet(f"{tmp_path}/raw")
+    plan = streams.stream_snapshots(SimpleNamespace(readStream=spark.read), f"{tmp_path}/raw")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

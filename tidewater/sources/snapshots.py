@@ -44,6 +44,13 @@ def broken() -> Column:
     )
 
 
+def readable(raw: DataFrame) -> DataFrame:
+    """The documents (.., body, doc) that can be read, each parsed once."""
+    x = parsed(raw).withColumn("_r", broken())
+    # an unnested array instead of a filter: a filter would move below the parsed column and parse the body once per condition
+    return x.select("*", F.explode_outer(F.when(F.col("_r").isNull(), F.array(F.lit(1)))).alias("_k")).where("_k is not null").drop("_r", "_k")
+
+
 def quarantine_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents that can be read, warnings (snapshot_id, reason, place)); damage costs only the part that has it, and fails no batch.
 
@@ -52,10 +59,7 @@ def quarantine_malformed(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     outcomes, or an outcome without side or odds), duplicate_observation_skipped (an outcome again in its snapshot, event, book
     and market). place: book/market/outcome, counted from 0.
     """
-    x = parsed(raw).withColumn("_r", broken())
-    # an unnested array instead of a filter: a filter would move below the parsed column and parse the body once per condition
-    good = x.select("*", F.explode_outer(F.when(F.col("_r").isNull(), F.array(F.lit(1)))).alias("_k")).where("_k is not null").drop("_r", "_k")
-    return good, read_documents(raw).where("reason is not null").select("snapshot_id", "reason", "place")
+    return readable(raw), read_documents(raw).where("reason is not null").select("snapshot_id", "reason", "place")
 
 
 def batch_status(raw: DataFrame, warnings: DataFrame) -> DataFrame:

@@ -75,5 +75,4 @@ def run_to_table(stream: DataFrame, folder: str, key: list[str] | None = None) -
 def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of the JSON snapshots (snapshot_id, body) that arrive in a folder: parsed, damaged documents left out, flattened."""
     raw = spark.readStream.schema("snapshot_id long, body string").parquet(folder)
-    doc = snapshots.parsed(raw).where(~snapshots.leaks() & F.col("doc.id").isNotNull() & F.col("doc.books").isNotNull() & F.col("doc.start").isNotNull())
-    return snapshots.flatten_quotes(doc)
+    return snapshots.flatten_quotes(snapshots.readable(raw))
