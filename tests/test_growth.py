@@ -164,3 +164,7 @@ def test_snapshots_of_a_stream_are_parsed_once(spark, tmp_path):
     spark.createDataFrame([(1, '{"id": 5, "start": 9, "books": []}')], "snapshot_id long, body string").write.parquet(f"{tmp_path}/raw")
     plan = streams.stream_snapshots(SimpleNamespace(readStream=spark.read), f"{tmp_path}/raw")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
+
+
+def test_candidates_of_registries_are_priced_once(spark, small):
+    assert "l_orderkey" not in QUERIES["b1_evaluate_registered"](spark, small)._jdf.queryExecution().optimizedPlan().toString()

@@ -13,7 +13,7 @@ from tidewater.operators import evaluate, exposure, features, preseason, reports
 from tidewater.plans.fifth import starts
 from tidewater.plans.fixtures import ctes, view
 from tidewater.plans.more import ASOF, CAND, USABLE, candidates, usable
-from tidewater.plans.queries import HIST, METRICS, MNAMES, ORACLES, PAIRS, QUERIES, d6, metrics, query, requests, rounded, state
+from tidewater.plans.queries import HIST, METRICS, MNAMES, ORACLES, PAIRS, QUERIES, d6, landed, metrics, query, requests, rounded, state
 from tidewater.plans.shared import folder
 from tidewater.plans.third import normal_rows
 from tidewater.sources import snapshots
@@ -171,6 +171,7 @@ def _(v):
         "as_of": 900000000 + e % 50 * 1000000, "model_id": F.concat(F.lit("m"), (e % 4).cast("string")), "provider_id": F.when(e % 9 != 4, F.concat(F.lit("p"), e.cast("string"))), "fair_market": F.col("market"),
         "fair_side": F.when(e % 6 == 0, 3 - F.col("side")).otherwise(F.col("side")), "point": F.lit(1.5), "fair_point": F.when(e % 7 == 2, 2.5).otherwise(1.5), "warnings": F.when(e % 8 == 3, F.array(F.lit("stale_book"), F.lit("material_book_outlier"))).otherwise(F.array(F.lit("material_book_outlier"))),
     })
+    c = landed(c, "candidates")  # both registries are made of them
     models = c.select("model_id").distinct().select("model_id", F.when(F.col("model_id") == "m1", "shadow").otherwise("retained_benchmark").alias("status"), F.lit(0).cast("long").alias("valid_from"), F.when(F.col("model_id") == "m0", 920000000).cast("long").alias("valid_to"))
     mappings = c.select("event_id").distinct().select(F.concat(F.lit("p"), e.cast("string")).alias("provider_id"), "event_id", F.lit(0).cast("long").alias("valid_from"), F.when(e % 5 == 0, 930000000).cast("long").alias("valid_to"))
     got = exposure.evaluate_registered(c, models, mappings)
