@@ -168,3 +168,10 @@ def test_snapshots_of_a_stream_are_parsed_once(spark, tmp_path):
 
 def test_candidates_of_registries_are_priced_once(spark, small):
     assert "l_orderkey" not in QUERIES["b1_evaluate_registered"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_singles_are_picked_without_making_combinations(spark, small):
+    got = QUERIES["b5_allocate_portfolios"](spark, small)
+    assert "leg_ids" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = portfolios.decisions(lambda n: view(spark, small, n)).where("kind = 'straight'").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tidewater.operators import allocation, exposure
 from tidewater.plans.more import candidates
-from tidewater.plans.queries import query
+from tidewater.plans.queries import landed, query
 
 
 def portfolios(v) -> DataFrame:
@@ -23,12 +23,17 @@ def opened(v) -> DataFrame:
     return v("bets").where("state = 'open'").select("portfolio", (F.col("bet_id") % 30 + 11688).alias("slate"), event.alias("event_id"), "market", "side", (event % 130).alias("home"), ((event * 7 + 1) % 130).alias("away"), (F.col("stake") / 1e4).alias("stake"), kind.alias("kind"))
 
 
-def decisions(v) -> DataFrame:
-    """Every portfolio follows one league; offers join each candidate to the one and to the two ranked after it."""
-    p, e = portfolios(v), opened(v)
+def followed(v) -> DataFrame:
+    """Every portfolio follows one league: its qualified candidates, ranked."""
+    p = portfolios(v)
     c = exposure.evaluate_candidates(candidates(v)).where("qualified").withColumn("source_ids", F.array(F.concat("candidate_id", F.lit("/a")), F.concat("candidate_id", F.lit("/b"))))
     c = c.withColumn("league", F.col("event_id") % 3).join(p.select("portfolio", (F.col("portfolio") % 3).alias("league")), "league").drop("league")
-    ranked = allocation.ranked_by_portfolio(c, p, e)
+    return allocation.ranked_by_portfolio(c, p, opened(v))
+
+
+def decisions(v) -> DataFrame:
+    """Offers join each candidate to the one and to the two ranked after it. Candidates are ranked once and read back: they are picked from, make the offers and are their legs."""
+    p, e, ranked = portfolios(v), opened(v), landed(followed(v), "ranked")
     after = Window.partitionBy("portfolio", "slate").orderBy("rank")
     ids = F.array("candidate_id", F.lead("candidate_id", 1).over(after), F.lead("candidate_id", 2).over(after))
     o = ranked.select("portfolio", "slate", ids.alias("ids")).select("portfolio", "slate", F.explode(F.array(F.slice("ids", 1, 2), F.col("ids"))).alias("leg_ids")).where("not exists(leg_ids, x -> x is null)")
@@ -38,7 +43,8 @@ def decisions(v) -> DataFrame:
 
 @query("b5_allocate_portfolios")
 def _(v):
-    return decisions(v).where("kind = 'straight'").select("portfolio", "slate", "id", "place", "stake", "blocker")
+    """Singles alone: combinations draw on what singles leave, and change none of them."""
+    return allocation.decide(followed(v)).select("portfolio", "slate", "id", "place", "stake", "blocker")
 
 
 @query("b6_combine_portfolios")
