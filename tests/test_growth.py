@@ -175,3 +175,19 @@ def test_singles_are_picked_without_making_combinations(spark, small):
     assert "leg_ids" not in got._jdf.queryExecution().optimizedPlan().toString()
     want = portfolios.decisions(lambda n: view(spark, small, n)).where("kind = 'straight'").select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_pinball_losses_are_a_line_between_quantiles(spark):
+    zs = [-9.0, -2.0537489106318225, -1.0, 0.0, 0.01, 2.0, 2.0537489106318225, 9.0]
+    rows = spark.createDataFrame([(z * 3.0 + 1, 1.0, 3.0) for z in zs] + [(None, 1.0, 3.0)], "actual double, loc double, scale double")
+    crps = rows.select("actual", dist.proper_scores(F.col("actual"), F.col("loc"), F.col("scale"))["crps"].alias("crps"))
+    assert "aggregate(" not in crps._jdf.queryExecution().optimizedPlan().toString()
+    qs = [(i / 50, NormalDist().inv_cdf(i / 50)) for i in range(1, 50)]
+    for r in crps.collect():
+        want = None if r.actual is None else 3.0 * 2 / 49 * sum(((r.actual - 1) / 3.0 - q) * (i - ((r.actual - 1) / 3.0 < q)) for i, q in qs)
+        assert r.crps == (None if want is None else pytest.approx(want, abs=1e-12))
+
+
+def test_scores_of_candidates_are_made_once(spark, small):
+    plan = QUERIES["e15_distribution_candidates"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan

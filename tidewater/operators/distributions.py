@@ -150,9 +150,17 @@ LEVELS = (50, 80, 90, 95)
 def proper_scores(actual: Column, loc: Column, scale: Column) -> dict[str, Column]:
     """Negative log likelihood, CRPS by pinball losses of 49 quantiles, PIT, and cover of four central intervals."""
     z = (actual - loc) / scale
-    qs = [(i / 50, NormalDist().inv_cdf(i / 50)) for i in range(1, 50)]
-    pinball = F.aggregate(F.lit([q for _, q in qs]), F.struct(F.lit(1).alias("i"), F.lit(0.0).alias("s")), lambda a, q: F.struct((a["i"] + 1).alias("i"), (a["s"] + (z - q) * (a["i"] / 50 - F.when(z < q, 1.0).otherwise(0.0))).alias("s")), lambda a: a["s"])
-    out = {"nll": F.ln(scale) + z * z / 2 + 0.5 * math.log(2 * math.pi), "crps": scale * pinball * 2 / 49, "pit": normal_cdf(z)}
+    qs = [NormalDist().inv_cdf(i / 50) for i in range(1, 50)]
+    rise, fall = math.fsum(i / 50 for i in range(1, 50)), math.fsum(q * i / 50 for i, q in enumerate(qs, 1))
+
+    def pinball(z: Column, low: int, high: int) -> Column:
+        """Sum of (z - q) * (i / 50 - (z < q)) where z lies from quantile `low` up to quantile `high`: a line in z, found by halving."""
+        if low == high:
+            return (rise - (len(qs) - low)) * z - F.lit(fall - math.fsum(qs[low:]))
+        mid = (low + high) // 2
+        return F.when(z < qs[mid], pinball(z, low, mid)).otherwise(pinball(z, mid + 1, high))
+
+    out = {"nll": F.ln(scale) + z * z / 2 + 0.5 * math.log(2 * math.pi), "crps": scale * _let(z, lambda x: pinball(x, 0, len(qs))) * 2 / 49, "pit": normal_cdf(z)}
     return out | {f"in_{p}": F.abs(z) <= NormalDist().inv_cdf(0.5 + p / 200) for p in LEVELS}
 
 

@@ -122,7 +122,7 @@ def distribution_challenge(scored: DataFrame, benchmark: str, by: list[str], blo
     summary = scored.groupBy(*by, "candidate").agg(*[c.alias(n) for n, c in means.items()])
     d = scored.where(F.col("candidate") != benchmark).join(own, [*by, "game_id"])
     blocks = d.groupBy(*by, "candidate", block).agg(F.sum(F.col("nll") - F.col("_n")).alias("n"), F.sum(F.col("crps") - F.col("_c")).alias("c"), F.count("*").alias("k"))
-    names = d.select(block).distinct().withColumn("pick", F.row_number().over(Window.orderBy(block)) - 1)
+    names = blocks.select(block).distinct().withColumn("pick", F.row_number().over(Window.orderBy(block)) - 1)
     count = names.count()  # blocks
     picked = shared_draws(max(1, count), draws, seed, scored.sparkSession).groupBy("draw", "pick").agg(F.count("*").alias("times"))
     again = picked.join(names, "pick").join(blocks, block).groupBy(*by, "candidate", "draw").agg(*[F.try_divide(F.sum(F.col(x) * F.col("times")), F.sum(F.col("k") * F.col("times"))).alias(x) for x in ("n", "c")])

@@ -180,15 +180,15 @@ def _(v):
 
 @query("e15_distribution_candidates")
 def _(v):
-    """Three Normals against the plain one on shared draws: one better placed, one too wide, one shifted."""
+    """Three Normals against the plain one on shared draws: one better placed, one too wide, one shifted. Scores are made once and read back, as a challenge reads them in several passes."""
     rows = normal_rows(v)
-    out = None
+    scored = []
     for name, loc, scale in (("plain", F.col("loc"), F.col("scale")), ("nearer", F.col("loc") * 0.6 + F.col("actual") * 0.4, F.col("scale")), ("wide", F.col("loc"), F.col("scale") * 2), ("shifted", F.col("loc") + 3, F.col("scale"))):
         s = dist.proper_scores(F.col("actual"), loc, scale)
         half = scale * 1.6448536269514722
         nll = F.log(scale * 2.5066282746310002) + (F.col("actual") - loc) * (F.col("actual") - loc) / (2 * scale * scale)
-        x = rows.select(F.lit(name).alias("candidate"), "game_id", "season", nll.alias("nll"), s["crps"].alias("crps"), (F.abs(F.col("actual") - loc) <= half).alias("covered"), (2 * half).alias("interval_width"))
-        out = x if out is None else out.unionAll(x)
+        scored.append(F.struct(F.lit(name).alias("candidate"), nll.alias("nll"), s["crps"].alias("crps"), (F.abs(F.col("actual") - loc) <= half).alias("covered"), (2 * half).alias("interval_width")))
+    out = landed(rows.select("game_id", "season", F.explode(F.array(*scored)).alias("_s")).select("game_id", "season", "_s.*"), "scored")
     return evaluate.distribution_challenge(out, "plain", [], "season")
 
 
