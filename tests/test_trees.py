@@ -111,3 +111,18 @@ def test_trees_on_the_market(spark, tmp_path):
     for r in got:
         if r.variant == "residual":
             assert r.prediction == pytest.approx(want[r.game_id, r.season, "three"][1] + own[r.game_id][6], abs=1e-9) and r.actual == own[r.game_id][2]
+
+
+def test_rows_with_the_same_bins_are_counted_as_one(spark, tmp_path, monkeypatch):
+    """Ten copies of every row: the passes read no more rows than for one, and the trees are those of a loop over all."""
+    found = [(i, s, None if y is None else y + k, a, b, c) for k in range(10) for i, s, y, a, b, c in rows(120)]
+    found = [(n, *r[1:]) for n, r in enumerate(found)]
+    df = spark.createDataFrame(found, SCHEMA)
+    seen, own = [], trees._histograms
+    monkeypatch.setattr(trees, "_histograms", lambda x, *more: (seen.append(x.count()), own(x, *more))[1])
+    got = trees.boosted_folds(df, ["a", "b", "c"], SEASONS, str(tmp_path), SMALL)
+    assert max(seen) <= 120
+    at = trees.edges(df, ["a", "b", "c"], min(SEASONS))
+    want = loop(found, at, SEASONS, SMALL)
+    assert {(r.game_id, r.season, r.budget): r.trained_on for r in got.collect()} == {k: v[0] for k, v in want.items()}
+    assert {(r.game_id, r.season, r.budget): r.prediction for r in got.collect()} == pytest.approx({k: v[1] for k, v in want.items()}, abs=1e-6)
