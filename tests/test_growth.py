@@ -205,6 +205,25 @@ def test_pinball_losses_are_a_line_between_quantiles(spark):
         assert r.crps == (None if want is None else pytest.approx(want, abs=1e-12))
 
 
+def test_offers_are_settled_without_a_pass_over_the_bins(spark):
+    rnd = random.Random(4)
+    hist = [(m, v, rnd.randrange(1, 9)) for m, step in ((1, 0.25), (2, 0.3)) for v in {k * step for k in range(-40, 60, 3)}]
+    offers = [(i, rnd.choice([1, 2, 3]), rnd.randrange(-20, 20) / 2, rnd.choice([rnd.uniform(-20, 20), float(rnd.randrange(-9, 9)), 500.0, -500.0])) for i in range(300)]
+    got = dist.settle_at(spark.createDataFrame(offers, "id long, market long, line double, center double"), spark.createDataFrame(hist, "market int, value double, n long"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "Join" not in plan
+    clip = lambda x: max(0.0, min(1.0, x))
+    want = {}
+    for i, m, line, center in offers:
+        own = [(v, n) for k, v, n in hist if k == m]
+        if own:
+            all_n, y = sum(n for _, n in own), center - line
+            win = sum(n * clip(y + v + (0.0 if line % 1 == 0 else 0.5)) for v, n in own) / all_n
+            loss = sum(n * clip(-y - v) for v, n in own) / all_n if line % 1 == 0 else 1 - win
+            want[i] = pytest.approx((win, 1 - win - loss, loss), abs=1e-12)
+    assert {r.id: (r.win, r.push, r.loss) for r in got.collect()} == want
+
+
 def test_scores_of_candidates_are_made_once(spark, small):
     plan = QUERIES["e15_distribution_candidates"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan
