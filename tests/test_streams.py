@@ -130,6 +130,43 @@ def test_rows_and_warnings_land_together_even_after_a_failure(spark, small, tmp_
     assert pricing.landed_rows(spark, path).count() == snapshots.read_documents(raw).where("reason is null").count()
 
 
+def test_documents_are_dealt_once_before_they_are_parsed(spark, small, tmp_path, two_partitions):
+    snapshots_of(spark, small).write.parquet(f"{tmp_path}/raw")
+    got = snapshots.read_documents(spark.read.parquet(f"{tmp_path}/raw"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.index("from_json") < plan.index("Exchange ") and "hashpartitioning(snapshot_id" in plan
+    assert got.rdd.getNumPartitions() == 2  # as many tasks as the session says, whatever their bytes
+
+
+def test_landed_rows_are_written_unsorted_and_not_shuffled_by_batch(spark, small, tmp_path, two_partitions):
+    path, landing = f"{tmp_path}/run", f"{tmp_path}/landing"
+    empty = spark.createDataFrame([(-9, '{"id":1,"start":5,"books":[]}')], "snapshot_id long, body string")
+    snapshots_of(spark, small).unionAll(empty).write.parquet(landing)
+    pricing.land_snapshots(spark.readStream.schema("snapshot_id long, body string").parquet(landing), path)
+    assert not [f.name for f in (tmp_path / "run" / "documents" / "batch=0").iterdir() if f.is_dir()]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")  # as if the status were large
+    try:
+        for df in (pricing.landed_rows(spark, path), pricing.landed_warnings(spark, path)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # a snapshot of which there is neither row nor warning has its status too
+    assert [tuple(r) for r in pricing.landed_status(spark, path).where("snapshot_id = -9").collect()] == [(-9, 0, 0, "success")]
+
+
+def test_forbidden_keys_in_any_case(spark):
+    # what any letter's case may turn into a letter of the names, and into what it only looks like
+    like = sorted({c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and any(x.isascii() and x.isalpha() for x in c.lower() + c.upper() + c.casefold())} | set("-_ "))
+    names = snapshots.SECRETS + ["api-key"]
+    bodies = [f'{{"{n[:i]}{c}{n[i + 1 :]}" :1}}' for n in names for i in range(len(n)) for c in like] + ['{"a":"token"}', '{"atoken":1}', '{"token1":1}', '{"x":{"ToKeN"\n:1}}', "", None]
+    plain = F.translate(F.lower("body"), "-", "_").rlike('"(' + "|".join(snapshots.SECRETS) + ')"\\s*:')
+    got = spark.createDataFrame([(b,) for b in bodies], "body string").select("body", snapshots.leaks().alias("leak"), plain.alias("plain")).collect()
+    assert [r.body for r in got if r.leak != r.plain] == [] and 50 < sum(r.leak is True for r in got) < len(bodies)
+    assert "lower(" not in str(snapshots.leaks())  # no copy of the text
+
+
 def test_nothing_committed_reads_as_empty(spark, tmp_path):
     assert pricing.landed_rows(spark, str(tmp_path)).count() == 0 and pricing.landed_warnings(spark, str(tmp_path)).count() == 0
 

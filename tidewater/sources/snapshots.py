@@ -26,9 +26,23 @@ def parsed(raw: DataFrame, body: str = "body") -> DataFrame:
     return raw.withColumn("doc", F.from_json(body, SCHEMA))
 
 
+def _any_case(name: str) -> str:
+    """A pattern of what is this name in lower case with _ for -; k is also the lower case of the Kelvin sign, as no other letter is of two."""
+    return "".join("[-_]" if c == "_" else r"[kK\x{212A}]" if c == "k" else f"[{c}{c.upper()}]" for c in name)
+
+
+#: Cases are in the pattern, and a look at a key's first letter comes before the names: a copy of each text in lower case costs several times the search.
+LEAK = '"(?=[' + "".join(sorted({c for name in SECRETS for c in (name[0], name[0].upper())})) + "])(?:" + "|".join(_any_case(name) for name in SECRETS) + ')"\\s*:'
+
+
 def leaks(body: str = "body") -> Column:
     """Whether a JSON text has one of the forbidden keys at any depth, in any case, with - or _."""
-    return F.translate(F.lower(body), "-", "_").rlike('"(' + "|".join(SECRETS) + ')"\\s*:')
+    return F.col(body).rlike(LEAK)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as the session's shuffles have. Adaptive execution merges tasks by their bytes, but the work on a byte of JSON is long: few uneven tasks would be left."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def scan_credential_keys(raw: DataFrame, body: str = "body") -> DataFrame:
@@ -81,9 +95,10 @@ def read_documents(raw: DataFrame) -> DataFrame:
 
     The body is parsed once and each level unnested once; what is damaged goes on as one row with its reason and place. Rows without a
     reason are those of flatten_quotes(), repeats and damaged ones left out; reasons and places are those of quarantine_malformed().
+    Documents are dealt by snapshot before they are parsed, so that repeats are found without a shuffle of the outcomes.
     """
     lost = "observation_not_normalized"
-    x = parsed(raw).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), broken().alias("reason"), "doc")
+    x = parsed(dealt(raw.select(F.col("snapshot_id").cast("long").alias("snapshot_id"), "body"), "snapshot_id")).select("snapshot_id", broken().alias("reason"), "doc")
     # an array that is not to be unnested is null, which gives one row without a place; an empty one is left out
     inner = lambda array: F.when(F.col("reason").isNull(), F.col(array))
     kept = lambda df, n, array: df.where(F.col("reason").isNotNull() | F.col(n).isNotNull()).drop(array)
@@ -117,7 +132,7 @@ def flatten_quotes(good: DataFrame) -> DataFrame:
 def nest_quotes(quotes: DataFrame) -> DataFrame:
     """The inverse: one JSON document per snapshot and event. Arrays hold one snapshot of one event, which is small."""
     # dealt once by what a document is of: all three levels group within that, without a shuffle of their own
-    o = quotes.repartition("snapshot_id", "event_id").groupBy("snapshot_id", "event_id", "start", "book_id", "market").agg(F.min("observed").alias("updated"), F.sort_array(F.collect_list(F.struct("side", "odds", "point"))).alias("outcomes"))
+    o = dealt(quotes, "snapshot_id", "event_id").groupBy("snapshot_id", "event_id", "start", "book_id", "market").agg(F.min("observed").alias("updated"), F.sort_array(F.collect_list(F.struct("side", "odds", "point"))).alias("outcomes"))
     m = o.groupBy("snapshot_id", "event_id", "start", "book_id").agg(F.sort_array(F.collect_list(F.struct(F.col("market").alias("key"), "updated", "outcomes"))).alias("markets"))
     b = m.groupBy("snapshot_id", "event_id", "start").agg(F.sort_array(F.collect_list(F.struct(F.col("book_id").alias("key"), "markets"))).alias("books"))
     return b.select("snapshot_id", F.to_json(F.struct(F.col("event_id").alias("id"), "start", "books")).alias("body"))

@@ -148,30 +148,32 @@ def land_snapshots(raw: DataFrame, path: str, before_commit: Callable[[int], Non
     """
 
     def step(arrived: DataFrame, n: int) -> None:
-        read = snapshots.read_documents(arrived)
-        read.withColumn("kind", F.when(F.col("reason").isNull(), "rows").otherwise("warnings")).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/documents/batch={n}")
+        # rows and warnings stand in one folder, told apart by their reason: a folder of each would have every row sorted again
+        snapshots.read_documents(arrived).write.mode("overwrite").parquet(f"{path}/documents/batch={n}")
         if before_commit:
             before_commit(n)
-        found = arrived.sparkSession.read.schema(READ).parquet(f"{path}/documents/batch={n}")
-        each = found.groupBy("snapshot_id").agg(F.count_if(F.col("kind") == "rows").alias("rows"), F.count_if(F.col("kind") == "warnings").alias("warnings"))
-        seen = arrived.select("snapshot_id").distinct().join(each, "snapshot_id", "left").na.fill(0)
+        found = arrived.sparkSession.read.schema(snapshots.DOCUMENTS).parquet(f"{path}/documents/batch={n}")
+        one = lambda reason: F.when(reason, 1).otherwise(0).cast("long")
+        each = found.select("snapshot_id", one(F.col("reason").isNull()).alias("rows"), one(F.col("reason").isNotNull()).alias("warnings"))
+        # those of which there is neither row nor warning are named by what arrived
+        none = arrived.select(F.col("snapshot_id").cast("long").alias("snapshot_id"), F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("warnings"))
+        seen = each.unionAll(none).groupBy("snapshot_id").agg(F.sum("rows").alias("rows"), F.sum("warnings").alias("warnings"))
         seen.write.mode("overwrite").parquet(f"{path}/status/batch={n}")
 
     return _run(raw, path, step, "append")
 
 
-READ = f"{snapshots.DOCUMENTS}, kind string"
-
-
 def _committed(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    schema = f"{READ}, batch long"
+    schema = f"{snapshots.DOCUMENTS}, batch long"
     try:
         done = spark.read.parquet(f"{path}/status").select("batch").distinct()
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], schema).drop("kind")
-    return spark.read.schema(schema).parquet(f"{path}/documents").where(F.col("kind") == kind).join(done, "batch", "left_semi").drop("kind")
+        return spark.createDataFrame([], schema)
+    wanted = F.col("reason").isNull() if kind == "rows" else F.col("reason").isNotNull()
+    # done has a row per batch, though Spark takes its size from that of the status; shuffled by batch, the rows of each would be one task's
+    return spark.read.schema(schema).parquet(f"{path}/documents").where(wanted).join(F.broadcast(done), "batch", "left_semi")
 
 
 def landed_rows(spark: SparkSession, path: str) -> DataFrame:
