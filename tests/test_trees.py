@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tidewater.operators import trees
+from tidewater.plans import boosted
 
 SCHEMA = "game_id long, season int, actual double, a double, b double, c double"
 SMALL = [trees.Budget("three", 3, 4, 0.3, 5, 1.0), trees.Budget("five", 5, 3, 0.2, 3, 2.0), trees.Budget("seven", 7, 2, 0.5, 2, 0.5)]
@@ -126,3 +127,33 @@ def test_rows_with_the_same_bins_are_counted_as_one(spark, tmp_path, monkeypatch
     want = loop(found, at, SEASONS, SMALL)
     assert {(r.game_id, r.season, r.budget): r.trained_on for r in got.collect()} == {k: v[0] for k, v in want.items()}
     assert {(r.game_id, r.season, r.budget): r.prediction for r in got.collect()} == pytest.approx({k: v[1] for k, v in want.items()}, abs=1e-6)
+
+
+@pytest.mark.parametrize("alone", [0, 10**6])
+def test_passes_over_many_tasks_and_groups_of_models_grow_the_same_trees(spark, tmp_path, monkeypatch, alone):
+    """Distinct rows in several tasks, whose counts are summed, or in one group per model."""
+    monkeypatch.setattr(trees, "ALONE", alone)
+    monkeypatch.setattr(trees, "WRITE", 3)
+    monkeypatch.setattr(trees, "CHUNK", 50)
+    parts, own = [], trees._histograms
+    monkeypatch.setattr(trees, "_histograms", lambda x, *more: (parts.append(x.rdd.getNumPartitions()), own(x, *more))[1])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = rows()
+        df = spark.createDataFrame(found, SCHEMA).repartition(3)
+        edges = trees.edges(df, ["a", "b", "c"], 1997)
+        got = trees.boosted_folds(df, ["a", "b", "c"], SEASONS, str(tmp_path), SMALL).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert parts[0] > 1 and (len(parts) > 10) == (alone == 0)
+    want = loop(found, edges, SEASONS, SMALL)
+    assert {(r.game_id, r.season, r.budget): (r.trained_on, r.prediction) for r in got} == {k: (n, pytest.approx(x, abs=1e-9)) for k, (n, x) in want.items()}
+
+
+def test_the_queries_grow_every_tree_of_their_budgets(spark, small, monkeypatch):
+    grown, own = [], trees.boosted_models
+    monkeypatch.setattr(trees, "boosted_models", lambda *a: (grown.append(own(*a)), grown[-1])[1])
+    assert boosted.QUERIES["m6_tree_budgets"](spark, small).count()
+    (models,) = grown
+    assert {(m.budget.name, len(m.trees)) for m in models} == {("conservative", 500), ("balanced", 300), ("flexible", 200)} and len(models) == 15

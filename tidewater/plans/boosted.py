@@ -12,13 +12,14 @@ from tidewater.plans.lines import SEASONS
 from tidewater.plans.queries import MNAMES, QUERIES, model_rows
 from tidewater.plans.shared import folder
 
-#: The three budgets with fewer trees: each level of all trees is one pass over the rows.
-FEWER = [replace(b, rounds=n) for b, n in zip(trees.BUDGETS, (8, 5, 4), strict=True)]
+
+#: The market's budget with fewer trees: each level of all trees is one pass over the rows.
+FEWER = [replace(trees.BUDGETS[0], rounds=8)]
 
 
 def _budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = model_rows(lambda n: view(spark, sf_dir, n))
-    return trees.boosted_folds(rows, MNAMES, SEASONS, folder(spark), FEWER)
+    return trees.boosted_folds(rows, MNAMES, SEASONS, folder(spark))
 
 
 def _market(spark: SparkSession, sf_dir: str) -> DataFrame:
