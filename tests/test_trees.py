@@ -157,3 +157,10 @@ def test_the_queries_grow_every_tree_of_their_budgets(spark, small, monkeypatch)
     assert boosted.QUERIES["m6_tree_budgets"](spark, small).count()
     (models,) = grown
     assert {(m.budget.name, len(m.trees)) for m in models} == {("conservative", 500), ("balanced", 300), ("flexible", 200)} and len(models) == 15
+
+
+def test_the_market_queries_grow_every_tree_of_their_budget(spark, small, monkeypatch):
+    grown, own = [], trees.boosted_models
+    monkeypatch.setattr(trees, "boosted_models", lambda *a: (grown.append(own(*a)), grown[-1])[1])
+    assert boosted.QUERIES["m9_market_trees"](spark, small).count()
+    assert len(grown) == 2 and [{(m.budget.name, len(m.trees)) for m in models} for models in grown] == [{("conservative", 500)}] * 2 and [len(models) for models in grown] == [4, 4]
