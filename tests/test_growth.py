@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import distributions as dist
 from tidewater.operators import features, models
-from tidewater.plans import audits, more, portfolios, wider  # noqa: F401
+from tidewater.plans import audits, more, portfolios, scored, wider  # noqa: F401
 from tidewater.plans.fixtures import view
 from tidewater.plans.queries import QUERIES, measured_games
 from tidewater.sources import snapshots
@@ -227,3 +227,24 @@ def test_offers_are_settled_without_a_pass_over_the_bins(spark):
 def test_scores_of_candidates_are_made_once(spark, small):
     plan = QUERIES["e15_distribution_candidates"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "o_orderkey" not in plan
+
+
+def test_scores_of_lattices_are_read_from_sums_of_those_that_differ(spark, monkeypatch):
+    """corrected_crps() is discrete_crps() of corrected_lattice(), for rows alike, nulls and outcomes beyond the ends; no lattice is made for a row whose like has one."""
+    rnd = random.Random(3)
+    data = [(i, rnd.choice([None, 0.5, -4.0, 90.0, rnd.gauss(0, 30)]), rnd.choice([None, 0.25, 9.0, 12.0]), rnd.choice([None, float("nan"), -200.0, -80.0, 2.5, 3.0, 80.0, 80.5, 300.0])) for i in range(400)]
+    rows = spark.createDataFrame(data, "game_id long, loc double, scale double, actual double")
+    ratios = spark.createDataFrame([(k, 0.25 + (k % 7) / 2) for k in range(-80, 79)], "k int, ratio double")
+    want = {r.game_id: r.crps for r in dist.discrete_crps(dist.corrected_lattice(rows, ratios), ["game_id"]).collect()}
+    priced = dist.corrected_crps(rows, ratios, ["game_id"])
+    got = {r.game_id: r.crps for r in priced.collect()}
+    assert got == {k: x if x is None else pytest.approx(x, abs=1e-9) for k, x in want.items()} and None in got.values()
+    plan = priced._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # these are interpreted, element by element
+    with pytest.raises(Exception, match="a scale is 0"):
+        dist.corrected_crps(spark.createDataFrame([(1, 0.0, 0.0, 1.0)], rows.schema), ratios, ["game_id"]).collect()
+
+
+def test_the_corrected_lattice_query_scores_without_a_lattice_per_row(spark, small):
+    plan = QUERIES["d17_corrected_lattice"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "crps(" in plan and "aggregate(" not in plan

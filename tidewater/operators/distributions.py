@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -205,15 +206,43 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Rows whose lattices are made at once.
+CHUNK = 1024
+
+
+def _masses(loc: np.ndarray, scale: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Normal mass of the integers low..high, a line per row; tails go to the ends. One distribution function per border between integers."""
+    x = (np.arange(low + 1, high + 1) - 0.5 - loc[:, None]) / scale[:, None]
+    z = np.abs(x) / math.sqrt(2)
+    t = 1 / (1 + z / 2)
+    power = np.full_like(t, ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        power = power * t + c
+    tail = t * np.exp(power - z * z) / 2
+    return np.diff(np.where(x > 0, 1 - tail, tail), prepend=0.0, append=1.0)
+
+
+def _kinds(loc: pa.Array, scale: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether loc or scale is null; the different pairs of the others, as loc + scale i; which of them each row has)."""
+    none = np.array(loc.is_null()) | np.array(scale.is_null())
+    kinds, place = np.unique(loc.to_numpy(zero_copy_only=False)[~none] + 1j * scale.to_numpy(zero_copy_only=False)[~none], return_inverse=True)
+    if not kinds.imag.all():
+        raise ZeroDivisionError("a scale is 0")
+    return none, kinds, place
+
+
 def lattice_mass(loc: Column, scale: Column, low: int = LOW, high: int = HIGH) -> Column:
-    """Normal mass of the integers low..high as an array; tails go to the ends. One distribution function per border between integers."""
+    """Normal mass of the integers low..high as an array; tails go to the ends. Rows of a batch that are alike are made once; null without loc or scale."""
 
-    def cdf(x: Column) -> Column:
-        small = _let(F.abs(x) / math.sqrt(2), lambda z: _let(1 / (1 + z / 2), lambda t: _tail(z, t)))
-        return _let(small, lambda y: F.when(x > 0, 1 - y).otherwise(y))
+    @F.arrow_udf("array<double>")
+    def mass(loc: pa.Array, scale: pa.Array) -> pa.Array:
+        none, kinds, place = _kinds(loc, scale)
+        made = [_masses(k.real, k.imag, low, high) for k in np.array_split(kinds, len(kinds) // CHUNK + 1)]
+        values = np.concatenate(made)[place].reshape(-1)
+        ends = np.append(0, np.cumsum(np.where(none, 0, high - low + 1)))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values), mask=pa.array(none))
 
-    borders = F.transform(F.sequence(F.lit(low + 1), F.lit(high)), lambda k: _let((k - 0.5 - loc) / scale, cdf))
-    return _let(borders, lambda c: F.zip_with(F.concat(c, F.array(F.lit(1.0))), F.concat(F.array(F.lit(0.0)), c), lambda above, below: above - below))
+    return mass(loc.cast("double"), scale.cast("double"))
 
 
 def integer_lattice(rows: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
@@ -247,13 +276,17 @@ def lattice_correction(history: DataFrame, pseudo: float = 200.0, least: int = 4
     return got.select("k", "observed", "expected", F.when(F.col("rows") >= least, ratio).otherwise(1.0).alias("ratio"))
 
 
+def _by_place(ratios: DataFrame, low: int, high: int) -> list[float]:
+    found = {r["k"]: r["ratio"] for r in ratios.select("k", "ratio").collect()}  # high - low + 1 rows
+    return [float(found.get(k, 1.0)) for k in range(low, high + 1)]
+
+
 def corrected_lattice(rows: DataFrame, ratios: DataFrame, low: int = LOW, high: int = HIGH) -> DataFrame:
     """rows (.., loc, scale) with `corrected` and `cdf`, arrays over low..high: mass times ratio, normalised in the row, and its running sum.
 
     The ratios are one number per integer of the lattice and go into the expression.
     """
-    found = {r["k"]: r["ratio"] for r in ratios.select("k", "ratio").collect()}  # high - low + 1 rows
-    by_place = F.lit([float(found.get(k, 1.0)) for k in range(low, high + 1)])
+    by_place = F.lit(_by_place(ratios, low, high))
     x = rows.withColumn("_m", F.zip_with(lattice_mass(F.col("loc"), F.col("scale"), low, high), by_place, lambda m, r: m * r))
     # a sum in a column of its own would be put back into the lambda, and be made once per integer
     total = F.aggregate("_m", F.lit(0.0), lambda a, m: a + m)
@@ -273,6 +306,33 @@ def discrete_crps(corrected: DataFrame, key: list[str], low: int = LOW) -> DataF
     return corrected.select(*key, F.aggregate("corrected", start, step, lambda a: a["crps"]).alias("crps"))
 
 
+def corrected_crps(rows: DataFrame, ratios: DataFrame, key: list[str], low: int = LOW, high: int = HIGH) -> DataFrame:
+    """(key, crps): discrete_crps() of corrected_lattice(), without the lattice of every row.
+
+    Rows of a batch with the same loc and scale have one lattice, and a row's score is read from its sums: that of the squared cdf, and that of
+    the cdf from the outcome on. A null outcome is beyond the lattice.
+    """
+    by_place = np.array(_by_place(ratios, low, high))
+    n = len(by_place)
+
+    @F.arrow_udf("double")
+    def crps(loc: pa.Array, scale: pa.Array, actual: pa.Array) -> pa.Array:
+        none, kinds, place = _kinds(loc, scale)
+        got = np.zeros(len(none))
+        y = actual.to_numpy(zero_copy_only=False)[~none]
+        first = np.where(np.isnan(y), n, np.clip(np.ceil(y) - low, 0, n)).astype(int)
+        for at in np.array_split(np.argsort(place, kind="stable"), len(place) // CHUNK + 1):
+            own, which = np.unique(place[at], return_inverse=True)
+            m = _masses(kinds[own].real, kinds[own].imag, low, high) * by_place
+            cdf = np.cumsum(m / m.sum(1, keepdims=True), 1)
+            beyond = np.append(np.cumsum(cdf[:, ::-1], 1)[:, ::-1], np.zeros((len(own), 1)), 1)  # from each integer on
+            got[np.flatnonzero(~none)[at]] = np.square(cdf).sum(1)[which] - 2 * beyond[which, first[at]] + n - first[at]
+        return pa.array(got, mask=none)
+
+    double = [F.col(c).cast("double") for c in ("loc", "scale", "actual")]
+    return rows.select(*key, crps(*double).alias("crps"))
+
+
 def key_number_mass(corrected: DataFrame, numbers: list[int], low: int = LOW) -> DataFrame:
     """Modelled and observed share at chosen integers, either sign."""
     at = [F.struct(F.lit(n).alias("number"), F.get("corrected", F.lit(s * n - low)).alias("m"), (F.col("actual") == s * n).cast("int").alias("o")) for n in numbers for s in (1, -1)]

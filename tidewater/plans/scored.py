@@ -114,8 +114,12 @@ def early(v):
     return normal_rows(v).where("season < 1999")
 
 
+def late(v):
+    return normal_rows(v).where("season >= 1999")
+
+
 def corrected(v):
-    return dist.corrected_lattice(normal_rows(v).where("season >= 1999"), dist.lattice_correction(early(v)))
+    return dist.corrected_lattice(late(v), dist.lattice_correction(early(v)))
 
 
 @query("d16_lattice_correction", f"{RATIOS} SELECT CAST(k AS INTEGER) AS k, observed, {six(expected='expected', ratio='ratio')} FROM ra", ("predictions",))
@@ -125,7 +129,7 @@ def _(v):
 
 @query("d17_corrected_lattice", f"{CORRECTED} SELECT game_id, {six(crps='sum(power(cdf - CASE WHEN actual <= k THEN 1 ELSE 0 END, 2))')} FROM cu GROUP BY game_id", ("predictions",))
 def _(v):
-    return rounded(dist.discrete_crps(corrected(v), ["game_id"]), "crps")
+    return rounded(dist.corrected_crps(late(v), dist.lattice_correction(early(v)), ["game_id"]), "crps")
 
 
 @query("d19_key_number_mass", f"{CORRECTED} SELECT CAST(abs(k) AS INTEGER) AS number, {six(modelled='avg(corrected)', observed='avg(CAST(actual = k AS INTEGER))')} FROM cu WHERE abs(k) IN (3, 7, 10, 14) GROUP BY abs(k)", ("predictions",))
