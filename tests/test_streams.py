@@ -1,5 +1,6 @@
 """Streams with keyed state on hand-made arrivals: against the batch operators, after failures, with late rows."""
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -86,6 +87,42 @@ def test_a_line_that_the_newest_snapshot_lacks_is_gone(spark, tmp_path, two_part
     assert {r.line for r in pricing.current_prices(spark, path).collect()} == {40.5}
 
 
+def test_events_of_a_group_share_a_row_of_state_and_are_priced_alone(spark, tmp_path, two_partitions):
+    """Events with one rest in a block, some of which begin: one row of state, whose events are put out when a batch touches them, with nulls as they came."""
+    path, landing, seen, rnd, n = f"{tmp_path}/run", f"{tmp_path}/landing", [], random.Random(2), pricing.TOGETHER
+    sizes = []
+    for batch_no, events in enumerate(([i * n + 3 for i in range(40)], [3, n + 3, 5 * n + 3], [7 * n + 3])):
+        rows = []
+        for e in events:
+            for book in (1, 2, 3):
+                for market in (0, 1, 2):
+                    at, start = 1000 + 1000 * batch_no + rnd.randrange(500), 1600 if e >= 30 * n else 10**6
+                    two = both(e, book, at, 100 + rnd.randrange(90), start, market=market, point=None if market == 0 else 3.0 + rnd.randrange(2))
+                    two = [(*q[:5], -q[5] if market == 1 and q[3] == 2 else q[5], None if rnd.random() < 0.1 else q[6], *q[7:]) for q in two]
+                    rows += two * (2 if rnd.random() < 0.1 else 1)
+        # never priced, and no reason to fail: rows without an event, a book, a clock or a start
+        rows += [(None, *rows[0][1:]), (3, None, *rows[0][2:]), (*rows[0][:7], None, *rows[0][8:]), (*rows[0][:10], None, rows[0][11])]
+        seen += rows
+        land(spark, rows, landing)
+        query = pricing.reprice(spark.readStream.schema(pricing.QUOTE).parquet(landing), path, late="1 second")
+        sizes.append(query.lastProgress.stateOperators[0].numRowsTotal)
+        valid = [r for r in seen if r[10] is not None and r[9] < r[10]]
+        assert prices(pricing.current_prices(spark, path)) == prices(batch.price_markets(spark.createDataFrame(valid, pricing.QUOTE), 10**9))
+    assert sizes == [1, 1, 1]
+    last = spark.read.parquet(f"{path}/prices").groupBy("batch").agg(F.collect_set("event_id").alias("e")).collect()
+    assert [sorted(r.e) for r in sorted(last, key=lambda r: r.batch) if r.batch][-1] == [7 * n + 3] and max(len(r.e) for r in last if r.batch == 0) > 30
+
+
+def test_an_older_ingestion_that_comes_later_is_priced_with_what_was_known(spark, tmp_path, two_partitions):
+    """A batch that touches an event by an older row prices all of its state, not the part known when that row was ingested."""
+    path, landing = f"{tmp_path}/run", f"{tmp_path}/landing"
+    first = [q for b in (1, 2) for q in both(4, b, 5000, 110 + b, 10**6)]
+    for rows in (first, both(4, 3, 4000, 130, 10**6)):
+        land(spark, rows, landing)
+        pricing.reprice(spark.readStream.schema(pricing.QUOTE).parquet(landing), path, late="1 hour")
+    assert {(r.event_id, r.books) for r in pricing.current_prices(spark, path).collect()} == {(4, 3)}
+
+
 def snapshots_of(spark, small):
     raw = wider.damaged(lambda n: view(spark, small, n)).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), "body").where("snapshot_id < 1500")
     nested = '{"id":1,"start":5,"books":[null,{"key":3,"markets":[]},{"key":4,"markets":[null,{"key":1,"outcomes":[]},{"key":2,"outcomes":[null,{"side":1,"odds":100},{"side":1,"odds":100}]}]}]}'

@@ -167,7 +167,11 @@ def price_markets(quotes: DataFrame, as_of, minimum: int = 2, outlier: float = 0
 
     Pairs and best prices both come from the latest state. Both read the same columns of it, dealt by family, so that Spark makes the state once and reuses its exchange.
     """
-    state = latest_state(quotes, as_of).repartition(*FAMILY)
+    return price_state(latest_state(quotes, as_of).repartition(*FAMILY), minimum, outlier)
+
+
+def price_state(state: DataFrame, minimum: int = 2, outlier: float = 0.03) -> DataFrame:
+    """price_markets() of a state that holds the newest snapshots alone."""
     pairs = pair_sides(state).where("reason is null")
     fair = median_consensus(pairs, [*MARKET, "line", "start", "league"], minimum, outlier)
     line = F.when((F.col("market") == 1) & (F.col("side") == 2), -F.col("point")).otherwise(F.col("point"))

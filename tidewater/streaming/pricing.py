@@ -6,7 +6,6 @@ run again replaces what it wrote, and is read only once the last of its tables i
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -27,8 +26,14 @@ QUOTE = (
     "event_id long, book_id long, market long, side long, snapshot_id long, point double, odds long, "
     "requested long, observed long, ingested long, start long, league long"
 )
-#: What the state holds of each quote; the event is the key.
-HELD = ["book_id", "market", "side", "snapshot_id", "point", "odds", "requested", "observed", "ingested", "start", "league"]
+#: What the state holds of each quote, as eight-byte integers (those of the double that a point is) with a set of bits at the end that tells the nulls.
+HELD = [c.split()[0] for c in QUOTE.split(", ")]
+AT = {c: i for i, c in enumerate([*HELD, "nulls"])}
+FAMILY = [AT[c] for c in batch.FAMILY]
+#: Of this many events the state is one row: ids with the same rest, within a block of its square. Calls between Spark and the worker cost more than their rows.
+TOGETHER = 128
+#: Rows of arriving quotes that are packed by their events at once.
+CHUNK = 1 << 19
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -43,66 +48,141 @@ def rocks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(ROCKS[0], before)
 
 
-def newest_rows(held: list[tuple], new: list[tuple]) -> list[tuple]:
-    """Of every family the rows of its newest snapshot: those with the largest clocks. Rows are tuples in the order of HELD."""
-    best: dict[tuple, tuple] = {}
-    out: dict[tuple, list[tuple]] = {}
-    for r in (*held, *new):
-        family, clock = r[:2], (r[6], r[7], r[8], r[3])
-        if family not in best or clock > best[family]:
-            best[family], out[family] = clock, [r]
-        elif clock == best[family]:
-            out[family].append(r)
-    return [r for rows in out.values() for r in rows]
+def newest_rows(rows: np.ndarray) -> np.ndarray:
+    """Of every family the rows of its newest snapshot: those with the largest clocks. rows: a line per quote, in the order of HELD."""
+    if not len(rows):
+        return rows
+    clocks = [AT[c] for c in CLOCKS]
+    rows = rows[np.lexsort(rows[:, [*reversed(clocks), *reversed(FAMILY)]].T)]
+    last = np.append((rows[1:, FAMILY] != rows[:-1, FAMILY]).any(1), True)
+    newest = np.flatnonzero(last)[np.cumsum(last) - last]  # the last row of each row's family
+    return rows[(rows[:, clocks] == rows[newest][:, clocks]).all(1)]
+
+
+def _each_event(rows: np.ndarray, column: str, among: np.ndarray) -> np.ndarray:
+    """The largest value of a column, for each row of `among`, in the rows of its event."""
+    events, at = np.unique(rows[:, AT["event_id"]], return_inverse=True)
+    most = np.full(len(events), np.iinfo(np.int64).min)
+    np.maximum.at(most, at, rows[:, AT[column]])
+    return most[np.searchsorted(events, among[:, AT["event_id"]])]
+
+
+def _starts(rows: np.ndarray) -> np.ndarray:
+    """For each row the start that the newest snapshot of its event names."""
+    order = np.lexsort(rows[:, [AT[c] for c in ("start", "ingested", "observed", "requested", "event_id")]].T)
+    event = rows[order, AT["event_id"]]
+    last = np.flatnonzero(np.append(event[1:] != event[:-1], True)) if len(rows) else order
+    return rows[order[last], AT["start"]][np.searchsorted(event[last], rows[:, AT["event_id"]])]
 
 
 class EventState(StatefulProcessor):
-    """Keyed by event: the rows of the newest snapshot of every family, put out whole whenever a batch touches the event.
+    """Keyed by a group of events: the rows of the newest snapshot of every family, put out whole for each event that a batch touches.
 
-    The state of an event is as large as its books and markets, whatever its history. A timer at the event's start
-    drops it; `row` is one of those ingested before the start. Rows pass between Spark and the worker, and are held, as texts (JSON arrays in the
-    order of HELD): field by field that costs more than all the rest.
+    The state of an event is as large as its books and markets, whatever its history. A timer stands at the first start of the group's events, and drops
+    those that have begun; rows of events that begin by the watermark are left out.
     """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("rows", "start long, rows string")
+        self.state = handle.getValueState("rows", "at long, rows binary")
+
+    def _held(self) -> tuple[int | None, np.ndarray]:
+        before = self.state.get()
+        return (before[0], _lines(before[1])) if before else (None, _lines(b""))
+
+    def _hold(self, before: int | None, rows: np.ndarray, starts: np.ndarray) -> None:
+        at = int(starts.min()) * 1000 if len(rows) else None
+        if at != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if at is None:
+            self.state.clear()
+        else:
+            self.state.update((at, rows.tobytes()))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        new = [tuple(x) for x in json.loads("[" + ",".join(r["row"] for r in rows) + "]")]
-        now = timerValues.getCurrentWatermarkInMs()
-        if not new or new[0][9] * 1000 <= now:
+        new = _lines(b"".join(r["pack"] for r in rows))
+        new = new[new[:, AT["start"]] * 1000 > timerValues.getCurrentWatermarkInMs()]
+        if not len(new):
             return
-        before = self.state.get()
-        start, held = (before[0], [tuple(r) for r in json.loads(before[1])]) if before else (None, [])
-        got = newest_rows(held, new)
-        latest = max(got, key=lambda r: (r[6], r[7], r[8]))[9]  # the start that the newest snapshot names
-        if latest != start:
-            if start is not None:
-                self.handle.deleteTimer(start * 1000)
-            self.handle.registerTimer(latest * 1000)
-        text = json.dumps(got)
-        self.state.update((latest, text))
-        yield Row(event_id=key[0], as_of=max(r[8] for r in new), rows=text)
+        before, held = self._held()
+        every = np.concatenate([held, new])
+        got = newest_rows(every)
+        self._hold(before, got, _starts(got))
+        out = got[np.isin(got[:, AT["event_id"]], new[:, AT["event_id"]])]
+        yield Row(rows=np.column_stack([out, _each_event(every, "ingested", out)]).tobytes())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.state.clear()
+        _, held = self._held()
+        starts = _starts(held)
+        wait = starts * 1000 > timerValues.getCurrentWatermarkInMs()
+        self._hold(None, held[wait], starts[wait])  # the timer that has come is dropped by Spark
         return iter([])
 
     def close(self) -> None:
         pass
 
 
+def _lines(packed: bytes, width: int = len(AT)) -> np.ndarray:
+    return np.frombuffer(packed, np.int64).reshape(-1, width)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(events, clock, pack): the rows of a group of events that may still be priced, packed, and the last ingestion of all that came with them."""
+    needed = ~sum(1 << AT[c] for c in ("side", "point", "odds", "league"))  # null in any other column is never priced
+
+    def packs(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        rows = np.zeros((table.num_rows, len(AT)), np.int64)
+        for c in HELD:
+            x = table.column(c).combine_chunks()
+            rows[:, AT[c]] = x.fill_null(0).to_numpy(zero_copy_only=False).view(np.int64)
+            rows[:, -1] |= np.array(x.is_null()).astype(np.int64) << AT[c]
+        known = rows[rows[:, -1] & (1 << AT["ingested"]) == 0, AT["ingested"]]
+        if not len(known):
+            return
+        rows = rows[(rows[:, -1] & needed == 0) & (rows[:, AT["ingested"]] < rows[:, AT["start"]])]
+        event = rows[:, AT["event_id"]]
+        group = event // TOGETHER**2 * TOGETHER + event % TOGETHER
+        order = np.argsort(group, kind="stable")
+        groups, first = np.unique(group[order], return_index=True)
+        rows, ends = rows[order], np.append(first, len(rows))
+        parts = [rows[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        if not parts:  # the clock goes on all the same
+            groups, parts = np.zeros(1, np.int64), [b""]
+        yield pa.RecordBatch.from_arrays([pa.array(groups), pa.array(np.full(len(groups), known.max())), pa.array(parts, pa.binary())], ["events", "clock", "pack"])
+
+    held, n = [], 0
+    for x in batches:
+        held.append(x)
+        n += x.num_rows
+        if n >= CHUNK:
+            yield from packs(held)
+            held, n = [], 0
+    if n:
+        yield from packs(held)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        rows = _lines(b"".join(r.as_py() for r in x.column(0)), len(AT) + 1)
+        column = lambda c: np.ascontiguousarray(rows[:, AT[c]]).view(np.float64 if c == "point" else np.int64)
+        columns = [pa.array(column(c), mask=rows[:, AT["nulls"]] >> AT[c] & 1 == 1) for c in HELD]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(rows[:, -1])], [*HELD, "as_of"])
+
+
 def touched_states(quotes: DataFrame, late: str) -> DataFrame:
-    """The whole state of every event that a batch touches, with as_of: the last ingestion among the rows that touched it."""
-    clock = F.timestamp_seconds("ingested")
-    x = quotes.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in QUOTE.split(", ")]).withColumn("arrived", clock).withWatermark("arrived", late)
-    # rows of events that have begun move the watermark but no state; told by the clock of the watermark, so that they are left out after it
-    cells = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in HELD])
-    x = x.where(F.col("arrived") < F.timestamp_seconds("start")).select("event_id", F.concat(F.lit("["), cells, F.lit("]")).alias("row"), "arrived")
-    got = x.groupBy("event_id").transformWithState(EventState(), "event_id long, as_of long, rows string", "Update", "EventTime")
-    got = got.select("event_id", "as_of", F.explode(F.from_json("rows", "array<array<string>>")).alias("r"))
-    return got.select("event_id", *[F.get("r", F.lit(i)).cast("double" if c == "point" else "long").alias(c) for i, c in enumerate(HELD)], "as_of")
+    """The whole state of every event that a batch touches, with as_of: the last ingestion among its rows.
+
+    Rows of events that have begun move the watermark but no state. A row within `late` of the last one is never left out for its time, one that
+    comes later may be, as Spark has it.
+    """
+    x = quotes.select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in QUOTE.split(", ")]).mapInArrow(_packed, "events long, clock long, pack binary")
+    x = x.select("events", F.timestamp_seconds("clock").alias("arrived"), "pack").withWatermark("arrived", late)
+    got = x.groupBy("events").transformWithState(EventState(), "rows binary", "Update", "EventTime")
+    return got.mapInArrow(_unpacked, f"{QUOTE}, as_of long")
 
 
 def _run(stream: DataFrame, path: str, step: Callable[[DataFrame, int], None], mode: str = "update"):
@@ -115,7 +195,7 @@ def reprice(quotes: DataFrame, path: str, late: str = "1 hour", minimum: int = 2
     """Prices events as their quotes arrive, by the batch pipeline: fair value, best price, edge and expected value of every line.
 
     A batch writes the state of the events that it touches once, over that of the batch before last, and prices what it wrote: keyed state is run
-    through once, and nothing that earlier batches wrote is read, so the cost of a batch does not grow with their number. Events are priced as of the last ingestion that touched them, and only before they start. Prices of batch n are
+    through once, and nothing that earlier batches wrote is read, so the cost of a batch does not grow with their number. Events are priced as of the last ingestion of their rows, and only before they start. Prices of batch n are
     in path/prices/batch=n; current_prices() reads them.
     """
 
@@ -123,7 +203,9 @@ def reprice(quotes: DataFrame, path: str, late: str = "1 hour", minimum: int = 2
         states, as_of = f"{path}/touched/{n % 2}", F.col("as_of")
         touched.write.mode("overwrite").parquet(states)
         known = touched.sparkSession.read.schema(touched.schema).parquet(states)
-        priced = batch.price_markets(known.where(F.col("start") > as_of), as_of, minimum, outlier)
+        # of a family there are the rows of one snapshot, which have the same clocks: those known by then are its latest state
+        state = batch.known_by(known.where(F.col("start") > as_of), as_of)
+        priced = batch.price_state(state.repartition(*batch.MARKET), minimum, outlier)
         priced.write.mode("overwrite").parquet(f"{path}/prices/batch={n}")
 
     with rocks(quotes.sparkSession):
