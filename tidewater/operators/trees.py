@@ -28,7 +28,7 @@ BINS = 32
 WRITE = 24
 #: Most distinct rows that a model's group may have, some 100 bytes each; beyond them the passes are Spark jobs over all tasks.
 ALONE = 1 << 20
-#: Rows that a pass takes at once.
+#: Rows that a task takes at once.
 CHUNK = 1 << 17
 
 
@@ -238,7 +238,7 @@ def _scored(rows: DataFrame, models: list[Model], p: int) -> DataFrame:
     names, models = rows.columns, [replace(m, trees=[]) for m in models]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):
             cols = _matrix(batch, p)
             score = batch.column(batch.num_columns - 1).flatten().to_numpy().reshape(batch.num_rows, len(models)).copy()
             for k, m in enumerate(models):
@@ -311,7 +311,7 @@ def boosted_folds(rows: DataFrame, features: list[str], seasons: list[int], fold
         return np.ascontiguousarray(own), place.ravel()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _chunks(batches):  # a step down a tree costs a few calls, however few rows
             season, cols = batch.column(1).to_numpy(), _matrix(batch, p)
             for m in models:
                 on = np.flatnonzero(season == m.fold)
